@@ -24,6 +24,7 @@ PY_WS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\x{1680}\x{2000}-\x{200a}"
 # followed by letters (keeps "xlink:href", "docs.oasis", "don't").
 TOKEN_PATTERN = r"[\p{L}\p{M}\p{N}]+(?:[.:'’][\p{L}\p{M}]+)*"
 SINGLE_LETTER = r"(^|" + NON_WORD + r")[a-zA-Z]($|" + NON_WORD + r")"
+ACRONYM = r"(^|" + NON_WORD + r")[A-Z][A-Z]+" + r"[\t\n\x0b\x0c\r ]+"
 HYPHEN_BREAK = r"(" + WORD_CHAR + r"+)- (" + WORD_CHAR + r"+)"
 PAGE_OPENER = '<plain_text><page sequence="1">'
 PAGE_OPENER_SPACED = '<plain_text> <page sequence="1">'
@@ -96,7 +97,7 @@ def strip_tags(c, opener: str = PAGE_OPENER) -> Column:
 
 def repair_whitespace(c) -> Column:
     """NBSP, literal backslash-t and underscore to space; trim spaces."""
-    c = F.translate(_c(c), " _", "  ")
+    c = F.translate(_c(c), "\u00a0_", "  ")
     c = F.replace(c, F.lit("\\t"), F.lit(" "))
     return F.trim(c)
 
@@ -117,7 +118,9 @@ def remove_single_letters(c) -> Column:
 
 
 def remove_acronyms(c) -> Column:
-    return F.regexp_replace(_c(c), r"(?U)\b[A-Z][A-Z]+\b\s+", "")
+    """Drop runs of two or more capitals followed by whitespace (two passes,
+    as for single letters)."""
+    return F.regexp_replace(F.regexp_replace(_c(c), ACRONYM, "$1"), ACRONYM, "$1")
 
 
 def sentences(c) -> Column:
@@ -151,7 +154,7 @@ def prepare_text(c, remove_numbers: bool = True, unhyphen: bool = True,
     c = _c(c)
     if tags:
         c = strip_tags(c)
-    c = F.translate(c, " _", "  ")
+    c = F.translate(c, "\u00a0_", "  ")
     c = F.replace(c, F.lit("\\t"), F.lit(" "))
     if unhyphen:
         c = unhyphenate(c)
@@ -221,7 +224,7 @@ def clean_alt(c, remove_stopwords: bool = True, exclude=()) -> Column:
     stop words and an exclude list out, lower case."""
     c = repair_whitespace(c)
     c = F.regexp_replace(c, r"[^\x00-\x7f]", "")
-    c = F.regexp_replace(c, r"\\x.*|\\u.*|\\b.*", "")
+    c = F.regexp_replace(c, r"(?d)\\x.*|\\u.*|\\b.*", "")
     c = F.regexp_replace(c, r"\d+", "")
     words = F.split(F.trim(c), PY_WS + "+")
     prefixes = ["http", "https", "www", "//", "\\", "x_", "x/", "srcimage"]
@@ -238,7 +241,7 @@ def clean_alt(c, remove_stopwords: bool = True, exclude=()) -> Column:
     kept = F.filter(words, lambda w: (F.length(w) > 0) & ~is_link(w))
     cls = "[" + "".join("\\" + ch for ch in ALT_PUNCT) + "]+"
     stripped = F.transform(kept, lambda w: F.btrim(F.btrim(F.regexp_replace(w, cls, ""), F.lit("'")), F.lit("-")))
-    stop = _arr(list(dict.fromkeys(lexicon.general_stop_list() if remove_stopwords else []) | dict.fromkeys(exclude)) or [""])
+    stop = _arr(list(dict.fromkeys((lexicon.general_stop_list() if remove_stopwords else []) + list(exclude))))
     out = F.filter(stripped, lambda w: ~F.array_contains(stop, w))
     return F.transform(out, lambda w: F.lower(w))
 
