@@ -47,11 +47,11 @@ def str2_4(spark, sf_dir):
 
 # STR5-STR6 ------------------------------------------------------------------
 @register("str5_citation_title", S.with_(S.citations_cte()) + f"""
-SELECT item_id, {S.normalize_title("substring(regexp_extract(trim(citation), '\\d{4}\\.(.*)[.?!].', 1), 3)")} AS title
+SELECT cite_id, {S.normalize_title(S.CITE_TITLE)} AS title
 FROM citations""")
 def str5(spark, sf_dir):
     c = _t(spark, sf_dir).citations
-    return c.select("item_id", tx.citation_title("citation").alias("title"))
+    return c.select("cite_id", tx.citation_title("citation").alias("title"))
 
 
 @register("str6_title_normalize", f"SELECT item_id, {S.normalize_title('text')} AS title FROM benchmark")
@@ -328,16 +328,24 @@ def str33(spark, sf_dir):
 
 
 # STR34 ------------------------------------------------------------------------
-@register("str34_title_similarity", S.with_(S.citations_cte()) + f"""
-SELECT item_id, CAST(CASE WHEN greatest(length(a), length(b)) = 0 THEN 100
-  ELSE round(100.0 * (1.0 - levenshtein(a, b) / greatest(length(a), length(b)))) END AS INTEGER) AS similarity
-FROM (SELECT c.item_id, lower({S.normalize_title("substring(regexp_extract(trim(citation), '\\d{4}\\.(.*)[.?!].', 1), 3)")}) AS a,
-             lower(b.text) AS b
-      FROM citations c JOIN benchmark b USING (item_id))
-WHERE regexp_full_match(a || b, '[\\x00-\\x7f]*')""")
+SIM_SQL = """CAST(CASE WHEN greatest(length(a), length(b)) = 0 THEN 100
+  ELSE round(100.0 * (1.0 - levenshtein(a, b) / greatest(length(a), length(b)))) END AS INTEGER)"""
+PAIRS_SQL = S.with_(S.citations_cte(), S.doc_titles_cte(),
+                    f"""pairs AS (SELECT c.cite_id, lower({S.normalize_title(S.CITE_TITLE)}) AS a, lower(d.title) AS b
+  FROM citations c JOIN doc_titles d ON c.cite_id = 'd' || CAST(d.doc_id AS VARCHAR)
+  WHERE regexp_full_match(c.citation || d.title, '[\\x00-\\x7f]*'))""")
+
+
+def title_pairs(t: Tables):
+    """Each coded document's citation title next to its metadata title (ASCII rows)."""
+    c = t.citations.select("cite_id", "citation", tx.citation_title("citation").alias("a"))
+    d = t.doc_titles.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("cite_id"),
+                            F.col("title").alias("b"))
+    j = c.join(d, "cite_id")
+    return j.where(F.concat("citation", "b").rlike(r"^[\x00-\x7f]*$"))
+
+
+@register("str34_title_similarity", PAIRS_SQL + f"SELECT cite_id, {SIM_SQL} AS similarity FROM pairs")
 def str34(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    j = t.citations.select("item_id", tx.citation_title("citation").alias("a")).join(
-        t.benchmark.select("item_id", F.col("text").alias("b")), "item_id")
-    j = j.where(F.concat("a", "b").rlike(r"^[\x00-\x7f]*$"))
-    return j.select("item_id", tx.similarity_ratio("a", "b").alias("similarity"))
+    j = title_pairs(_t(spark, sf_dir))
+    return j.select("cite_id", tx.similarity_ratio("a", "b").alias("similarity"))

@@ -103,12 +103,21 @@ CODED = """coded AS (
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
+FIRST8 = "array_to_string(list_slice(regexp_split_to_array(trim(text), ' +'), 1, 8), ' ')"
+CITE_TITLE = r"substring(regexp_extract(trim(citation), '\d{4}\.(.*)[.?!].', 1), 3)"
+
+
 def citations_cte() -> str:
-    first = "array_to_string(list_slice(regexp_split_to_array(trim(text), ' +'), 1, 8), ' ')"
     return f"""citations AS (
-  SELECT item_id, 'Doe, Jane.  ' || CAST(1970 + item_id % 47 AS VARCHAR) || '.  ' || {first}
-         || '.  Journal, 1 (2):  3-4.' AS citation
-  FROM benchmark)"""
+  SELECT cite_id, 'Doe, Jane.  ' || year || '.  ' || head || '.  Journal, 1 (2):  3-4.' AS citation FROM (
+    SELECT 'd' || CAST(doc_id AS VARCHAR) AS cite_id, CAST(1970 + doc_id % 47 AS VARCHAR) AS year, {FIRST8} AS head
+    FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
+    UNION ALL
+    SELECT 'b' || CAST(item_id AS VARCHAR), CAST(1970 + item_id % 47 AS VARCHAR), {FIRST8} FROM benchmark))"""
+
+
+def doc_titles_cte() -> str:
+    return f"doc_titles AS (SELECT doc_id, {normalize_title(FIRST8)} AS title FROM documents)"
 
 
 CLEAN_TOKENS = f"""clean AS (SELECT doc_id, {clean_document('text')} AS doc FROM documents),

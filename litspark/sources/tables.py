@@ -86,9 +86,21 @@ class Tables:
 
     @cached_property
     def citations(self) -> DataFrame:
-        """ASA-style citations built from benchmark passages."""
-        b = self.benchmark
+        """ASA-style citation list: the hand-coded (labelled) documents plus the
+        benchmark passages, each cited by its first eight words."""
         first = F.array_join(F.slice(F.split(F.trim(F.col("text")), " +"), 1, 8), " ")
-        year = (F.lit(1970) + F.col("item_id") % 47).cast("string")
-        return b.select("item_id", F.concat(F.lit("Doe, Jane.  "), year, F.lit(".  "), first,
-                                            F.lit(".  Journal, 1 (2):  3-4.")).alias("citation"))
+        docs = self.documents.join(self.labels.select("doc_id"), "doc_id", "left_semi").select(
+            F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("cite_id"),
+            (F.lit(1970) + F.col("doc_id") % 47).cast("string").alias("year"), first.alias("head"))
+        bench = self.benchmark.select(
+            F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("cite_id"),
+            (F.lit(1970) + F.col("item_id") % 47).cast("string").alias("year"), first.alias("head"))
+        return docs.unionByName(bench).select(
+            "cite_id", F.concat(F.lit("Doe, Jane.  "), F.col("year"), F.lit(".  "), F.col("head"),
+                                F.lit(".  Journal, 1 (2):  3-4.")).alias("citation"))
+
+    @cached_property
+    def doc_titles(self) -> DataFrame:
+        """Metadata titles: the first eight words of each document, normalised."""
+        first = F.array_join(F.slice(F.split(F.trim(F.col("text")), " +"), 1, 8), " ")
+        return self.documents.select("doc_id", tx.normalize_title(first).alias("title"))
