@@ -84,8 +84,9 @@ def closest_title(queries: DataFrame, q_id: str, q_title: str, names: DataFrame,
 
 def shingles(tokens: Column, n: int = 3) -> Column:
     """Consecutive n-token sequences joined by a space."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(0))),
-                       lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    idx = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)) \
+        .otherwise(F.array().cast("array<int>"))
+    return F.transform(idx, lambda i: F.array_join(F.slice(tokens, i, n), " "))
 
 
 def fragment_matches(fragments: DataFrame, frag_id: str, frag_tokens: str, docs: DataFrame, doc_id: str,

@@ -31,7 +31,7 @@ def fit_vocabulary(tf: DataFrame, n_docs: DataFrame | None = None, max_features:
     stats = tf.groupBy(term_col).agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     if n_docs is None:
         n_docs = tf.agg(F.countDistinct(doc_col).alias("n_docs"))
-    stats = stats.crossJoin(F.broadcast(n_docs))  # one row
+    stats = stats.withColumn("n_docs", n_docs.scalar())  # one-row scalar subquery
     stats = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
     vocab = stats.orderBy(F.desc("cf"), F.asc(term_col)).limit(max_features)
     w = Window.orderBy(term_col)  # at most max_features rows: bounded

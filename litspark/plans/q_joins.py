@@ -1,3 +1,175 @@
-"""Registered queries."""
+"""Registered queries: joins and record linkage (JN*)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from litspark.functions import lexicon
+from litspark.functions import text as tx
+from litspark.operators import joins as jn
+from litspark.plans import sqlfrag as S
+from litspark.plans.catalog import register
+from litspark.plans.q_terms import clean_tokens
+from litspark.plans.q_text import SIM_SQL
+from litspark.sources.tables import Tables
+
+
+@register("jn1_left_join_counts", """
+SELECT l.quality, CAST(count(*) AS BIGINT) AS n_docs
+FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY l.quality""")
+def jn1(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    j = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    return j.groupBy("quality").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@register("jn2_right_join", S.with_(S.SCORES) + """
+SELECT s.doc_id, l.quality, round(s.prediction_cult_prob_yes, 6) AS p_yes
+FROM labels l RIGHT JOIN scores s USING (doc_id)""")
+def jn2(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    j = t.labels.select("doc_id", "quality").join(t.scores, "doc_id", "right")
+    return j.select("doc_id", "quality", F.round("prediction_cult_prob_yes", 6).alias("p_yes"))
+
+
+@register("jn3_12_keyed_predictions", S.with_(S.ARTICLES, S.SCORES) + """
+SELECT a.doc_id, a.file_name, a.primary_subject, s.prediction_cult, s.prediction_relt, s.prediction_demog,
+       s.prediction_orgs
+FROM articles a JOIN scores s USING (doc_id)""")
+def jn3_12(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    j = t.articles.join(t.scores, "doc_id")
+    return j.select("doc_id", "file_name", "primary_subject", "prediction_cult", "prediction_relt",
+                    "prediction_demog", "prediction_orgs")
+
+
+@register("jn4_left_join_renamed_keys", """
+SELECT d.doc_id, d.lang, b.text AS passage FROM documents d LEFT JOIN benchmark b ON d.doc_id = b.item_id""")
+def jn4(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    d, b = t.documents, t.benchmark
+    j = d.join(b.select("item_id", F.col("text").alias("passage")), d.doc_id == b.item_id, "left").drop("item_id")
+    return j.select("doc_id", "lang", "passage")
+
+
+@register("jn5_one_to_one_violations", """
+SELECT 'left' AS side, conv_id AS key, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1
+UNION ALL
+SELECT 'right', doc_id, CAST(count(*) AS BIGINT) FROM labels GROUP BY doc_id HAVING count(*) > 1""")
+def jn5(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    left = t.conversations.select(F.col("conv_id").alias("key"))
+    right = t.labels.select(F.col("doc_id").alias("key"))
+    return jn.one_to_one_report(left, right, ["key"]).select("side", "key", "n")
+
+
+@register("jn6_join_with_fallback", S.with_(S.ARTICLES) + """
+SELECT a.doc_id, a.publication_year AS year_raw, c.corrected_year, coalesce(c.corrected_year, a.publication_year) AS year
+FROM articles a LEFT JOIN (SELECT doc_id, CAST(1971 + doc_id % 45 AS INTEGER) AS corrected_year FROM labels) c
+  USING (doc_id)""")
+def jn6(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    corr = t.labels.select("doc_id", (F.lit(1971) + F.col("doc_id") % 45).cast("int").alias("corrected_year"))
+    a = t.articles.select("doc_id", F.col("publication_year").alias("year_raw"))
+    return jn.join_with_fallback(a, corr, ["doc_id"], "corrected_year", "year_raw", "year") \
+        .select("doc_id", "year_raw", "corrected_year", "year")
+
+
+CITE_TITLES_SQL = f"ct AS (SELECT cite_id, {S.normalize_title(S.CITE_TITLE)} AS title FROM citations)"
+
+
+def _cite_titles(t: Tables):
+    return t.citations.select("cite_id", tx.citation_title("citation").alias("title"))
+
+
+@register("jn7_8_title_semi_anti", S.with_(S.citations_cte(), S.doc_titles_cte(), CITE_TITLES_SQL) + """
+SELECT cite_id, 'matched' AS status FROM ct SEMI JOIN doc_titles USING (title)
+UNION ALL
+SELECT cite_id, 'unmatched' FROM ct ANTI JOIN doc_titles USING (title)""")
+def jn7_8(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    ct, dt = _cite_titles(t), t.doc_titles.select("title")
+    return ct.join(dt, "title", "left_semi").select("cite_id", F.lit("matched").alias("status")).unionByName(
+        ct.join(dt, "title", "left_anti").select("cite_id", F.lit("unmatched").alias("status")))
+
+
+@register("jn9_staged_linkage", S.with_(S.citations_cte(), S.doc_titles_cte(), CITE_TITLES_SQL, S.ARTICLES) + """,
+first AS (SELECT d.doc_id, d.title FROM doc_titles d JOIN articles a USING (doc_id) WHERE a.primary_subject = 'Sociology'),
+m1 AS (SELECT ct.cite_id, first.doc_id, 1 AS stage FROM ct JOIN first USING (title)),
+rest AS (SELECT * FROM ct ANTI JOIN first USING (title)),
+m2 AS (SELECT rest.cite_id, d.doc_id, 2 AS stage FROM rest JOIN doc_titles d USING (title))
+SELECT cite_id, doc_id, CAST(stage AS INTEGER) AS stage FROM m1 UNION ALL SELECT cite_id, doc_id, CAST(stage AS INTEGER) FROM m2""")
+def jn9(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    first = t.doc_titles.join(t.articles.where(F.col("primary_subject") == "Sociology").select("doc_id"), "doc_id")
+    out = jn.staged_link(_cite_titles(t), first, t.doc_titles, "title")
+    return out.select("cite_id", "doc_id", F.col("stage").cast("int").alias("stage"))
+
+
+def _blocks_sql(rel, idc, titlec):
+    stop = S.lst(lexicon.ARCHIVE_STOP_WORDS)
+    return (f"SELECT DISTINCT {idc}, unnest(list_filter(string_split({titlec}, ' '), "
+            f"lambda w: length(w) > 0 AND NOT list_contains({stop}, w))) AS block FROM {rel}")
+
+
+@register("jn10_fuzzy_closest_title", S.with_(S.citations_cte(), S.doc_titles_cte(), CITE_TITLES_SQL) + f""",
+un AS (SELECT * FROM ct ANTI JOIN doc_titles USING (title)),
+pairs AS (SELECT DISTINCT q.cite_id, n.doc_id FROM ({_blocks_sql('un', 'cite_id', 'title')}) q
+          JOIN ({_blocks_sql('doc_titles', 'doc_id', 'title')}) n USING (block)),
+sc AS (SELECT p.cite_id, p.doc_id, un.title AS a, d.title AS b FROM pairs p JOIN un USING (cite_id)
+       JOIN doc_titles d USING (doc_id)),
+sim AS (SELECT cite_id, doc_id, CAST(CASE WHEN greatest(length(lower(a)), length(lower(b))) = 0 THEN 100
+  ELSE round(100.0 * (1.0 - levenshtein(lower(a), lower(b)) / greatest(length(lower(a)), length(lower(b))))) END AS INTEGER)
+  AS similarity FROM sc WHERE regexp_full_match(a || b, '[\\x00-\\x7f]*'))
+SELECT cite_id, doc_id, similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY cite_id ORDER BY similarity DESC, doc_id) AS r FROM sim) WHERE r = 1""")
+def jn10(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    ct = _cite_titles(t)
+    un = ct.join(t.doc_titles.select("title"), "title", "left_anti").withColumnRenamed("title", "a")
+    names = t.doc_titles.withColumnRenamed("title", "b")
+    ascii_ = r"^[\x00-\x7f]*$"
+    best = jn.closest_title(un.where(F.col("a").rlike(ascii_)), "cite_id", "a",
+                            names.where(F.col("b").rlike(ascii_)), "doc_id", "b")
+    return best.select("cite_id", "doc_id", "similarity")
+
+
+@register("jn11_fragment_in_documents", f"""
+WITH fr AS (SELECT item_id, array_to_string(list_slice(tk, 1, 3), ' ') AS frag
+            FROM (SELECT item_id, {S.tokenize('text')} AS tk FROM benchmark) WHERE len(tk) >= 3),
+dt AS (SELECT doc_id, ' ' || array_to_string({S.tokenize('text')}, ' ') || ' ' AS flat FROM documents)
+SELECT item_id, CAST(count(*) AS BIGINT) AS n_docs
+FROM fr JOIN dt ON contains(dt.flat, ' ' || fr.frag || ' ') GROUP BY item_id""")
+def jn11(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    fr = t.benchmark.select("item_id", tx.tokenize("text").alias("tk"))
+    dt = t.documents.select("doc_id", tx.tokenize("text").alias("tk"))
+    m = jn.fragment_matches(fr, "item_id", "tk", dt, "doc_id", "tk", n=3)
+    return m.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+@register("jn14_token_vector_lookup", "WITH " + S.CLEAN_TOKENS + """,
+wv AS (SELECT term, vec_id FROM (SELECT term, row_number() OVER (ORDER BY cnt DESC, term) - 1 AS vec_id
+       FROM (SELECT term, count(*) AS cnt FROM ctok GROUP BY term)) JOIN embeddings USING (vec_id))
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_known FROM ctok JOIN wv USING (term) GROUP BY doc_id""")
+def jn14(spark, sf_dir):
+    from litspark.operators.vectors import word_vectors
+    t = Tables(spark, sf_dir)
+    tok = clean_tokens(t)
+    wv = word_vectors(tok, t.embeddings)
+    return tok.join(wv.select("term"), "term").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_known"))
+
+
+@register("jn15_fetch_with_duplicates", S.with_(S.ARTICLES, S.SCORES) + """,
+keys AS (SELECT doc_id, 'cult' AS pool FROM scores WHERE prediction_cult_prob_yes > 0.8
+         UNION ALL SELECT doc_id, 'relt' FROM scores WHERE prediction_relt_prob_yes > 0.8)
+SELECT k.doc_id, k.pool, a.journal_title FROM keys k JOIN articles a USING (doc_id)""")
+def jn15(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    s = t.scores
+    keys = s.where(F.col("prediction_cult_prob_yes") > 0.8).select("doc_id", F.lit("cult").alias("pool")).unionByName(
+        s.where(F.col("prediction_relt_prob_yes") > 0.8).select("doc_id", F.lit("relt").alias("pool")))
+    return keys.join(t.articles.select("doc_id", "journal_title"), "doc_id").select("doc_id", "pool", "journal_title")
+
+
+_ = SIM_SQL

@@ -188,8 +188,8 @@ WC_SQL = (f"CASE WHEN length(regexp_replace(t, '^{tx.PY_WS}+|{tx.PY_WS}+$', '',
 def _budgets(t: Tables):
     d = t.documents.select("doc_id", "text", tx.strip_tags("text").alias("t"))
     d = d.withColumn("n_words", tx.word_count("t"))
-    ext = d.agg(F.max("n_words").alias("longest"), F.min("n_words").alias("shortest"))
-    d = d.crossJoin(F.broadcast(ext))  # one-row table
+    d = d.withColumn("longest", d.agg(F.max("n_words")).scalar()) \
+         .withColumn("shortest", d.agg(F.min("n_words")).scalar())
     return d.withColumn("budget", tx.length_budget("n_words", "longest", "shortest", MAXLEN, MINLEN))
 
 
