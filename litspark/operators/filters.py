@@ -25,8 +25,10 @@ def band_around_median(df: DataFrame, value: str, group: list[str]) -> DataFrame
 
     Per-group statistics are one partial aggregate; they are joined back on
     the group key (one row per group)."""
-    stats = df.where(~F.isnan(value)).groupBy(*group).agg(
-        F.percentile(value, 0.5).alias("median"), F.stddev_pop(value).alias("std"))
+    from litspark.operators.aggregates import exact_percentiles
+    clean = df.where(~F.isnan(value))
+    med = exact_percentiles(clean, value, group, [0.5]).select(*group, F.col("value").alias("median"))
+    stats = clean.groupBy(*group).agg(F.stddev_pop(value).alias("std")).join(med, group)
     j = df.join(stats, group)
     band = (F.when((F.col(value) > F.col("median") - F.col("std")) & (F.col(value) < F.col("median")), "below")
             .when((F.col(value) > F.col("median")) & (F.col(value) < F.col("median") + F.col("std")), "above"))

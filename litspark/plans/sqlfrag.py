@@ -126,3 +126,9 @@ ctok AS (SELECT doc_id, unnest(flatten(doc)) AS term FROM clean)"""
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
+
+
+def WC_EXPR(c: str) -> str:
+    """len(text.split()) in SQL."""
+    t = f"regexp_replace({c}, '^{tx.PY_WS}+|{tx.PY_WS}+$', '', 'g')"
+    return f"CASE WHEN length({t}) = 0 THEN 0 ELSE len(string_split_regex({t}, '{tx.PY_WS}+')) END"
