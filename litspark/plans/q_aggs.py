@@ -193,14 +193,14 @@ AGG14_TARGET = 100
 @register("agg14_grid_threshold", S.with_(S.SCORES, _long_scores_sql()) + f""",
 grid AS (SELECT perspective, k, (SELECT count(*) FROM long l WHERE l.perspective = p.perspective
                 AND round(l.p_yes * 1000, 6) > 500 + k) AS n_exceed
-         FROM (SELECT DISTINCT perspective FROM long) p, range(0, 500) r(k))
+         FROM (SELECT DISTINCT perspective FROM long) p, range(0, 501) r(k))
 SELECT perspective, round(0.5 + 0.001 * min(k), 6) AS threshold FROM grid WHERE n_exceed <= {AGG14_TARGET}
 GROUP BY perspective""")
 def agg14(spark, sf_dir):
     l = _long_scores(Tables(spark, sf_dir))
     x = F.round(F.col("p_yes") * 1000, 6)
-    # largest grid index k with x > 500 + k (clipped to -1..499): a bounded key
-    kmax = F.least(F.greatest(F.ceil(x - 500) - 1, F.lit(-1)), F.lit(499)).cast("int")
+    # largest grid index k with x > 500 + k (clipped to -1..500): a bounded key
+    kmax = F.least(F.greatest(F.ceil(x - 500) - 1, F.lit(-1)), F.lit(500)).cast("int")
     h = l.groupBy("perspective", kmax.alias("kmax")).agg(F.count(F.lit(1)).alias("c"))
     w = Window.partitionBy("perspective").orderBy(F.desc("kmax")).rowsBetween(Window.unboundedPreceding, 0)
     h = h.withColumn("above_or_eq", F.sum("c").over(w))  # <= 501 rows per perspective
@@ -211,7 +211,8 @@ def agg14(spark, sf_dir):
     zero = allp.join(zero.select("perspective", F.col("n_exceed").alias("nz")), "perspective", "left") \
         .select("perspective", "k", F.coalesce("nz", "n_exceed").alias("n_exceed"))
     c = cand.unionByName(zero.select("perspective", "k", "n_exceed"))
-    c = c.where((F.col("k") >= 0) & (F.col("k") <= 499) & (F.col("n_exceed") <= AGG14_TARGET))
+    # the grid ends at 1.000, which no probability exceeds
+    c = c.where((F.col("k") >= 0) & (F.col("k") <= 500) & (F.col("n_exceed") <= AGG14_TARGET))
     return c.groupBy("perspective").agg(F.round(F.lit(0.5) + F.lit(0.001) * F.min("k"), 6).alias("threshold"))
 
 
