@@ -31,7 +31,7 @@ def first_n_by_hash(df: DataFrame, n, key: str, seed, group: list[str] | None =
     d = df.withColumn("_h", hash_int(seed, F.col(key)))
     if isinstance(n, int):
         kth = order_statistic(d, F.col("_h"), g, n - 1)
-        out = d.join(kth, g) if g else d.withColumn("kth", kth.select("kth").scalar())
+        out = d.join(kth, g) if g else d.join(F.broadcast(kth.drop("all__")))  # one row
         out = out.where(F.col("_h") <= F.col("kth"))
         if n <= 0:
             out = out.where(F.lit(False))

@@ -17,7 +17,10 @@ from litspark.session import cut_lineage
 
 
 def order_statistic(df: DataFrame, value: Column, group: list[str], rank: int) -> DataFrame:
-    """Per group: the value at 0-based ascending rank ``min(rank, n-1)``."""
+    """Per group: the value at 0-based ascending rank ``min(rank, n-1)``.
+    Without a group the result has one row keyed by the constant ``all__``."""
+    if not group:
+        df, group = df.withColumn("all__", F.lit(0)), ["all__"]
     g = group
     base = df.select(*g, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
     stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
@@ -33,7 +36,7 @@ def top_k(df: DataFrame, group: list[str], score: Column, k: int, ties: list[Col
     key = (-score) if descending else score
     d = df.withColumn("_key", key.cast("double"))
     kth = order_statistic(d, F.col("_key"), group, k - 1)
-    cand = d.join(kth, group) if group else d.withColumn("kth", kth.select("kth").scalar())
+    cand = d.join(kth, group) if group else d.join(F.broadcast(kth.drop("all__")))  # one row
     cand = cand.where(F.col("_key") <= F.col("kth")).drop("kth")
     w = Window.partitionBy(*group).orderBy(F.col("_key").asc(), *ties)  # k rows + ties per group
     return cand.withColumn(rank_name, F.row_number().over(w).cast("int")).where(F.col(rank_name) <= k).drop("_key")
