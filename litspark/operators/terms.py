@@ -64,3 +64,93 @@ def distinctive_terms(weights: DataFrame, class_col: str, k: int = 50, term_col:
     s = weights.groupBy(class_col, term_col).agg(F.round(F.sum("weight"), digits).alias("score"))
     r = F.row_number().over(Window.partitionBy(class_col).orderBy(F.desc("score"), F.asc(term_col)))
     return s.withColumn("rank", r).where(F.col("rank") <= k)
+
+
+# --- phrases (TXT1-TXT3) ------------------------------------------------------
+
+def sentence_pairs(sents: DataFrame, toks: str = "toks", connectors: list[str] | None = None) -> DataFrame:
+    """Per sentence row, one row per candidate pair: (i, j) are 1-based
+    positions of consecutive non-connector tokens; ``phrase`` joins tokens
+    i..j with '_' (connectors in between are kept)."""
+    conn = F.array(*[F.lit(c) for c in (connectors or [])]) if connectors else None
+    n = F.size(toks)
+    idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    if conn is not None:
+        idx = F.filter(idx, lambda i: ~F.array_contains(conn, F.element_at(toks, i)))
+    idx = F.when(n > 0, idx).otherwise(F.array().cast("array<int>"))
+    m = F.size(idx)
+    ij = F.when(m > 1, F.zip_with(F.slice(idx, 1, F.greatest(m - 1, F.lit(1))), F.slice(idx, 2, F.greatest(m - 1, F.lit(1))),
+                                  lambda i, j: F.struct(i.alias("i"), j.alias("j")))) \
+        .otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    x = sents.select("*", F.explode(ij).alias("_p"))
+    return x.select("*", F.col("_p.i").alias("i"), F.col("_p.j").alias("j")).drop("_p") \
+        .withColumn("a", F.element_at(toks, F.col("i"))).withColumn("b", F.element_at(toks, F.col("j"))) \
+        .withColumn("phrase", F.array_join(F.slice(toks, F.col("i"), F.col("j") - F.col("i") + 1), "_"))
+
+
+def learn_phrases(sents: DataFrame, min_count: int = 5, threshold: float = 10.0, toks: str = "toks",
+                  connectors: list[str] | None = None) -> DataFrame:
+    """(phrase, a, b, count, score) with score = (count - min_count) * N /
+    (count(a) * count(b)) > threshold, N = distinct words + distinct phrases.
+    All statistics are partial aggregates; N is a scalar subquery."""
+    words = sents.select(F.explode(toks).alias("w"))
+    uni = words.groupBy("w").agg(F.count(F.lit(1)).alias("cnt"))
+    pairs = sentence_pairs(sents, toks, connectors).groupBy("phrase", "a", "b").agg(F.count(F.lit(1)).alias("count"))
+    n_vocab = uni.agg(F.count(F.lit(1))).scalar() + pairs.select("phrase").distinct().agg(F.count(F.lit(1))).scalar()
+    ua = uni.select(F.col("w").alias("a"), F.col("cnt").alias("cnt_a"))
+    ub = uni.select(F.col("w").alias("b"), F.col("cnt").alias("cnt_b"))
+    s = pairs.join(ua, "a").join(ub, "b").withColumn(
+        "score", (F.col("count") - F.lit(min_count)).cast("double") * n_vocab / (F.col("cnt_a") * F.col("cnt_b")))
+    return s.where(F.col("score") > F.lit(threshold)).select("phrase", "a", "b", "count", "score")
+
+
+def apply_phrases(sents: DataFrame, phrases: DataFrame, keys: list[str], toks: str = "toks") -> DataFrame:
+    """Greedy left-to-right, non-overlapping merge of accepted adjacent pairs
+    (no connectors). Accepted positions come from a join with the phrase table;
+    the merge itself runs inside each sentence row."""
+    from litspark.operators.joins import broadcast_if_small
+    p = sentence_pairs(sents.select(*keys, toks), toks).select(*keys, "i", "phrase")
+    hit = p.join(broadcast_if_small(phrases.select("phrase").distinct()), "phrase") \
+        .groupBy(*keys).agg(F.collect_set("i").alias("_acc"))  # positions within one sentence
+    j = sents.join(hit, keys, "left").withColumn("_acc", F.coalesce("_acc", F.array().cast("array<int>")))
+    n = F.size(toks)
+    init = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, i):
+        merged = F.concat(F.element_at(toks, i), F.lit("_"), F.element_at(toks, i + 1))
+        return (F.when(acc["skip"], F.struct(F.lit(False).alias("skip"), acc["out"].alias("out")))
+                .when(F.array_contains(F.col("_acc"), i),
+                      F.struct(F.lit(True).alias("skip"), F.concat(acc["out"], F.array(merged)).alias("out")))
+                .otherwise(F.struct(F.lit(False).alias("skip"),
+                                    F.concat(acc["out"], F.array(F.element_at(toks, i))).alias("out"))))
+
+    out = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), init, step)["out"]) \
+        .otherwise(F.array().cast("array<string>"))
+    return j.withColumn("phrased", out).drop("_acc")
+
+
+# --- dictionary n-grams and token ids (STR28-STR29) ---------------------------------
+
+def fix_ngrams(sentence: Column, ngrams: list[str]) -> Column:
+    """Each listed multi-word term's spaces become '_' (plain substring
+    replacement, longest terms first), then the sentence is split again."""
+    for ng in ngrams:
+        sentence = F.replace(sentence, F.lit(ng), F.lit(ng.replace(" ", "_")))
+    return F.split(F.trim(sentence), r"\s+")
+
+
+def token_ids(docs: DataFrame, doc_col: str, vocab: DataFrame, pad: int, length: int = 500,
+              key: str = "doc_id") -> DataFrame:
+    """Vocabulary index per word, UNK = pad + 2 for unknown words, pad + 1 after
+    every sentence, first ``length`` ids, padded with ``pad``. Each document is
+    cut to ``length`` items inside its row before anything is exploded."""
+    from litspark.operators.joins import broadcast_if_small
+    period = "<PERIOD>"
+    seq = F.slice(F.flatten(F.transform(doc_col, lambda s: F.concat(s, F.array(F.lit(period))))), 1, length)
+    ex = docs.select(key, F.posexplode(seq).alias("p", "term"))
+    j = ex.join(broadcast_if_small(vocab.select("term", "vec_id")), "term", "left")
+    idc = F.when(F.col("term") == period, F.lit(pad + 1)).otherwise(F.coalesce("vec_id", F.lit(pad + 2)))
+    g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", idc.cast("long").alias("id")))).alias("_s"))
+    ids = F.transform("_s", lambda s: s["id"])
+    padded = F.concat(ids, F.array_repeat(F.lit(pad).cast("long"), F.greatest(F.lit(length) - F.size(ids), F.lit(0))))
+    return g.select(key, padded.alias("ids"))

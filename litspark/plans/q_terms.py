@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from litspark.functions import lexicon
 from litspark.functions import text as tx
 from litspark.operators import terms
 from litspark.plans import sqlfrag as S
 from litspark.plans.catalog import register
+from litspark.sources.dictionaries import multiword_terms
 from litspark.sources.tables import Tables
 
 
@@ -49,3 +51,146 @@ s AS (SELECT l.quality, term, round(sum(weight), 6) AS score FROM wn JOIN labels
 SELECT quality, term, score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY quality ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 50
 """)(distinctive_terms)
+
+
+# --- phrases ---------------------------------------------------------------------
+
+def clean_sents(t: Tables, stop_words: bool = True):
+    d = t.documents.select("doc_id", tx.clean_document("text", remove_stopwords=stop_words).alias("doc"))
+    return d.select("doc_id", F.posexplode("doc").alias("sent_pos", "toks"))
+
+
+def _sents_sql(stop_words: bool = True, name: str = "cs"):
+    return f"""{name} AS (SELECT doc_id, CAST(unnest(generate_series(0, len(doc) - 1)) AS INTEGER) AS sent_pos, unnest(doc) AS toks
+  FROM (SELECT doc_id, {S.clean_document('text', stop_words)} AS doc FROM documents))"""
+
+
+def _phrase_sql(connectors: bool, min_count=5, threshold=10.0):
+    conn = S.lst(lexicon.ARCHIVE_STOP_WORDS)
+    keep = f"lambda i: NOT list_contains({conn}, toks[i])" if connectors else "lambda i: true"
+    return f""",
+idx AS (SELECT doc_id, sent_pos, toks, list_filter(generate_series(1, len(toks)), {keep}) AS ix FROM cs),
+pr AS (SELECT toks[ix[k]] AS a, toks[ix[k + 1]] AS b, array_to_string(toks[ix[k]:ix[k + 1]], '_') AS phrase
+       FROM (SELECT toks, ix, unnest(generate_series(1, len(ix) - 1)) AS k FROM idx WHERE len(ix) > 1)),
+uni AS (SELECT w, count(*) AS cnt FROM (SELECT unnest(toks) AS w FROM cs) GROUP BY w),
+pc AS (SELECT phrase, a, b, count(*) AS count FROM pr GROUP BY ALL),
+nv AS (SELECT (SELECT count(*) FROM uni) + (SELECT count(DISTINCT phrase) FROM pc) AS n),
+ph AS (SELECT phrase, a, b, count, (count - {min_count}) * (SELECT n FROM nv) / (ua.cnt * ub.cnt) AS score
+       FROM pc JOIN uni ua ON ua.w = pc.a JOIN uni ub ON ub.w = pc.b)
+"""
+
+
+@register("txt1_phrase_detection", "WITH " + _sents_sql() + _phrase_sql(False) + """
+SELECT phrase, CAST(count AS BIGINT) AS count, round(score, 6) AS score FROM ph WHERE score > 10.0""")
+def txt1(spark, sf_dir):
+    ph = terms.learn_phrases(clean_sents(Tables(spark, sf_dir)), 5, 10.0)
+    return ph.select("phrase", "count", F.round("score", 6).alias("score"))
+
+
+@register("txt2_phrases_across_connectors", "WITH " + _sents_sql(False) + _phrase_sql(True) + """
+SELECT phrase, CAST(count AS BIGINT) AS count, round(score, 6) AS score FROM ph WHERE score > 10.0""")
+def txt2(spark, sf_dir):
+    ph = terms.learn_phrases(clean_sents(Tables(spark, sf_dir), stop_words=False), 5, 10.0,
+                             connectors=lexicon.ARCHIVE_STOP_WORDS)
+    return ph.select("phrase", "count", F.round("score", 6).alias("score"))
+
+
+@register("txt3_apply_phrases", "WITH " + _sents_sql() + _phrase_sql(False) + """,
+acc AS (SELECT DISTINCT phrase FROM ph WHERE score > 10.0),
+cand AS (SELECT doc_id, sent_pos, i FROM (
+  SELECT doc_id, sent_pos, i, toks[i] || '_' || toks[i + 1] AS phrase
+  FROM (SELECT doc_id, sent_pos, toks, unnest(generate_series(1, len(toks) - 1)) AS i FROM cs WHERE len(toks) > 1))
+  SEMI JOIN acc USING (phrase)),
+isl AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, sent_pos ORDER BY i) AS island FROM cand),
+mrg AS (SELECT doc_id, sent_pos, i FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, sent_pos, island ORDER BY i) AS r FROM isl) WHERE r % 2 = 1),
+pos AS (SELECT doc_id, sent_pos, toks, unnest(generate_series(1, len(toks))) AS p FROM cs),
+out AS (SELECT pos.doc_id, pos.sent_pos, pos.p,
+          CASE WHEN m.i IS NOT NULL THEN toks[p] || '_' || toks[p + 1] WHEN m2.i IS NOT NULL THEN NULL ELSE toks[p] END AS w
+        FROM pos LEFT JOIN mrg m ON m.doc_id = pos.doc_id AND m.sent_pos = pos.sent_pos AND m.i = pos.p
+        LEFT JOIN mrg m2 ON m2.doc_id = pos.doc_id AND m2.sent_pos = pos.sent_pos AND m2.i = pos.p - 1)
+SELECT doc_id, sent_pos, string_agg(w, ' ' ORDER BY p) AS phrased FROM out WHERE w IS NOT NULL GROUP BY doc_id, sent_pos""")
+def txt3(spark, sf_dir):
+    cs = clean_sents(Tables(spark, sf_dir))
+    ph = terms.learn_phrases(cs, 5, 10.0)
+    out = terms.apply_phrases(cs, ph, ["doc_id", "sent_pos"])
+    return out.select("doc_id", "sent_pos", F.array_join("phrased", " ").alias("phrased"))
+
+
+# --- frozen vocabulary, listing -------------------------------------------------
+
+FROZEN_SQL = S.CLEAN_TOKENS + """,
+tf AS (SELECT doc_id, term, count(*) AS tf FROM ctok GROUP BY ALL),
+trn AS (SELECT * FROM tf WHERE doc_id IN (SELECT doc_id FROM labels)),
+nd AS (SELECT count(*) AS n_docs FROM labels),
+st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM trn GROUP BY term),
+vocab AS (SELECT term, ln((1.0 + n_docs) / (1.0 + df)) + 1.0 AS idf
+          FROM (SELECT * FROM st, nd WHERE df <= 0.8 * n_docs ORDER BY cf DESC, term LIMIT 100000)),
+w AS (SELECT doc_id, term, tf * idf AS raw FROM tf JOIN vocab USING (term)),
+wn AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM w)"""
+
+
+@register("txt5_frozen_vocabulary_transform", "WITH " + FROZEN_SQL + """
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_terms, round(max(weight), 6) AS max_weight,
+       arg_min(term, (-round(weight, 9), term)) AS top_term
+FROM wn GROUP BY doc_id""")
+def txt5(spark, sf_dir):
+    """Fit on the labelled (training) documents, transform every document with
+    the frozen vocabulary: terms outside it are dropped."""
+    t = Tables(spark, sf_dir)
+    tf = terms.term_frequencies(clean_tokens(t))
+    train = tf.join(t.labels.select("doc_id"), "doc_id", "left_semi")
+    vocab = terms.fit_vocabulary(train, t.labels.agg(F.count(F.lit(1)).alias("n")), max_features=100000, max_df=0.8)
+    w = terms.tfidf_weights(tf, vocab)
+    key = F.struct((-F.round("weight", 9)).alias("k"), F.col("term"))
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.max("weight"), 6).alias("max_weight"),
+                                   F.min_by("term", key).alias("top_term"))
+
+
+@register("txt7_vocabulary_listing", "WITH " + TFIDF_SQL + """
+SELECT CAST(idx AS BIGINT) AS idx, term FROM vocab WHERE idx % 1000 = 0""")
+def txt7(spark, sf_dir):
+    _, vocab, _ = corpus_tfidf(Tables(spark, sf_dir))
+    return vocab.where(F.col("idx") % 1000 == 0).select(F.col("idx").cast("long").alias("idx"), "term")
+
+
+# --- STR28-STR29 -------------------------------------------------------------------
+
+def _fix_sql(c):
+    for ng in multiword_terms():
+        c = f"replace({c}, {S.q(ng)}, {S.q(ng.replace(' ', '_'))})"
+    return c
+
+
+@register("str28_fix_ngrams", "WITH " + _sents_sql() + f"""
+SELECT doc_id, sent_pos, fixed FROM (
+  SELECT doc_id, sent_pos, array_to_string(string_split_regex(trim({_fix_sql("array_to_string(toks, ' ')")}), '\\s+'), ' ') AS fixed FROM cs)
+WHERE contains(fixed, '_')""")
+def str28(spark, sf_dir):
+    cs = clean_sents(Tables(spark, sf_dir))
+    fixed = terms.fix_ngrams(F.array_join("toks", " "), multiword_terms())
+    return cs.select("doc_id", "sent_pos", F.array_join(fixed, " ").alias("fixed")).where(F.col("fixed").contains("_"))
+
+
+TOKEN_IDS_LEN = 500
+
+
+@register("str29_token_ids", "WITH " + S.CLEAN_TOKENS + """,
+wv AS (SELECT term, vec_id FROM (SELECT term, row_number() OVER (ORDER BY cnt DESC, term) - 1 AS vec_id
+       FROM (SELECT term, count(*) AS cnt FROM ctok GROUP BY term)) JOIN embeddings USING (vec_id)),
+nv AS (SELECT count(*) AS pad FROM embeddings),
+seq AS (SELECT doc_id, list_slice(flatten(list_transform(doc, lambda s: list_concat(s, ['<PERIOD>']))), 1, """ + str(TOKEN_IDS_LEN) + """) AS sq FROM clean),
+ex AS (SELECT doc_id, unnest(sq) AS term, unnest(generate_series(1, len(sq))) AS p FROM seq),
+ids AS (SELECT ex.doc_id, ex.p, CASE WHEN ex.term = '<PERIOD>' THEN (SELECT pad FROM nv) + 1
+          ELSE coalesce(wv.vec_id, (SELECT pad FROM nv) + 2) END AS id FROM ex LEFT JOIN wv USING (term))
+SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY p) || repeat(',' || CAST((SELECT pad FROM nv) AS VARCHAR),
+       """ + str(TOKEN_IDS_LEN) + """ - count(*)) AS token_ids
+FROM ids GROUP BY doc_id""")
+def str29(spark, sf_dir):
+    from litspark.operators.vectors import word_vectors
+    t = Tables(spark, sf_dir)
+    wv = word_vectors(clean_tokens(t), t.embeddings).select("term", "vec_id")
+    pad = t.embeddings.count()
+    d = t.documents.select("doc_id", tx.clean_document("text").alias("doc"))
+    ids = terms.token_ids(d, "doc", wv, pad, TOKEN_IDS_LEN)
+    return ids.select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("token_ids"))

@@ -46,14 +46,14 @@ def tokenize(c: str) -> str:
     return f"regexp_extract_all(lower({c}), {q(tx.TOKEN_PATTERN)})"
 
 
-def drop_stop(toks: str) -> str:
-    stop = lst(lexicon.archive_stop_list())
+def drop_stop(toks: str, stop_words: bool = True) -> str:
+    stop = lst(lexicon.archive_stop_list(stop=stop_words))
     return f"list_filter({toks}, lambda t: NOT list_contains({stop}, t) AND NOT contains(t, 'valign'))"
 
 
-def clean_document(c: str) -> str:
+def clean_document(c: str, stop_words: bool = True) -> str:
     bl = lst(lexicon.BLACKLIST_SENTENCES)
-    inner = drop_stop(tokenize("s"))
+    inner = drop_stop(tokenize("s"), stop_words)
     per_sent = (f"list_transform(string_split({prepare_text(c)}, chr(10)), lambda s: "
                 f"CASE WHEN list_contains({bl}, array_to_string({inner}, ' ')) THEN []::VARCHAR[] ELSE {inner} END)")
     return f"list_filter({per_sent}, lambda x: len(x) > 0)"
