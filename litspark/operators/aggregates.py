@@ -41,8 +41,9 @@ def exact_percentiles(df: DataFrame, value: str, group: list[str], probs: list[f
     counted per distinct value, ranked inside the bin. A bin with more than
     EXACT_LIMIT distinct values is refined again (same two steps on its range).
     """
+    from litspark.session import reuse
     g = group
-    base = df.select(*g, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    base = reuse(df.select(*g, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")))
     stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     # needed order statistics (0-based ranks) per group and p
     need = []

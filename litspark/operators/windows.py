@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litspark.operators.aggregates import _resolve_ranks
-from litspark.session import cut_lineage
+from litspark.session import cut_lineage, reuse
 
 
 def order_statistic(df: DataFrame, value: Column, group: list[str], rank: int) -> DataFrame:
@@ -22,7 +22,7 @@ def order_statistic(df: DataFrame, value: Column, group: list[str], rank: int) -
     if not group:
         df, group = df.withColumn("all__", F.lit(0)), ["all__"]
     g = group
-    base = df.select(*g, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    base = reuse(df.select(*g, value.cast("double").alias("_v")).where(F.col("_v").isNotNull()))
     stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     targets = stats.select(*g, F.least(F.lit(rank), F.col("_n") - 1).cast("long").alias("_r"), "_lo", "_hi",
                            F.lit(0).cast("long").alias("_before"))
@@ -34,7 +34,7 @@ def top_k(df: DataFrame, group: list[str], score: Column, k: int, ties: list[Col
     """The k best rows per group by ``score`` (ties broken by ``ties``), with a
     1-based rank. Only rows scoring at least the group's k-th best are ranked."""
     key = (-score) if descending else score
-    d = df.withColumn("_key", key.cast("double"))
+    d = reuse(df.withColumn("_key", key.cast("double")))  # read by the rank search and the final filter
     kth = order_statistic(d, F.col("_key"), group, k - 1)
     cand = d.join(kth, group) if group else d.join(F.broadcast(kth.drop("all__")))  # one row
     cand = cand.where(F.col("_key") <= F.col("kth")).drop("kth")

@@ -10,6 +10,7 @@ from litspark.operators import terms
 from litspark.plans import sqlfrag as S
 from litspark.plans.catalog import register
 from litspark.sources.dictionaries import multiword_terms
+from litspark.session import reuse
 from litspark.sources.tables import Tables
 
 
@@ -19,7 +20,7 @@ def clean_tokens(t: Tables):
 
 
 def corpus_tfidf(t: Tables, max_features: int = 100000, max_df: float = 0.8):
-    tf = terms.term_frequencies(clean_tokens(t))
+    tf = reuse(terms.term_frequencies(clean_tokens(t)))  # read by the vocabulary fit and the weighting
     n_docs = t.documents.agg(F.count(F.lit(1)).alias("n_docs"))
     vocab = terms.fit_vocabulary(tf, n_docs, max_features=max_features, max_df=max_df)
     return tf, vocab, terms.tfidf_weights(tf, vocab)
@@ -57,7 +58,7 @@ SELECT quality, term, score, CAST(rank AS INTEGER) AS rank FROM (
 
 def clean_sents(t: Tables, stop_words: bool = True):
     d = t.documents.select("doc_id", tx.clean_document("text", remove_stopwords=stop_words).alias("doc"))
-    return d.select("doc_id", F.posexplode("doc").alias("sent_pos", "toks"))
+    return reuse(d.select("doc_id", F.posexplode("doc").alias("sent_pos", "toks")))
 
 
 def _sents_sql(stop_words: bool = True, name: str = "cs"):

@@ -57,8 +57,9 @@ def win2_near(spark, sf_dir):
     from litspark.plans.q_vectors import centroids
     t = Tables(spark, sf_dir)
     c = centroids(t).select(F.col("label").alias("centroid"), F.col("mean_vector"))
-    d = vx.distances_to_references(t.embeddings.select("vec_id", "embedding"), "embedding", c, "centroid",
-                                   "mean_vector", "cosine").select("vec_id", "centroid", "distance")
+    from litspark.session import reuse
+    d = reuse(vx.distances_to_references(t.embeddings.select("vec_id", "embedding"), "embedding", c, "centroid",
+                                         "mean_vector", "cosine").select("vec_id", "centroid", "distance"))
     med = ag.exact_percentiles(d, "distance", ["centroid"], [0.5]).select("centroid", F.col("value").alias("median"))
     sd = d.groupBy("centroid").agg(F.stddev_pop("distance").alias("std"))
     pos = F.explode(F.array(*[F.struct(F.lit(n).alias("position"), F.lit(m).alias("mult")) for n, m in POSITIONS]))

@@ -55,3 +55,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     loss, unlike a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Keep a frame that several branches of one plan read (memory, spilling to
+    disk). Lost blocks are recomputed from lineage, so executor loss is safe."""
+    from pyspark import StorageLevel
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
