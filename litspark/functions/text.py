@@ -26,6 +26,11 @@ TOKEN_PATTERN = r"[\p{L}\p{M}\p{N}]+(?:[.:'’][\p{L}\p{M}]+)*"
 SINGLE_LETTER = r"(^|" + NON_WORD + r")[a-zA-Z]($|" + NON_WORD + r")"
 ACRONYM = r"(^|" + NON_WORD + r")[A-Z][A-Z]+" + r"[\t\n\x0b\x0c\r ]+"
 HYPHEN_BREAK = r"(" + WORD_CHAR + r"+)- (" + WORD_CHAR + r"+)"
+# The same two patterns for the JVM engine, with look-arounds (one pass, no
+# retries inside a word). They match exactly what the portable forms above
+# match; the portable forms serve engines without look-around.
+HYPHEN_BREAK_JVM = r"(?<!" + WORD_CHAR + r")(" + WORD_CHAR + r"++)- (" + WORD_CHAR + r"+)"
+SINGLE_LETTER_JVM = r"(?<!" + WORD_CHAR + r")[a-zA-Z](?!" + WORD_CHAR + r")"
 PAGE_OPENER = '<plain_text><page sequence="1">'
 PAGE_OPENER_SPACED = '<plain_text> <page sequence="1">'
 # Characters the frequency cleaner turns into spaces (fixed value).
@@ -103,7 +108,7 @@ def repair_whitespace(c) -> Column:
 
 
 def unhyphenate(c) -> Column:
-    return F.regexp_replace(_c(c), HYPHEN_BREAK, "$1$2")
+    return F.regexp_replace(_c(c), HYPHEN_BREAK_JVM, "$1$2")
 
 
 def remove_digits(c) -> Column:
@@ -111,10 +116,8 @@ def remove_digits(c) -> Column:
 
 
 def remove_single_letters(c) -> Column:
-    """Drop one-letter ASCII words; two passes because a match consumes the
-    separator a neighbouring one-letter word needs."""
-    once = F.regexp_replace(_c(c), SINGLE_LETTER, "$1$2")
-    return F.regexp_replace(once, SINGLE_LETTER, "$1$2")
+    """Drop one-letter ASCII words (Unicode word boundaries on both sides)."""
+    return F.regexp_replace(_c(c), SINGLE_LETTER_JVM, "")
 
 
 def remove_acronyms(c) -> Column:
@@ -136,15 +139,15 @@ def tokenize(c, lowercase: bool = True) -> Column:
 
 
 def drop_stop_tokens(tokens, stop: bool = True, junk: bool = True) -> Column:
-    words = _arr(lexicon.archive_stop_list(stop=stop, junk=junk))
-    return F.filter(_c(tokens), lambda t: ~F.array_contains(words, t) & ~t.contains(lexicon.JUNK_SUBSTRING))
+    words = lexicon.archive_stop_list(stop=stop, junk=junk)  # isin becomes a hash-set lookup
+    return F.filter(_c(tokens), lambda t: ~t.isin(words) & ~t.contains(lexicon.JUNK_SUBSTRING))
 
 
 def drop_blacklisted(sent_tokens) -> Column:
     """Empty a token list that spells a formatting-only sentence."""
     st = _c(sent_tokens)
-    bl = _arr(lexicon.BLACKLIST_SENTENCES)
-    return F.when(F.array_contains(bl, F.array_join(st, " ")), F.array().cast("array<string>")).otherwise(st)
+    return F.when(F.array_join(st, " ").isin(lexicon.BLACKLIST_SENTENCES),
+                  F.array().cast("array<string>")).otherwise(st)
 
 
 def prepare_text(c, remove_numbers: bool = True, unhyphen: bool = True,

@@ -93,15 +93,18 @@ def learn_phrases(sents: DataFrame, min_count: int = 5, threshold: float = 10.0,
     """(phrase, a, b, count, score) with score = (count - min_count) * N /
     (count(a) * count(b)) > threshold, N = distinct words + distinct phrases.
     All statistics are partial aggregates; N is a scalar subquery."""
+    from litspark.session import reuse
     words = sents.select(F.explode(toks).alias("w"))
-    uni = words.groupBy("w").agg(F.count(F.lit(1)).alias("cnt"))
-    pairs = sentence_pairs(sents, toks, connectors).groupBy("phrase", "a", "b").agg(F.count(F.lit(1)).alias("count"))
+    # both count tables feed the vocabulary size and the score: computed once
+    uni = reuse(words.groupBy("w").agg(F.count(F.lit(1)).alias("cnt")))
+    pairs = reuse(sentence_pairs(sents, toks, connectors).groupBy("phrase", "a", "b")
+                  .agg(F.count(F.lit(1)).alias("count")))
     n_vocab = uni.agg(F.count(F.lit(1))).scalar() + pairs.select("phrase").distinct().agg(F.count(F.lit(1))).scalar()
     ua = uni.select(F.col("w").alias("a"), F.col("cnt").alias("cnt_a"))
     ub = uni.select(F.col("w").alias("b"), F.col("cnt").alias("cnt_b"))
     s = pairs.join(ua, "a").join(ub, "b").withColumn(
         "score", (F.col("count") - F.lit(min_count)).cast("double") * n_vocab / (F.col("cnt_a") * F.col("cnt_b")))
-    return s.where(F.col("score") > F.lit(threshold)).select("phrase", "a", "b", "count", "score")
+    return reuse(s.where(F.col("score") > F.lit(threshold)).select("phrase", "a", "b", "count", "score"))
 
 
 def apply_phrases(sents: DataFrame, phrases: DataFrame, keys: list[str], toks: str = "toks") -> DataFrame:

@@ -12,7 +12,7 @@ from litspark.operators.vectors import word_vectors
 from litspark.plans import sqlfrag as S
 from litspark.plans.catalog import register
 from litspark.plans.q_filters import _long_scores, _long_scores_sql
-from litspark.plans.q_terms import clean_tokens
+from litspark.plans.q_terms import clean_tokens, cleaned_docs
 from litspark.sources.dictionaries import DICTIONARIES, dictionary_table
 from litspark.sources.tables import PERSPECTIVES, Tables
 
@@ -153,7 +153,7 @@ c AS (SELECT 2 AS n_words, term, count(*) AS n FROM bi GROUP BY term UNION ALL S
 SELECT CAST(n_words AS INTEGER) AS n_words, term, CAST(n AS BIGINT) AS n, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY n_words ORDER BY n DESC, term) AS rank FROM c) WHERE rank <= 30""")
 def agg11(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents.select(tx.flatten_tokens(tx.clean_document("text")).alias("tk"))
+    d = cleaned_docs(Tables(spark, sf_dir)).select(tx.flatten_tokens("doc").alias("tk"))
     # bigrams inside each row: no window, no shuffle before the count
     pairs = F.zip_with(F.slice("tk", 1, F.greatest(F.size("tk") - 1, F.lit(0))),
                        F.slice(F.when(F.size("tk") > 1, F.col("tk")).otherwise(F.array().cast("array<string>")), 2,

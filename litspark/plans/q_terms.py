@@ -14,9 +14,15 @@ from litspark.session import reuse
 from litspark.sources.tables import Tables
 
 
+def cleaned_docs(t: Tables):
+    """(doc_id, doc) with the cleaned sentence arrays; kept because most text
+    queries read it more than once (arrays are far smaller than token rows)."""
+    return reuse(t.documents.select("doc_id", tx.clean_document("text").alias("doc")))
+
+
 def clean_tokens(t: Tables):
     """(doc_id, term) stream of the fully cleaned corpus."""
-    return t.documents.select("doc_id", F.explode(tx.flatten_tokens(tx.clean_document("text"))).alias("term"))
+    return cleaned_docs(t).select("doc_id", F.explode(tx.flatten_tokens("doc")).alias("term"))
 
 
 def corpus_tfidf(t: Tables, max_features: int = 100000, max_df: float = 0.8):
@@ -192,6 +198,6 @@ def str29(spark, sf_dir):
     t = Tables(spark, sf_dir)
     wv = word_vectors(clean_tokens(t), t.embeddings).select("term", "vec_id")
     pad = t.embeddings.count()
-    d = t.documents.select("doc_id", tx.clean_document("text").alias("doc"))
+    d = cleaned_docs(t)
     ids = terms.token_ids(d, "doc", wv, pad, TOKEN_IDS_LEN)
     return ids.select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("token_ids"))
