@@ -53,7 +53,8 @@ def exact_percentiles(df: DataFrame, value: str, group: list[str], probs: list[f
     need_df = need[0]
     for x in need[1:]:
         need_df = need_df.unionByName(x)
-    ranks = need_df.select(*g, F.explode(F.array_distinct(F.array("r0", "r1"))).alias("_r"))
+    # several probabilities can need the same order statistic: resolve each once
+    ranks = need_df.select(*g, F.explode(F.array("r0", "r1")).alias("_r")).distinct()
     # rank -> value, by refinement inside (lo, hi, offset) windows
     targets = ranks.join(stats.select(*g, "_lo", "_hi"), g).withColumn("_before", F.lit(0).cast("long"))
     found = _resolve_ranks(base, g, targets)
@@ -90,7 +91,7 @@ def _exact_in(rows: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame
     vals = vals.withColumn("_kb", F.coalesce(F.sum("_k").over(wv), F.lit(0)))
     res = targets.join(vals, keys).where((F.col("_r") - F.col("_before") >= F.col("_kb"))
                                          & (F.col("_r") - F.col("_before") < F.col("_kb") + F.col("_k")))
-    return res.select(*[k for k in keys if not k.startswith("_")], "_r", F.col("_v").alias("_val"))
+    return res.select(*[k for k in keys if k not in ("_b", "_b0")], "_r", F.col("_v").alias("_val"))
 
 
 def _resolve_ranks(base: DataFrame, g: list[str], targets: DataFrame) -> DataFrame:

@@ -1,3 +1,59 @@
-"""Registered queries."""
+"""Registered queries: source and sink operators expressible over the tables
+(SRC5, SRC6, SNK5). File round trips of the other readers and writers are
+covered by tests."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from litspark.sources import files as fs
+from litspark.sources import sinks as sk
+from litspark.plans.catalog import register
+from litspark.sources.tables import Tables
+
+
+@register("src5_listed_documents", """
+SELECT doc_id, n_chars FROM documents SEMI JOIN labels USING (doc_id)""")
+def src5(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return t.documents.join(t.labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "n_chars")
+
+
+# Parameters of the folder reader (weeks 1-3, two files per folder, 20 rows per file).
+SRC6 = dict(num_rand_files=2, start_week=1, end_week=3, nrows=20, language="en", seed=17)
+
+
+def _events_as_json_folders(t: Tables):
+    """Events seen as a folder tree: one folder per ISO week, one file per (day,
+    event type), rows in time order; language derived from the JSON payload."""
+    e = t.events
+    k = F.get_json_object("props", "$.k").cast("int")
+    return e.select("event_id", "ts", F.concat(F.lit("2024-week"), F.weekofyear("ts").cast("string")).alias("folder"),
+                    F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("-"), F.col("event_type"), F.lit(".json")).alias("file"),
+                    F.when(k % 2 == 0, "en").otherwise("fr").alias("lang"))
+
+
+@register("src6_json_folder_rows", f"""
+WITH e AS (SELECT event_id, ts, '2024-week' || CAST(weekofyear(ts) AS VARCHAR) AS folder,
+                  strftime(ts, '%Y-%m-%d') || '-' || event_type || '.json' AS file,
+                  CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) % 2 = 0 THEN 'en' ELSE 'fr' END AS lang
+           FROM events),
+w AS (SELECT * FROM e WHERE CAST(regexp_extract(folder, 'week(\\d+)$', 1) AS INTEGER) BETWEEN {SRC6['start_week']} AND {SRC6['end_week']}),
+f AS (SELECT folder, file FROM (
+        SELECT folder, file, row_number() OVER (PARTITION BY folder ORDER BY md5('{SRC6['seed']}:' || file), file) AS r
+        FROM (SELECT DISTINCT folder, file FROM w)) WHERE r <= {SRC6['num_rand_files']}),
+r AS (SELECT *, row_number() OVER (PARTITION BY folder, file ORDER BY ts, event_id) AS rn FROM w SEMI JOIN f USING (folder, file))
+SELECT event_id, folder, lang AS language FROM r WHERE rn <= {SRC6['nrows']} AND lang = 'en'""")
+def src6(spark, sf_dir):
+    d = _events_as_json_folders(Tables(spark, sf_dir))
+    # in-file order: event time in microseconds (ties by id are ranked by the final window)
+    out = fs.select_json_rows(d.withColumn("folder_name", F.col("folder")), F.col("folder"), F.col("file"),
+                              F.unix_micros(F.col("ts").cast("timestamp")), **SRC6)
+    return out.select("event_id", F.col("folder_name").alias("folder"), "language")
+
+
+@register("snk5_removed_rows_without_text", """
+SELECT doc_id, lang, source, n_chars FROM documents WHERE NOT (n_chars >= 1000)""")
+def snk5(spark, sf_dir):
+    d = Tables(spark, sf_dir).documents
+    return sk.removed_rows(d, F.col("n_chars") >= 1000, ["text"])
