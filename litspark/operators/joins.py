@@ -78,8 +78,8 @@ def closest_title(queries: DataFrame, q_id: str, q_title: str, names: DataFrame,
     pairs = qb.join(nb, "block").select(q_id, n_id).distinct()
     scored = (pairs.join(queries.select(q_id, q_title), q_id).join(names.select(n_id, n_title), n_id)
               .withColumn("similarity", tx.similarity_ratio(F.col(q_title), F.col(n_title))))
-    w = Window.partitionBy(q_id).orderBy(F.desc("similarity"), F.asc(n_id))
-    return scored.withColumn("r", F.row_number().over(w)).where(F.col("r") == 1).drop("r")
+    from litspark.operators.windows import top_k
+    return top_k(scored, [q_id], F.col("similarity"), 1, [F.col(n_id).asc()]).drop("rank")
 
 
 def shingles(tokens: Column, n: int = 3) -> Column:

@@ -57,13 +57,10 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame, doc_col: str = "doc_id", term
 
 def distinctive_terms(weights: DataFrame, class_col: str, k: int = 50, term_col: str = "term",
                       digits: int = 6) -> DataFrame:
-    """Per class: sum of weights per term, top ``k`` (ties by term).
-
-    The window holds one row per (class, term): at most max_features rows per
-    class, because weights only exist for vocabulary terms."""
+    """Per class: sum of weights per term (rounded), top ``k`` (ties by term)."""
+    from litspark.operators.windows import top_k
     s = weights.groupBy(class_col, term_col).agg(F.round(F.sum("weight"), digits).alias("score"))
-    r = F.row_number().over(Window.partitionBy(class_col).orderBy(F.desc("score"), F.asc(term_col)))
-    return s.withColumn("rank", r).where(F.col("rank") <= k)
+    return top_k(s, [class_col], F.col("score"), k, [F.col(term_col).asc()])
 
 
 # --- phrases (TXT1-TXT3) ------------------------------------------------------

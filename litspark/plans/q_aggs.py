@@ -118,8 +118,10 @@ def agg8(spark, sf_dir):
 
 
 def _top_terms(counts, group, k):
-    w = Window.partitionBy(*group).orderBy(F.desc("n"), F.asc("term"))
-    return counts.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    """k most frequent terms per group (ties by term); a vocabulary-sized group
+    is never sorted in one task (see ``windows.top_k``)."""
+    from litspark.operators.windows import top_k
+    return top_k(counts, group, F.col("n"), k, [F.col("term").asc()])
 
 
 @register("agg9_top_terms", "WITH " + S.CLEAN_TOKENS + f""",
@@ -133,7 +135,6 @@ def agg9(spark, sf_dir):
     per = tok.join(t.labels.select("doc_id", F.col("quality").cast("string").alias("class")), "doc_id") \
         .groupBy("class", "term").agg(F.count(F.lit(1)).alias("n"))
     allc = tok.groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("class", F.lit("all"))
-    # each window partition is one class; pre-aggregated to one row per term
     return _top_terms(per.unionByName(allc), ["class"], 20).select("class", "term", "n", "rank")
 
 
