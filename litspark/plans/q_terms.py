@@ -201,3 +201,16 @@ def str29(spark, sf_dir):
     d = cleaned_docs(t)
     ids = terms.token_ids(d, "doc", wv, pad, TOKEN_IDS_LEN)
     return ids.select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("token_ids"))
+
+
+@register("txt4_tfidf_fit", "WITH " + TFIDF_SQL + """
+SELECT v.term, CAST(v.idx AS BIGINT) AS idx, CAST(v.df AS BIGINT) AS df, round(v.idf, 6) AS idf,
+       round(sum(wn.weight), 6) AS total_weight
+FROM vocab v JOIN wn USING (term) GROUP BY v.term, v.idx, v.df, v.idf""")
+def txt4(spark, sf_dir):
+    """The fitted vocabulary (index, document frequency, smooth idf) with each
+    term's summed L2-normalised weight over the corpus."""
+    _, vocab, w = corpus_tfidf(Tables(spark, sf_dir))
+    tot = w.groupBy("term").agg(F.round(F.sum("weight"), 6).alias("total_weight"))
+    return vocab.join(tot, "term").select("term", F.col("idx").cast("long").alias("idx"), F.col("df").cast("long").alias("df"),
+                                          F.round("idf", 6).alias("idf"), "total_weight")
