@@ -114,8 +114,8 @@ def test_decades(spark):
 
 
 def test_strip_scheme(spark):
-    df = spark.createDataFrame([("http://www.jstor.org/stable/1",), ("www.jstor.org/stable/2",)], "u string")
-    assert [r[0] for r in df.select(tx.strip_scheme("u")).collect()] == ["www.jstor.org/stable/1", "www.jstor.org/stable/2"]
+    df = spark.createDataFrame([("http://www.example.org/stable/1",), ("www.example.org/stable/2",)], "u string")
+    assert [r[0] for r in df.select(tx.strip_scheme("u")).collect()] == ["www.example.org/stable/1", "www.example.org/stable/2"]
 
 
 def py_tweet(t):
