@@ -33,13 +33,15 @@ def fit_vocabulary(tf: DataFrame, n_docs: DataFrame | None = None, max_features:
         n_docs = tf.agg(F.countDistinct(doc_col).alias("n_docs"))
     stats = stats.withColumn("n_docs", n_docs.scalar())  # one-row scalar subquery
     stats = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
-    vocab = stats.orderBy(F.desc("cf"), F.asc(term_col)).limit(max_features)
-    w = Window.orderBy(term_col)  # at most max_features rows: bounded
-    return vocab.select(
+    from litspark.operators.windows import first_n, global_rank
+    from litspark.session import reuse
+    vocab = first_n(stats, max_features, F.col("cf"), F.col(term_col), name="_r").drop("_r")
+    vocab = global_rank(vocab, [F.col(term_col).asc()], name="_pos")  # alphabetical index
+    return reuse(vocab.select(
         term_col, "df",
-        (F.row_number().over(w) - 1).alias("idx"),
+        (F.col("_pos") - 1).alias("idx"),
         (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"),
-    )
+    ))
 
 
 def tfidf_weights(tf: DataFrame, vocab: DataFrame, doc_col: str = "doc_id", term_col: str = "term",

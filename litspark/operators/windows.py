@@ -78,3 +78,16 @@ def positional_slice(df: DataFrame, order: list[Column], start: int, stop: int,
     """Rows at 0-based positions [start, stop) of the ordered frame (per key)."""
     r = global_rank(df, order, partition, name="_pos")
     return r.where((F.col("_pos") > start) & (F.col("_pos") <= stop)).withColumn("position", F.col("_pos") - 1).drop("_pos")
+
+
+def first_n(df: DataFrame, n: int, score: Column, tie: Column, name: str = "rank") -> DataFrame:
+    """The n rows with the largest ``score`` (ties by ``tie`` ascending) and
+    their 1-based rank, for any n: the n-th best score is found by rank
+    resolution, and only the rows at or above it (n plus ties) are ranked, by
+    the distributed ``global_rank``. Unlike ``orderBy().limit(n)`` no single
+    task merges n rows from every partition."""
+    d = df.withColumn("_key", (-score).cast("double"))
+    kth = order_statistic(d, F.col("_key"), [], n - 1).drop("all__")
+    cand = d.join(F.broadcast(kth), F.col("_key") <= F.col("kth")).drop("kth")  # one-row threshold
+    ranked = global_rank(cand, [F.col("_key").asc(), tie.asc()], name=name)
+    return ranked.where(F.col(name) <= n).drop("_key")

@@ -27,7 +27,7 @@ def _events_as_json_folders(t: Tables):
     """Events seen as a folder tree: one folder per ISO week, one file per (day,
     event type), rows in time order; language derived from the JSON payload."""
     e = t.events
-    k = F.get_json_object("props", "$.k").cast("int")
+    k = F.get_json_object("props", "$.k").try_cast("int")
     return e.select("event_id", "ts", F.concat(F.lit("2024-week"), F.weekofyear("ts").cast("string")).alias("folder"),
                     F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("-"), F.col("event_type"), F.lit(".json")).alias("file"),
                     F.when(k % 2 == 0, "en").otherwise("fr").alias("lang"))

@@ -65,7 +65,7 @@ def read_json_folders(spark: SparkSession, root: str, schema: StructType | str,
 
 
 def week_of_folder(folder: Column) -> Column:
-    return F.regexp_extract(folder, r"week(\d+)$", 1).cast("int")
+    return F.regexp_extract(folder, r"week(\d+)$", 1).try_cast("int")
 
 
 def select_json_rows(d: DataFrame, folder: Column, file: Column, order: Column, num_rand_files: int,
