@@ -15,8 +15,13 @@ BROADCAST_MAX_ROWS = 2_000_000
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint only after a size check (one count job, bounded by the
     limit); otherwise the plain frame, left to the shuffle join and AQE."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    from litspark.session import reuse
+    kept = reuse(df)  # the count and the broadcast read the same computed rows
+    n = kept.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(kept)
+    kept.unpersist()
+    return df
 
 
 class KeyViolation(ValueError):
@@ -75,7 +80,8 @@ def closest_title(queries: DataFrame, q_id: str, q_title: str, names: DataFrame,
     exploded against the word index of the names."""
     qb = word_blocks(queries, q_id, q_title)
     nb = word_blocks(names, n_id, n_title)
-    pairs = qb.join(nb, "block").select(q_id, n_id).distinct()
+    # the query side is the small one; a common word must not become one hot task
+    pairs = nb.join(broadcast_if_small(qb), "block").select(q_id, n_id).distinct()
     scored = (pairs.join(queries.select(q_id, q_title), q_id).join(names.select(n_id, n_title), n_id)
               .withColumn("similarity", tx.similarity_ratio(F.col(q_title), F.col(n_title))))
     from litspark.operators.windows import top_k
@@ -96,4 +102,4 @@ def fragment_matches(fragments: DataFrame, frag_id: str, frag_tokens: str, docs:
     f = fragments.where(F.size(frag_tokens) >= n).select(
         frag_id, F.array_join(F.slice(frag_tokens, 1, n), " ").alias("shingle"))
     d = docs.select(doc_id, F.explode(F.array_distinct(shingles(F.col(doc_tokens), n))).alias("shingle"))
-    return d.join(f, "shingle").select(frag_id, doc_id).distinct()
+    return d.join(broadcast_if_small(f), "shingle").select(frag_id, doc_id).distinct()

@@ -99,8 +99,11 @@ def learn_phrases(sents: DataFrame, min_count: int = 5, threshold: float = 10.0,
     pairs = reuse(sentence_pairs(sents, toks, connectors).groupBy("phrase", "a", "b")
                   .agg(F.count(F.lit(1)).alias("count")))
     n_vocab = uni.agg(F.count(F.lit(1))).scalar() + pairs.select("phrase").distinct().agg(F.count(F.lit(1))).scalar()
-    ua = uni.select(F.col("w").alias("a"), F.col("cnt").alias("cnt_a"))
-    ub = uni.select(F.col("w").alias("b"), F.col("cnt").alias("cnt_b"))
+    from litspark.operators.joins import broadcast_if_small
+    # pairs are keyed by their words, and a frequent word is a hot key: the word
+    # table goes to every task when its size allows, else AQE splits skewed partitions
+    ua = broadcast_if_small(uni.select(F.col("w").alias("a"), F.col("cnt").alias("cnt_a")))
+    ub = broadcast_if_small(uni.select(F.col("w").alias("b"), F.col("cnt").alias("cnt_b")))
     s = pairs.join(ua, "a").join(ub, "b").withColumn(
         "score", (F.col("count") - F.lit(min_count)).cast("double") * n_vocab / (F.col("cnt_a") * F.col("cnt_b")))
     return reuse(s.where(F.col("score") > F.lit(threshold)).select("phrase", "a", "b", "count", "score"))

@@ -36,7 +36,8 @@ def top_k(df: DataFrame, group: list[str], score: Column, k: int, ties: list[Col
     key = (-score) if descending else score
     d = reuse(df.withColumn("_key", key.cast("double")))  # read by the rank search and the final filter
     kth = order_statistic(d, F.col("_key"), group, k - 1)
-    cand = d.join(kth, group) if group else d.join(F.broadcast(kth.drop("all__")))  # one row
+    from litspark.operators.joins import broadcast_if_small
+    cand = d.join(broadcast_if_small(kth), group) if group else d.join(F.broadcast(kth.drop("all__")))  # one row per group
     cand = cand.where(F.col("_key") <= F.col("kth")).drop("kth")
     w = Window.partitionBy(*group).orderBy(F.col("_key").asc(), *ties)  # k rows + ties per group
     return cand.withColumn(rank_name, F.row_number().over(w).cast("int")).where(F.col(rank_name) <= k).drop("_key")

@@ -157,7 +157,9 @@ def jn14(spark, sf_dir):
     t = Tables(spark, sf_dir)
     tok = clean_tokens(t)
     wv = word_vectors(tok, t.embeddings)
-    return tok.join(wv.select("term"), "term").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_known"))
+    # frequent terms are hot keys; the vector vocabulary is size-checked and broadcast
+    return tok.join(jn.broadcast_if_small(wv.select("term")), "term").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_known"))
 
 
 @register("jn15_fetch_with_duplicates", S.with_(S.ARTICLES, S.SCORES) + """,

@@ -165,7 +165,8 @@ FROM tokens SEMI JOIN vocab USING (token) GROUP BY doc_id""")
 def str20(spark, sf_dir):
     t = _t(spark, sf_dir)
     vocab = t.benchmark.select(F.explode(tx.tokenize("text")).alias("token")).distinct()
-    return t.tokens.join(vocab, "token", "left_semi").groupBy("doc_id").agg(
+    from litspark.operators.joins import broadcast_if_small
+    return t.tokens.join(broadcast_if_small(vocab), "token", "left_semi").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_known_tokens"))
 
 
