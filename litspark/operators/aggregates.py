@@ -100,14 +100,15 @@ def _resolve_ranks(base: DataFrame, g: list[str], targets: DataFrame) -> DataFra
     Level 0 bins the whole group range; when a target bin still holds more than
     EXACT_LIMIT distinct values, level 1 re-bins that bin's rows between their
     own min and max, and the values of the level-1 bin are ranked."""
-    from litspark.operators.joins import broadcast_if_small
-    # one row per group: a group holding a third of the rows must not land in one task
-    rows0 = base.join(broadcast_if_small(targets.select(*g, "_lo", "_hi").distinct()), g)
+    # One row per group meets every row of the group. AQE turns this into a
+    # broadcast join from the measured size of the small side (no extra job);
+    # if the side is large it splits the partitions of hot groups instead.
+    rows0 = base.join(targets.select(*g, "_lo", "_hi").distinct(), g)
     t0 = _locate(rows0, g, targets.select(*g, "_r", "_before"))
     rows0 = rows0.withColumn("_b", _bin(F.col("_v"), F.col("_lo"), F.col("_hi")))
     small = t0.where(F.col("_d") <= EXACT_LIMIT)
     big = t0.where(F.col("_d") > EXACT_LIMIT)
-    res = _exact_in(rows0.join(broadcast_if_small(small.select(*g, "_b").distinct()), g + ["_b"]), g + ["_b"],
+    res = _exact_in(rows0.join(small.select(*g, "_b").distinct(), g + ["_b"]), g + ["_b"],
                     small.select(*g, "_b", "_r", "_before"))
     if big.limit(1).count() == 0:
         return res

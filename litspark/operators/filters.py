@@ -29,8 +29,7 @@ def band_around_median(df: DataFrame, value: str, group: list[str]) -> DataFrame
     clean = df.where(~F.isnan(value))
     med = exact_percentiles(clean, value, group, [0.5]).select(*group, F.col("value").alias("median"))
     stats = clean.groupBy(*group).agg(F.stddev_pop(value).alias("std")).join(med, group)
-    from litspark.operators.joins import broadcast_if_small
-    j = df.join(broadcast_if_small(stats), group)  # one row per group
+    j = df.join(stats, group)  # one row per group: broadcast by AQE from its measured size
     band = (F.when((F.col(value) > F.col("median") - F.col("std")) & (F.col(value) < F.col("median")), "below")
             .when((F.col(value) > F.col("median")) & (F.col(value) < F.col("median") + F.col("std")), "above"))
     return j.withColumn("band", band).where(F.col("band").isNotNull())

@@ -31,8 +31,8 @@ def first_n_by_hash(df: DataFrame, n, key: str, seed, group: list[str] | None =
     d = df.withColumn("_h", hash_int(seed, F.col(key)))
     if isinstance(n, int):
         kth = order_statistic(d, F.col("_h"), g, n - 1)
-        from litspark.operators.joins import broadcast_if_small
-        out = d.join(broadcast_if_small(kth), g) if g else d.join(F.broadcast(kth.drop("all__")))  # one row per group
+        # one row per group (broadcast by AQE from its measured size), or one row
+        out = d.join(kth, g) if g else d.join(F.broadcast(kth.drop("all__")))
         out = out.where(F.col("_h") <= F.col("kth"))
         if n <= 0:
             out = out.where(F.lit(False))

@@ -33,10 +33,11 @@ def fit_vocabulary(tf: DataFrame, n_docs: DataFrame | None = None, max_features:
         n_docs = tf.agg(F.countDistinct(doc_col).alias("n_docs"))
     stats = stats.withColumn("n_docs", n_docs.scalar())  # one-row scalar subquery
     stats = stats.where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs")))
-    from litspark.operators.windows import first_n, global_rank
+    from litspark.operators.windows import first_n
     from litspark.session import reuse
     vocab = first_n(stats, max_features, F.col("cf"), F.col(term_col), name="_r").drop("_r")
-    vocab = global_rank(vocab, [F.col(term_col).asc()], name="_pos")  # alphabetical index
+    # alphabetical index over at most max_features rows (a bound by construction)
+    vocab = vocab.withColumn("_pos", F.row_number().over(Window.orderBy(term_col)))
     return reuse(vocab.select(
         term_col, "df",
         (F.col("_pos") - 1).alias("idx"),

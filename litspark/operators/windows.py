@@ -16,6 +16,10 @@ from litspark.operators.aggregates import _resolve_ranks
 from litspark.session import cut_lineage, reuse
 
 
+# Largest row count ranked in a single ordered window (after a size check).
+SMALL_RANK_ROWS = 1_000_000
+
+
 def order_statistic(df: DataFrame, value: Column, group: list[str], rank: int) -> DataFrame:
     """Per group: the value at 0-based ascending rank ``min(rank, n-1)``.
     Without a group the result has one row keyed by the constant ``all__``."""
@@ -36,8 +40,8 @@ def top_k(df: DataFrame, group: list[str], score: Column, k: int, ties: list[Col
     key = (-score) if descending else score
     d = reuse(df.withColumn("_key", key.cast("double")))  # read by the rank search and the final filter
     kth = order_statistic(d, F.col("_key"), group, k - 1)
-    from litspark.operators.joins import broadcast_if_small
-    cand = d.join(broadcast_if_small(kth), group) if group else d.join(F.broadcast(kth.drop("all__")))  # one row per group
+    # one row per group (broadcast by AQE from its measured size), or one row
+    cand = d.join(kth, group) if group else d.join(F.broadcast(kth.drop("all__")))
     cand = cand.where(F.col("_key") <= F.col("kth")).drop("kth")
     w = Window.partitionBy(*group).orderBy(F.col("_key").asc(), *ties)  # k rows + ties per group
     return cand.withColumn(rank_name, F.row_number().over(w).cast("int")).where(F.col(rank_name) <= k).drop("_key")
@@ -87,8 +91,14 @@ def first_n(df: DataFrame, n: int, score: Column, tie: Column, name: str = "rank
     resolution, and only the rows at or above it (n plus ties) are ranked, by
     the distributed ``global_rank``. Unlike ``orderBy().limit(n)`` no single
     task merges n rows from every partition."""
+    from litspark.session import reuse
     d = df.withColumn("_key", (-score).cast("double"))
     kth = order_statistic(d, F.col("_key"), [], n - 1).drop("all__")
-    cand = d.join(F.broadcast(kth), F.col("_key") <= F.col("kth")).drop("kth")  # one-row threshold
-    ranked = global_rank(cand, [F.col("_key").asc(), tie.asc()], name=name)
+    cand = reuse(d.join(F.broadcast(kth), F.col("_key") <= F.col("kth")).drop("kth"))  # one-row threshold
+    if cand.limit(SMALL_RANK_ROWS + 1).count() <= SMALL_RANK_ROWS:
+        # checked small (n plus ties): one ordered window is cheaper than a distributed rank
+        w = Window.orderBy(F.col("_key").asc(), tie.asc())
+        ranked = cand.withColumn(name, F.row_number().over(w))
+    else:
+        ranked = global_rank(cand, [F.col("_key").asc(), tie.asc()], name=name)
     return ranked.where(F.col(name) <= n).drop("_key")
