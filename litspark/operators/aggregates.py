@@ -104,7 +104,9 @@ def _resolve_ranks(base: DataFrame, g: list[str], targets: DataFrame) -> DataFra
     # broadcast join from the measured size of the small side (no extra job);
     # if the side is large it splits the partitions of hot groups instead.
     rows0 = base.join(targets.select(*g, "_lo", "_hi").distinct(), g)
-    t0 = _locate(rows0, g, targets.select(*g, "_r", "_before"))
+    from litspark.session import reuse
+    # small (one row per target rank); read by the refinement check and the final step
+    t0 = reuse(_locate(rows0, g, targets.select(*g, "_r", "_before")))
     rows0 = rows0.withColumn("_b", _bin(F.col("_v"), F.col("_lo"), F.col("_hi")))
     small = t0.where(F.col("_d") <= EXACT_LIMIT)
     big = t0.where(F.col("_d") > EXACT_LIMIT)
