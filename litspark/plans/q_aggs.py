@@ -195,7 +195,7 @@ AGG14_TARGET = 100
 grid AS (SELECT perspective, k, (SELECT count(*) FROM long l WHERE l.perspective = p.perspective
                 AND round(l.p_yes * 1000, 6) > 500 + k) AS n_exceed
          FROM (SELECT DISTINCT perspective FROM long) p, range(0, 501) r(k))
-SELECT perspective, round(0.5 + 0.001 * min(k), 6) AS threshold FROM grid WHERE n_exceed <= {AGG14_TARGET}
+SELECT perspective, CAST(round(0.5 + 0.001 * min(k), 6) AS DOUBLE) AS threshold FROM grid WHERE n_exceed <= {AGG14_TARGET}
 GROUP BY perspective""")
 def agg14(spark, sf_dir):
     l = _long_scores(Tables(spark, sf_dir))
@@ -233,7 +233,7 @@ def agg15(spark, sf_dir):
 
 @register("agg16_histogram_cdf_quartiles", "WITH " + HIST_SQL + """,
 c AS (SELECT event_type, bin, lo, hi, sum(cnt) OVER (PARTITION BY event_type ORDER BY bin) / sum(cnt) OVER (PARTITION BY event_type) AS cdf FROM h),
-q AS (SELECT * FROM (VALUES (0.25), (0.5), (0.75)) v(q))
+q AS (SELECT CAST(q AS DOUBLE) AS q FROM (VALUES (0.25), (0.5), (0.75)) v(q))
 SELECT event_type, q, round(arg_min(lo + (bin + 0.5) * (hi - lo) / 50, abs(cdf - q) * 1000 + bin / 1000000.0), 6) AS x
 FROM c, q GROUP BY event_type, q""")
 def agg16(spark, sf_dir):

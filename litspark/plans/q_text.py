@@ -290,7 +290,7 @@ def str27(spark, sf_dir):
 
 # STR30-STR33 ------------------------------------------------------------------
 @register("str30_label_to_number", """
-SELECT doc_id, lbl, CASE WHEN lbl = 'no' THEN 0.0 WHEN lbl = 'yes' THEN 1.0 WHEN lbl = 'unsure' THEN 0.5 END AS score
+SELECT doc_id, lbl, CAST(CASE WHEN lbl = 'no' THEN 0.0 WHEN lbl = 'yes' THEN 1.0 WHEN lbl = 'unsure' THEN 0.5 END AS DOUBLE) AS score
 FROM (SELECT doc_id, CASE WHEN toxic = 1 THEN 'unsure' WHEN quality = 1 THEN 'yes' ELSE 'no' END AS lbl FROM labels)""")
 def str30(spark, sf_dir):
     l = _t(spark, sf_dir).labels.select("doc_id", F.when(F.col("toxic") == 1, "unsure").when(
