@@ -133,3 +133,16 @@ def test_tweet_cleaner(spark):
     df = spark.createDataFrame([(t,) for t in tw], "t string")
     got = [r[0] for r in df.select(tx.clean_tweet("t")).collect()]
     assert got == [py_tweet(t) for t in tw]
+
+
+def test_indel_ratio_matches_definition(spark):
+    from difflib import SequenceMatcher
+
+    from litspark.functions.similarity import indel_ratio, indel_ratio_py
+    pairs = [("The iron cage revisited", "the iron cage"), ("abc", "abc"), ("", ""), ("kitten", "sitting"), ("a", None)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = [r[0] for r in df.select(indel_ratio("a", "b")).collect()]
+    assert got == [indel_ratio_py(a, b) for a, b in pairs]
+    # LCS-based ratio equals SequenceMatcher's when there are no junk heuristics at play
+    assert indel_ratio_py("kitten", "sitting") == round(100 * 2 * 4 / 13)
+    assert SequenceMatcher(None, "abc", "abc").ratio() == 1.0
