@@ -11,6 +11,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+import os
+
+# Inputs of at most this many rows take the one-pass path after a size check
+# (Spark's exact ``percentile`` aggregate, one ordered window per group): at
+# that size a group in one task is harmless and the fewer jobs are faster.
+# Larger inputs use the distributed rank resolution below. LITSPARK_SMALL_ROWS=0
+# forces the distributed path everywhere (tests run both).
+SMALL_ROWS = int(os.environ.get("LITSPARK_SMALL_ROWS", "1000000"))
+
+
+def is_small(df: DataFrame) -> bool:
+    """Size check: does ``df`` have at most SMALL_ROWS rows? (one bounded job)"""
+    if SMALL_ROWS <= 0:
+        return False
+    return df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+
+
 # Bins per refinement pass; the values of one bin are only ever counted, never
 # collected, unless the bin holds at most ``EXACT_LIMIT`` distinct values.
 BINS = 1024
@@ -44,6 +61,11 @@ def exact_percentiles(df: DataFrame, value: str, group: list[str], probs: list[f
     from litspark.session import reuse
     g = group
     base = reuse(df.select(*g, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")))
+    if is_small(base):
+        q = base.groupBy(*g).agg(F.percentile("_v", [float(p) for p in probs]).alias("_q"))
+        ps = F.array(*[F.lit(float(p)) for p in probs])
+        q = q.select(*g, F.posexplode("_q").alias("_i", "value"))
+        return q.select(*g, F.element_at(ps, F.col("_i") + 1).alias("p"), "value")
     stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     # needed order statistics (0-based ranks) per group and p
     need = []
@@ -57,7 +79,8 @@ def exact_percentiles(df: DataFrame, value: str, group: list[str], probs: list[f
     ranks = need_df.select(*g, F.explode(F.array("r0", "r1")).alias("_r")).distinct()
     # rank -> value, by refinement inside (lo, hi, offset) windows
     targets = ranks.join(stats.select(*g, "_lo", "_hi"), g).withColumn("_before", F.lit(0).cast("long"))
-    found = _resolve_ranks(base, g, targets)
+    from litspark.session import small_result
+    found = small_result(_resolve_ranks(base, g, targets))  # one row per needed rank
     v0 = found.select(*g, F.col("_r").alias("r0"), F.col("_val").alias("v0"))
     v1 = found.select(*g, F.col("_r").alias("r1"), F.col("_val").alias("v1"))
     out = need_df.join(v0, g + ["r0"]).join(v1, g + ["r1"])

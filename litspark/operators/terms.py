@@ -38,7 +38,8 @@ def fit_vocabulary(tf: DataFrame, n_docs: DataFrame | None = None, max_features:
     vocab = first_n(stats, max_features, F.col("cf"), F.col(term_col), name="_r").drop("_r")
     # alphabetical index over at most max_features rows (a bound by construction)
     vocab = vocab.withColumn("_pos", F.row_number().over(Window.orderBy(term_col)))
-    return reuse(vocab.select(
+    from litspark.session import small_result
+    return small_result(vocab.select(
         term_col, "df",
         (F.col("_pos") - 1).alias("idx"),
         (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"),
@@ -107,7 +108,8 @@ def learn_phrases(sents: DataFrame, min_count: int = 5, threshold: float = 10.0,
     ub = broadcast_if_small(uni.select(F.col("w").alias("b"), F.col("cnt").alias("cnt_b")))
     s = pairs.join(ua, "a").join(ub, "b").withColumn(
         "score", (F.col("count") - F.lit(min_count)).cast("double") * n_vocab / (F.col("cnt_a") * F.col("cnt_b")))
-    return reuse(s.where(F.col("score") > F.lit(threshold)).select("phrase", "a", "b", "count", "score"))
+    from litspark.session import small_result
+    return small_result(s.where(F.col("score") > F.lit(threshold)).select("phrase", "a", "b", "count", "score"))
 
 
 def apply_phrases(sents: DataFrame, phrases: DataFrame, keys: list[str], toks: str = "toks") -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litspark.operators.aggregates import _resolve_ranks
+from litspark.operators.aggregates import _resolve_ranks, is_small
 from litspark.session import cut_lineage, reuse
 
 
@@ -27,10 +27,15 @@ def order_statistic(df: DataFrame, value: Column, group: list[str], rank: int) -
         df, group = df.withColumn("all__", F.lit(0)), ["all__"]
     g = group
     base = reuse(df.select(*g, value.cast("double").alias("_v")).where(F.col("_v").isNotNull()))
+    if is_small(base):
+        r = base.withColumn("_rn", F.row_number().over(Window.partitionBy(*g).orderBy("_v")) - 1) \
+            .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*g)))
+        return r.where(F.col("_rn") == F.least(F.lit(rank), F.col("_n") - 1)).select(*g, F.col("_v").alias("kth"))
     stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     targets = stats.select(*g, F.least(F.lit(rank), F.col("_n") - 1).cast("long").alias("_r"), "_lo", "_hi",
                            F.lit(0).cast("long").alias("_before"))
-    return _resolve_ranks(base, g, targets).select(*g, F.col("_val").alias("kth"))
+    from litspark.session import small_result
+    return small_result(_resolve_ranks(base, g, targets).select(*g, F.col("_val").alias("kth")))  # one row per group
 
 
 def top_k(df: DataFrame, group: list[str], score: Column, k: int, ties: list[Column],
@@ -39,11 +44,14 @@ def top_k(df: DataFrame, group: list[str], score: Column, k: int, ties: list[Col
     1-based rank. Only rows scoring at least the group's k-th best are ranked."""
     key = (-score) if descending else score
     d = reuse(df.withColumn("_key", key.cast("double")))  # read by the rank search and the final filter
+    w = Window.partitionBy(*group).orderBy(F.col("_key").asc(), *ties)
+    if is_small(d):
+        return d.withColumn(rank_name, F.row_number().over(w).cast("int")).where(F.col(rank_name) <= k).drop("_key")
     kth = order_statistic(d, F.col("_key"), group, k - 1)
     # one row per group (broadcast by AQE from its measured size), or one row
     cand = d.join(kth, group) if group else d.join(F.broadcast(kth.drop("all__")))
     cand = cand.where(F.col("_key") <= F.col("kth")).drop("kth")
-    w = Window.partitionBy(*group).orderBy(F.col("_key").asc(), *ties)  # k rows + ties per group
+    # the window now sees k rows plus ties per group
     return cand.withColumn(rank_name, F.row_number().over(w).cast("int")).where(F.col(rank_name) <= k).drop("_key")
 
 

@@ -57,6 +57,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_result(df: DataFrame) -> DataFrame:
+    """Materialise a small derived table (one row per group, a vocabulary, a
+    phrase list) in the shared checkpoint folder. Later plans then start from a
+    leaf instead of repeating the whole lineage that produced it, which keeps
+    plans small when such results are reused and nested."""
+    return cut_lineage(df)
+
+
 def reuse(df: DataFrame) -> DataFrame:
     """Keep a frame that several branches of one plan read (memory, spilling to
     disk). Lost blocks are recomputed from lineage, so executor loss is safe."""

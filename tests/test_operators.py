@@ -14,7 +14,7 @@ from litspark.operators import vectors as vx
 from litspark.operators import windows as wn
 
 
-def test_exact_percentiles_match_numpy(spark):
+def test_exact_percentiles_match_numpy(spark, rank_mode):
     rng = np.random.default_rng(3)
     rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 700), np.round(rng.normal(size=700), 2))]
     rows.append((9, 1.5))  # single-row group
@@ -29,7 +29,7 @@ def test_exact_percentiles_match_numpy(spark):
     ag.EXACT_LIMIT = old
 
 
-def test_top_k_and_nearest_k(spark):
+def test_top_k_and_nearest_k(spark, rank_mode):
     rows = [(i % 3, i, float((i * 37) % 101)) for i in range(300)]
     df = spark.createDataFrame(rows, "g int, id long, s double")
     got = {(r["g"], r["id"]) for r in wn.top_k(df, ["g"], F.col("s"), 5, [F.col("id").asc()]).collect()}
@@ -52,7 +52,7 @@ def test_global_rank_is_dense_and_ordered(spark):
     assert [(p[1], p[2]) for p in pos] == sorted((p[1], p[2]) for p in pos)
 
 
-def test_first_n_by_hash_equals_sorted_hash(spark):
+def test_first_n_by_hash_equals_sorted_hash(spark, rank_mode):
     import hashlib
     df = spark.range(0, 200).withColumnRenamed("id", "k")
     got = {r["k"] for r in sm.first_n_by_hash(df, 17, "k", 43).collect()}
@@ -60,13 +60,13 @@ def test_first_n_by_hash_equals_sorted_hash(spark):
     assert got == exp
 
 
-def test_stratified_quota_never_exceeded(spark):
+def test_stratified_quota_never_exceeded(spark, rank_mode):
     df = spark.createDataFrame([(i, "a" if i % 10 else "b") for i in range(200)], "k long, s string")
     out = sm.stratified_equal(df, "s", 50, "k", 1, 2).groupBy("s").count().collect()
     assert all(r["count"] <= 20 for r in out) and sum(r["count"] for r in out) == 40
 
 
-def test_oversample_ratio_and_undersample(spark):
+def test_oversample_ratio_and_undersample(spark, rank_mode):
     df = spark.createDataFrame([(i, 0 if i < 30 else 1) for i in range(100)], "k long, y int")
     over = {r["y"]: r["count"] for r in sm.oversample(df, "y", 0, 1.0, "k", 3).groupBy("y").count().collect()}
     assert over == {0: 70, 1: 70}
@@ -86,7 +86,7 @@ def test_folds_partition_rows(spark):
         assert max(s) - min(s) <= 1
 
 
-def test_split_size(spark):
+def test_split_size(spark, rank_mode):
     df = spark.range(0, 101).withColumnRenamed("id", "k")
     out = sm.split_train_validation(df, 0.2, "k", 42)
     assert out.where("split = 'validation'").count() == math.ceil(0.2 * 101)
@@ -124,7 +124,7 @@ def test_phrase_scores(spark):
     assert abs(ph["new_york"] - (10 - 5) * n_vocab / (11 * 10)) < 1e-12
 
 
-def test_tfidf_weights_l2(spark):
+def test_tfidf_weights_l2(spark, rank_mode):
     toks = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "c")], "doc_id long, term string")
     tf = terms.term_frequencies(toks)
     vocab = terms.fit_vocabulary(tf, max_df=1.0)
