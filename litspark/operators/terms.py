@@ -94,18 +94,31 @@ def learn_phrases(sents: DataFrame, min_count: int = 5, threshold: float = 10.0,
     """(phrase, a, b, count, score) with score = (count - min_count) * N /
     (count(a) * count(b)) > threshold, N = distinct words + distinct phrases.
     All statistics are partial aggregates; N is a scalar subquery."""
+    from litspark.operators.joins import broadcast_if_small
     from litspark.session import reuse
     words = sents.select(F.explode(toks).alias("w"))
     # both count tables feed the vocabulary size and the score: computed once
     uni = reuse(words.groupBy("w").agg(F.count(F.lit(1)).alias("cnt")))
-    pairs = reuse(sentence_pairs(sents, toks, connectors).groupBy("phrase", "a", "b")
-                  .agg(F.count(F.lit(1)).alias("count")))
-    n_vocab = uni.agg(F.count(F.lit(1))).scalar() + pairs.select("phrase").distinct().agg(F.count(F.lit(1))).scalar()
-    from litspark.operators.joins import broadcast_if_small
+    if connectors:
+        pairs = sentence_pairs(sents, toks, connectors).groupBy("phrase", "a", "b").agg(F.count(F.lit(1)).alias("count"))
+    else:
+        # adjacent pairs built inside each sentence row; the phrase text is a_b
+        n = F.size(toks)
+        adj = F.when(n > 1, F.zip_with(F.slice(toks, 1, F.greatest(n - 1, F.lit(1))),
+                                       F.slice(toks, 2, F.greatest(n - 1, F.lit(1))),
+                                       lambda a, b: F.struct(a.alias("a"), b.alias("b")))) \
+            .otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+        pairs = sents.select(F.explode(adj).alias("p")).select("p.a", "p.b").groupBy("a", "b") \
+            .agg(F.count(F.lit(1)).alias("count")).withColumn("phrase", F.concat_ws("_", "a", "b"))
+    pairs = reuse(pairs)
+    # a phrase determines its words, so pair rows = distinct phrases
+    n_vocab = uni.agg(F.count(F.lit(1))).scalar() + pairs.agg(F.count(F.lit(1))).scalar()
     # pairs are keyed by their words, and a frequent word is a hot key: the word
     # table goes to every task when its size allows, else AQE splits skewed partitions
-    ua = broadcast_if_small(uni.select(F.col("w").alias("a"), F.col("cnt").alias("cnt_a")))
-    ub = broadcast_if_small(uni.select(F.col("w").alias("b"), F.col("cnt").alias("cnt_b")))
+    u = broadcast_if_small(uni)
+    hint = F.broadcast if u is not uni else (lambda d: d)
+    ua = hint(u.select(F.col("w").alias("a"), F.col("cnt").alias("cnt_a")))
+    ub = hint(u.select(F.col("w").alias("b"), F.col("cnt").alias("cnt_b")))
     s = pairs.join(ua, "a").join(ub, "b").withColumn(
         "score", (F.col("count") - F.lit(min_count)).cast("double") * n_vocab / (F.col("cnt_a") * F.col("cnt_b")))
     from litspark.session import small_result
