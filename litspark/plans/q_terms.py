@@ -63,8 +63,13 @@ SELECT quality, term, score, CAST(rank AS INTEGER) AS rank FROM (
 # --- phrases ---------------------------------------------------------------------
 
 def clean_sents(t: Tables, stop_words: bool = True):
-    d = t.documents.select("doc_id", tx.clean_document("text", remove_stopwords=stop_words).alias("doc"))
-    return reuse(d.select("doc_id", F.posexplode("doc").alias("sent_pos", "toks")))
+    """(doc_id, sent_pos, toks): cleaned sentences. The document-level arrays
+    are kept (compact); exploding them again per use is cheap."""
+    if stop_words:
+        d = cleaned_docs(t)
+    else:
+        d = reuse(t.documents.select("doc_id", tx.clean_document("text", remove_stopwords=False).alias("doc")))
+    return d.select("doc_id", F.posexplode("doc").alias("sent_pos", "toks"))
 
 
 def _sents_sql(stop_words: bool = True, name: str = "cs"):
