@@ -18,7 +18,7 @@ import os
 # that size a group in one task is harmless and the fewer jobs are faster.
 # Larger inputs use the distributed rank resolution below. LITSPARK_SMALL_ROWS=0
 # forces the distributed path everywhere (tests run both).
-SMALL_ROWS = int(os.environ.get("LITSPARK_SMALL_ROWS", "1000000"))
+SMALL_ROWS = int(os.environ.get("LITSPARK_SMALL_ROWS", "5000000"))
 
 
 def is_small(df: DataFrame) -> bool:
