@@ -10,7 +10,6 @@ from litspark.operators import joins as jn
 from litspark.plans import sqlfrag as S
 from litspark.plans.catalog import register
 from litspark.plans.q_terms import clean_tokens
-from litspark.plans.q_text import SIM_SQL
 from litspark.sources.tables import Tables
 
 
@@ -173,5 +172,3 @@ def jn15(spark, sf_dir):
         s.where(F.col("prediction_relt_prob_yes") > 0.8).select("doc_id", F.lit("relt").alias("pool")))
     return keys.join(t.articles.select("doc_id", "journal_title"), "doc_id").select("doc_id", "pool", "journal_title")
 
-
-_ = SIM_SQL

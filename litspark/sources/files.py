@@ -7,8 +7,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from litspark.operators.sampling import hash_str
-
 
 _STANDARD_CHARSETS = {"iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8"}
 
@@ -108,5 +106,3 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     d = d.where(F.length("term") > 0)
     return d.withColumn("multi", F.size(F.split("term", r"\s+")) > 1)
 
-
-_ = hash_str
