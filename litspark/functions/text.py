@@ -178,9 +178,10 @@ def clean_document(c, remove_stopwords: bool = True, **kw) -> Column:
     """Text -> array<array<string>>: cleaned token lists per sentence, empty
     sentences removed (STR21)."""
     sents = sentences(prepare_text(c, **kw))
-    toks = F.transform(sents, lambda s: drop_blacklisted(
-        drop_stop_tokens(tokenize(s), stop=remove_stopwords, junk=True)))
-    return F.filter(toks, lambda s: F.size(s) > 0)
+    toks = F.transform(sents, lambda s: drop_stop_tokens(tokenize(s), stop=remove_stopwords, junk=True))
+    # empty and formatting-only sentences go in one filter; each token list is
+    # built once (a lambda variable, not a repeated expression)
+    return F.filter(toks, lambda s: (F.size(s) > 0) & ~F.array_join(s, " ").isin(lexicon.BLACKLIST_SENTENCES))
 
 
 def flatten_tokens(doc) -> Column:
@@ -212,13 +213,14 @@ def length_budget(length, longest, shortest, maxlen, minlen) -> Column:
 
 def cut_to_budget(doc, budget) -> Column:
     """Keep sentences until ``budget`` words; the crossing sentence is cut."""
-    doc = _c(doc)
-    sizes = F.transform(doc, lambda s: F.size(s))
-    # words before each sentence
-    before = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, b: a + b))
-    cut = F.zip_with(doc, before, lambda s, b: F.slice(s, 1, F.greatest(F.lit(0), _c(budget) - b)))
-    kept = F.filter(cut, lambda s: F.size(s) > 0)
-    return F.when(_c(budget).isNull(), doc).otherwise(kept)
+    # one left-to-right pass carrying the words used so far; the document is
+    # referenced once, so the expression that produced it is evaluated once
+    limit = F.coalesce(_c(budget).cast("int"), F.lit(2 ** 31 - 1))  # NULL budget: keep everything
+    init = F.struct(F.lit(0).alias("used"), F.array().cast("array<array<string>>").alias("out"))
+    res = F.aggregate(_c(doc), init, lambda acc, s: F.struct(
+        (acc["used"] + F.size(s)).alias("used"),
+        F.concat(acc["out"], F.array(F.slice(s, 1, F.greatest(F.lit(0), limit - acc["used"])))).alias("out")))
+    return F.filter(res["out"], lambda s: F.size(s) > 0)
 
 
 # --- STR24-STR26: alternative cleaners ----------------------------------------

@@ -218,8 +218,11 @@ FROM cut WHERE len(s) > 0 GROUP BY doc_id""")
 def str23(spark, sf_dir):
     b = _budgets(_t(spark, sf_dir)).select("doc_id", "budget", tx.clean_document("text").alias("doc"))
     c = b.select("doc_id", tx.cut_to_budget("doc", "budget").alias("doc"))
-    return c.where(F.size("doc") > 0).select(
-        "doc_id", F.size(F.flatten("doc")).alias("n_kept"), tx.doc_string("doc").alias("kept"))
+    # documents with nothing kept are dropped by a generator (no Filter node that
+    # the optimizer would push down by copying the whole cleaning expression)
+    out = F.transform(F.filter(F.array("doc"), lambda d: F.size(d) > 0),
+                      lambda d: F.struct(F.size(F.flatten(d)).alias("n_kept"), tx.doc_string(d).alias("kept")))
+    return c.select("doc_id", F.explode(out).alias("r")).select("doc_id", "r.n_kept", "r.kept")
 
 
 # STR24-STR26 ------------------------------------------------------------------
