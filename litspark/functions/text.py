@@ -42,6 +42,13 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``: the value
+    becomes a lambda variable, so the optimizer cannot copy the expression that
+    produced it into every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _arr(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
@@ -323,7 +330,8 @@ def decade(year) -> Column:
 
 def similarity_ratio(a, b) -> Column:
     """0-100 similarity of two lower-cased strings from the edit distance."""
-    a, b = F.lower(_c(a)), F.lower(_c(b))
-    longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, F.lit(100)).otherwise(
-        F.round(F.lit(100.0) * (F.lit(1.0) - F.levenshtein(a, b) / longest)).cast("int"))
+    def ratio(a, b):
+        longest = F.greatest(F.length(a), F.length(b))
+        return F.when(longest == 0, F.lit(100)).otherwise(
+            F.round(F.lit(100.0) * (F.lit(1.0) - F.levenshtein(a, b) / longest)).cast("int"))
+    return let(F.lower(_c(a)), lambda x: let(F.lower(_c(b)), lambda y: ratio(x, y)))

@@ -90,9 +90,10 @@ def closest_title(queries: DataFrame, q_id: str, q_title: str, names: DataFrame,
 
 def shingles(tokens: Column, n: int = 3) -> Column:
     """Consecutive n-token sequences joined by a space."""
-    idx = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)) \
-        .otherwise(F.array().cast("array<int>"))
-    return F.transform(idx, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    def build(tk):
+        idx = F.when(F.size(tk) >= n, F.sequence(F.lit(1), F.size(tk) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(idx, lambda i: F.array_join(F.slice(tk, i, n), " "))
+    return tx.let(tokens, build)
 
 
 def fragment_matches(fragments: DataFrame, frag_id: str, frag_tokens: str, docs: DataFrame, doc_id: str,

@@ -138,11 +138,10 @@ SELECT doc_id, sent_pos, array_to_string(kept, ' ') AS kept,
 FROM (SELECT doc_id, sent_pos, {S.drop_stop(S.tokenize('sentence'))} AS kept FROM sents)""")
 def str17_19(spark, sf_dir):
     s = _t(spark, sf_dir).sents
-    kept = tx.drop_stop_tokens(tx.tokenize("sentence"))
-    bl = F.array(*[F.lit(w) for w in lexicon.BLACKLIST_SENTENCES])
-    return s.select("doc_id", F.col("sent_pos").cast("int").alias("sent_pos"),
-                    F.array_join(kept, " ").alias("kept"),
-                    F.array_contains(bl, F.array_join(kept, " ")).alias("blacklisted"))
+    joined = F.array_join(tx.drop_stop_tokens(tx.tokenize("sentence")), " ")
+    out = tx.let(joined, lambda k: F.struct(k.alias("kept"), k.isin(lexicon.BLACKLIST_SENTENCES).alias("blacklisted")))
+    return s.select("doc_id", F.col("sent_pos").cast("int").alias("sent_pos"), out.alias("r")) \
+        .select("doc_id", "sent_pos", "r.kept", "r.blacklisted")
 
 
 @register("str18_general_stopwords", S.with_(S.SENTS, S.TOKENS) + f"""
