@@ -89,6 +89,15 @@ def sentence_pairs(sents: DataFrame, toks: str = "toks", connectors: list[str] |
         .withColumn("phrase", F.array_join(F.slice(toks, F.col("i"), F.col("j") - F.col("i") + 1), "_"))
 
 
+def _adjacent(tk: Column) -> Column:
+    """array<struct<a, b>> of adjacent token pairs, built inside the row."""
+    n = F.size(tk)
+    m = F.greatest(n - 1, F.lit(1))
+    # arrays_zip is a plain (non-lambda) expression: much cheaper than zip_with
+    return F.when(n > 1, F.arrays_zip(F.slice(tk, 1, m).alias("a"), F.slice(tk, 2, m).alias("b"))) \
+        .otherwise(F.array().cast("array<struct<a:string,b:string>>"))
+
+
 def learn_phrases(sents: DataFrame, min_count: int = 5, threshold: float = 10.0, toks: str = "toks",
                   connectors: list[str] | None = None) -> DataFrame:
     """(phrase, a, b, count, score) with score = (count - min_count) * N /
@@ -96,20 +105,18 @@ def learn_phrases(sents: DataFrame, min_count: int = 5, threshold: float = 10.0,
     All statistics are partial aggregates; N is a scalar subquery."""
     from litspark.operators.joins import broadcast_if_small
     from litspark.session import reuse
-    words = sents.select(F.explode(toks).alias("w"))
-    # both count tables feed the vocabulary size and the score: computed once
-    uni = reuse(words.groupBy("w").agg(F.count(F.lit(1)).alias("cnt")))
     if connectors:
+        words = sents.select(F.explode(toks).alias("w"))
+        uni = reuse(words.groupBy("w").agg(F.count(F.lit(1)).alias("cnt")))
         pairs = sentence_pairs(sents, toks, connectors).groupBy("phrase", "a", "b").agg(F.count(F.lit(1)).alias("count"))
     else:
+        words = sents.select(F.explode(toks).alias("w"))
+        uni = reuse(words.groupBy("w").agg(F.count(F.lit(1)).alias("cnt")))
         # adjacent pairs built inside each sentence row; the phrase text is a_b
-        n = F.size(toks)
-        adj = F.when(n > 1, F.zip_with(F.slice(toks, 1, F.greatest(n - 1, F.lit(1))),
-                                       F.slice(toks, 2, F.greatest(n - 1, F.lit(1))),
-                                       lambda a, b: F.struct(a.alias("a"), b.alias("b")))) \
-            .otherwise(F.array().cast("array<struct<a:string,b:string>>"))
-        pairs = sents.select(F.explode(adj).alias("p")).select("p.a", "p.b").groupBy("a", "b") \
+        pairs = sents.select(F.explode(_adjacent(F.col(toks))).alias("p")) \
+            .select(F.col("p.a").alias("a"), F.col("p.b").alias("b")).groupBy("a", "b") \
             .agg(F.count(F.lit(1)).alias("count")).withColumn("phrase", F.concat_ws("_", "a", "b"))
+    # both count tables feed the vocabulary size and the score: computed once
     pairs = reuse(pairs)
     # a phrase determines its words, so pair rows = distinct phrases
     n_vocab = uni.agg(F.count(F.lit(1))).scalar() + pairs.agg(F.count(F.lit(1))).scalar()
@@ -130,7 +137,9 @@ def apply_phrases(sents: DataFrame, phrases: DataFrame, keys: list[str], toks: s
     (no connectors). Accepted positions come from a join with the phrase table;
     the merge itself runs inside each sentence row."""
     from litspark.operators.joins import broadcast_if_small
-    p = sentence_pairs(sents.select(*keys, toks), toks).select(*keys, "i", "phrase")
+    # adjacent pairs with their 1-based start position, built inside each sentence row
+    p = sents.select(*keys, F.posexplode(_adjacent(F.col(toks))).alias("_pos", "_p")) \
+        .select(*keys, (F.col("_pos") + 1).alias("i"), F.concat_ws("_", "_p.a", "_p.b").alias("phrase"))
     hit = p.join(broadcast_if_small(phrases.select("phrase").distinct()), "phrase") \
         .groupBy(*keys).agg(F.collect_set("i").alias("_acc"))  # positions within one sentence
     j = sents.join(hit, keys, "left").withColumn("_acc", F.coalesce("_acc", F.array().cast("array<int>")))
