@@ -156,12 +156,11 @@ SELECT CAST(n_words AS INTEGER) AS n_words, term, CAST(n AS BIGINT) AS n, CAST(r
 def agg11(spark, sf_dir):
     d = cleaned_docs(Tables(spark, sf_dir)).select(tx.flatten_tokens("doc").alias("tk"))
     # bigrams inside each row: no window, no shuffle before the count
-    pairs = F.zip_with(F.slice("tk", 1, F.greatest(F.size("tk") - 1, F.lit(0))),
-                       F.slice(F.when(F.size("tk") > 1, F.col("tk")).otherwise(F.array().cast("array<string>")), 2,
-                               F.greatest(F.size("tk") - 1, F.lit(0))),
-                       lambda a, b: F.concat_ws(" ", a, b))
-    bi = d.select(F.explode(F.when(F.size("tk") > 1, pairs).otherwise(F.array().cast("array<string>"))).alias("term")) \
-        .groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("n_words", F.lit(2))
+    from litspark.operators.terms import _adjacent
+    # adjacent pairs inside each row (arrays_zip: no lambda), counted as "a b"
+    bi = d.select(F.explode(_adjacent(F.col("tk"))).alias("p")) \
+        .groupBy(F.concat_ws(" ", "p.a", "p.b").alias("term")).agg(F.count(F.lit(1)).alias("n")) \
+        .withColumn("n_words", F.lit(2))
     uni = d.select(F.explode("tk").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")) \
         .withColumn("n_words", F.lit(1))
     return _top_terms(bi.unionByName(uni), ["n_words"], 30).select("n_words", "term", "n", "rank")
