@@ -166,6 +166,7 @@ def histogram(df: DataFrame, value: str, n_bins: int, group: list[str] | None =
 
 
 def skewness_corrected(c: str) -> Column:
-    """Sample skewness with the bias correction (pandas ``skew``)."""
-    n = F.count(c)
-    return F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2)
+    """Sample skewness with the bias correction (pandas ``skew``); NULL for
+    fewer than three values (and for a constant column, whose skewness is undefined)."""
+    n = F.count(c).cast("double")
+    return F.try_divide(F.skewness(c) * F.sqrt(n * (n - 1)), n - 2)

@@ -166,3 +166,15 @@ def test_confusion_and_auc(spark):
     neg = [s for y, _, s in rows if y == 0]
     exp = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
     assert abs(ev.roc_auc(df, "y", "s") - exp) < 1e-12
+
+
+def test_edge_groups_do_not_fail(spark):
+    """Constant columns, one- and two-row groups, zero vectors: NULL, never an error."""
+    rows = [(1, 5.0), (1, 5.0), (1, 5.0), (2, 1.0), (2, 3.0), (3, 7.0)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    sk = {r["g"]: r["sk"] for r in df.groupBy("g").agg(ag.skewness_corrected("v").alias("sk")).collect()}
+    assert sk[2] is None and sk[3] is None
+    h = ag.histogram(df, "v", 5, ["g"]).collect()
+    assert sum(r["count"] for r in h) == len(rows)
+    v = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
+    assert v.select(vx.cosine_distance(F.col("a"), F.col("b"))).first()[0] is None
