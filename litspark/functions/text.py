@@ -8,6 +8,8 @@ pattern runs unchanged in RE2-based engines used as oracles.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -232,7 +234,17 @@ def cut_to_budget(doc, budget) -> Column:
 
 # --- STR24-STR26: alternative cleaners ----------------------------------------
 
-ALT_PUNCT = "!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~"  # string.punctuation without - and '
+# ASCII punctuation except the hyphen and the apostrophe (kept inside words)
+ALT_PUNCT = "".join(ch for ch in string.punctuation if ch not in "-'")
+
+
+def is_general_stop(w: Column) -> Column:
+    """Membership in the general stop list: the word list is a small hash-set
+    lookup and the numbers 1..2099 are tested by rule, so no expression carries
+    thousands of literals."""
+    words = [x for x in lexicon.general_stop_list() if not x.isdigit()]
+    number = w.rlike("^[1-9][0-9]{0,3}$") & (w.try_cast("int") <= 2099)
+    return w.isin(words) | number
 
 
 def clean_alt(c, remove_stopwords: bool = True, exclude=()) -> Column:
@@ -258,8 +270,13 @@ def clean_alt(c, remove_stopwords: bool = True, exclude=()) -> Column:
     kept = F.filter(words, lambda w: (F.length(w) > 0) & ~is_link(w))
     cls = "[" + "".join("\\" + ch for ch in ALT_PUNCT) + "]+"
     stripped = F.transform(kept, lambda w: F.btrim(F.btrim(F.regexp_replace(w, cls, ""), F.lit("'")), F.lit("-")))
-    stop = _arr(list(dict.fromkeys((lexicon.general_stop_list() if remove_stopwords else []) + list(exclude))))
-    out = F.filter(stripped, lambda w: ~F.array_contains(stop, w))
+    excl = list(dict.fromkeys(exclude))
+
+    def dropped(w):
+        cond = is_general_stop(w) if remove_stopwords else F.lit(False)
+        return (cond | w.isin(excl)) if excl else cond
+
+    out = F.filter(stripped, lambda w: ~dropped(w))
     return F.transform(out, lambda w: F.lower(w))
 
 
@@ -291,8 +308,8 @@ def freq_words(c) -> Column:
     t = F.translate(F.lower(_c(c)), FREQ_PUNCT, " " * len(FREQ_PUNCT))
     t = F.trim(F.regexp_replace(t, "^" + PY_WS + "+|" + PY_WS + "+$", ""))
     words = F.filter(F.split(t, PY_WS + "+"), lambda w: F.length(w) > 0)
-    stop = _arr(list(dict.fromkeys(lexicon.ENGLISH_STOP_WORDS + FREQ_EXTRA_STOP)))
-    words = F.filter(words, lambda w: ~F.array_contains(stop, w))
+    stop = list(dict.fromkeys(lexicon.ENGLISH_STOP_WORDS + FREQ_EXTRA_STOP))
+    words = F.filter(words, lambda w: ~w.isin(stop))
     words = F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[0-9]", "")), lambda w: F.length(w) > 1)
     return F.when(F.size(words) > 0, F.concat(F.lit(" "), F.array_join(words, " "))).otherwise(F.lit(""))
 
@@ -313,6 +330,7 @@ def label_from_prob(p_yes) -> Column:
     return F.when(p > (F.lit(1.0) - p), F.lit("yes")).otherwise(F.lit("no"))
 
 
+# The four closed year ranges of the decade slices.
 DECADES = [(1971, 1981), (1982, 1992), (1993, 2003), (2004, 2014)]
 
 
