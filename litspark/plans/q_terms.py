@@ -47,9 +47,11 @@ def distinctive_terms(spark, sf_dir):
     """Flagship: clean every document, fit TF-IDF on the corpus, and list the
     50 terms with the largest summed weight in each label class (TXT4+TXT6)."""
     t = Tables(spark, sf_dir)
-    _, _, w = corpus_tfidf(t)
-    w = w.join(t.labels.select("doc_id", "quality"), "doc_id")
-    top = terms.distinctive_terms(w, "quality", k=50)
+    tf, vocab, _ = corpus_tfidf(t)
+    # the vocabulary is fitted on the whole corpus; weights (and their per-document
+    # normalisation) are only needed for the labelled documents
+    tl = tf.join(t.labels.select("doc_id", "quality"), "doc_id")
+    top = terms.distinctive_terms(terms.tfidf_weights(tl, vocab), "quality", k=50)
     return top.select("quality", "term", "score", F.col("rank").cast("int").alias("rank"))
 
 
