@@ -146,3 +146,23 @@ def test_indel_ratio_matches_definition(spark):
     # LCS-based ratio equals SequenceMatcher's when there are no junk heuristics at play
     assert indel_ratio_py("kitten", "sitting") == round(100 * 2 * 4 / 13)
     assert SequenceMatcher(None, "abc", "abc").ratio() == 1.0
+
+
+def test_cleaning_is_idempotent_on_its_output(spark):
+    """Property (survey test plan): cleaning the joined output of a cleaned
+    document changes nothing."""
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    alphabet = list("abcxyzABCXYZ éèüß0123456789.,:;'’-_!?()<>\n\t") + [" ", "the ", "and ", "valign", "align center"]
+
+    @settings(max_examples=3, deadline=None)
+    @given(st.lists(st.lists(st.sampled_from(alphabet), max_size=60).map("".join), min_size=20, max_size=40))
+    def check(texts):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+        once = df.select("i", tx.doc_string(tx.clean_document("t")).alias("c1"))
+        twice = once.select("i", "c1", tx.doc_string(tx.clean_document("c1")).alias("c2"))
+        for r in twice.collect():
+            assert r["c1"] == r["c2"], (texts[r["i"]], r["c1"], r["c2"])
+
+    check()
