@@ -178,3 +178,18 @@ def test_edge_groups_do_not_fail(spark):
     assert sum(r["count"] for r in h) == len(rows)
     v = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
     assert v.select(vx.cosine_distance(F.col("a"), F.col("b"))).first()[0] is None
+
+
+def test_reference_pieces_give_the_same_answers(spark, monkeypatch):
+    """Large reference sets are split into pieces; results equal the one-piece run."""
+    train = spark.createDataFrame([(i, [float(i % 13), float(i % 7)], i % 3) for i in range(60)],
+                                  "tid long, tv array<float>, tl int")
+    q = spark.createDataFrame([(100 + j, [float(j), float(j % 5)]) for j in range(12)], "qid long, v array<float>")
+    one = {r["qid"]: (r["knn_label"], r["knn_votes"]) for r in vx.knn_vote(q, "v", train, "tid", "tv", "tl").collect()}
+    d_one = sorted((r["qid"], r["tid"], round(r["distance"], 9)) for r in
+                   vx.distances_to_references(q, "v", train, "tid", "tv", "euclidean").collect())
+    monkeypatch.setattr(vx, "MAX_REFERENCE_ROWS", 10)
+    many = {r["qid"]: (r["knn_label"], r["knn_votes"]) for r in vx.knn_vote(q, "v", train, "tid", "tv", "tl").collect()}
+    d_many = sorted((r["qid"], r["tid"], round(r["distance"], 9)) for r in
+                    vx.distances_to_references(q, "v", train, "tid", "tv", "euclidean").collect())
+    assert one == many and d_one == d_many
