@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from litspark.functions import lexicon
 from litspark.functions import text as tx
 
-# Broadcast only below this many rows, checked at run time.
+# Broadcast only below this many rows and bytes, checked at run time; wider or
+# larger tables are left to the shuffle join (AQE splits skewed partitions).
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -18,12 +20,21 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     from litspark.session import reuse
     kept = reuse(df)  # the count and the broadcast read the same computed rows
     n = kept.limit(max_rows + 1).count()
-    if n <= max_rows:
+    if n <= max_rows and _size_in_bytes(kept) <= BROADCAST_MAX_BYTES:
         return F.broadcast(kept)
     kept.unpersist()
     return df
 
 
+def _size_in_bytes(df: DataFrame) -> int:
+    """Size estimate of a (cached, hence measured) frame from the optimizer's statistics."""
+    try:
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size if isinstance(size, int) else size.toString())
+    except Exception:  # noqa: BLE001 - no statistics: rely on the row bound alone
+        return 0
+
+
 class KeyViolation(ValueError):
     pass
 
