@@ -134,29 +134,31 @@ def learn_phrases(sents: DataFrame, min_count: int = 5, threshold: float = 10.0,
 
 def apply_phrases(sents: DataFrame, phrases: DataFrame, keys: list[str], toks: str = "toks") -> DataFrame:
     """Greedy left-to-right, non-overlapping merge of accepted adjacent pairs
-    (no connectors). Accepted positions come from a join with the phrase table;
-    the merge itself runs inside each sentence row."""
+    (no connectors). A run of consecutive accepted pairs merges at its 1st,
+    3rd, 5th... pair, which is exactly what the greedy scan does; the runs are
+    found with windows over the accepted positions of one sentence, and the
+    merged token list is then built inside each sentence row."""
     from litspark.operators.joins import broadcast_if_small
     # adjacent pairs with their 1-based start position, built inside each sentence row
     p = sents.select(*keys, F.posexplode(_adjacent(F.col(toks))).alias("_pos", "_p")) \
         .select(*keys, (F.col("_pos") + 1).alias("i"), F.concat_ws("_", "_p.a", "_p.b").alias("phrase"))
-    hit = p.join(broadcast_if_small(phrases.select("phrase").distinct()), "phrase") \
-        .groupBy(*keys).agg(F.collect_set("i").alias("_acc"))  # positions within one sentence
-    j = sents.join(hit, keys, "left").withColumn("_acc", F.coalesce("_acc", F.array().cast("array<int>")))
+    hit = p.join(broadcast_if_small(phrases.select("phrase").distinct()), "phrase").select(*keys, "i")
+    sent_w = Window.partitionBy(*keys).orderBy("i")  # accepted pairs of one sentence
+    hit = hit.withColumn("_run", F.col("i") - F.row_number().over(sent_w))
+    hit = hit.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_run").orderBy("i")))
+    starts = hit.where(F.col("_k") % 2 == 1).groupBy(*keys).agg(F.collect_list("i").alias("_m"))
+    j = sents.join(starts, keys, "left").withColumn("_m", F.coalesce("_m", F.array().cast("array<int>")))
     n = F.size(toks)
-    init = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, i):
-        merged = F.concat(F.element_at(toks, i), F.lit("_"), F.element_at(toks, i + 1))
-        return (F.when(acc["skip"], F.struct(F.lit(False).alias("skip"), acc["out"].alias("out")))
-                .when(F.array_contains(F.col("_acc"), i),
-                      F.struct(F.lit(True).alias("skip"), F.concat(acc["out"], F.array(merged)).alias("out")))
-                .otherwise(F.struct(F.lit(False).alias("skip"),
-                                    F.concat(acc["out"], F.array(F.element_at(toks, i))).alias("out"))))
-
-    out = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), init, step)["out"]) \
-        .otherwise(F.array().cast("array<string>"))
-    return j.withColumn("phrased", out).drop("_acc")
+
+    def token(i):
+        pair = F.concat(F.element_at(toks, i), F.lit("_"), F.element_at(toks, i + 1))
+        return (F.when(F.array_contains(F.col("_m"), i), pair)
+                .when(F.array_contains(F.col("_m"), i - 1), F.lit(None).cast("string"))
+                .otherwise(F.element_at(toks, i)))
+
+    out = F.when(n > 0, F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), token),
+                                 lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
+    return j.withColumn("phrased", out).drop("_m")
 
 
 # --- dictionary n-grams and token ids (STR28-STR29) ---------------------------------
