@@ -193,3 +193,12 @@ def test_reference_pieces_give_the_same_answers(spark, monkeypatch):
     d_many = sorted((r["qid"], r["tid"], round(r["distance"], 9)) for r in
                     vx.distances_to_references(q, "v", train, "tid", "tv", "euclidean").collect())
     assert one == many and d_one == d_many
+
+
+def test_first_n_with_ties(spark, rank_mode):
+    """n largest by score, ties by term, on both paths (one ordered window / distributed rank)."""
+    rows = [(f"t{i:03d}", (i * 7) % 11) for i in range(120)]
+    df = spark.createDataFrame(rows, "term string, cf long")
+    got = [(r["term"], r["rank"]) for r in wn.first_n(df, 25, F.col("cf"), F.col("term")).orderBy("rank").collect()]
+    exp = sorted(rows, key=lambda r: (-r[1], r[0]))[:25]
+    assert [t for t, _ in got] == [t for t, _ in exp] and [k for _, k in got] == list(range(1, 26))
