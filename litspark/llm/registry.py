@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from litspark.llm import decontaminate, exact_dedup, near_dedup, packing
+from litspark.llm import decontaminate, exact_dedup, near_dedup, packing, quality
 
 QUERIES = {
     "op6_exact_dedup": (exact_dedup.query, exact_dedup.SQL),
     "op9_near_dedup": (near_dedup.query, near_dedup.SQL),
     "op3_decontaminate": (decontaminate.query, decontaminate.SQL),
     "op4_packing": (packing.query, packing.SQL),
+    "op5_quality": (quality.query, quality.SQL),
 }
