@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from litspark.llm import decontaminate, exact_dedup, near_dedup, packing, quality
+from litspark.llm import decontaminate, exact_dedup, near_dedup, packing, quality, toxicity
 
 QUERIES = {
     "op6_exact_dedup": (exact_dedup.query, exact_dedup.SQL),
@@ -10,4 +10,5 @@ QUERIES = {
     "op3_decontaminate": (decontaminate.query, decontaminate.SQL),
     "op4_packing": (packing.query, packing.SQL),
     "op5_quality": (quality.query, quality.SQL),
+    "op7_toxicity": (toxicity.query, toxicity.SQL),
 }
