@@ -117,11 +117,13 @@ def exact_dedup(snapshot_docs: DataFrame, batch_docs: DataFrame) -> DataFrame:
     fresh = batch.join(matched, key, "left_anti").withColumn("alone", F.lit(True))
     merged = (snapshot.unionByName(batch.join(matched, key, "left_semi")).groupBy(*key)
               .agg(F.sum("rows").alias("rows"), F.min("best").alias("best")).withColumn("alone", F.lit(False)))
-    verdicts = checkpointed(merged.unionByName(fresh))
+    verdicts = merged.unionByName(fresh)
     # A row belongs to the merged group, or to the one that stands alone (only
     # batch rows can); with equal digests of unequal bytes both exist.
-    both = verdicts.groupBy(*key).agg(F.max(F.when(F.col("alone"), F.struct("rows", "best"))).alias("own"),
-                                      F.max(F.when(~F.col("alone"), F.struct("rows", "best"))).alias("shared"))
+    # Written, so that the join below deals both sides out for itself and a hot
+    # text's rows can be split.
+    both = checkpointed(verdicts.groupBy(*key).agg(F.max(F.when(F.col("alone"), F.struct("rows", "best"))).alias("own"),
+                                                   F.max(F.when(~F.col("alone"), F.struct("rows", "best"))).alias("shared")))
     chosen = F.when(F.col("incoming") & F.col("own").isNotNull(), F.col("own")).otherwise(F.col("shared"))
     out = rows.join(both, key).select("doc_id", "n", "sha", chosen.alias("g"))
     return out.select("doc_id", "n", F.lower(F.hex("sha")).alias("text_sha256"), F.col("g.best.id").alias("keep_id"),
