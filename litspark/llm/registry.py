@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from litspark.llm import chat_format, decontaminate, exact_dedup, lm_score, near_dedup, packing, quality, toxicity
+from litspark.llm import chat_format, decontaminate, exact_dedup, lm_score, near_dedup, packing, pii, quality, toxicity
 
 QUERIES = {
     "op6_exact_dedup": (exact_dedup.query, exact_dedup.SQL),
@@ -13,4 +13,5 @@ QUERIES = {
     "op7_toxicity": (toxicity.query, toxicity.SQL),
     "op8_lm_score": (lm_score.query, lm_score.SQL),
     "op10_chat_format": (chat_format.query, chat_format.SQL),
+    "op1_pii": (pii.query, pii.SQL),
 }
