@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litspark.llm.common import slices, small_batches, table, text_of, utf8
-from litspark.llm.words import ALPHANUMERIC, split_words
+from litspark.llm.words import ALPHANUMERIC, Words, split_words
 
 WINDOW = 10
 #: Words of test items that one task holds at a time.
@@ -130,7 +130,7 @@ def _scanner(block: TestBlock):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, "text"):
             words = split_words(data, offsets, ALPHANUMERIC)
-            numbers = block.numbers(words.hashes()) if len(block.vocabulary) else np.zeros(len(words.start), np.int32)
+            numbers = _numbers(block, words)
             item, _, where, length = shard_matches(block, numbers, words.first)
             hits = np.zeros(len(numbers) + 1, np.int64)
             np.add.at(hits, where, 1)
@@ -180,10 +180,28 @@ def _joined(a: DataFrame, b: DataFrame) -> DataFrame:
     return rows.withColumn("spans", F.transform(cover, lambda p: F.struct(p.alias("start"), F.lit(1).cast("bigint").alias("words"))))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a test window, all columns kept."""
-    bad = matches(docs, benchmark).filter(F.size("items") > 0).select(F.col("doc_id").alias("bad_id_")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["bad_id_"]), "left_anti")
+def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the documents that hold a test window, all columns kept;
+    each row is decided where it is read, block by block of the test items."""
+    small_batches(docs.sparkSession)
+    for block in _blocks(benchmark, "item_id", "text", window):
+        docs = docs.mapInArrow(_cleaner(block), docs.schema)
+    return docs
+
+
+def _cleaner(block: TestBlock):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches, "text"):
+            words = split_words(data, offsets, ALPHANUMERIC)
+            _, _, where, _ = shard_matches(block, _numbers(block, words), words.first)
+            clean = np.ones(batch.num_rows, bool)
+            clean[np.searchsorted(words.first, where, side="right") - 1] = False
+            yield batch.filter(pa.array(clean))
+    return run
+
+
+def _numbers(block: TestBlock, words: Words) -> np.ndarray:
+    return block.numbers(words.hashes()) if len(block.vocabulary) else np.zeros(len(words.start), np.int32)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,34 +150,38 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     return train(bags, got["label"].to_numpy().astype(int))
 
 
-def _scorer(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in slices(batches, "text"):
-            words = split_words(data, offsets, BLANK_SEPARATED, lower=False)
-            _, place, number = distinct(words)
-            feats, first = word_features(words, place, NGRAMS, BUCKETS)
-            of_word, size = sums(model.feature[feats], first), np.diff(first)
-            total = sums(size[number].astype(float), words.first)
-            again = _repeats(words, number)
-            in_text = of_word[number] + model.feature[BUCKETS:] @ again
-            total += sums(again.sum(0).astype(float), words.first)
-            logit = sums(in_text, words.first) / np.maximum(total, 1) + model.always + model.bias
-            score = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["doc_id", "score"])
-    return run
+def _scores(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
+    words = split_words(data, offsets, BLANK_SEPARATED, lower=False)
+    _, place, number = distinct(words)
+    feats, first = word_features(words, place, NGRAMS, BUCKETS)
+    of_word, size = sums(model.feature[feats], first), np.diff(first)
+    again = _repeats(words, number)
+    total = sums((size[number] + again.sum(0)).astype(float), words.first)
+    in_text = of_word[number] + model.feature[BUCKETS:] @ again
+    logit = sums(in_text, words.first) / np.maximum(total, 1) + model.always + model.bias
+    return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1) of every row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(data, offsets, model))], ["doc_id", "score"])
+
     small_batches(docs.sparkSession)
     return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-            .mapInArrow(_scorer(model), "doc_id bigint, score double"))
+            .mapInArrow(run, "doc_id bigint, score double"))
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows scored below the threshold, all columns kept."""
-    bad = score(docs, model).filter(F.col("score") < threshold).select(F.col("doc_id").alias("bad_id_")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(bad["bad_id_"]), "left_anti")
+    """``docs`` without the rows scored below the threshold, all columns kept;
+    each row is decided where it is read."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches, "text"):
+            yield batch.filter(pa.array(_scores(data, offsets, model) >= threshold))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
