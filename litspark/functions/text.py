@@ -346,6 +346,17 @@ def decade(year) -> Column:
 
 # --- STR34: title similarity ------------------------------------------------------
 
+# Accented lower-case letters and the plain letters that stand for
+# them when titles are compared; any other non-ASCII character becomes '?'.
+ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøœùúûüýÿß"
+PLAIN = "aaaaaaaceeeeiiiinooooooouuuuyys"
+
+
+def fold_accents(c) -> Column:
+    """Lower case, accents folded, one plain character per character."""
+    return F.regexp_replace(F.translate(F.lower(_c(c)), ACCENTED, PLAIN), r"[^\x00-\x7f]", "?")
+
+
 def similarity_ratio(a, b) -> Column:
     """0-100 similarity of two lower-cased strings from the edit distance."""
     def ratio(a, b):

@@ -11,28 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-import os
-
-# Inputs of at most this many rows take the one-pass path after a size check
-# (Spark's exact ``percentile`` aggregate, one ordered window per group): at
-# that size a group in one task is harmless and the fewer jobs are faster.
-# Larger inputs use the distributed rank resolution below. LITSPARK_SMALL_ROWS=0
-# forces the distributed path everywhere (tests run both).
-SMALL_ROWS = int(os.environ.get("LITSPARK_SMALL_ROWS", "5000000"))
-
-
-def is_small(df: DataFrame) -> bool:
-    """Size check: does ``df`` have at most SMALL_ROWS rows? (one bounded job)"""
-    if SMALL_ROWS <= 0:
-        return False
-    return df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-
-
-# Bins per refinement pass; the values of one bin are only ever counted, never
-# collected, unless the bin holds at most ``EXACT_LIMIT`` distinct values.
-BINS = 1024
-EXACT_LIMIT = 50_000
-
 
 def yearly_proportion(base: DataFrame, category: DataFrame, year: str = "year") -> DataFrame:
     """Per year in ``base``: category rows / base rows, 0 for years without
@@ -43,112 +21,67 @@ def yearly_proportion(base: DataFrame, category: DataFrame, year: str = "year")
     return j.withColumn("proportion", F.col("n_category") / F.col("n_base"))
 
 
-def _ranks(n: Column, p: float):
-    h = (n - F.lit(1)).cast("double") * F.lit(p)
+def _ranks(n: Column, p: Column):
+    h = (n - F.lit(1)).cast("double") * p
     return F.floor(h).cast("long"), F.ceil(h).cast("long"), h - F.floor(h)
 
 
+def join_null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which nulls are equal; the keys of ``a`` are kept."""
+    r = b.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in b.columns if c not in keys])
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & a[k].eqNullSafe(r[f"_k_{k}"])
+    return a.join(r, cond, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def values_at_ranks(df: DataFrame, value: str, group: list[str], targets: DataFrame) -> DataFrame:
+    """The values at 0-based ascending ranks: ``targets`` is (group..., _r); the
+    result adds ``_val``. A null group is a group; null and NaN values are left
+    out. Equal values are counted before the sort, so a frequent value is one
+    row; sorted ranges are summed on their own and shifted by the totals before
+    them (one row per group and range)."""
+    from litspark.session import cut_lineage
+    g = group
+    counts = (df.select(*g, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+              .groupBy(*g, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    s = cut_lineage(counts.orderBy(*g, "_v").withColumn("_pid", F.spark_partition_id()))
+    inside = Window.partitionBy("_pid", *g).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)  # one range of one group
+    s = s.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    before = Window.partitionBy(*g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    shift = (s.groupBy("_pid", *g).agg(F.sum("_c").alias("_total"))
+             .select("_pid", *g, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_shift")))
+    at = join_null_safe(s, shift, ["_pid", *g]).withColumn("_from", F.col("_in") + F.col("_shift")) if g else \
+        s.join(shift, "_pid").withColumn("_from", F.col("_in") + F.col("_shift"))
+    t = targets.select(*[F.col(k).alias(f"_t_{k}") for k in g], "_r")
+    cond = (F.col("_r") >= F.col("_from")) & (F.col("_r") < F.col("_from") + F.col("_c"))
+    for k in g:
+        cond = cond & at[k].eqNullSafe(t[f"_t_{k}"])
+    return at.join(t, cond).select(*g, "_r", F.col("_v").alias("_val"))
+
+
 def exact_percentiles(df: DataFrame, value: str, group: list[str], probs: list[float]) -> DataFrame:
     """(group..., p, value) with linear interpolation between order statistics
-    (numpy's default), computed without sorting any group in one task.
-
-    Pass 1: per group n, min, max; per (group, bin) counts over BINS equal-width
-    bins. The bin holding each needed order statistic follows from running
-    counts over the (bounded) bin table. Pass 2: the rows of those bins only,
-    counted per distinct value, ranked inside the bin. A bin with more than
-    EXACT_LIMIT distinct values is refined again (same two steps on its range).
-    """
-    from litspark.session import reuse
+    (numpy's default). The null group is a group; null values are left out."""
+    if not group:
+        return exact_percentiles(df.withColumn("all__", F.lit(0)), value, ["all__"], probs).drop("all__")
     g = group
-    base = reuse(df.select(*g, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")))
-    if is_small(base):
-        q = base.groupBy(*g).agg(F.percentile("_v", [float(p) for p in probs]).alias("_q"))
-        ps = F.array(*[F.lit(float(p)) for p in probs])
-        q = q.select(*g, F.posexplode("_q").alias("_i", "value"))
-        return q.select(*g, F.element_at(ps, F.col("_i") + 1).alias("p"), "value")
-    stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    # needed order statistics (0-based ranks) per group and p
-    need = []
-    for p in probs:
-        r0, r1, frac = _ranks(F.col("_n"), p)
-        need.append(stats.select(*g, F.lit(p).alias("p"), r0.alias("r0"), r1.alias("r1"), frac.alias("frac")))
-    need_df = need[0]
-    for x in need[1:]:
-        need_df = need_df.unionByName(x)
+    v = F.col(value).cast("double")
+    n = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+    ps = F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p")
+    need = n.select(*g, "_n", ps)
+    r0, r1, frac = _ranks(F.col("_n"), F.col("p"))
+    need = need.select(*g, "p", r0.alias("r0"), r1.alias("r1"), frac.alias("frac"))
     # several probabilities can need the same order statistic: resolve each once
-    ranks = need_df.select(*g, F.explode(F.array("r0", "r1")).alias("_r")).distinct()
-    # rank -> value, by refinement inside (lo, hi, offset) windows
-    targets = ranks.join(stats.select(*g, "_lo", "_hi"), g).withColumn("_before", F.lit(0).cast("long"))
+    ranks = need.select(*g, F.explode(F.array("r0", "r1")).alias("_r")).distinct()
     from litspark.session import small_result
-    found = small_result(_resolve_ranks(base, g, targets))  # one row per needed rank
-    v0 = found.select(*g, F.col("_r").alias("r0"), F.col("_val").alias("v0"))
-    v1 = found.select(*g, F.col("_r").alias("r1"), F.col("_val").alias("v1"))
-    out = need_df.join(v0, g + ["r0"]).join(v1, g + ["r1"])
+    found = small_result(values_at_ranks(df, value, g, ranks))  # one row per needed rank
+    lo = found.select(*g, F.col("_r").alias("r0"), F.col("_val").alias("v0"))
+    hi = found.select(*g, F.col("_r").alias("r1"), F.col("_val").alias("v1"))
+    out = join_null_safe(join_null_safe(need, lo, [*g, "r0"]), hi, [*g, "r1"])
     return out.select(*g, "p", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("frac")).alias("value"))
 
 
-def _bin(v: Column, lo: Column, hi: Column) -> Column:
-    width = (hi - lo) / F.lit(BINS)
-    return F.when(hi == lo, F.lit(0)).otherwise(F.least(F.floor((v - lo) / width), F.lit(BINS - 1))).cast("int")
-
-
-def _locate(rows: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
-    """rows: (keys..., _v, _lo, _hi); targets: (keys..., _r, _before) with the
-    rank counted from the start of the group. Adds the bin (_b) holding each
-    target rank, the rows below that bin (_before) and the bin's distinct count."""
-    b = _bin(F.col("_v"), F.col("_lo"), F.col("_hi"))
-    hist = rows.groupBy(*keys, b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"),
-                                                 F.approx_count_distinct("_v").alias("_d"))
-    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = hist.withColumn("_cum", F.coalesce(F.sum("_c").over(w), F.lit(0)))  # <= BINS rows per window
-    t = targets.join(hist, keys).where((F.col("_r") - F.col("_before") >= F.col("_cum"))
-                                       & (F.col("_r") - F.col("_before") < F.col("_cum") + F.col("_c")))
-    return t.select(*keys, "_r", "_b", (F.col("_before") + F.col("_cum")).alias("_before"), "_d")
-
-
-def _exact_in(rows: DataFrame, keys: list[str], targets: DataFrame) -> DataFrame:
-    """Rank the distinct values of the selected rows (with counts) and pick
-    the target ranks. ``rows`` is already limited to the target bins."""
-    vals = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_k"))
-    wv = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    vals = vals.withColumn("_kb", F.coalesce(F.sum("_k").over(wv), F.lit(0)))
-    res = targets.join(vals, keys).where((F.col("_r") - F.col("_before") >= F.col("_kb"))
-                                         & (F.col("_r") - F.col("_before") < F.col("_kb") + F.col("_k")))
-    return res.select(*[k for k in keys if k not in ("_b", "_b0")], "_r", F.col("_v").alias("_val"))
-
-
-def _resolve_ranks(base: DataFrame, g: list[str], targets: DataFrame) -> DataFrame:
-    """targets: (group..., _r, _lo, _hi, _before=0). Returns (group..., _r, _val).
-
-    Level 0 bins the whole group range; when a target bin still holds more than
-    EXACT_LIMIT distinct values, level 1 re-bins that bin's rows between their
-    own min and max, and the values of the level-1 bin are ranked."""
-    # One row per group meets every row of the group. AQE turns this into a
-    # broadcast join from the measured size of the small side (no extra job);
-    # if the side is large it splits the partitions of hot groups instead.
-    rows0 = base.join(targets.select(*g, "_lo", "_hi").distinct(), g)
-    from litspark.session import reuse
-    # small (one row per target rank); read by the refinement check and the final step
-    t0 = reuse(_locate(rows0, g, targets.select(*g, "_r", "_before")))
-    rows0 = rows0.withColumn("_b", _bin(F.col("_v"), F.col("_lo"), F.col("_hi")))
-    small = t0.where(F.col("_d") <= EXACT_LIMIT)
-    big = t0.where(F.col("_d") > EXACT_LIMIT)
-    res = _exact_in(rows0.join(small.select(*g, "_b").distinct(), g + ["_b"]), g + ["_b"],
-                    small.select(*g, "_b", "_r", "_before"))
-    if big.limit(1).count() == 0:
-        return res
-    k1 = g + ["_b"]
-    rows1 = rows0.join(big.select(*k1).distinct(), k1).drop("_lo", "_hi")
-    rng = rows1.groupBy(*k1).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    rows1 = rows1.join(rng, k1).withColumnRenamed("_b", "_b0")
-    k1r = g + ["_b0"]
-    t1 = _locate(rows1, k1r, big.select(*g, F.col("_b").alias("_b0"), "_r", "_before"))
-    rows1 = rows1.withColumn("_b", _bin(F.col("_v"), F.col("_lo"), F.col("_hi")))
-    k2 = k1r + ["_b"]
-    res1 = _exact_in(rows1.join(t1.select(*k2).distinct(), k2), k2, t1.select(*k2, "_r", "_before"))
-    return res.unionByName(res1)
-
-
 def histogram(df: DataFrame, value: str, n_bins: int, group: list[str] | None = None) -> DataFrame:
     """Equal-width bins between min and max (max falls in the last bin)."""
     g = group or []

@@ -8,33 +8,6 @@ from pyspark.sql import functions as F
 from litspark.functions import lexicon
 from litspark.functions import text as tx
 
-# Broadcast only below this many rows and bytes, checked at run time; wider or
-# larger tables are left to the shuffle join (AQE splits skewed partitions).
-BROADCAST_MAX_ROWS = 2_000_000
-BROADCAST_MAX_BYTES = 256 * 1024 * 1024
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only after a size check (one count job, bounded by the
-    limit); otherwise the plain frame, left to the shuffle join and AQE."""
-    from litspark.session import reuse
-    kept = reuse(df)  # the count and the broadcast read the same computed rows
-    n = kept.limit(max_rows + 1).count()
-    if n <= max_rows and _size_in_bytes(kept) <= BROADCAST_MAX_BYTES:
-        return F.broadcast(kept)
-    kept.unpersist()
-    return df
-
-
-def _size_in_bytes(df: DataFrame) -> int:
-    """Size estimate of a (cached, hence measured) frame from the optimizer's statistics."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size if isinstance(size, int) else size.toString())
-    except Exception:  # noqa: BLE001 - no statistics: rely on the row bound alone
-        return 0
-
-
 class KeyViolation(ValueError):
     pass
 
@@ -83,20 +56,24 @@ def word_blocks(df: DataFrame, id_col: str, title_col: str) -> DataFrame:
 
 
 def closest_title(queries: DataFrame, q_id: str, q_title: str, names: DataFrame, n_id: str,
-                  n_title: str) -> DataFrame:
-    """For each query title the best candidate by similarity (ties by id).
-
-    Candidates share at least one non-stop word with the query (blocking);
-    pairs are deduplicated before scoring, and only the small query side is
-    exploded against the word index of the names."""
-    qb = word_blocks(queries, q_id, q_title)
+                  n_title: str, rarest: int = 3) -> DataFrame:
+    """For each query title the best name by similarity (ties by id); a query
+    without a candidate has nulls.
+
+    Candidates share one of the query's ``rarest`` non-stop words (by the number
+    of names that have it, then by the word), so a word that many titles have
+    pairs nothing unless a title has no rarer one. Titles are compared with
+    accents folded; scores are aggregated per query, not sorted."""
     nb = word_blocks(names, n_id, n_title)
-    # the query side is the small one; a common word must not become one hot task
-    pairs = nb.join(broadcast_if_small(qb), "block").select(q_id, n_id).distinct()
+    held = nb.groupBy("block").agg(F.count(F.lit(1)).alias("_n"))
+    few = word_blocks(queries, q_id, q_title).join(held, "block").groupBy(q_id).agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("_n", "block"))), 1, rarest).alias("_few"))  # words of one title
+    keys = few.select(q_id, F.explode("_few.block").alias("block"))
+    pairs = nb.join(keys, "block").select(q_id, n_id).distinct()
     scored = (pairs.join(queries.select(q_id, q_title), q_id).join(names.select(n_id, n_title), n_id)
-              .withColumn("similarity", tx.similarity_ratio(F.col(q_title), F.col(n_title))))
-    from litspark.operators.windows import top_k
-    return top_k(scored, [q_id], F.col("similarity"), 1, [F.col(n_id).asc()]).drop("rank")
+              .withColumn("similarity", tx.similarity_ratio(tx.fold_accents(q_title), tx.fold_accents(n_title))))
+    best = scored.groupBy(q_id).agg(F.max_by(F.struct(n_id, "similarity"), F.struct("similarity", -F.col(n_id))).alias("_best"))
+    return queries.select(q_id).join(best, q_id, "left").select(q_id, f"_best.{n_id}", "_best.similarity")
 
 
 def shingles(tokens: Column, n: int = 3) -> Column:
@@ -114,4 +91,4 @@ def fragment_matches(fragments: DataFrame, frag_id: str, frag_tokens: str, docs:
     f = fragments.where(F.size(frag_tokens) >= n).select(
         frag_id, F.array_join(F.slice(frag_tokens, 1, n), " ").alias("shingle"))
     d = docs.select(doc_id, F.explode(F.array_distinct(shingles(F.col(doc_tokens), n))).alias("shingle"))
-    return d.join(broadcast_if_small(f), "shingle").select(frag_id, doc_id).distinct()
+    return d.join(f, "shingle").select(frag_id, doc_id).distinct()

@@ -1,10 +1,10 @@
 """Reproducible sampling and resampling (SMP*).
 
 One rule replaces every random draw: rows are ordered by
-``md5(seed || ':' || key)`` (ties by key). The 13 leading hex digits give a
-52-bit integer that doubles hold exactly, so "the first n rows by hash" is a
-filter ``h <= n-th smallest h`` found by distributed rank resolution: no
-global sort, no single-partition window, no ``limit`` of a large n.
+``md5(seed || ':' || key)`` (ties by key). Hashes are uniform, so the first n of
+N rows lie below about n / N of the hash range: a threshold a little above that
+is tried first and raised until every group has enough rows below it. Only those
+rows are ranked: no sort of the whole table, no single-partition window.
 """
 
 from __future__ import annotations
@@ -12,7 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litspark.operators.windows import global_rank, order_statistic
+from litspark.operators.aggregates import join_null_safe
+from litspark.operators.windows import global_rank
+
+
+#: Hash integers are below this (13 hex digits).
+HASH_RANGE = 1 << 52
 
 
 def hash_str(seed, key: Column) -> Column:
@@ -25,28 +30,27 @@ def hash_int(seed, key: Column, digits: int = 13) -> Column:
 
 
 def first_n_by_hash(df: DataFrame, n, key: str, seed, group: list[str] | None = None) -> DataFrame:
-    """The first n rows per group in hash order (n an int or a per-group Column
-    already on ``df``)."""
-    g = group or []
-    d = df.withColumn("_h", hash_int(seed, F.col(key)))
-    if isinstance(n, int):
-        kth = order_statistic(d, F.col("_h"), g, n - 1)
-        # one row per group (broadcast by AQE from its measured size), or one row
-        out = d.join(kth, g) if g else d.join(F.broadcast(kth.drop("all__")))
-        out = out.where(F.col("_h") <= F.col("kth"))
-        if n <= 0:
-            out = out.where(F.lit(False))
-        return out.drop("_h", "kth")
-    # per-group n: rank resolution per group with its own target
-    from litspark.operators.aggregates import _resolve_ranks
-    base = d.select(*g, F.col("_h").cast("double").alias("_v"))
-    stats = d.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.min("_h").cast("double").alias("_lo"),
-                              F.max("_h").cast("double").alias("_hi"), F.first(n).alias("_want"))
-    targets = stats.where(F.col("_want") > 0).select(
-        *g, (F.least(F.col("_want"), F.col("_n")) - 1).cast("long").alias("_r"), "_lo", "_hi",
-        F.lit(0).cast("long").alias("_before"))
-    kth = _resolve_ranks(base, g, targets).select(*g, F.col("_val").alias("kth"))
-    return d.join(kth, g).where(F.col("_h") <= F.col("kth")).drop("_h", "kth")
+    """Exactly the first n rows per group in hash order (ties by key; a null key comes first; the null
+    group is a group); n is an int or a per-group Column already on ``df``."""
+    from litspark.session import small_result
+    g = group or ["all__"]
+    d = (df if group else df.withColumn("all__", F.lit(0))).withColumn("_h", F.coalesce(hash_int(seed, F.col(key)), F.lit(0)))
+    want = F.lit(n) if isinstance(n, int) else F.first(n)
+    groups = small_result(d.groupBy(*g).agg(F.count(F.lit(1)).alias("_rows"), want.cast("long").alias("_want"))
+                          .withColumn("_want", F.greatest(F.least("_want", "_rows"), F.lit(0))))  # one row per group
+    slack = 64
+    while True:
+        share = (F.col("_want") + F.lit(6) * F.sqrt("_want") + F.lit(slack)) / F.col("_rows")
+        limit = F.least(F.ceil(share * F.lit(float(HASH_RANGE))), F.lit(HASH_RANGE)).cast("long")
+        below = join_null_safe(d, groups.select(*g, "_want", limit.alias("_limit")), g).where((F.col("_h") < F.col("_limit")) & (F.col("_want") > 0))
+        have = below.groupBy(*g).agg(F.count(F.lit(1)).alias("_have"))
+        short = join_null_safe(groups.where("_want > 0"), have, g, "left").where(F.coalesce("_have", F.lit(0)) < F.col("_want"))
+        if short.isEmpty():
+            break
+        slack *= 64  # a threshold of the whole range always suffices
+    ranked = global_rank(below, [F.col("_h"), F.col(key)], g, "_pos")
+    out = ranked.where(F.col("_pos") <= F.col("_want")).drop("_h", "_want", "_limit", "_pos")
+    return out if group else out.drop("all__")
 
 
 def shuffle_rank(df: DataFrame, key: str, seed, partition: list[str] | None = None, name: str = "rank") -> DataFrame:
@@ -68,7 +72,7 @@ def oversample(df: DataFrame, label: str, minority, ratio: float, key: str, seed
     position (first 8 hex digits of md5(seed:i)) mod n_min in hash order."""
     counts = dict(df.groupBy(label).count().collect())  # one row per class
     n_min = counts.get(minority, 0)
-    n_maj = max(v for k, v in counts.items() if k != minority) if len(counts) > 1 else 0
+    n_maj = max((v for k, v in counts.items() if k != minority and k is not None), default=0)
     need = int(ratio * n_maj) - n_min
     base = df.withColumn("draw", F.lit(-1).cast("long"))
     if need <= 0 or n_min == 0:
@@ -85,10 +89,10 @@ def undersample(df: DataFrame, label: str, majority, ratio: float, key: str, see
     """Keep int(n_min / ratio) majority rows (first in hash order) and every
     other row."""
     counts = dict(df.groupBy(label).count().collect())
-    n_min = min(v for k, v in counts.items() if k != majority) if len(counts) > 1 else 0
+    n_min = min((v for k, v in counts.items() if k != majority and k is not None), default=0)
     keep = int(n_min / ratio)
     maj = first_n_by_hash(df.where(F.col(label) == F.lit(majority)), keep, key, seed)
-    return df.where(F.col(label) != F.lit(majority)).unionByName(maj)
+    return df.where(~F.col(label).eqNullSafe(F.lit(majority))).unionByName(maj)
 
 
 def split_train_validation(df: DataFrame, test_size: float, key: str, seed) -> DataFrame:
@@ -96,9 +100,8 @@ def split_train_validation(df: DataFrame, test_size: float, key: str, seed) -> D
     import math
     n = df.count()
     k = math.ceil(test_size * n)
-    val = first_n_by_hash(df, k, key, seed).select(key).withColumn("_val", F.lit(True))
-    return df.join(val, key, "left").withColumn(
-        "split", F.when(F.col("_val"), F.lit("validation")).otherwise(F.lit("train"))).drop("_val")
+    r = shuffle_rank(df, key, seed, name="_pos")
+    return r.withColumn("split", F.when(F.col("_pos") <= k, F.lit("validation")).otherwise(F.lit("train"))).drop("_pos")
 
 
 def kfold(df: DataFrame, k: int, key: str, seed, stratify: str | None = None, name: str = "fold") -> DataFrame:

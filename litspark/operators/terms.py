@@ -103,7 +103,6 @@ def learn_phrases(sents: DataFrame, min_count: int = 5, threshold: float = 10.0,
     """(phrase, a, b, count, score) with score = (count - min_count) * N /
     (count(a) * count(b)) > threshold, N = distinct words + distinct phrases.
     All statistics are partial aggregates; N is a scalar subquery."""
-    from litspark.operators.joins import broadcast_if_small
     from litspark.session import reuse
     if connectors:
         words = sents.select(F.explode(toks).alias("w"))
@@ -120,12 +119,10 @@ def learn_phrases(sents: DataFrame, min_count: int = 5, threshold: float = 10.0,
     pairs = reuse(pairs)
     # a phrase determines its words, so pair rows = distinct phrases
     n_vocab = uni.agg(F.count(F.lit(1))).scalar() + pairs.agg(F.count(F.lit(1))).scalar()
-    # pairs are keyed by their words, and a frequent word is a hot key: the word
-    # table goes to every task when its size allows, else AQE splits skewed partitions
-    u = broadcast_if_small(uni)
-    hint = F.broadcast if u is not uni else (lambda d: d)
-    ua = hint(u.select(F.col("w").alias("a"), F.col("cnt").alias("cnt_a")))
-    ub = hint(u.select(F.col("w").alias("b"), F.col("cnt").alias("cnt_b")))
+    # pairs are keyed by their words, and a frequent word is a hot key: AQE
+    # broadcasts the word table where it is small, else splits skewed partitions
+    ua = uni.select(F.col("w").alias("a"), F.col("cnt").alias("cnt_a"))
+    ub = uni.select(F.col("w").alias("b"), F.col("cnt").alias("cnt_b"))
     s = pairs.join(ua, "a").join(ub, "b").withColumn(
         "score", (F.col("count") - F.lit(min_count)).cast("double") * n_vocab / (F.col("cnt_a") * F.col("cnt_b")))
     from litspark.session import small_result
@@ -138,11 +135,10 @@ def apply_phrases(sents: DataFrame, phrases: DataFrame, keys: list[str], toks: s
     3rd, 5th... pair, which is exactly what the greedy scan does; the runs are
     found with windows over the accepted positions of one sentence, and the
     merged token list is then built inside each sentence row."""
-    from litspark.operators.joins import broadcast_if_small
     # adjacent pairs with their 1-based start position, built inside each sentence row
     p = sents.select(*keys, F.posexplode(_adjacent(F.col(toks))).alias("_pos", "_p")) \
         .select(*keys, (F.col("_pos") + 1).alias("i"), F.concat_ws("_", "_p.a", "_p.b").alias("phrase"))
-    hit = p.join(broadcast_if_small(phrases.select("phrase").distinct()), "phrase").select(*keys, "i")
+    hit = p.join(phrases.select("phrase").distinct(), "phrase").select(*keys, "i")
     sent_w = Window.partitionBy(*keys).orderBy("i")  # accepted pairs of one sentence
     hit = hit.withColumn("_run", F.col("i") - F.row_number().over(sent_w))
     hit = hit.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_run").orderBy("i")))
@@ -176,13 +172,12 @@ def token_ids(docs: DataFrame, doc_col: str, vocab: DataFrame, pad: int, length:
     """Vocabulary index per word, UNK = pad + 2 for unknown words, pad + 1 after
     every sentence, first ``length`` ids, padded with ``pad``. Each document is
     cut to ``length`` items inside its row before anything is exploded."""
-    from litspark.operators.joins import broadcast_if_small
     period = "<PERIOD>"
     seq = F.slice(F.flatten(F.transform(doc_col, lambda s: F.concat(s, F.array(F.lit(period))))), 1, length)
-    ex = docs.select(key, F.posexplode(seq).alias("p", "term"))
-    j = ex.join(broadcast_if_small(vocab.select("term", "vec_id")), "term", "left")
+    ex = docs.select(key, F.posexplode_outer(seq).alias("p", "term"))  # empty documents stay: all padding
+    j = ex.join(vocab.select("term", "vec_id"), "term", "left")
     idc = F.when(F.col("term") == period, F.lit(pad + 1)).otherwise(F.coalesce("vec_id", F.lit(pad + 2)))
     g = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", idc.cast("long").alias("id")))).alias("_s"))
-    ids = F.transform("_s", lambda s: s["id"])
+    ids = F.transform(F.filter("_s", lambda s: s["p"].isNotNull()), lambda s: s["id"])
     padded = F.concat(ids, F.array_repeat(F.lit(pad).cast("long"), F.greatest(F.lit(length) - F.size(ids), F.lit(0))))
     return g.select(key, padded.alias("ids"))

@@ -1,10 +1,9 @@
 """Ranking, top-k, nearest-k and positional slices (WIN*, SET* helpers).
 
-A window ``partitionBy(group).orderBy(...)`` puts each whole group in one
-task. Where a group can be large (a subject, a label, a perspective), the
-operators here first find the group's k-th order statistic with the
-distributed rank resolution of ``aggregates`` and only rank the rows at or
-above it (k rows plus ties).
+A top-k is a ``row_number() <= k`` filter over a window: Spark limits every map
+task to k rows per group before the exchange, so a group of any size sends at
+most k rows per task. Ranks over whole groups, and first-n for any n, use
+``global_rank``: a range sort over the cluster and partition offsets.
 """
 
 from __future__ import annotations
@@ -12,47 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litspark.operators.aggregates import _resolve_ranks, is_small
-from litspark.session import cut_lineage, reuse
-
-
-# Largest row count ranked in a single ordered window (after a size check).
-SMALL_RANK_ROWS = 1_000_000
-
-
-def order_statistic(df: DataFrame, value: Column, group: list[str], rank: int) -> DataFrame:
-    """Per group: the value at 0-based ascending rank ``min(rank, n-1)``.
-    Without a group the result has one row keyed by the constant ``all__``."""
-    if not group:
-        df, group = df.withColumn("all__", F.lit(0)), ["all__"]
-    g = group
-    base = reuse(df.select(*g, value.cast("double").alias("_v")).where(F.col("_v").isNotNull()))
-    if is_small(base):
-        r = base.withColumn("_rn", F.row_number().over(Window.partitionBy(*g).orderBy("_v")) - 1) \
-            .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*g)))
-        return r.where(F.col("_rn") == F.least(F.lit(rank), F.col("_n") - 1)).select(*g, F.col("_v").alias("kth"))
-    stats = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    targets = stats.select(*g, F.least(F.lit(rank), F.col("_n") - 1).cast("long").alias("_r"), "_lo", "_hi",
-                           F.lit(0).cast("long").alias("_before"))
-    from litspark.session import small_result
-    return small_result(_resolve_ranks(base, g, targets).select(*g, F.col("_val").alias("kth")))  # one row per group
+from litspark.operators.aggregates import join_null_safe
+from litspark.session import cut_lineage
 
 
 def top_k(df: DataFrame, group: list[str], score: Column, k: int, ties: list[Column],
           descending: bool = True, rank_name: str = "rank") -> DataFrame:
-    """The k best rows per group by ``score`` (ties broken by ``ties``), with a
-    1-based rank. Only rows scoring at least the group's k-th best are ranked."""
-    key = (-score) if descending else score
-    d = reuse(df.withColumn("_key", key.cast("double")))  # read by the rank search and the final filter
-    w = Window.partitionBy(*group).orderBy(F.col("_key").asc(), *ties)
-    if is_small(d):
-        return d.withColumn(rank_name, F.row_number().over(w).cast("int")).where(F.col(rank_name) <= k).drop("_key")
-    kth = order_statistic(d, F.col("_key"), group, k - 1)
-    # one row per group (broadcast by AQE from its measured size), or one row
-    cand = d.join(kth, group) if group else d.join(F.broadcast(kth.drop("all__")))
-    cand = cand.where(F.col("_key") <= F.col("kth")).drop("kth")
-    # the window now sees k rows plus ties per group
-    return cand.withColumn(rank_name, F.row_number().over(w).cast("int")).where(F.col(rank_name) <= k).drop("_key")
+    """The k best rows per group by ``score`` (null scores last, ties broken by
+    ``ties``), with a 1-based rank. The null group is a group."""
+    order = score.desc_nulls_last() if descending else score.asc_nulls_last()
+    w = Window.partitionBy(*group).orderBy(order, *ties)
+    return df.withColumn(rank_name, F.row_number().over(w).cast("int")).where(F.col(rank_name) <= k)
 
 
 def nearest_k(df: DataFrame, value: Column, center: Column, group: list[str], k: int, id_col: str,
@@ -82,7 +51,7 @@ def global_rank(df: DataFrame, order: list[Column], partition: list[str] | None
         .withColumn(name, F.col("_off") + F.col("_mono") - F.col("_m0") + 1)
     if p:
         first = r.groupBy(*p).agg(F.min(name).alias("_first"))  # one row per key
-        r = r.join(first, p).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first")
+        r = join_null_safe(r, first, p).withColumn(name, F.col(name) - F.col("_first") + 1).drop("_first")
     return r.drop("_pid", "_mono", "_off", "_m0")
 
 
@@ -94,19 +63,9 @@ def positional_slice(df: DataFrame, order: list[Column], start: int, stop: int,
 
 
 def first_n(df: DataFrame, n: int, score: Column, tie: Column, name: str = "rank") -> DataFrame:
-    """The n rows with the largest ``score`` (ties by ``tie`` ascending) and
-    their 1-based rank, for any n: the n-th best score is found by rank
-    resolution, and only the rows at or above it (n plus ties) are ranked, by
-    the distributed ``global_rank``. Unlike ``orderBy().limit(n)`` no single
-    task merges n rows from every partition."""
-    from litspark.session import reuse
-    d = df.withColumn("_key", (-score).cast("double"))
-    kth = order_statistic(d, F.col("_key"), [], n - 1).drop("all__")
-    cand = reuse(d.join(F.broadcast(kth), F.col("_key") <= F.col("kth")).drop("kth"))  # one-row threshold
-    if cand.limit(SMALL_RANK_ROWS + 1).count() <= SMALL_RANK_ROWS:
-        # checked small (n plus ties): one ordered window is cheaper than a distributed rank
-        w = Window.orderBy(F.col("_key").asc(), tie.asc())
-        ranked = cand.withColumn(name, F.row_number().over(w))
-    else:
-        ranked = global_rank(cand, [F.col("_key").asc(), tie.asc()], name=name)
-    return ranked.where(F.col(name) <= n).drop("_key")
+    """The n rows with the largest ``score`` (null scores last, ties by ``tie``
+    ascending) and their 1-based rank, for any n: sorted by range over the
+    cluster. Unlike ``orderBy().limit(n)`` no single task merges n rows from
+    every partition."""
+    d = df.withColumn("_key", score)
+    return global_rank(d, [F.col("_key").desc_nulls_last(), tie.asc()], name=name).where(F.col(name) <= n).drop("_key")

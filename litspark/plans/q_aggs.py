@@ -113,8 +113,8 @@ def agg7(spark, sf_dir):
 SELECT d.lang, CAST(count(DISTINCT t.token) AS BIGINT) AS n_vocab FROM tokens t JOIN documents d USING (doc_id) GROUP BY d.lang""")
 def agg8(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return t.tokens.join(t.documents.select("doc_id", "lang"), "doc_id").groupBy("lang").agg(
-        F.countDistinct("token").alias("n_vocab"))
+    tok = F.explode(F.flatten(F.transform(tx.sentences("text"), lambda s: tx.tokenize(s)))).alias("token")
+    return t.documents.select("lang", tok).groupBy("lang").agg(F.countDistinct("token").alias("n_vocab"))
 
 
 def _top_terms(counts, group, k):
@@ -131,10 +131,11 @@ SELECT class, term, CAST(n AS BIGINT) AS n, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY class ORDER BY n DESC, term) AS rank FROM c) WHERE rank <= 20""")
 def agg9(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    tok = clean_tokens(t)
-    per = tok.join(t.labels.select("doc_id", F.col("quality").cast("string").alias("class")), "doc_id") \
-        .groupBy("class", "term").agg(F.count(F.lit(1)).alias("n"))
-    allc = tok.groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("class", F.lit("all"))
+    docs = cleaned_docs(t)
+    # labels meet documents, not tokens
+    per = docs.join(t.labels.select("doc_id", F.col("quality").cast("string").alias("class")), "doc_id") \
+        .select("class", F.explode(tx.flatten_tokens("doc")).alias("term")).groupBy("class", "term").agg(F.count(F.lit(1)).alias("n"))
+    allc = docs.select(F.explode(tx.flatten_tokens("doc")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("class", F.lit("all"))
     return _top_terms(per.unionByName(allc), ["class"], 20).select("class", "term", "n", "rank")
 
 

@@ -113,23 +113,23 @@ def _blocks_sql(rel, idc, titlec):
 
 @register("jn10_fuzzy_closest_title", S.with_(S.citations_cte(), S.doc_titles_cte(), CITE_TITLES_SQL) + f""",
 un AS (SELECT * FROM ct ANTI JOIN doc_titles USING (title)),
-pairs AS (SELECT DISTINCT q.cite_id, n.doc_id FROM ({_blocks_sql('un', 'cite_id', 'title')}) q
-          JOIN ({_blocks_sql('doc_titles', 'doc_id', 'title')}) n USING (block)),
-sc AS (SELECT p.cite_id, p.doc_id, un.title AS a, d.title AS b FROM pairs p JOIN un USING (cite_id)
+nb AS ({_blocks_sql('doc_titles', 'doc_id', 'title')}),
+held AS (SELECT block, count(*) AS n FROM nb GROUP BY block),
+few AS (SELECT * FROM (SELECT q.cite_id, block, row_number() OVER (PARTITION BY q.cite_id ORDER BY n, block) AS r
+        FROM ({_blocks_sql('un', 'cite_id', 'title')}) q JOIN held USING (block)) WHERE r <= 3),
+pairs AS (SELECT DISTINCT cite_id, doc_id FROM few JOIN nb USING (block)),
+sc AS (SELECT p.cite_id, p.doc_id, {S.fold_accents('un.title')} AS a, {S.fold_accents('d.title')} AS b FROM pairs p JOIN un USING (cite_id)
        JOIN doc_titles d USING (doc_id)),
-sim AS (SELECT cite_id, doc_id, CAST(CASE WHEN greatest(length(lower(a)), length(lower(b))) = 0 THEN 100
-  ELSE round(100.0 * (1.0 - levenshtein(lower(a), lower(b)) / greatest(length(lower(a)), length(lower(b))))) END AS INTEGER)
-  AS similarity FROM sc WHERE regexp_full_match(a || b, '[\\x00-\\x7f]*'))
-SELECT cite_id, doc_id, similarity FROM (
-  SELECT *, row_number() OVER (PARTITION BY cite_id ORDER BY similarity DESC, doc_id) AS r FROM sim) WHERE r = 1""")
+sim AS (SELECT cite_id, doc_id, CAST(CASE WHEN greatest(length(a), length(b)) = 0 THEN 100
+  ELSE round(100.0 * (1.0 - levenshtein(a, b) / greatest(length(a), length(b)))) END AS INTEGER) AS similarity FROM sc),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cite_id ORDER BY similarity DESC, doc_id) AS r FROM sim) WHERE r = 1)
+SELECT un.cite_id, doc_id, similarity FROM un LEFT JOIN best USING (cite_id)""")
 def jn10(spark, sf_dir):
+    """One row per unmatched citation title; nulls where no name qualifies."""
     t = Tables(spark, sf_dir)
     ct = _cite_titles(t)
     un = ct.join(t.doc_titles.select("title"), "title", "left_anti").withColumnRenamed("title", "a")
-    names = t.doc_titles.withColumnRenamed("title", "b")
-    ascii_ = r"^[\x00-\x7f]*$"
-    best = jn.closest_title(un.where(F.col("a").rlike(ascii_)), "cite_id", "a",
-                            names.where(F.col("b").rlike(ascii_)), "doc_id", "b")
+    best = jn.closest_title(un, "cite_id", "a", t.doc_titles.withColumnRenamed("title", "b"), "doc_id", "b")
     return best.select("cite_id", "doc_id", "similarity")
 
 
@@ -157,7 +157,7 @@ def jn14(spark, sf_dir):
     tok = clean_tokens(t)
     wv = word_vectors(tok, t.embeddings)
     # frequent terms are hot keys; the vector vocabulary is size-checked and broadcast
-    return tok.join(jn.broadcast_if_small(wv.select("term")), "term").groupBy("doc_id").agg(
+    return tok.join(wv.select("term"), "term").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_known"))
 
 

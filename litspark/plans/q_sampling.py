@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from litspark.operators import filters as fl
@@ -187,11 +186,12 @@ SEEDS = [11, 22, 33, 44, 55]
     f"SELECT {s} AS seed, doc_id, {_split_sql(s)} AS split FROM labels" for s in SEEDS) + ")")
 def smp13(spark, sf_dir):
     l = Tables(spark, sf_dir).labels.select("doc_id")
-    out = None
-    for s in SEEDS:  # one hold-out per drawn seed
-        x = sm.split_train_validation(l, 0.2, "doc_id", s).select(F.lit(s).alias("seed"), "doc_id", "split")
-        out = x if out is None else out.unionByName(x)
-    return out
+    # one hold-out per drawn seed, ranked in one pass
+    each = l.withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
+    order = F.md5(F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("doc_id").cast("string")))
+    r = sm.global_rank(each, [order, F.col("doc_id")], ["seed"], "_pos")
+    k = F.ceil(F.lit(0.2) * l.agg(F.count(F.lit(1))).scalar())
+    return r.select("seed", "doc_id", F.when(F.col("_pos") <= k, F.lit("validation")).otherwise(F.lit("train")).alias("split"))
 
 
 @register("smp14_split_then_oversample", f"""
@@ -235,26 +235,24 @@ def smp10(spark, sf_dir):
     """SMOTE for label 0 against the rest (ratio 1.0): synthetic point i lies
     between minority row pos(i) and its j(i)-th nearest minority neighbour
     (k = 5, Euclidean, ties by id) at weight w(i); pos, j, w come from
-    md5(seed:i). The minority set travels as a size-checked array value."""
+    md5(seed:i)."""
     e = Tables(spark, sf_dir).embeddings
     counts = dict(e.groupBy((F.col("label") == 0).alias("m")).count().collect())
     n_min, n_maj = counts.get(True, 0), counts.get(False, 0)
     need = n_maj - n_min
     mino = sm.shuffle_rank(e.where(F.col("label") == 0).select("vec_id", "embedding"), "vec_id", 6, name="pos")
-    # k nearest minority neighbours of each minority row (array-valued reference)
-    ref = mino.select(F.col("vec_id").alias("nb"), F.col("embedding").alias("nvec"))
-    dists = vx.distances_to_references(mino.select("vec_id", "embedding", "pos"), "embedding", ref, "nb", "nvec",
-                                       "euclidean").where(F.col("vec_id") != F.col("nb"))
-    # one window partition per minority row, n_min rows each (bounded by the size check)
-    nn = dists.withColumn("j", F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "nb")))
-    nn = nn.where(F.col("j") <= SMOTE_K).select("vec_id", "pos", "embedding", "nb", "j")
+    # k nearest minority neighbours of each minority row, block by block
+    near = vx.nearest_references(mino, "vec_id", "embedding", mino.select(F.col("vec_id").alias("nb"), F.col("embedding").alias("nvec")),
+                                 "nb", "nvec", ["nvec"], SMOTE_K, exclude_self=True)
+    nn = mino.join(near.select("vec_id", F.posexplode("nearest").alias("j", "s")), "vec_id") \
+        .select("pos", "embedding", (F.col("j") + 1).alias("j"), "s.nvec")
     h = sm.hash_str(6, F.col("id"))
     draws = spark.range(max(need, 0)).select(
         F.col("id").alias("synth_id"),
         (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % n_min + 1).alias("pos"),
         (F.conv(F.substring(h, 9, 8), 16, 10).cast("long") % SMOTE_K + 1).cast("int").alias("j"),
         (F.conv(F.substring(h, 17, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)).alias("w"))
-    pick = draws.join(nn, ["pos", "j"]).join(ref, "nb")
+    pick = draws.join(nn, ["pos", "j"])
     synth = F.zip_with("embedding", "nvec", lambda a, b: a.cast("double") + F.col("w") * (b.cast("double") - a.cast("double")))
     out = pick.select("synth_id", F.posexplode(synth).alias("dim", "value"))
     return out.select("synth_id", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))

@@ -16,8 +16,10 @@ from litspark.sources.tables import Tables
 
 def cleaned_docs(t: Tables):
     """(doc_id, doc) with the cleaned sentence arrays; kept because most text
-    queries read it more than once (arrays are far smaller than token rows)."""
-    return reuse(t.documents.select("doc_id", tx.clean_document("text").alias("doc")))
+    queries read it more than once (arrays are far smaller than token rows).
+    Dealt out by doc_id once: term frequencies and the norm per document then
+    need no exchange of their own."""
+    return reuse(t.documents.select("doc_id", tx.clean_document("text").alias("doc")).repartition("doc_id"))
 
 
 def clean_tokens(t: Tables):
@@ -197,9 +199,9 @@ seq AS (SELECT doc_id, list_slice(flatten(list_transform(doc, lambda s: list_con
 ex AS (SELECT doc_id, unnest(sq) AS term, unnest(generate_series(1, len(sq))) AS p FROM seq),
 ids AS (SELECT ex.doc_id, ex.p, CASE WHEN ex.term = '<PERIOD>' THEN (SELECT pad FROM nv) + 1
           ELSE coalesce(wv.vec_id, (SELECT pad FROM nv) + 2) END AS id FROM ex LEFT JOIN wv USING (term))
-SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY p) || repeat(',' || CAST((SELECT pad FROM nv) AS VARCHAR),
-       """ + str(TOKEN_IDS_LEN) + """ - count(*)) AS token_ids
-FROM ids GROUP BY doc_id""")
+SELECT doc_id, ltrim(coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY p), '') || repeat(',' || CAST((SELECT pad FROM nv) AS VARCHAR),
+       """ + str(TOKEN_IDS_LEN) + """ - count(id)), ',') AS token_ids
+FROM documents LEFT JOIN ids USING (doc_id) GROUP BY doc_id""")
 def str29(spark, sf_dir):
     from litspark.operators.vectors import word_vectors
     t = Tables(spark, sf_dir)

@@ -150,11 +150,10 @@ FROM documents d LEFT JOIN (SELECT * FROM tokens WHERE token NOT IN {S.inlist(le
   USING (doc_id)
 GROUP BY d.doc_id""")
 def str18(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    stop = spark.createDataFrame([(w,) for w in lexicon.general_stop_list()], "token string")
-    kept = t.tokens.join(F.broadcast(stop), "token", "left_anti")  # fixed-size list
-    return t.documents.select("doc_id").join(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id", "left") \
-        .select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_content_tokens"))
+    # counted inside each row: no token leaves its document
+    kept = F.transform(tx.sentences("text"), lambda s: F.size(F.filter(tx.tokenize(s), lambda w: ~w.isin(lexicon.general_stop_list()))))
+    n = F.aggregate(kept, F.lit(0), lambda a, x: a + x)
+    return _t(spark, sf_dir).documents.select("doc_id", F.coalesce(n, F.lit(0)).cast("long").alias("n_content_tokens"))
 
 
 @register("str20_vocabulary_filter", S.with_(S.SENTS, S.TOKENS) + f"""
@@ -164,8 +163,7 @@ FROM tokens SEMI JOIN vocab USING (token) GROUP BY doc_id""")
 def str20(spark, sf_dir):
     t = _t(spark, sf_dir)
     vocab = t.benchmark.select(F.explode(tx.tokenize("text")).alias("token")).distinct()
-    from litspark.operators.joins import broadcast_if_small
-    return t.tokens.join(broadcast_if_small(vocab), "token", "left_semi").groupBy("doc_id").agg(
+    return t.tokens.join(vocab, "token", "left_semi").groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_known_tokens"))
 
 
@@ -334,18 +332,16 @@ def str33(spark, sf_dir):
 SIM_SQL = """CAST(CASE WHEN greatest(length(a), length(b)) = 0 THEN 100
   ELSE round(100.0 * (1.0 - levenshtein(a, b) / greatest(length(a), length(b)))) END AS INTEGER)"""
 PAIRS_SQL = S.with_(S.citations_cte(), S.doc_titles_cte(),
-                    f"""pairs AS (SELECT c.cite_id, lower({S.normalize_title(S.CITE_TITLE)}) AS a, lower(d.title) AS b
-  FROM citations c JOIN doc_titles d ON c.cite_id = 'd' || CAST(d.doc_id AS VARCHAR)
-  WHERE regexp_full_match(c.citation || d.title, '[\\x00-\\x7f]*'))""")
+                    f"""pairs AS (SELECT c.cite_id, {S.fold_accents(S.normalize_title(S.CITE_TITLE))} AS a, {S.fold_accents('d.title')} AS b
+  FROM citations c JOIN doc_titles d ON c.cite_id = 'd' || CAST(d.doc_id AS VARCHAR))""")
 
 
 def title_pairs(t: Tables):
-    """Each coded document's citation title next to its metadata title (ASCII rows)."""
-    c = t.citations.select("cite_id", "citation", tx.citation_title("citation").alias("a"))
+    """Each coded document's citation title next to its metadata title, accents folded."""
+    c = t.citations.select("cite_id", tx.fold_accents(tx.citation_title("citation")).alias("a"))
     d = t.doc_titles.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("cite_id"),
-                            F.col("title").alias("b"))
-    j = c.join(d, "cite_id")
-    return j.where(F.concat("citation", "b").rlike(r"^[\x00-\x7f]*$"))
+                            tx.fold_accents("title").alias("b"))
+    return c.join(d, "cite_id")
 
 
 @register("str34_title_similarity", PAIRS_SQL + f"SELECT cite_id, {SIM_SQL} AS similarity FROM pairs")

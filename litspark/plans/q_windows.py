@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from litspark.functions import text as tx
 from litspark.operators import aggregates as ag
 from litspark.operators import sampling as sm
 from litspark.operators import windows as wn
 from litspark.plans import sqlfrag as S
 from litspark.plans.catalog import register
 from litspark.plans.q_filters import _long_scores, _long_scores_sql
-from litspark.plans.q_terms import clean_tokens
+from litspark.plans.q_terms import clean_tokens, cleaned_docs
 from litspark.plans.q_vectors import EMB_LONG_SQL
 from litspark.sources.tables import Tables
 
@@ -165,9 +166,9 @@ def set3(spark, sf_dir):
 
 
 def _top50(t: Tables):
-    tok = clean_tokens(t)
-    per = tok.join(t.labels.select("doc_id", F.col("quality").cast("string").alias("class")), "doc_id") \
-        .groupBy("class", "term").agg(F.count(F.lit(1)).alias("n"))
+    # labels meet documents, not tokens
+    per = cleaned_docs(t).join(t.labels.select("doc_id", F.col("quality").cast("string").alias("class")), "doc_id") \
+        .select("class", F.explode(tx.flatten_tokens("doc")).alias("term")).groupBy("class", "term").agg(F.count(F.lit(1)).alias("n"))
     return wn.top_k(per, ["class"], F.col("n"), 50, [F.col("term").asc()])
 
 

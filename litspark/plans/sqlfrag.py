@@ -103,7 +103,13 @@ CODED = """coded AS (
   FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
-FIRST8 = "array_to_string(list_slice(regexp_split_to_array(trim(text), ' +'), 1, 8), ' ')"
+FIRST8 = r"array_to_string(list_slice(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '[ \t\n\r]+'), 1, 8), ' ')"
+
+
+def fold_accents(s: str) -> str:
+    return f"regexp_replace(translate(lower({s}), '{tx.ACCENTED}', '{tx.PLAIN}'), '[^\\x00-\\x7f]', '?', 'g')"
+
+
 CITE_TITLE = r"substring(regexp_extract(trim(citation), '\d{4}\.(.*)[.?!].', 1), 3)"
 
 

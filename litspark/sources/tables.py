@@ -30,6 +30,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _first_words(n: int = 8):
+    """The first n words of a text, whatever white space parts them."""
+    words = F.split(F.trim(F.col("text"), F.lit(" \t\n\r")), "[ \t\n\r]+", n + 1)
+    return F.array_join(F.slice(words, 1, n), " ")
+
+
 class Tables:
     """Lazy access to the input tables and derived views of one data folder."""
 
@@ -87,8 +93,9 @@ class Tables:
     @cached_property
     def citations(self) -> DataFrame:
         """ASA-style citation list: the hand-coded (labelled) documents plus the
-        benchmark passages, each cited by its first eight words."""
-        first = F.array_join(F.slice(F.split(F.trim(F.col("text")), " +"), 1, 8), " ")
+        benchmark passages, each cited by its first eight words (a stand-in: the
+        documents carry no titles)."""
+        first = _first_words()
         docs = self.documents.join(self.labels.select("doc_id"), "doc_id", "left_semi").select(
             F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("cite_id"),
             (F.lit(1970) + F.col("doc_id") % 47).cast("string").alias("year"), first.alias("head"))
@@ -101,6 +108,6 @@ class Tables:
 
     @cached_property
     def doc_titles(self) -> DataFrame:
-        """Metadata titles: the first eight words of each document, normalised."""
-        first = F.array_join(F.slice(F.split(F.trim(F.col("text")), " +"), 1, 8), " ")
-        return self.documents.select("doc_id", tx.normalize_title(first).alias("title"))
+        """Metadata titles, normalised. The documents carry none: their first
+        eight words stand in."""
+        return self.documents.select("doc_id", tx.normalize_title(_first_words()).alias("title"))

@@ -19,11 +19,3 @@ def spark():
 @pytest.fixture()
 def tmpdir_run(tmp_path):
     return str(tmp_path)
-
-
-@pytest.fixture(params=["distributed", "small"])
-def rank_mode(request, monkeypatch):
-    """Run a test on both paths of the size-dispatched operators."""
-    from litspark.operators import aggregates
-    monkeypatch.setattr(aggregates, "SMALL_ROWS", 0 if request.param == "distributed" else 1_000_000)
-    return request.param

@@ -14,22 +14,21 @@ from litspark.operators import vectors as vx
 from litspark.operators import windows as wn
 
 
-def test_exact_percentiles_match_numpy(spark, rank_mode):
+def test_exact_percentiles_match_numpy(spark):
     rng = np.random.default_rng(3)
     rows = [(int(g), float(v)) for g, v in zip(rng.integers(0, 3, 700), np.round(rng.normal(size=700), 2))]
     rows.append((9, 1.5))  # single-row group
     df = spark.createDataFrame(rows, "g int, v double")
-    old = ag.EXACT_LIMIT
-    for limit in (old, 20):  # second pass forces the refinement level
-        ag.EXACT_LIMIT = limit
-        out = ag.exact_percentiles(df, "v", ["g"], [0.25, 0.5, 0.75]).collect()
-        for r in out:
-            vals = [v for g, v in rows if g == r["g"]]
-            assert abs(r["value"] - np.quantile(vals, r["p"])) < 1e-9
-    ag.EXACT_LIMIT = old
+    rows += [(None, float(v)) for v in range(7)] + [(1, None), (1, float("nan")), (4, None)]  # null group, null values
+    df = spark.createDataFrame(rows, "g int, v double")
+    out = ag.exact_percentiles(df, "v", ["g"], [0.25, 0.5, 0.75]).collect()
+    assert {r["g"] for r in out} == {0, 1, 2, 9, None} and len(out) == 15
+    for r in out:
+        vals = [v for g, v in rows if g == r["g"] and v is not None and v == v]
+        assert abs(r["value"] - np.quantile(vals, r["p"])) < 1e-9
 
 
-def test_top_k_and_nearest_k(spark, rank_mode):
+def test_top_k_and_nearest_k(spark):
     rows = [(i % 3, i, float((i * 37) % 101)) for i in range(300)]
     df = spark.createDataFrame(rows, "g int, id long, s double")
     got = {(r["g"], r["id"]) for r in wn.top_k(df, ["g"], F.col("s"), 5, [F.col("id").asc()]).collect()}
@@ -52,7 +51,7 @@ def test_global_rank_is_dense_and_ordered(spark):
     assert [(p[1], p[2]) for p in pos] == sorted((p[1], p[2]) for p in pos)
 
 
-def test_first_n_by_hash_equals_sorted_hash(spark, rank_mode):
+def test_first_n_by_hash_equals_sorted_hash(spark):
     import hashlib
     df = spark.range(0, 200).withColumnRenamed("id", "k")
     got = {r["k"] for r in sm.first_n_by_hash(df, 17, "k", 43).collect()}
@@ -60,13 +59,13 @@ def test_first_n_by_hash_equals_sorted_hash(spark, rank_mode):
     assert got == exp
 
 
-def test_stratified_quota_never_exceeded(spark, rank_mode):
+def test_stratified_quota_never_exceeded(spark):
     df = spark.createDataFrame([(i, "a" if i % 10 else "b") for i in range(200)], "k long, s string")
     out = sm.stratified_equal(df, "s", 50, "k", 1, 2).groupBy("s").count().collect()
     assert all(r["count"] <= 20 for r in out) and sum(r["count"] for r in out) == 40
 
 
-def test_oversample_ratio_and_undersample(spark, rank_mode):
+def test_oversample_ratio_and_undersample(spark):
     df = spark.createDataFrame([(i, 0 if i < 30 else 1) for i in range(100)], "k long, y int")
     over = {r["y"]: r["count"] for r in sm.oversample(df, "y", 0, 1.0, "k", 3).groupBy("y").count().collect()}
     assert over == {0: 70, 1: 70}
@@ -86,7 +85,7 @@ def test_folds_partition_rows(spark):
         assert max(s) - min(s) <= 1
 
 
-def test_split_size(spark, rank_mode):
+def test_split_size(spark):
     df = spark.range(0, 101).withColumnRenamed("id", "k")
     out = sm.split_train_validation(df, 0.2, "k", 42)
     assert out.where("split = 'validation'").count() == math.ceil(0.2 * 101)
@@ -124,7 +123,7 @@ def test_phrase_scores(spark):
     assert abs(ph["new_york"] - (10 - 5) * n_vocab / (11 * 10)) < 1e-12
 
 
-def test_tfidf_weights_l2(spark, rank_mode):
+def test_tfidf_weights_l2(spark):
     toks = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "b"), (2, "c"), (3, "c")], "doc_id long, term string")
     tf = terms.term_frequencies(toks)
     vocab = terms.fit_vocabulary(tf, max_df=1.0)
@@ -142,7 +141,7 @@ def test_mean_vectors_and_knn(spark):
     assert np.allclose(got[1], [(2 * 1 + 3) / 3, 2 / 3]) and np.allclose(got[2], [0, 4])
     train = spark.createDataFrame([(i, [float(i), 0.0], int(i >= 5)) for i in range(10)], "tid long, tv array<float>, tl int")
     q = spark.createDataFrame([(100, [1.2, 0.0]), (101, [8.9, 0.0])], "qid long, v array<float>")
-    out = {r["qid"]: r["knn_label"] for r in vx.knn_vote(q, "v", train, "tid", "tv", "tl", k=3).collect()}
+    out = {r["qid"]: r["knn_label"] for r in vx.knn_vote(q, "qid", "v", train, "tid", "tv", "tl", k=3).collect()}
     assert out == {100: 0, 101: 1}
 
 
@@ -185,20 +184,43 @@ def test_reference_pieces_give_the_same_answers(spark, monkeypatch):
     train = spark.createDataFrame([(i, [float(i % 13), float(i % 7)], i % 3) for i in range(60)],
                                   "tid long, tv array<float>, tl int")
     q = spark.createDataFrame([(100 + j, [float(j), float(j % 5)]) for j in range(12)], "qid long, v array<float>")
-    one = {r["qid"]: (r["knn_label"], r["knn_votes"]) for r in vx.knn_vote(q, "v", train, "tid", "tv", "tl").collect()}
+    one = {r["qid"]: (r["knn_label"], r["knn_votes"]) for r in vx.knn_vote(q, "qid", "v", train, "tid", "tv", "tl").collect()}
     d_one = sorted((r["qid"], r["tid"], round(r["distance"], 9)) for r in
                    vx.distances_to_references(q, "v", train, "tid", "tv", "euclidean").collect())
-    monkeypatch.setattr(vx, "MAX_REFERENCE_ROWS", 10)
-    many = {r["qid"]: (r["knn_label"], r["knn_votes"]) for r in vx.knn_vote(q, "v", train, "tid", "tv", "tl").collect()}
+    monkeypatch.setattr(vx, "BLOCK_ROWS", 10)
+    many = {r["qid"]: (r["knn_label"], r["knn_votes"]) for r in vx.knn_vote(q, "qid", "v", train, "tid", "tv", "tl").collect()}
     d_many = sorted((r["qid"], r["tid"], round(r["distance"], 9)) for r in
                     vx.distances_to_references(q, "v", train, "tid", "tv", "euclidean").collect())
     assert one == many and d_one == d_many
 
 
-def test_first_n_with_ties(spark, rank_mode):
-    """n largest by score, ties by term, on both paths (one ordered window / distributed rank)."""
+def test_first_n_with_ties(spark):
+    """n largest by score, ties by term."""
     rows = [(f"t{i:03d}", (i * 7) % 11) for i in range(120)]
     df = spark.createDataFrame(rows, "term string, cf long")
     got = [(r["term"], r["rank"]) for r in wn.first_n(df, 25, F.col("cf"), F.col("term")).orderBy("rank").collect()]
     exp = sorted(rows, key=lambda r: (-r[1], r[0]))[:25]
     assert [t for t, _ in got] == [t for t, _ in exp] and [k for _, k in got] == list(range(1, 26))
+
+
+def test_null_rules_of_ranks_and_samples(spark):
+    rows = [(1, 10, 5.0), (1, 11, None), (1, 12, 7.0), (None, 13, 1.0), (None, 14, None), (2, 15, None)]
+    df = spark.createDataFrame(rows, "g int, id long, s double")
+    got = {(r["g"], r["id"], r["rank"]) for r in wn.top_k(df, ["g"], F.col("s"), 2, [F.col("id").asc()]).collect()}
+    assert got == {(1, 12, 1), (1, 10, 2), (None, 13, 1), (None, 14, 2), (2, 15, 1)}
+    keys = spark.createDataFrame([(None, 7)] * 3 + [("a", 7)] * 3 + [("a", 8), ("b", None)], "g string, k long")
+    for n in (1, 2, 100):
+        got = sm.first_n_by_hash(keys, n, "k", 5, ["g"]).groupBy("g").count().collect()
+        assert {r["g"]: r["count"] for r in got} == {None: min(n, 3), "a": min(n, 4), "b": 1}
+    assert sm.first_n_by_hash(keys, 0, "k", 5, ["g"]).count() == 0
+    labels = spark.createDataFrame([(i, [0, 1, 1, 1, None][i % 5]) for i in range(50)], "k long, y int")
+    got = {r["y"]: r["count"] for r in sm.undersample(labels, "y", 1, 1.0, "k", 3).groupBy("y").count().collect()}
+    assert got == {0: 10, 1: 10, None: 10}
+
+
+def test_repeated_reference_keys_end(spark, monkeypatch):
+    monkeypatch.setattr(vx, "BLOCK_ROWS", 2)
+    train = spark.createDataFrame([(1, [0.0], 0)] * 5, "tid long, tv array<float>, tl int")
+    q = spark.createDataFrame([(1, [0.5])], "qid long, v array<float>")
+    assert vx.knn_vote(q, "qid", "v", train, "tid", "tv", "tl").first()["knn_label"] == 0
+    assert vx.distances_to_references(q, "v", train, "tid", "tv", "euclidean").count() == 5
