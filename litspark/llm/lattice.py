@@ -16,8 +16,10 @@ _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 START = "▁"
 #: Cells (words x positions x piece lengths) that are held at a time.
-CELLS = 4_000_000
+CELLS = 1_000_000
 _TABLE_BITS = 20
+#: Stands for log 0 where two may be added.
+_NONE = np.float32(-1e30)
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -32,7 +34,8 @@ def _spread(key: np.ndarray) -> np.ndarray:
 
 class Pieces:
     """A vocabulary: ``names`` of its pieces, the 256 single bytes that stand for
-    characters outside it, and the end of a text."""
+    characters outside it, and the end of a text. Pieces are found by key in an
+    open table, next to their home slot if that is taken."""
 
     def __init__(self, names: list[str]):
         self.names = names
@@ -43,29 +46,33 @@ class Pieces:
         for k in range(self.longest):
             some = np.flatnonzero(sizes > k)
             key[some] = key[some] * _BASE + codes[first[some] + k] + _U(1)
-        key = _spread(key)
-        self.order = np.argsort(key, kind="stable")
-        self.keys = key[self.order]
-        # direct table on the key's top bits: where its run of keys begins
-        self.begin = np.searchsorted(self.keys >> _U(64 - _TABLE_BITS), np.arange((1 << _TABLE_BITS) + 1).astype(_U)).astype(np.int32)
-        self.crowd = int(np.diff(self.begin).max(initial=0))
+        self.table, self.number = np.zeros((1 << _TABLE_BITS) + 64, _U), np.zeros((1 << _TABLE_BITS) + 64, np.int32)
+        for i, k in enumerate(_spread(key).tolist()):
+            at = k >> (64 - _TABLE_BITS)
+            while self.table[at]:
+                at += 1
+            self.table[at], self.number[at] = k, i
         self.bytes_at = len(names)
         self.end = len(names) + 256
         self.size = len(names) + 257
 
-    def find(self, key: np.ndarray) -> np.ndarray:
-        """Number of the piece with this key, -1 where there is none."""
-        top = (key >> _U(64 - _TABLE_BITS)).astype(np.int64)
-        at, stop = self.begin[top], self.begin[top + 1]
-        out = np.full(key.shape, -1, np.int32)
-        for k in range(self.crowd):
-            some = np.flatnonzero(at + k < stop)
-            if not len(some):
-                break
-            place = at[some] + k
-            same = self.keys[place] == key[some]
-            out[some[same]] = self.order[place[same]]
-        return out
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in ``key`` of pieces, their numbers)."""
+        slot = (key >> _U(64 - _TABLE_BITS)).astype(np.int32)
+        there = self.table[slot]
+        hit = there == key
+        where, number = [np.flatnonzero(hit)], [self.number[slot[hit]]]
+        left = np.flatnonzero(~hit & (there != 0))
+        step = 1
+        while len(left):  # the home slot holds another piece
+            at = slot[left] + step
+            there = self.table[at]
+            same = there == key[left]
+            where.append(left[same])
+            number.append(self.number[at[same]])
+            left = left[~same & (there != 0)]
+            step += 1
+        return np.concatenate(where), np.concatenate(number)
 
 
 def vocabulary(path: str) -> tuple[Pieces, np.ndarray]:
@@ -90,7 +97,7 @@ def vocabulary(path: str) -> tuple[Pieces, np.ndarray]:
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(numbers of words of one length, their codes as a matrix)."""
+    """(numbers of words of one length, their codes: position x word)."""
     codes, sizes = _codes([START + t for t in texts])
     first = np.concatenate([[0], np.cumsum(sizes)])
     order = np.argsort(sizes, kind="stable")
@@ -102,46 +109,68 @@ def _groups(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         step = max(1, CELLS // (size * 16))
         for k in range(0, len(same), step):
             some = same[k:k + step]
-            yield some, codes[first[some][:, None] + np.arange(size)]
+            yield some, codes[first[some] + np.arange(size)[:, None]]
 
 
-def _arcs(codes: np.ndarray, pieces: Pieces, logp: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], dict]:
-    """For each piece length m: number and score of the piece that begins at
-    each position (-1 and -inf for none). Characters outside the vocabulary
-    score their bytes; these are listed by character."""
-    n, size = codes.shape
-    key = np.zeros((n, size), _U)
-    ids, scores, outside = [], [], {}
+def _arcs(codes: np.ndarray, pieces: Pieces, logp: np.ndarray) -> tuple[list, list[np.ndarray], dict]:
+    """For each piece length m: (places, numbers) of the pieces of that length
+    in the flat position x word array, and the scores as an array (log 0 where
+    there is none). Characters outside the vocabulary score their bytes; their
+    places are listed by character."""
+    size, n = codes.shape
+    key = np.zeros((size, n), _U)
+    found, scores, outside = [], [], {}
     for m in range(1, min(pieces.longest, size) + 1):
-        key = key[:, :size - m + 1] * _BASE + codes[:, m - 1:] + _U(1)
-        found = pieces.find(_spread(key.ravel())).reshape(key.shape)
-        score = np.where(found >= 0, logp[found], -np.inf)
-        if m == 1 and (found < 0).any():
-            for c in np.unique(codes[found < 0]).tolist():
+        key = key[:size - m + 1] * _BASE + codes[m - 1:]
+        key += _U(1)
+        place, number = pieces.find(_spread(key.ravel()))
+        score = np.full(key.size, _NONE, np.float32)
+        score[place] = logp[number]
+        if m == 1 and len(place) < key.size:
+            rest = np.flatnonzero(score == _NONE)
+            chars = codes.ravel()[rest]
+            for c in np.unique(chars).tolist():
                 byte = np.frombuffer(chr(c).encode("utf-8", "replace"), np.uint8).astype(int) + pieces.bytes_at
-                outside[c] = byte
-                score[(codes == c) & (found < 0)] = logp[byte].sum()
-        ids.append(found)
-        scores.append(score)
-    return ids, scores, outside
+                outside[c] = (byte, rest[chars == c])
+                score[outside[c][1]] = logp[byte].sum()
+        found.append((place, number))
+        scores.append(score.reshape(key.shape))
+    return found, scores, outside
 
 
-def _logsum(parts: list[np.ndarray]) -> np.ndarray:
-    stack = np.stack(parts)
-    top = stack.max(axis=0)
-    return top + np.log(np.exp(stack - top).sum(axis=0))
+def _logsum(parts: np.ndarray) -> np.ndarray:
+    top = parts.max(axis=0)
+    parts -= top
+    np.exp(parts, out=parts)
+    return top + np.log(parts.sum(axis=0))
 
 
-def _forward(scores: list[np.ndarray], n: int, size: int) -> np.ndarray:
-    alpha = np.zeros((size + 1, n))
+def _forward(scores: list[np.ndarray], size: int, n: int) -> np.ndarray:
+    alpha = np.zeros((size + 1, n), np.float32)
+    parts = np.empty((len(scores), n), np.float32)
     for j in range(1, size + 1):
-        alpha[j] = _logsum([alpha[j - m] + scores[m - 1][:, j - m] for m in range(1, min(len(scores), j) + 1)])
+        k = min(len(scores), j)
+        for m in range(1, k + 1):
+            np.add(alpha[j - m], scores[m - 1][j - m], out=parts[m - 1])
+        alpha[j] = _logsum(parts[:k])
     return alpha
 
 
+def _backward(scores: list[np.ndarray], size: int, n: int) -> np.ndarray:
+    beta = np.zeros((size + 1, n), np.float32)
+    parts = np.empty((len(scores), n), np.float32)
+    for i in range(size - 1, -1, -1):
+        k = min(len(scores), size - i)
+        for m in range(1, k + 1):
+            np.add(beta[i + m], scores[m - 1][i], out=parts[m - 1])
+        beta[i] = _logsum(parts[:k])
+    return beta
+
+
 def log_probabilities(texts: list[str], pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     """Natural log of the summed probability of all segmentations of each word."""
     out = np.zeros(len(texts))
+    logp = logp.astype(np.float32)
     for which, codes in _groups(texts):
         _, scores, _ = _arcs(codes, pieces, logp)
         out[which] = _forward(scores, *codes.shape)[-1]
@@ -151,18 +180,18 @@ def log_probabilities(texts: list[str], pieces: Pieces, logp: np.ndarray) -> np.
 def expected_counts(texts: list[str], times: np.ndarray, pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     """How often each piece is used, over all segmentations by their weight."""
     out = np.zeros(pieces.size)
+    logp = logp.astype(np.float32)
     for which, codes in _groups(texts):
-        n, size = codes.shape
-        ids, scores, outside = _arcs(codes, pieces, logp)
-        alpha = _forward(scores, n, size)
-        beta = np.zeros((size + 1, n))
-        for i in range(size - 1, -1, -1):
-            beta[i] = _logsum([beta[i + m] + scores[m - 1][:, i] for m in range(1, min(len(scores), size - i) + 1)])
-        for m, (found, score) in enumerate(zip(ids, scores), 1):
-            w = np.exp(alpha[:size - m + 1].T + score + beta[m:].T - alpha[-1][:, None]) * times[which][:, None]
-            known = found >= 0
-            out[:len(pieces.names)] += np.bincount(found[known], weights=w[known], minlength=len(pieces.names))
+        size, n = codes.shape
+        found, scores, outside = _arcs(codes, pieces, logp)
+        alpha, beta = _forward(scores, size, n), _backward(scores, size, n)
+        total, weight = alpha[-1], times[which]
+        for m, ((place, number), score) in enumerate(zip(found, scores), 1):
+            i, w = place // n, place % n
+            part = np.exp(alpha[i, w] + score.ravel()[place] + beta[i + m, w] - total[w]) * weight[w]
+            out[:len(pieces.names)] += np.bincount(number, weights=part, minlength=len(pieces.names))
             if m == 1:
-                for c, byte in outside.items():
-                    np.add.at(out, byte, w[(codes == c) & ~known].sum())
+                for byte, at in outside.values():
+                    i, w = at // n, at % n
+                    np.add.at(out, byte, (np.exp(alpha[i, w] + score.ravel()[at] + beta[i + 1, w] - total[w]) * weight[w]).sum())
     return out

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspark.llm.common import checkpointed, fold, slices, small_batches, table, text_of
+from litspark.llm.common import SLICE_BYTES, checkpointed, fold, slices, small_batches, table, text_of
 from litspark.llm.lattice import Pieces, expected_counts, log_probabilities, vocabulary
 from litspark.llm.words import BLANK_SEPARATED, split_words
 
@@ -42,6 +42,8 @@ PRIOR = 1000.0
 HEAD = 300_000
 #: Distinct words a task gathers before it hands them on.
 GATHER = 1_000_000
+#: Words whose lattices a task works on at a time.
+WORDS = 20_000
 
 
 @functools.cache
@@ -94,6 +96,20 @@ def word_table(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(_count_words, "h bigint, word string, c bigint").groupBy("h", "word").agg(F.sum("c").alias("c"))
 
 
+def _many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold WORDS rows or SLICE_BYTES bytes:
+    words of a length are worked on together."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= WORDS or size >= SLICE_BYTES:
+            yield pa.concat_batches(held)
+            held, rows, size = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def fit(words: DataFrame, end_count: int, path: str, rounds: int = ROUNDS) -> np.ndarray:
     """Log probabilities (natural) of the pieces, the bytes and the end."""
     pieces, first = _vocabulary(path)
@@ -102,7 +118,7 @@ def fit(words: DataFrame, end_count: int, path: str, rounds: int = ROUNDS) -> np
         def expect(batches: Iterator[pa.RecordBatch], logp=logp) -> Iterator[pa.RecordBatch]:
             pieces, _ = _vocabulary(path)
             total = np.zeros(pieces.size)
-            for batch in batches:
+            for batch in _many(batches):
                 total += expected_counts(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(float), pieces, logp)
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["piece", "times"])
@@ -121,7 +137,7 @@ def scored_words(words: DataFrame, logp: np.ndarray, path: str, total: int, dist
     """(h, c, known, base, score): what one occurrence adds, in log10."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, _ = _vocabulary(path)
-        for batch in batches:
+        for batch in _many(batches):
             c = batch.column(2).to_numpy(zero_copy_only=False)
             score = log_probabilities(batch.column(1).to_pylist(), pieces, logp) / math.log(10)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array((c > 0).astype(np.int64)),
@@ -159,7 +175,7 @@ def _settle(head):
             at = np.searchsorted(hashes, h)
             at[at == len(hashes)] = 0
             held = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
-            add = [np.bincount(doc[held], weights=x[at[held]], minlength=n) for x in (known, base, score)]
+            add = [np.bincount(doc[held], weights=x[at[held]], minlength=n).astype(float) for x in (known, base, score)]
             rest, times = np.unique(np.stack([doc[~held].astype(np.uint64), h[~held]], 1), axis=0, return_counts=True) if (~held).any() else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
             ids = batch.column(0)
             numbers = row + np.arange(n)
