@@ -102,7 +102,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
 
 def train(bags: Bags, label: np.ndarray, seed: int = 1) -> Model:
     positive = float(label.mean()) if len(label) else 0.5
-    if not 0 < positive < 1:
+    if not len(label) or not 0 < positive < 1:
         p = min(max(positive, 1e-6), 1 - 1e-6)
         return Model(np.zeros(BUCKETS + 2), 0.0, float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)

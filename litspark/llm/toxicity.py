@@ -117,7 +117,7 @@ def _reducer(terms: np.ndarray):
 
 def train(bags: list[np.ndarray], named: list[np.ndarray], label: np.ndarray, twin: float = TWIN, seed: int = 1) -> Model:
     share = float(label.mean()) if len(label) else 0.5
-    if not 0 < share < 1:
+    if not len(label) or not 0 < share < 1:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros(BUCKETS), float(np.log(p / (1 - p))))
     rng = np.random.default_rng(seed)
