@@ -37,6 +37,7 @@ PAGE_OPENER = '<plain_text><page sequence="1">'
 PAGE_OPENER_SPACED = '<plain_text> <page sequence="1">'
 # Characters the frequency cleaner turns into spaces (fixed value).
 FREQ_PUNCT = "!()-[]{};:'\"\\, <>./?@#$%^&*_~=\n"
+# Words the frequency cleaner drops besides the stop words (fixed value).
 FREQ_EXTRA_STOP = ["one", "two", "three", "amp", "may", "can", "new", "also", "and"]
 
 
@@ -51,10 +52,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _arr(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
 # --- STR1-STR7: ids, paths, titles, years -----------------------------------
 
 def strip_scheme(url, https: bool = False) -> Column:
@@ -103,6 +100,7 @@ def year_int(c) -> Column:
 
 def strip_tags(c, opener: str = PAGE_OPENER) -> Column:
     """Page-marker and tag removal in the original order (no DOTALL)."""
+    # fixed values: the tag patterns
     c = F.replace(_c(c), F.lit(opener), F.lit(""))
     c = F.regexp_replace(c, r"(?d)</page>(<.*?>)", " \n ")
     c = F.regexp_replace(c, r"(?d)<.*?>", "")
@@ -158,13 +156,6 @@ def drop_stop_tokens(tokens, stop: bool = True, junk: bool = True) -> Column:
     return F.filter(_c(tokens), lambda t: ~t.isin(words) & ~t.contains(lexicon.JUNK_SUBSTRING))
 
 
-def drop_blacklisted(sent_tokens) -> Column:
-    """Empty a token list that spells a formatting-only sentence."""
-    st = _c(sent_tokens)
-    return F.when(F.array_join(st, " ").isin(lexicon.BLACKLIST_SENTENCES),
-                  F.array().cast("array<string>")).otherwise(st)
-
-
 def prepare_text(c, remove_numbers: bool = True, unhyphen: bool = True,
                  acronyms: bool = False, tags: bool = True) -> Column:
     """Document-level regex steps. Each is line-local, so running them on the
@@ -256,6 +247,7 @@ def clean_alt(c, remove_stopwords: bool = True, exclude=()) -> Column:
     c = F.regexp_replace(c, r"(?d)\\x.*|\\u.*|\\b.*", "")
     c = F.regexp_replace(c, r"\d+", "")
     words = F.split(F.trim(c), PY_WS + "+")
+    # fixed values: beginnings and ends of words that are links or files
     prefixes = ["http", "https", "www", "//", "\\", "x_", "x/", "srcimage"]
     suffixes = [".com", ".net", ".gov", ".org", ".jpg", ".pdf", "png", "jpeg", "php"]
 

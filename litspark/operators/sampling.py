@@ -9,7 +9,7 @@ rows are ranked: no sort of the whole table, no single-partition window.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litspark.operators.aggregates import join_null_safe
@@ -18,6 +18,8 @@ from litspark.operators.windows import global_rank
 
 #: Hash integers are below this (13 hex digits).
 HASH_RANGE = 1 << 52
+#: Up to this many rows asked for, a group's candidates are ranked in one window.
+WINDOW_ROWS = 100_000
 
 
 def hash_str(seed, key: Column) -> Column:
@@ -42,13 +44,18 @@ def first_n_by_hash(df: DataFrame, n, key: str, seed, group: list[str] | None =
     while True:
         share = (F.col("_want") + F.lit(6) * F.sqrt("_want") + F.lit(slack)) / F.col("_rows")
         limit = F.least(F.ceil(share * F.lit(float(HASH_RANGE))), F.lit(HASH_RANGE)).cast("long")
-        below = join_null_safe(d, groups.select(*g, "_want", limit.alias("_limit")), g).where((F.col("_h") < F.col("_limit")) & (F.col("_want") > 0))
+        below = small_result(join_null_safe(d, groups.select(*g, "_want", limit.alias("_limit")), g)
+                             .where((F.col("_h") < F.col("_limit")) & (F.col("_want") > 0)))  # little more than what is wanted
         have = below.groupBy(*g).agg(F.count(F.lit(1)).alias("_have"))
         short = join_null_safe(groups.where("_want > 0"), have, g, "left").where(F.coalesce("_have", F.lit(0)) < F.col("_want"))
         if short.isEmpty():
             break
         slack *= 64  # a threshold of the whole range always suffices
-    ranked = global_rank(below, [F.col("_h"), F.col(key)], g, "_pos")
+    if isinstance(n, int) and n <= WINDOW_ROWS:  # the rows asked for fit one task per group
+        w = Window.partitionBy(*g).orderBy("_h", key)
+        ranked = below.withColumn("_pos", F.row_number().over(w))
+    else:
+        ranked = global_rank(below, [F.col("_h"), F.col(key)], g, "_pos")
     out = ranked.where(F.col("_pos") <= F.col("_want")).drop("_h", "_want", "_limit", "_pos")
     return out if group else out.drop("all__")
 
@@ -66,6 +73,22 @@ def stratified_equal(df: DataFrame, strat: str, n_samples: int, key: str, seed,
     return first_n_by_hash(per, n_samples, key, cut_seed)
 
 
+def composed_sample(pools: list[tuple[str, DataFrame, float]], stratify: list[str], size: int, key: str, seed, cut_seed) -> DataFrame:
+    """(pool, stratum, key): from every pool (name, rows, share) and stratify
+    column ``int(size * share) / len(stratify)`` rows, an equal draw over the
+    column's values; a row drawn for two columns or pools is there twice."""
+    out = None
+    from litspark.session import cut_lineage
+    for name, rows, share in pools:
+        rows = cut_lineage(rows.select(key, *stratify))  # read by every draw
+        quota = int(size * share) // len(stratify)
+        for column in stratify:
+            got = stratified_equal(rows.select(key, column), column, quota, key, seed, cut_seed).select(
+                F.lit(name).alias("pool"), F.lit(column).alias("stratum"), key)
+            out = got if out is None else out.unionByName(got)
+    return out
+
+
 def oversample(df: DataFrame, label: str, minority, ratio: float, key: str, seed) -> DataFrame:
     """Random oversampling of the minority class to ``ratio`` x majority: the
     originals plus draws i = 0..m-1, where draw i takes the minority row at
@@ -85,6 +108,28 @@ def oversample(df: DataFrame, label: str, minority, ratio: float, key: str, seed
     return base.unionByName(extra.select(*base.columns))
 
 
+def smote(df: DataFrame, label: str, minority, ratio: float, key: str, vec: str, k: int, seed) -> DataFrame:
+    """(synth_id, vector) of the synthetic minority rows that bring the class to
+    ``ratio`` x majority: row i lies between minority row pos(i) and its j(i)-th
+    nearest minority neighbour (Euclidean, ties by key) at weight w(i); pos, j
+    and w come from md5(seed:i). Neighbours are found block by block."""
+    from litspark.operators.vectors import nearest_references
+    counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # one row per class
+    n_min = counts.get(minority, 0)
+    need = int(ratio * max((v for c, v in counts.items() if c != minority and c is not None), default=0)) - n_min
+    rows = shuffle_rank(df.where(F.col(label) == F.lit(minority)).select(key, vec), key, seed, name="pos")
+    near = nearest_references(rows, key, vec, rows.select(F.col(key).alias("_id"), F.col(vec).alias("_vec")), "_id", "_vec", ["_vec"], k, exclude_self=True)
+    pairs = rows.join(near.select(key, F.posexplode("nearest").alias("j", "s")), key).select("pos", vec, (F.col("j") + 1).alias("j"), "s._vec")
+    h = hash_str(seed, F.col("id"))
+    draws = df.sparkSession.range(max(need, 0) if n_min else 0).select(
+        F.col("id").alias("synth_id"),
+        (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % max(n_min, 1) + 1).alias("pos"),
+        (F.conv(F.substring(h, 9, 8), 16, 10).cast("long") % min(k, max(n_min - 1, 1)) + 1).cast("int").alias("j"),
+        (F.conv(F.substring(h, 17, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)).alias("w"))
+    between = F.zip_with(vec, "_vec", lambda a, b: a.cast("double") + F.col("w") * (b.cast("double") - a.cast("double")))
+    return draws.join(pairs, ["pos", "j"]).select("synth_id", between.alias("vector"))
+
+
 def undersample(df: DataFrame, label: str, majority, ratio: float, key: str, seed) -> DataFrame:
     """Keep int(n_min / ratio) majority rows (first in hash order) and every
     other row."""

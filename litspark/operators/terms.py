@@ -10,7 +10,7 @@ bounded by ``max_features``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,16 @@ def fit_vocabulary(tf: DataFrame, n_docs: DataFrame | None = None, max_features:
     ))
 
 
+def save_vocabulary(vocab: DataFrame, path: str) -> str:
+    """Store a fitted vocabulary or phrase list as Parquet, to score with later."""
+    vocab.write.mode("overwrite").parquet(path)
+    return path
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def tfidf_weights(tf: DataFrame, vocab: DataFrame, doc_col: str = "doc_id", term_col: str = "term",
                   normalize: bool = True) -> DataFrame:
     """(doc, term, tf, weight); out-of-vocabulary terms dropped; rows L2-normalised.

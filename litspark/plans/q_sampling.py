@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from litspark.operators import filters as fl
 from litspark.operators import sampling as sm
-from litspark.operators import vectors as vx
 from litspark.plans import sqlfrag as S
 from litspark.plans.catalog import register
 from litspark.plans.q_windows import WIN2_SQL, win2_near
@@ -51,7 +50,7 @@ SAMPLE_SIZE = 50
 
 
 def _pools(t: Tables):
-    s = t.scores.join(t.articles.select("doc_id", "primary_subject"), "doc_id")
+    s = t.scores.join(t.articles.select("doc_id", "primary_subject", "journal_title"), "doc_id")
     p = F.col("prediction_cult_prob_yes")
     return {"minority": s.where(p > 0.8), "majority": s.where(p < 0.3),
             "fuzzy": s.where(fl.fuzzy_prediction(p))}
@@ -60,39 +59,39 @@ def _pools(t: Tables):
 def _pools_sql():
     p = "prediction_cult_prob_yes"
     return f"""pools AS (
-  SELECT 'minority' AS pool, doc_id, primary_subject FROM scores JOIN articles USING (doc_id) WHERE {p} > 0.8
-  UNION ALL SELECT 'majority', doc_id, primary_subject FROM scores JOIN articles USING (doc_id) WHERE {p} < 0.3
-  UNION ALL SELECT 'fuzzy', doc_id, primary_subject FROM scores JOIN articles USING (doc_id)
+  SELECT 'minority' AS pool, doc_id, primary_subject, journal_title FROM scores JOIN articles USING (doc_id) WHERE {p} > 0.8
+  UNION ALL SELECT 'majority', doc_id, primary_subject, journal_title FROM scores JOIN articles USING (doc_id) WHERE {p} < 0.3
+  UNION ALL SELECT 'fuzzy', doc_id, primary_subject, journal_title FROM scores JOIN articles USING (doc_id)
     WHERE abs(2.0 * {p} - 1.0) BETWEEN 0.1 AND 0.5)"""
 
 
+STRATIFY = ["primary_subject", "journal_title"]
+
+
 def _smp4_sql():
     parts = []
     for pool, prop in POOLS:
-        want = int(prop * SAMPLE_SIZE)
-        parts.append(f"""SELECT * FROM (
-  SELECT '{pool}' AS pool, doc_id, primary_subject FROM (
-    SELECT *, row_number() OVER (PARTITION BY primary_subject ORDER BY {H(43, 'doc_id')}, doc_id) AS r FROM pools
+        for col in STRATIFY:
+            want = int(prop * SAMPLE_SIZE) // len(STRATIFY)
+            parts.append(f"""SELECT * FROM (
+  SELECT '{pool}' AS pool, '{col}' AS stratum, doc_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY {col} ORDER BY {H(43, 'doc_id')}, doc_id) AS r FROM pools
     WHERE pool = '{pool}')
-  WHERE r <= (SELECT least({want}, min(c)) FROM (SELECT count(*) AS c FROM pools WHERE pool = '{pool}' GROUP BY primary_subject))
+  WHERE r <= (SELECT least({want}, min(c)) FROM (SELECT count(*) AS c FROM pools WHERE pool = '{pool}' GROUP BY {col}))
   ORDER BY {H(44, 'doc_id')}, doc_id LIMIT {want})""")
     return "\nUNION ALL\n".join(parts)
 
 
 @register("smp4_composed_sample", S.with_(S.ARTICLES, S.SCORES, _pools_sql()) + f""",
 picked AS ({_smp4_sql()})
-SELECT p.pool, p.doc_id, a.journal_title FROM picked p JOIN articles a USING (doc_id)""")
+SELECT p.pool, p.stratum, p.doc_id, a.journal_title FROM picked p JOIN articles a USING (doc_id)""")
 def smp4(spark, sf_dir):
-    """Quotas int(p * size) from the minority, majority and fuzzy pools, each an
-    equal stratified draw over subjects; rows fetched by key, duplicates kept."""
+    """Quotas int(p * size) / 2 from the minority, majority and fuzzy pools for
+    each of two stratify columns; rows fetched by key, duplicates kept."""
     t = Tables(spark, sf_dir)
-    out = None
-    for pool, prop in POOLS:
-        src = _pools(t)[pool].select("doc_id", "primary_subject")
-        got = sm.stratified_equal(src, "primary_subject", int(prop * SAMPLE_SIZE), "doc_id", 43, 44) \
-            .select(F.lit(pool).alias("pool"), "doc_id")
-        out = got if out is None else out.unionByName(got)
-    return out.join(t.articles.select("doc_id", "journal_title"), "doc_id").select("pool", "doc_id", "journal_title")
+    pools = _pools(t)
+    out = sm.composed_sample([(name, pools[name], share) for name, share in POOLS], STRATIFY, SAMPLE_SIZE, "doc_id", 43, 44)
+    return out.join(t.articles.select("doc_id", "journal_title"), "doc_id").select("pool", "stratum", "doc_id", "journal_title")
 
 
 @register("smp5_class_quota", S.with_(S.SCORES) + f"""
@@ -232,27 +231,7 @@ pick AS (SELECT d.synth_id, m.vec_id AS base, nn.nb, d.w FROM draws d JOIN mino
 SELECT p.synth_id, a.dim, round(a.v + p.w * (b.v - a.v), 6) AS value
 FROM pick p JOIN el a ON a.vec_id = p.base JOIN el b ON b.vec_id = p.nb AND b.dim = a.dim""")
 def smp10(spark, sf_dir):
-    """SMOTE for label 0 against the rest (ratio 1.0): synthetic point i lies
-    between minority row pos(i) and its j(i)-th nearest minority neighbour
-    (k = 5, Euclidean, ties by id) at weight w(i); pos, j, w come from
-    md5(seed:i)."""
-    e = Tables(spark, sf_dir).embeddings
-    counts = dict(e.groupBy((F.col("label") == 0).alias("m")).count().collect())
-    n_min, n_maj = counts.get(True, 0), counts.get(False, 0)
-    need = n_maj - n_min
-    mino = sm.shuffle_rank(e.where(F.col("label") == 0).select("vec_id", "embedding"), "vec_id", 6, name="pos")
-    # k nearest minority neighbours of each minority row, block by block
-    near = vx.nearest_references(mino, "vec_id", "embedding", mino.select(F.col("vec_id").alias("nb"), F.col("embedding").alias("nvec")),
-                                 "nb", "nvec", ["nvec"], SMOTE_K, exclude_self=True)
-    nn = mino.join(near.select("vec_id", F.posexplode("nearest").alias("j", "s")), "vec_id") \
-        .select("pos", "embedding", (F.col("j") + 1).alias("j"), "s.nvec")
-    h = sm.hash_str(6, F.col("id"))
-    draws = spark.range(max(need, 0)).select(
-        F.col("id").alias("synth_id"),
-        (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % n_min + 1).alias("pos"),
-        (F.conv(F.substring(h, 9, 8), 16, 10).cast("long") % SMOTE_K + 1).cast("int").alias("j"),
-        (F.conv(F.substring(h, 17, 13), 16, 10).cast("double") / F.lit(4503599627370496.0)).alias("w"))
-    pick = draws.join(nn, ["pos", "j"])
-    synth = F.zip_with("embedding", "nvec", lambda a, b: a.cast("double") + F.col("w") * (b.cast("double") - a.cast("double")))
-    out = pick.select("synth_id", F.posexplode(synth).alias("dim", "value"))
+    """SMOTE for label 0 against the rest (ratio 1.0)."""
+    e = Tables(spark, sf_dir).embeddings.withColumn("minority", (F.col("label") == 0).cast("int"))
+    out = sm.smote(e, "minority", 1, 1.0, "vec_id", "embedding", SMOTE_K, 6).select("synth_id", F.posexplode("vector").alias("dim", "value"))
     return out.select("synth_id", F.col("dim").cast("int").alias("dim"), F.round("value", 6).alias("value"))

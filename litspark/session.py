@@ -36,20 +36,28 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; set a scratch one only
-    when none is configured (local tests)."""
+    """Use the cluster's shared ``spark.checkpoint.dir``. Without one, a local
+    session gets a scratch folder and any other an error."""
     sc = spark.sparkContext
     current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
         existing = sc._jsc.sc().getCheckpointDir()
         current = existing.get() if existing.isDefined() else None
     if not current:
-        # Only reached when nothing is configured, i.e. local tests.
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        # nothing is configured in a local session, i.e. tests
         current = tempfile.mkdtemp(prefix="litspark-ckpt-", dir="/tmp")
     sc.setCheckpointDir(current)
     return current
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """This session's own folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor
     loss, unlike a local checkpoint)."""

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-_STANDARD_CHARSETS = {"iso-8859-1", "us-ascii", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-8"}
-
-
 def read_headerless(spark: SparkSession, path: str, names: list[str], types: str = "string", **opts) -> DataFrame:
     """SRC1: delimited file without a header, columns named by the caller."""
     schema = ", ".join(f"`{n}` {types}" for n in names)
@@ -20,12 +17,11 @@ def read_headerless(spark: SparkSession, path: str, names: list[str], types: str
 def read_csv_columns(spark: SparkSession, path: str, columns: list[str], schema: StructType | str | None = None,
                      encoding: str | None = None, **opts) -> DataFrame:
     """SRC2/SRC3: headered CSV projected to the needed columns; ``encoding``
-    for files written in another charset (e.g. windows-1252)."""
+    for files written in another charset. One beyond the standard set (such as
+    windows-1252) needs ``spark.sql.legacy.javaCharsets=true``, which is the
+    caller's to set."""
     r = spark.read.options(header=True, multiLine=True, escape='"', **opts)
     if encoding:
-        if encoding.lower() not in _STANDARD_CHARSETS:
-            # charsets beyond the standard set (e.g. windows-1252) need the JVM's full list
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         r = r.option("encoding", encoding)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", False)
     return r.csv(path).select(*columns)
@@ -91,10 +87,25 @@ def select_json_rows(d: DataFrame, folder: Column, file: Column, order: Column,
     return d.where(F.col("language") == F.lit(language)).drop("_folder", "_fname", "_ord", "_r")
 
 
+def csv_fields(df: DataFrame, col: str, schema: str) -> DataFrame:
+    """The fields of CSV records (SRC1-SRC3 on a column of lines)."""
+    return df.select(F.from_csv(col, schema, {"escape": '"'}).alias("r")).select("r.*")
+
+
+def text_lines(df: DataFrame, key: str, col: str) -> DataFrame:
+    """(key, line_no, line): a text as its list of lines (SRC4, SNK4)."""
+    return df.select(key, F.posexplode(F.split(col, "\n", -1)).alias("line_no", "line"))
+
+
 def read_embedding_text(spark: SparkSession, path: str) -> DataFrame:
     """SRC7: 'word v1 ... vn' lines -> (word, array<float>)."""
-    parts = F.split(F.trim(F.col("value")), " +")
-    d = spark.read.text(path).select(parts.alias("p")).where(F.size("p") > 1)
+    return vector_lines(spark.read.text(path), "value")
+
+
+def vector_lines(df: DataFrame, col: str) -> DataFrame:
+    """(word, vector) of lines 'word v1 ... vn'; lines without a number go."""
+    parts = F.split(F.trim(F.col(col)), " +")
+    d = df.select(parts.alias("p")).where(F.size("p") > 1)
     return d.select(F.element_at("p", 1).alias("word"),
                     F.transform(F.slice("p", 2, F.size("p") - 1), lambda x: x.cast("float")).alias("vector"))
 
@@ -102,7 +113,12 @@ def read_embedding_text(spark: SparkSession, path: str) -> DataFrame:
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """SRC8: one term per line, commas read as spaces; ``multi`` marks terms of
     more than one whitespace-separated word."""
-    d = spark.read.text(path).select(F.trim(F.regexp_replace("value", ",", " ")).alias("term"))
+    return dictionary_lines(spark.read.text(path), "value")
+
+
+def dictionary_lines(df: DataFrame, col: str) -> DataFrame:
+    """(term, multi) of dictionary lines; empty lines go."""
+    d = df.select(F.trim(F.regexp_replace(col, ",", " ")).alias("term"))
     d = d.where(F.length("term") > 0)
     return d.withColumn("multi", F.size(F.split("term", r"\s+")) > 1)
 

@@ -8,12 +8,27 @@ from pyspark.sql import functions as F
 from litspark.functions.text import decade
 
 
+def with_decades(df: DataFrame, year_col: str = "year") -> DataFrame:
+    """Every row once under the decade 'all' and, if its year lies in one, once
+    under its decade slice: one scan, each row doubled where it is read."""
+    slices = F.array_compact(F.array(F.lit("all"), decade(year_col)))
+    return df.withColumn("decade", F.explode(slices))
+
+
+def quoted_line(*cols: str) -> Column:
+    """A CSV record of the columns, all fields quoted."""
+    return F.to_csv(F.struct(*cols), {"quoteAll": "true", "escape": '"'})
+
+
+def set_name(names: list[str]) -> Column:
+    """The folder of a row's output set: name=value parts."""
+    return F.concat_ws("/", *[F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for n in names])
+
+
 def write_with_decades(df: DataFrame, path: str, year_col: str = "year", fmt: str = "parquet") -> None:
     """SNK1: the whole result plus one copy per decade slice, as one write
     partitioned by ``decade`` ('all' holds every row)."""
-    whole = df.withColumn("decade", F.lit("all"))
-    sliced = df.withColumn("decade", decade(year_col)).where(F.col("decade").isNotNull())
-    whole.unionByName(sliced).write.mode("overwrite").partitionBy("decade").format(fmt).save(path)
+    with_decades(df, year_col).write.mode("overwrite").partitionBy("decade").format(fmt).save(path)
 
 
 def write_quoted_csv(df: DataFrame, path: str) -> None:

@@ -164,7 +164,7 @@ def test_confusion_and_auc(spark):
     pos = [s for y, _, s in rows if y == 1]
     neg = [s for y, _, s in rows if y == 0]
     exp = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
-    assert abs(ev.roc_auc(df, "y", "s") - exp) < 1e-12
+    assert abs(ev.roc_auc(df, "y", "s").first()["auc"] - exp) < 1e-12
 
 
 def test_edge_groups_do_not_fail(spark):

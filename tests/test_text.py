@@ -1,6 +1,4 @@
-"""Column functions against plain-Python statements of the same rules."""
-
-import re
+"""Column functions against expected values written by hand from the rules."""
 
 from pyspark.sql import functions as F
 
@@ -20,26 +18,15 @@ CITATIONS = [
 ]
 
 
-def py_title(citation):
-    found = re.findall(r"(?<=\d{4}\.).*[\.\?\!].", citation.strip())
-    title = str(found)[4:-4]
-    return re.sub(r"\W+", " ", title).strip(" x").lower()
-
-
-def py_clean_sentence(sentence):
-    s = sentence.replace("\xa0", " ").replace("\\t", " ").replace("_", " ").strip(" ")
-    for m in re.findall(r"\w+-\s\w+", s):
-        s = s.replace(m, re.sub(r"- ", "", m))
-    s = re.sub(r"\d+", "", s)
-    s = re.sub(r"\b[a-zA-Z]\b", "", s)
-    return s
-
-
 def test_citation_titles(spark):
     df = spark.createDataFrame([(c,) for c in CITATIONS], "c string")
     got = [r[0] for r in df.select(tx.citation_title("c")).collect()]
-    assert got == [py_title(c) for c in CITATIONS]
-    assert got[0] == "when worlds collide the internal dynamics of organizational responses to conflicting institutional demands"
+    assert got == [
+        "when worlds collide the internal dynamics of organizational responses to conflicting institutional demands",
+        "what is organizational imprinting cultural entrepreneurship in the founding of the paris opera",
+        "conflict management honor and organizational change",
+        # a full stop in the address ends the last of them: the greedy rule runs to it
+        "institutionalized organizations formal structure as myth and ceremony american journal of sociology 83 340 363 http www jstor"]
 
 
 SENTENCES = ["A cat- egory of 12 things, a b c d e.", "x_y z\xa0w and the pre- war era- s", "Été à l'école b 3a",
@@ -50,8 +37,8 @@ def test_sentence_steps_match_python(spark):
     df = spark.createDataFrame([(s,) for s in SENTENCES], "s string")
     c = tx.remove_single_letters(tx.remove_digits(tx.unhyphenate(F.translate("s", " _", "  "))))
     got = [r[0] for r in df.select(F.trim(F.replace(c, F.lit("\\t"), F.lit(" ")))).collect()]
-    exp = [py_clean_sentence(s).strip(" ") for s in SENTENCES]
-    assert [g.strip() for g in got] == [e.strip() for e in exp]
+    assert [g.strip() for g in got] == ["category of  things,     .", "and the prewar eras", "Été à 'école", "", "saw  man",
+                                        "well-known cooperation", "tab here"]
 
 
 def test_clean_document_structure(spark):
@@ -118,34 +105,17 @@ def test_strip_scheme(spark):
     assert [r[0] for r in df.select(tx.strip_scheme("u")).collect()] == ["www.example.org/stable/1", "www.example.org/stable/2"]
 
 
-def py_tweet(t):
-    if not isinstance(t, str) or re.search(r"^RT\s+", t):
-        return ""
-    t = t.lower().replace("# ", "#").replace("\n", " ")
-    t = re.sub(r"https?://\S*", "", t)
-    t = re.sub(r"@\S*", "", t)
-    t = re.sub(r"\s+", " ", t).strip()
-    return re.sub(r"#([^\s]+)", r"\1", t)
-
-
 def test_tweet_cleaner(spark):
     tw = ["RT @a: hi", "Hello #World http://x.y/z @bob\nbye", "# tag me", None]
     df = spark.createDataFrame([(t,) for t in tw], "t string")
     got = [r[0] for r in df.select(tx.clean_tweet("t")).collect()]
-    assert got == [py_tweet(t) for t in tw]
-
+    assert got == ["", "hello world bye", "tag me", ""]
 
-def test_indel_ratio_matches_definition(spark):
-    from difflib import SequenceMatcher
 
-    from litspark.functions.similarity import indel_ratio, indel_ratio_py
-    pairs = [("The iron cage revisited", "the iron cage"), ("abc", "abc"), ("", ""), ("kitten", "sitting"), ("a", None)]
-    df = spark.createDataFrame(pairs, "a string, b string")
-    got = [r[0] for r in df.select(indel_ratio("a", "b")).collect()]
-    assert got == [indel_ratio_py(a, b) for a, b in pairs]
-    # LCS-based ratio equals SequenceMatcher's when there are no junk heuristics at play
-    assert indel_ratio_py("kitten", "sitting") == round(100 * 2 * 4 / 13)
-    assert SequenceMatcher(None, "abc", "abc").ratio() == 1.0
+def test_similarity_folds_accents(spark):
+    df = spark.createDataFrame([("Été à l'École", "ete a l'ecole"), ("", ""), ("abc", "abd"), ("日本", "??")], "a string, b string")
+    got = df.select(tx.similarity_ratio(tx.fold_accents("a"), tx.fold_accents("b"))).collect()
+    assert [r[0] for r in got] == [100, 100, 67, 100]
 
 
 def test_cleaning_is_idempotent_on_its_output(spark):
