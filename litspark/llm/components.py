@@ -13,17 +13,21 @@ from pyspark.sql import functions as F
 from litspark.llm.common import checkpointed
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+#: Edges that one task handles.
+TASK_EDGES = 200_000
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+def _large_star(edges: DataFrame, parts: int) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts)
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts)
+
+
+def _small_star(edges: DataFrame, parts: int) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
+    moved = edges.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = moved.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts)
 
 
 def _print(edges: DataFrame) -> tuple:
@@ -32,11 +36,13 @@ def _print(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: bigint) that is not the
-    smallest of its component; root is the smallest."""
+    smallest of its component; root is the smallest. Tasks are as many as the
+    edges need."""
     edges = checkpointed(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = _print(edges)
     while seen[0]:
-        edges = checkpointed(_small_star(_large_star(edges)))
+        parts = 1 + seen[0] // TASK_EDGES
+        edges = checkpointed(_small_star(_large_star(edges.coalesce(parts), parts), parts))
         now = _print(edges)
         if now == seen:
             break
