@@ -39,10 +39,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``. Without one, a local
     session gets a scratch folder and any other an error."""
     sc = spark.sparkContext
+    existing = sc._jsc.sc().getCheckpointDir()
+    if existing.isDefined():
+        return existing.get()
     current = sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        existing = sc._jsc.sc().getCheckpointDir()
-        current = existing.get() if existing.isDefined() else None
     if not current:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
