@@ -83,8 +83,8 @@ def shard_matches(block: TestBlock, numbers: np.ndarray, first: np.ndarray) -> t
     every location where a test suffix matches at least a window."""
     n = len(numbers)
     # usable words ahead of each position, inside its document
-    stops = np.union1d(np.flatnonzero(numbers == 0), first[1:])
-    run = stops[np.searchsorted(stops, np.arange(n))] - np.arange(n) if n else np.zeros(0, np.int64)
+    unknown = np.append(np.flatnonzero(numbers == 0), n)
+    run = np.minimum(unknown[np.searchsorted(unknown, np.arange(n))], np.repeat(first[1:], np.diff(first))) - np.arange(n)
     found = []
     for size, spots in block.spots.items():
         order = suffix_array(numbers, run, size)
