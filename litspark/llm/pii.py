@@ -49,6 +49,7 @@ KINDS = list(PATTERNS)
 #: Identifier-like stretches: digit groups, or a word with a digit or an @.
 CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:[ ][(]?[0-9][0-9().-]*+(?!\S))*+"
 ROUNDS = 2
+STRETCH = 256
 #: No longer stretch is an instance to learn from or to mark.
 LONGEST = 100
 #: A pattern needs this many accepted instances, this share of all its
@@ -59,20 +60,38 @@ SUPPORT, PRECISION, INSTANCE = 3, 0.8, 1.0
 #: Matches whose positions are summed up in one go; longer lists go block by block.
 BLOCK = 128
 _SPANS = "array<struct<start:int,text:string>>"
+#: Characters of context that are kept on either side of a candidate.
+CONTEXT = 120
 
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, text>> of all matches: what lies between them tells
     where they are. Positions are code points."""
-    def placed(found: Column, between: Column) -> Column:
-        steps = F.zip_with(F.slice(between, 1, F.size(found)), found,
-                           lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("size"), m.alias("text")))
-        return let(steps, lambda all_: let(
-            F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda k: F.slice(all_, k * BLOCK + 1, BLOCK)),
-            lambda blocks: F.flatten(F.zip_with(blocks, _starts(F.transform(blocks, _length)), _block))))
-
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-               lambda found: F.when(F.size(found) == 0, F.array().cast(_SPANS)).otherwise(placed(found, F.split(text, pattern, -1))))
+               lambda found: F.when(F.size(found) == 0, F.array().cast(_SPANS)).otherwise(
+                   let(F.split(text, pattern, -1), lambda between: _placed(found, between))))
+
+
+def candidates(text: Column) -> Column:
+    """array<struct<start, text, left, right>> of the identifier-like stretches
+    of a text, with what stands between them and their neighbours."""
+    def around(found: Column, between: Column) -> Column:
+        near = F.zip_with(F.slice(between, 1, F.size(found)), F.slice(between, 2, F.size(found)),
+                          lambda b, a: F.struct(F.right(b, F.lit(CONTEXT)).alias("left"), F.left(a, F.lit(CONTEXT)).alias("right")))
+        return F.zip_with(_placed(found, between), near, lambda m, n: F.struct(m["start"].alias("start"), m["text"].alias("text"),
+                                                                              n["left"].alias("left"), n["right"].alias("right")))
+
+    return F.when(text.rlike("[0-9@]"), let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)),
+                                            lambda found: let(F.split(text, CANDIDATE, -1), lambda between: around(found, between))))
+
+
+def _placed(found: Column, between: Column) -> Column:
+    """The matches with their starts: running sums, block by block."""
+    steps = F.zip_with(F.slice(between, 1, F.size(found)), found,
+                       lambda b, m: F.struct(F.length(b).alias("gap"), F.length(m).alias("size"), m.alias("text")))
+    return let(steps, lambda all_: let(
+        F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda k: F.slice(all_, k * BLOCK + 1, BLOCK)),
+        lambda blocks: F.flatten(F.zip_with(blocks, _starts(F.transform(blocks, _length)), _block))))
 
 
 def _length(steps: Column) -> Column:
@@ -141,30 +160,26 @@ def _word(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[0-9]+", "9")
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<start, text, left, right>> of the identifier-like stretches
-    of a text, with up to 120 characters on either side."""
-    def with_context(m: Column) -> Column:
-        end = m["start"] + F.length(m["text"])
-        return F.struct(m["start"].alias("start"), m["text"].alias("text"),
-                        F.substring(text, F.greatest(m["start"] - 119, F.lit(1)), F.least(m["start"], F.lit(120))).alias("left"),
-                        F.substring(text, end + 1, F.lit(120)).alias("right"))
-
-    return F.when(text.rlike("[0-9@]"), F.transform(matches(text, CANDIDATE), with_context))
+def _stretches(spans: DataFrame) -> DataFrame:
+    """A row for every stretch of STRETCH characters that a span touches."""
+    return spans.withColumn("part", F.explode(F.sequence(F.floor(F.col("start") / STRETCH).cast("int"), F.floor((F.col("end") - 1) / STRETCH).cast("int"))))
 
 
 def occurrences(spotted: DataFrame) -> DataFrame:
-    """A row per stretch of (row, base, candidates): row, start, end, kind (of the
+    """A row per candidate of (row, base, candidates): row, start, end, kind (of a
     base span that overlaps it, else null), instance, context words."""
-    rows = spotted.select("row", "base", F.explode("candidates").alias("m"))
-    rows = rows.select("row", "base", F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.text")).alias("end"), "m.text", "m.left", "m.right")
-    near = F.filter("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start")))
-    rows = rows.withColumn("near", F.try_element_at(near, F.lit(1)))
+    found = (spotted.select("row", F.explode("candidates").alias("m"))
+             .select("row", F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.text")).alias("end"), "m.text", "m.left", "m.right"))
+    base = _stretches(spotted.select("row", F.explode("base").alias("s")).select("row", "s.k", "s.start", "s.end", "s.text"))
+    b = base.toDF("row_", "k", "start_", "end_", "text_", "part_")
+    over = _stretches(found.select("row", "start", "end"))
+    over = (over.join(b, (over["row"] == b["row_"]) & (over["part"] == b["part_"]) & (b["start_"] < over["end"]) & (b["end_"] > over["start"]))
+            .groupBy(over["row"], over["start"]).agg(F.min(F.struct("k", "start_", "text_")).alias("near")))
+    rows = found.join(over, ["row", "start"], "left")
     words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    rows = rows.withColumn("left", words("left")).withColumn("right", words("right"))
-    word = lambda c, n: _word(F.coalesce(F.try_element_at(c, F.lit(n)), F.lit("")))
-    return rows.select("row", "start", "end", F.element_at(F.array(*map(F.lit, KINDS)), F.col("near.k") + 1).alias("kind"),
-                       F.coalesce("near.text", "text").alias("instance"),
+    word = lambda c, n: _word(F.coalesce(F.try_element_at(words(c), F.lit(n)), F.lit("")))
+    return rows.select("row", "start", "end", F.coalesce(*[F.when(F.col("near.k") == n, F.lit(k)) for n, k in enumerate(KINDS)]).alias("kind"),
+                       F.coalesce("near.text_", "text").alias("instance"),
                        word("left", -1).alias("l1"), word("left", -2).alias("l2"), word("right", 1).alias("r1"))
 
 
