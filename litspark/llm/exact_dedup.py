@@ -140,19 +140,17 @@ def split_by_id(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, Dat
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept."""
     verdicts = checkpointed(exact_dedup(*split_by_id(docs)).filter("kept").groupBy("doc_id", "n", "text_sha256").agg(F.count(F.lit(1)).alias("same")))
-    columns = docs.columns
     text = text_of()
-    keyed = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), F.col("doc_id").alias("id_"), F.length(text).cast("long").alias("n_"))
-    sha = F.sha2(normalised(F.coalesce(F.col("row.text"), F.lit(""))), 256)
+    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").alias("id_"),
+                        F.length(text).cast("long").alias("n_"), F.sha2(normalised(text), 256).alias("sha_"))
 
-    def pick(some: DataFrame) -> DataFrame:
-        return keyed.join(some, keyed["id_"].eqNullSafe(some["doc_id"]) & (keyed["n_"] == some["n"]), "left_semi" if some is once else "inner")
+    def picked(some: DataFrame) -> DataFrame:
+        return keyed.join(some, keyed["id_"].eqNullSafe(some["doc_id"]) & (keyed["n_"] == some["n"]) & (keyed["sha_"] == some["text_sha256"]), "left_semi")
 
-    once, again = verdicts.filter("same = 1"), verdicts.filter("same > 1")
-    kept = pick(once)
+    kept, again = picked(verdicts.filter("same = 1")), verdicts.filter("same > 1")
     if not again.isEmpty():  # rows that repeat an id and a text: one of them
-        kept = kept.unionByName(pick(again).filter(sha == F.col("text_sha256")).dropDuplicates(["doc_id", "text_sha256"]).select("row", "id_", "n_"))
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in columns])
+        kept = kept.unionByName(picked(again).dropDuplicates(["id_", "sha_"]))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
