@@ -256,8 +256,10 @@ def train(pages: list[str], seed: int = 1) -> Labeller:
 
 
 def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", rows: int = TRAIN_PAGES) -> Labeller:
-    some = pages.select(text_of(html_col).alias("html"), F.xxhash64(id_col, F.lit(2)).alias("h")).orderBy("h", "html").limit(rows)
-    return train([r["html"] for r in some.collect()])  # at most TRAIN_PAGES pages
+    key = F.xxhash64(id_col, F.lit(2)).alias("h")
+    chosen = pages.select(key).distinct().orderBy("h").limit(rows)  # keys only; their pages are fetched after
+    some = pages.select(key, text_of(html_col).alias("html")).join(F.broadcast(chosen), "h").dropDuplicates(["h"])
+    return train([r["html"] for r in sorted(some.collect())])  # at most TRAIN_PAGES pages
 
 
 def labelled_text(pages: list[str], net: Labeller) -> list[str]:
