@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     got = counted.toArrow()
     got = got.sort_by("label") if got.num_rows else got
     index, share = got["index"].combine_chunks(), got["share"].combine_chunks()
-    size = np.array([len(x) for x in index.to_pylist()] if got.num_rows else [], np.int64)
+    size = np.diff(index.offsets.to_numpy()).astype(np.int64)
     bags = Bags(index.flatten().to_numpy(zero_copy_only=False).astype(np.int64), share.flatten().to_numpy(zero_copy_only=False).astype(float),
                 np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
     return train(bags, got["label"].to_numpy().astype(int))

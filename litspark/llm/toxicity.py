@@ -161,14 +161,22 @@ def train(bags: list[np.ndarray], named: list[np.ndarray], label: np.ndarray, tw
     return Model(weight, -float((best[0] + best[-1]) / 2))
 
 
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    out = []
+    for chunk in column.chunks:
+        flat = chunk.values.to_numpy().astype(np.int64)
+        at = chunk.offsets.to_numpy()
+        out += [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT,
         rows: int = TRAIN_ROWS, twin: float = TWIN) -> Model:
     small_batches(docs.sparkSession)
     terms = np.array(sorted(h for kind in term_features().values() for h, _ in kind), np.uint64)
     got = training_rows(docs, labels, label, folds, held_out, False, rows).mapInArrow(
         _reducer(terms), "label int, index array<int>, terms array<bigint>").toArrow()
-    bags = [np.array(x.values if x.values is not None else [], np.int64) for c in got["index"].chunks for x in c]
-    named = [np.array(x.values if x.values is not None else [], np.int64) for c in got["terms"].chunks for x in c]
+    bags, named = _arrays(got["index"]), _arrays(got["terms"])
     order = sorted(range(len(bags)), key=lambda i: (got["label"][i].as_py(), len(bags[i]), bags[i][:8].tolist()))
     label_ = np.array([got["label"][i].as_py() for i in order], float)
     return train([bags[i] for i in order], [named[i] for i in order], label_, twin)
