@@ -126,7 +126,7 @@ def luhn(digits: Column) -> Column:
 def _valid(kind: str, m: Column) -> Column:
     if kind == "ip":
         # more than three digits without leading zeros are above 255 in any case
-        return F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.right(p, F.lit(4)).try_cast("int"), F.lit(0)) <= 255))
+        return F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.coalesce(F.right(p, F.lit(4)).try_cast("int"), F.lit(0)) <= 255))
     if kind == "card":
         return F.length(_digits(m)).between(16, 19) & luhn(_digits(m))
     if kind == "phone":

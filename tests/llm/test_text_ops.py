@@ -140,6 +140,12 @@ def test_pii_base_spans(spark, tmp_path):
     assert pii.query(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_pii_reads_the_whole_part_of_an_ip(spark):
+    cases = ["20240101.1.2.3", "10001.2.3.4", "1.2.3.10255", "1.2.3.0000000255", "000.00.0.1", "1.2.3.1000"]
+    got = pii.base_spans(spark.createDataFrame(list(enumerate(cases)), "doc_id bigint, text string")).collect()
+    assert {cases[r.doc_id]: len(r.ip) for r in got} == {c: sum(x.startswith("ip") for x in _base(c)) for c in cases}
+
+
 def test_pii_learns_a_context(spark):
     rows = [(k, f"word{k} please call phone number +1 (555) 555-01{k:02d} today ok{k}") for k in range(12)]
     rows += [(50, "x please call phone number 555 555 0199 today y"), (51, "the year number 555 555 0198 was fine"), (52, "no number at all")]
