@@ -10,7 +10,8 @@ its shards again, and a passage shared by many documents costs each of them its
 own match and nothing else.
 
 The test side is the stated query set. It is shipped to the tasks in blocks of
-at most ``BLOCK_WORDS`` words, however many items there are.
+at most ``BLOCK_WORDS`` words, however many items there are; with several blocks
+the documents are numbered once and the blocks' results united by that number.
 
 Defined cases: null and empty texts have no words and match nothing; items
 without words are left out; a null item_id never appears in a list; repeated
@@ -22,13 +23,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litspark.llm.common import slices, small_batches, table, text_of, utf8
+from litspark.llm.common import checkpointed, slices, small_batches, table, text_of, utf8
 from litspark.llm.words import ALPHANUMERIC, Words, split_words
 
 WINDOW = 10
@@ -148,36 +150,50 @@ def _scanner(block: TestBlock):
             longest = np.zeros(batch.num_rows, np.int64)
             np.maximum.at(longest, doc, length)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(words.counts, pa.int64()),
+                [batch.column(0), batch.column(1), pa.array(words.counts, pa.int64()),
                  pa.array([spans.get(d, []) for d in range(batch.num_rows)], pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64())]))),
                  pa.array([sorted(x for x in found.get(d, ()) if x is not None) for d in range(batch.num_rows)], pa.list_(pa.string())),
-                 pa.array(longest)], ["doc_id", "n_words", "spans", "items", "longest"])
+                 pa.array(longest)], ["row", "doc_id", "n_words", "spans", "items", "longest"])
     return run
 
 
-_SCHEMA = "doc_id bigint, n_words bigint, spans array<struct<start:bigint,words:bigint>>, items array<string>, longest bigint"
+_SCHEMA = "row bigint, doc_id bigint, n_words bigint, spans array<struct<start:bigint,words:bigint>>, items array<string>, longest bigint"
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, spans (word start and number of
     words of the merged matches), items (ids, sorted as text), longest match."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    out = None
-    for block in _blocks(benchmark, "item_id", "text", window):
-        part = texts.mapInArrow(_scanner(block), _SCHEMA)
-        out = part if out is None else _joined(out, part)
-    return out
-
-
-def _joined(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Results of two blocks for the same rows; repeated ids count as one document."""
-    rows = a.unionByName(b).groupBy("doc_id", "n_words").agg(
-        F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"),
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
+    blocks = _blocks(benchmark, "item_id", "text", window)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return rows.mapInArrow(_scanner(first), _SCHEMA).drop("row")
+    rows = checkpointed(rows)  # a row has the same number in every block
+    out = rows.mapInArrow(_scanner(first), _SCHEMA)
+    for block in chain([second], blocks):
+        out = out.unionByName(rows.mapInArrow(_scanner(block), _SCHEMA).filter("longest > 0"))
+    merged = out.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
-    # overlapping spans of different blocks become one
-    cover = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["words"] - 1)))))
-    return rows.withColumn("spans", F.transform(cover, lambda p: F.struct(p.alias("start"), F.lit(1).cast("bigint").alias("words"))))
+    return merged.mapInArrow(_united, _SCHEMA).drop("row")
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of several blocks that overlap or touch become one, as in one block."""
+    for batch in batches:
+        at = batch.schema.get_field_index("spans")
+        lists = batch.column(at)
+        owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        start, words = (x.to_numpy() for x in lists.flatten().flatten())
+        base = owner * (int((start + words).max(initial=0)) + 1)  # no span reaches the next row
+        order = np.argsort(start + base, kind="stable")
+        begin, reach = (start + base)[order], np.maximum.accumulate((start + words + base)[order])
+        first = np.flatnonzero(np.concatenate([[True], begin[1:] > reach[:-1]])[:len(begin)])
+        last = np.append(first[1:], len(begin))[:len(first)] - 1
+        spans = pa.StructArray.from_arrays([pa.array(start[order][first], pa.int64()), pa.array(reach[last] - begin[first], pa.int64())], ["start", "words"])
+        offsets = pa.array(np.searchsorted(owner[order][first], np.arange(len(lists) + 1)), pa.int32())
+        yield batch.set_column(at, "spans", pa.ListArray.from_arrays(offsets, spans))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -51,6 +51,17 @@ def test_decontamination(edge, none, benchmark, monkeypatch):
     assert decontaminate.decontaminated(edge, benchmark).count() == clean.count()
 
 
+def test_decontamination_has_the_same_rows_in_several_blocks(spark, edge, benchmark, monkeypatch):
+    more = spark.createDataFrame([(None, "nothing of it"), (None, "see one two"), (None, "one two one")], "doc_id bigint, text string")
+    docs = edge.select("doc_id", "text").unionByName(more)
+    rows = lambda: sorted(((r.doc_id, r.n_words, [tuple(s) for s in r.spans], r["items"], r.longest) for r in decontaminate.matches(docs, benchmark).collect()), key=str)
+    want = rows()
+    assert len(want) == len(texts()) + 3
+    for words in (3, 12):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
+        assert rows() == want
+
+
 def test_longest_match_and_its_place(spark):
     docs = spark.createDataFrame([(1, "p q " + " ".join(f"t{k}" for k in range(30)) + " z")], "doc_id bigint, text string")
     items = spark.createDataFrame([(9, "u " + " ".join(f"t{k}" for k in range(5, 25)) + " v")], "item_id bigint, text string")
