@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litspark.functions import lexicon
 from litspark.functions import text as tx
+from litspark.session import small_result
 
 class KeyViolation(ValueError):
     pass
@@ -57,23 +58,38 @@ def word_blocks(df: DataFrame, id_col: str, title_col: str) -> DataFrame:
 
 def closest_title(queries: DataFrame, q_id: str, q_title: str, names: DataFrame, n_id: str,
                   n_title: str, rarest: int = 3) -> DataFrame:
-    """For each query title the best name by similarity (ties by id); a query
-    without a candidate has nulls.
+    """For each query title the best name by similarity (ties by id) of all names
+    that share a non-stop word with it; a query without one has nulls.
 
-    Candidates share one of the query's ``rarest`` non-stop words (by the number
-    of names that have it, then by the word), so a word that many titles have
-    pairs nothing unless a title has no rarer one. Titles are compared with
+    The names that share one of the query's ``rarest`` words (by the number of
+    names that have it, then by the word) give a first best. The query's other
+    words then bring in only names whose length lets them reach it: the edit
+    distance is at least the difference of the lengths. Titles are compared with
     accents folded; scores are aggregated per query, not sorted."""
-    nb = word_blocks(names, n_id, n_title)
-    held = nb.groupBy("block").agg(F.count(F.lit(1)).alias("_n"))
-    few = word_blocks(queries, q_id, q_title).join(held, "block").groupBy(q_id).agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("_n", "block"))), 1, rarest).alias("_few"))  # words of one title
-    keys = few.select(q_id, F.explode("_few.block").alias("block"))
-    pairs = nb.join(keys, "block").select(q_id, n_id).distinct()
-    scored = (pairs.join(queries.select(q_id, q_title), q_id).join(names.select(n_id, n_title), n_id)
-              .withColumn("similarity", tx.similarity_ratio(tx.fold_accents(q_title), tx.fold_accents(n_title))))
-    best = scored.groupBy(q_id).agg(F.max_by(F.struct(n_id, "similarity"), F.struct("similarity", -F.col(n_id))).alias("_best"))
-    return queries.select(q_id).join(best, q_id, "left").select(q_id, f"_best.{n_id}", "_best.similarity")
+    queries = small_result(queries.select(q_id, q_title))  # read by several branches, derived once
+    names = names.where(F.col(n_id).isNotNull())
+    q = queries.select(q_id, tx.fold_accents(q_title).alias("_q"))
+    nb = word_blocks(names.select(F.struct(n_id, F.col(n_title).alias("_raw"), F.length(tx.fold_accents(n_title)).alias("_size")).alias("_name"), n_title), "_name", n_title)
+    held = word_blocks(names, n_id, n_title).groupBy("block").agg(F.count(F.lit(1)).alias("_n"))
+    own = small_result(word_blocks(queries, q_id, q_title).join(held, "block").groupBy(q_id).agg(
+        F.array_sort(F.collect_list(F.struct("_n", "block")))["block"].alias("_own")).join(q, q_id))  # words of one title
+
+    def best_of(asked: DataFrame, reach: Column) -> DataFrame:
+        # a pair is scored where it meets first: at its rarest shared word
+        raw = F.concat(F.lit(" "), "_name._raw", F.lit(" "))
+        met = F.exists(F.slice("_own", F.lit(1), F.col("_at")), lambda w: F.contains(raw, F.concat(F.lit(" "), w, F.lit(" "))))
+        scored = (nb.join(asked, "block").where(reach & ~met)
+                  .select(q_id, tx.similarity_ratio("_q", tx.fold_accents("_name._raw")).alias("similarity"), (-F.col(f"_name.{n_id}")).alias("_id")))
+        return scored.groupBy(q_id).agg(F.max("similarity").alias("similarity"), F.max_by("_id", F.struct("similarity", "_id")).alias("_id"))
+
+    words = own.select("*", F.posexplode("_own").alias("_at", "block"))
+    first = small_result(best_of(words.where(F.col("_at") < rarest), F.lit(True)))
+    # similarity is rounded: lev <= longest * (100.5 - best) / 100, and one more for the division
+    a, b = F.length("_q"), F.col("_name._size")
+    near = F.abs(a - b) * 200 <= F.greatest(a, b) * (201 - 2 * F.col("similarity")) + 1
+    more = best_of(words.where(F.col("_at") >= rarest).join(first.select(q_id, "similarity"), q_id), near)
+    best = first.unionByName(more).groupBy(q_id).agg(F.max(F.struct("similarity", "_id")).alias("_best"))
+    return queries.select(q_id).join(best, q_id, "left").select(q_id, (-F.col("_best._id")).alias(n_id), "_best.similarity")
 
 
 def shingles(tokens: Column, n: int = 3) -> Column:

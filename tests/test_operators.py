@@ -1,6 +1,7 @@
 """Operators against brute-force results on small frames, and their properties."""
 
 import math
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -224,3 +225,30 @@ def test_repeated_reference_keys_end(spark, monkeypatch):
     q = spark.createDataFrame([(1, [0.5])], "qid long, v array<float>")
     assert vx.knn_vote(q, "qid", "v", train, "tid", "tv", "tl").first()["knn_label"] == 0
     assert vx.distances_to_references(q, "v", train, "tid", "tv", "euclidean").count() == 5
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(new[j] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_closest_title_looks_past_the_rarest_words(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{'xyz'[k % 3] * (k % 5)}{k}" for k in range(25)]
+    names = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 8)))) for k in range(60)]
+    names += [(100, "odd1 a"), (101, "odd2 b"), (102, "odd3 c"), (103, "market labor power state culture"),
+              (104, "market labor"), (105, "power state"), (106, "culture"), (107, "market labor power state culture")]
+    asked = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 8)))) for k in range(40)]
+    asked += [(50, "odd1 odd2 odd3 market labor power state culture"), (51, "unknown"), (52, "")]
+    got = jn.closest_title(spark.createDataFrame(asked, "q int, a string"), "q", "a", spark.createDataFrame(names, "n int, b string"), "n", "b")
+    want = {}
+    for q, a in asked:
+        scored = [(math.floor(100 * (1 - _edits(a, b) / max(len(a), len(b))) + 0.5), -n) for n, b in names if set(a.split()) & set(b.split())]
+        want[q] = (-max(scored)[1], max(scored)[0]) if scored else (None, None)
+    assert want[50][0] == 103
+    assert {r.q: (r.n, r.similarity) for r in got.collect()} == want
