@@ -114,10 +114,8 @@ def _blocks_sql(rel, idc, titlec):
 @register("jn10_fuzzy_closest_title", S.with_(S.citations_cte(), S.doc_titles_cte(), CITE_TITLES_SQL) + f""",
 un AS (SELECT * FROM ct ANTI JOIN doc_titles USING (title)),
 nb AS ({_blocks_sql('doc_titles', 'doc_id', 'title')}),
-held AS (SELECT block, count(*) AS n FROM nb GROUP BY block),
-few AS (SELECT * FROM (SELECT q.cite_id, block, row_number() OVER (PARTITION BY q.cite_id ORDER BY n, block) AS r
-        FROM ({_blocks_sql('un', 'cite_id', 'title')}) q JOIN held USING (block)) WHERE r <= 3),
-pairs AS (SELECT DISTINCT cite_id, doc_id FROM few JOIN nb USING (block)),
+qb AS ({_blocks_sql('un', 'cite_id', 'title')}),
+pairs AS (SELECT DISTINCT cite_id, doc_id FROM qb JOIN nb USING (block)),
 sc AS (SELECT p.cite_id, p.doc_id, {S.fold_accents('un.title')} AS a, {S.fold_accents('d.title')} AS b FROM pairs p JOIN un USING (cite_id)
        JOIN doc_titles d USING (doc_id)),
 sim AS (SELECT cite_id, doc_id, CAST(CASE WHEN greatest(length(a), length(b)) = 0 THEN 100

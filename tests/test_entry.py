@@ -1,6 +1,9 @@
 """Driver contract and a sample of registered queries against the SQL oracle."""
 
 import math
+import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -24,6 +27,26 @@ def test_registry_consistent():
     assert len(q) >= 100
 
 
+def test_loads_without_the_training_data_operators():
+    """With the subpackage hidden, the other queries are still all there."""
+    code = """
+import importlib.abc, sys
+class Hide(importlib.abc.MetaPathFinder):
+    def find_spec(self, name, path=None, target=None):
+        if name.split('.')[:2] == ['litspark', 'llm']:
+            raise ModuleNotFoundError(name)
+import importlib.util as u
+found = u.find_spec
+u.find_spec = lambda name, package=None: None if name.startswith('litspark.llm') else found(name, package)
+sys.meta_path.insert(0, Hide())
+import __spark_entry__ as E
+names = set(E.queries())
+assert len(names) >= 100 and 'pipeline' not in names and not any(n.startswith('op1_') for n in names)
+assert set(E.oracle_sql()) <= names
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(E.__file__))
+
+
 def _norm(v):
     if v is None or (isinstance(v, float) and math.isnan(v)):
         return "NULL"
