@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from litspark.llm import bin_packing, chat_format, decontaminate, exact_dedup, html_extract, lm_score, near_dedup, packing, pii, quality, toxicity
+from litspark.llm import (bin_packing, chat_format, decontaminate, exact_dedup, html_extract, lexical_search, lm_score,
+                          near_dedup, packing, pii, quality, toxicity)
 
 QUERIES = {
     "op6_exact_dedup": (exact_dedup.query, exact_dedup.SQL),
@@ -15,5 +16,6 @@ QUERIES = {
     "op10_chat_format": (chat_format.query, chat_format.SQL),
     "op1_pii": (pii.query, pii.SQL),
     "op11_best_fit": (bin_packing.query, bin_packing.SQL),
+    "op12_lexical_search": (lexical_search.query, lexical_search.SQL),
     "op2_html_extract": (html_extract.query, html_extract.SQL),
 }
