@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from litspark.llm import (bin_packing, chat_format, decontaminate, exact_dedup, html_extract, lexical_search, lm_score,
+from litspark.llm import (bin_packing, centroids, chat_format, decontaminate, exact_dedup, html_extract, lexical_search, lm_score,
                           near_dedup, packing, pii, quality, toxicity)
 
 QUERIES = {
@@ -17,5 +17,6 @@ QUERIES = {
     "op1_pii": (pii.query, pii.SQL),
     "op11_best_fit": (bin_packing.query, bin_packing.SQL),
     "op12_lexical_search": (lexical_search.query, lexical_search.SQL),
+    "op13_centroids": (centroids.query, centroids.SQL),
     "op2_html_extract": (html_extract.query, html_extract.SQL),
 }
