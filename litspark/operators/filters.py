@@ -6,12 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def contains_any(text: Column, terms: list[str]) -> Column:
-    """True when the text holds at least one term as a substring."""
-    arr = F.array(*[F.lit(t) for t in terms])
-    return F.exists(arr, lambda t: F.contains(text, t))
-
-
 def fuzzy_prediction(p_yes: Column, lower: float = 0.1, upper: float = 0.5) -> Column:
     """lower <= p(pred) - p(other) <= upper, with p_no = 1 - p_yes; the
     difference is |2 p_yes - 1|."""

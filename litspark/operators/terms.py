@@ -1,4 +1,4 @@
-"""Term weighting and phrases on long token tables (TXT1-TXT7, STR28-STR29).
+"""Term weighting and phrases on long token tables (TXT1-TXT7, STR29).
 
 A token table is ``(doc_id, [sent_pos, tok_pos,] term)``. Per-document term
 frequencies come from one aggregation whose map-side partial aggregate already
@@ -167,15 +167,7 @@ def apply_phrases(sents: DataFrame, phrases: DataFrame, keys: list[str], toks: s
     return j.withColumn("phrased", out).drop("_m")
 
 
-# --- dictionary n-grams and token ids (STR28-STR29) ---------------------------------
-
-def fix_ngrams(sentence: Column, ngrams: list[str]) -> Column:
-    """Each listed multi-word term's spaces become '_' (plain substring
-    replacement, longest terms first), then the sentence is split again."""
-    for ng in ngrams:
-        sentence = F.replace(sentence, F.lit(ng), F.lit(ng.replace(" ", "_")))
-    return F.split(F.trim(sentence), r"\s+")
-
+# --- token ids (STR29); dictionary terms are in operators/dictionary.py ---------------
 
 def token_ids(docs: DataFrame, doc_col: str, vocab: DataFrame, pad: int, length: int = 500,
               key: str = "doc_id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litspark.functions import text as tx
 from litspark.operators import aggregates as ag
-from litspark.operators import filters as fl
+from litspark.operators import dictionary as dc
 from litspark.operators.vectors import word_vectors
 from litspark.plans import sqlfrag as S
 from litspark.plans.catalog import register
@@ -295,22 +295,29 @@ UNION ALL SELECT 'labelled', {N} FROM articles WHERE doc_id IN (SELECT doc_id FR
 UNION ALL SELECT 'long_enough', {N} FROM articles WHERE length(text) >= 1000""")
 def agg21(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    a = t.articles.join(t.labels.select("doc_id", F.lit(1).alias("lab")), "doc_id", "left")
-    terms = list(dict.fromkeys(x for ts in DICTIONARIES.values() for x in ts))
+    hits = dc.with_hits(t.documents.select("doc_id", "text"), "doc_id", "text", dictionary_table(spark)).select("doc_id", "hit")
+    a = t.articles.select("doc_id", "publication_year", F.length("text").alias("length")).join(hits, "doc_id").join(
+        t.labels.select("doc_id", F.lit(1).alias("lab")), "doc_id", "left")
     one = a.agg(F.count(F.lit(1)).alias("documents"),
                 F.count_if(F.col("publication_year").isNotNull()).alias("with_year"),
-                F.count_if(fl.contains_any(F.col("text"), terms)).alias("dictionary_hit"),
+                F.count_if("hit").alias("dictionary_hit"),
                 F.count_if(F.col("lab").isNotNull()).alias("labelled"),
-                F.count_if(F.length("text") >= 1000).alias("long_enough"))
+                F.count_if(F.col("length") >= 1000).alias("long_enough"))
     names = ["documents", "with_year", "dictionary_hit", "labelled", "long_enough"]
     stack = F.explode(F.array(*[F.struct(F.lit(n).alias("step"), F.col(n).alias("n_rows")) for n in names]))
     return one.select(stack.alias("x")).select("x.*")
 
 
-@register("agg26_dictionary_hits_per_doc", "WITH " + S.CLEAN_TOKENS + """,
-dict AS (SELECT * FROM (VALUES """ + ", ".join(f"({S.q(p)}, {S.q(t)})" for p, ts in DICTIONARIES.items() for t in ts) + """) v(perspective, term))
-SELECT doc_id, perspective, CAST(count(*) AS BIGINT) AS n_hits FROM ctok JOIN dict USING (term) GROUP BY ALL""")
+_DICT_SQL = ", ".join(f"({S.q(p)}, {S.q(t)})" for p, ts in DICTIONARIES.items() for t in ts)
+
+
+@register("agg26_dictionary_hits_per_doc", f"""
+WITH clean AS (SELECT doc_id, {S.clean_document('text')} AS doc FROM documents),
+cs AS (SELECT doc_id, unnest(doc) AS toks FROM clean),
+dict AS (SELECT perspective, string_split(term, ' ') AS words FROM (VALUES {_DICT_SQL}) v(perspective, term)),
+spots AS (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM cs)
+SELECT doc_id, perspective, CAST(count(*) AS BIGINT) AS n_hits
+FROM spots JOIN dict ON toks[i] = words[1] AND toks[i:i + len(words) - 1] = words GROUP BY ALL""")
 def agg26(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    d = F.broadcast(dictionary_table(spark))  # fixed dictionary list
-    return clean_tokens(t).join(d, "term").groupBy("doc_id", "perspective").agg(F.count(F.lit(1)).alias("n_hits"))
+    sents = cleaned_docs(Tables(spark, sf_dir)).select("doc_id", F.explode("doc").alias("toks"))
+    return dc.hit_counts(sents, ["doc_id"], "toks", dictionary_table(spark))

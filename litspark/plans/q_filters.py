@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litspark.functions import text as tx
+from litspark.operators import dictionary as dc
 from litspark.operators import filters as fl
 from litspark.plans import sqlfrag as S
 from litspark.plans.catalog import register
 from litspark.plans.q_text import PAIRS_SQL, SIM_SQL, title_pairs
-from litspark.sources.dictionaries import all_terms
+from litspark.sources.dictionaries import all_terms, dictionary_table
 from litspark.sources.tables import PERSPECTIVES, Tables
 
 
@@ -42,7 +43,9 @@ FROM (SELECT primary_subject, len(list_filter({S.lst(all_terms())}, lambda t: co
       FROM articles)
 GROUP BY primary_subject""")
 def flt4(spark, sf_dir):
-    a = Tables(spark, sf_dir).articles.withColumn("hit", fl.contains_any(F.col("text"), all_terms()))
+    t = Tables(spark, sf_dir)
+    a = t.articles.select("primary_subject", "doc_id").join(
+        dc.with_hits(t.documents.select("doc_id", "text"), "doc_id", "text", dictionary_table(spark)).select("doc_id", "hit"), "doc_id")
     return a.groupBy("primary_subject").agg(F.count_if("hit").alias("n_kept"),
                                             F.count_if(~F.col("hit")).alias("n_removed"))
 

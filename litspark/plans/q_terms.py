@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from litspark.functions import lexicon
 from litspark.functions import text as tx
-from litspark.operators import terms
+from litspark.operators import dictionary, terms
 from litspark.plans import sqlfrag as S
 from litspark.plans.catalog import register
-from litspark.sources.dictionaries import multiword_terms
+from litspark.sources.dictionaries import dictionary_table, multiword_terms
 from litspark.session import reuse
 from litspark.sources.tables import Tables
 
@@ -184,8 +184,8 @@ SELECT doc_id, sent_pos, fixed FROM (
 WHERE contains(fixed, '_')""")
 def str28(spark, sf_dir):
     cs = clean_sents(Tables(spark, sf_dir))
-    fixed = terms.fix_ngrams(F.array_join("toks", " "), multiword_terms())
-    return cs.select("doc_id", "sent_pos", F.array_join(fixed, " ").alias("fixed")).where(F.col("fixed").contains("_"))
+    out = dictionary.join_terms(cs, ["doc_id", "sent_pos"], "toks", dictionary_table(spark).select("term"))
+    return out.select("doc_id", "sent_pos", F.array_join("fixed", " ").alias("fixed")).where(F.contains("fixed", F.lit("_")))
 
 
 TOKEN_IDS_LEN = 500
