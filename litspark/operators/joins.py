@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litspark.functions import lexicon
 from litspark.functions import text as tx
-from litspark.session import small_result
+from litspark.operators.dictionary import TermIndex, characters, occurrences
+from litspark.operators.windows import global_rank
+from litspark.session import cut_lineage, small_result
+
 
 class KeyViolation(ValueError):
     pass
@@ -48,48 +52,91 @@ def staged_link(records: DataFrame, first: DataFrame, full: DataFrame, key: str)
     return m1.select(common).unionByName(m2.select(common))
 
 
-def word_blocks(df: DataFrame, id_col: str, title_col: str) -> DataFrame:
-    """(id, word) blocking keys: distinct title words that are not stop words."""
-    stop = F.array(*[F.lit(w) for w in lexicon.ARCHIVE_STOP_WORDS])
-    words = F.array_distinct(F.filter(F.split(F.col(title_col), " "),
-                                      lambda w: (F.length(w) > 0) & ~F.array_contains(stop, w)))
-    return df.select(id_col, F.explode(words).alias("block"))
-
-
-def closest_title(queries: DataFrame, q_id: str, q_title: str, names: DataFrame, n_id: str,
-                  n_title: str, rarest: int = 3) -> DataFrame:
-    """For each query title the best name by similarity (ties by id) of all names
-    that share a non-stop word with it; a query without one has nulls.
-
-    The names that share one of the query's ``rarest`` words (by the number of
-    names that have it, then by the word) give a first best. The query's other
-    words then bring in only names whose length lets them reach it: the edit
-    distance is at least the difference of the lengths. Titles are compared with
-    accents folded; scores are aggregated per query, not sorted."""
-    queries = small_result(queries.select(q_id, q_title))  # read by several branches, derived once
-    names = names.where(F.col(n_id).isNotNull())
-    q = queries.select(q_id, tx.fold_accents(q_title).alias("_q"))
-    nb = word_blocks(names.select(F.struct(n_id, F.col(n_title).alias("_raw"), F.length(tx.fold_accents(n_title)).alias("_size")).alias("_name"), n_title), "_name", n_title)
-    held = word_blocks(names, n_id, n_title).groupBy("block").agg(F.count(F.lit(1)).alias("_n"))
-    own = small_result(word_blocks(queries, q_id, q_title).join(held, "block").groupBy(q_id).agg(
-        F.array_sort(F.collect_list(F.struct("_n", "block")))["block"].alias("_own")).join(q, q_id))  # words of one title
-
-    def best_of(asked: DataFrame, reach: Column) -> DataFrame:
-        # a pair is scored where it meets first: at its rarest shared word
-        raw = F.concat(F.lit(" "), "_name._raw", F.lit(" "))
-        met = F.exists(F.slice("_own", F.lit(1), F.col("_at")), lambda w: F.contains(raw, F.concat(F.lit(" "), w, F.lit(" "))))
-        scored = (nb.join(asked, "block").where(reach & ~met)
-                  .select(q_id, tx.similarity_ratio("_q", tx.fold_accents("_name._raw")).alias("similarity"), (-F.col(f"_name.{n_id}")).alias("_id")))
-        return scored.groupBy(q_id).agg(F.max("similarity").alias("similarity"), F.max_by("_id", F.struct("similarity", "_id")).alias("_id"))
-
-    words = own.select("*", F.posexplode("_own").alias("_at", "block"))
-    first = small_result(best_of(words.where(F.col("_at") < rarest), F.lit(True)))
-    # similarity is rounded: lev <= longest * (100.5 - best) / 100, and one more for the division
-    a, b = F.length("_q"), F.col("_name._size")
-    near = F.abs(a - b) * 200 <= F.greatest(a, b) * (201 - 2 * F.col("similarity")) + 1
-    more = best_of(words.where(F.col("_at") >= rarest).join(first.select(q_id, "similarity"), q_id), near)
-    best = first.unionByName(more).groupBy(q_id).agg(F.max(F.struct("similarity", "_id")).alias("_best"))
-    return queries.select(q_id).join(best, q_id, "left").select(q_id, (-F.col("_best._id")).alias(n_id), "_best.similarity")
+#: Edits that the segment index looks for, one round after the other, and the
+#: least characters of a segment.
+EDITS = (2, 5)
+SEGMENT = 5
+#: Names that give every title a first best before all names are looked at.
+SEEDS = 2_000
+#: Titles of a block, and blocks that are sent to the tasks at a time.
+TITLE_BLOCK = 500
+SENT_BLOCKS = 40
+
+
+def _most_edits(similarity: Column, longest: Column) -> Column:
+    """Edits that a rounded similarity allows at most, and one for the division."""
+    return F.floor((F.lit(100.5) - similarity) * longest / 100 + 1).cast("int")
+
+
+def _score(title: Column, name: Column, limit: Column) -> Column:
+    """Similarity of two folded titles, null if it is below ``limit``."""
+    longest = F.greatest(F.length(title), F.length(name))
+    edits = F.call_function("levenshtein", title, name, _most_edits(limit, longest))
+    found = F.when(longest == 0, F.lit(100)).when(edits >= 0, F.round(F.lit(100.0) * (F.lit(1.0) - edits / longest)).cast("int"))
+    return F.when(found >= limit, found)
+
+
+def _best(pairs: DataFrame) -> DataFrame:
+    """(title, best): the highest similarity, then the smallest id."""
+    return pairs.groupBy("title").agg(F.max(F.struct("similarity", (-F.col("id")).alias("minus_id"))).alias("best"))
+
+
+def _near(titles: DataFrame, names: DataFrame, edits: int) -> DataFrame:
+    """The best name within ``edits`` edits of each title. Of a title's edits + 1
+    segments such a name holds one, shifted by no more than that."""
+    n = F.length("title")
+    cut = lambda i: F.floor(i * n / (edits + 1)).cast("int")
+    each = titles.where(n >= SEGMENT * (edits + 1)).select("title", F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("i"))
+    segments = each.select(F.substring("title", cut(F.col("i")) + 1, cut(F.col("i") + 1) - cut(F.col("i"))).alias("segment"),
+                           "title", (cut(F.col("i")) + 1).alias("place"))
+    held = occurrences(names.select("id", "name", characters("name").alias("_chars")), "_chars", TermIndex(segments, "segment", by_words=False))
+    pairs = held.where((F.abs(F.col("start") - F.col("place")) <= edits) & (F.abs(F.length("title") - F.length("name")) <= edits))
+    return _best(pairs.select("title", "id", _score(F.col("title"), F.col("name"), F.lit(0)).alias("similarity")))
+
+
+def _reaching(titles: DataFrame, names: DataFrame) -> DataFrame:
+    """The best name of each title among those with a similarity of ``limit`` or
+    more. Every name meets the titles block by block, as an array, and only those
+    that it reaches leave the row."""
+    ranked = global_rank(titles, [F.col("title")], name="at").withColumn("block", F.floor((F.col("at") - 1) / TITLE_BLOCK))
+    blocks = small_result(ranked.groupBy("block").agg(F.collect_list(F.struct("title", "limit")).alias("titles")).withColumn("all", F.lit(0)))
+    found = []
+    for first in range(0, max(1, blocks.count()), SENT_BLOCKS):
+        some = F.broadcast(blocks.where(F.col("block").between(first, first + SENT_BLOCKS - 1)))
+        met = names.withColumn("all", F.lit(0)).join(some, "all")
+        scored = F.transform("titles", lambda t: F.struct(t["title"].alias("title"), _score(t["title"], F.col("name"), t["limit"]).alias("similarity")))
+        hits = met.select("id", F.explode(F.filter(scored, lambda s: s["similarity"].isNotNull())).alias("hit"))
+        found.append(_best(hits.select("hit.title", "id", "hit.similarity")))
+    return _best(reduce(DataFrame.unionByName, found).select("title", (-F.col("best.minus_id")).alias("id"), "best.similarity"))
+
+
+def closest_title(queries: DataFrame, q_id: str, q_title: str, names: DataFrame, n_id: str, n_title: str) -> DataFrame:
+    """For each query title the best of all names by similarity (ties by id), or
+    nulls if the title is null or there is no name. Titles are compared with
+    accents folded; equal names count once, with their smallest id.
+
+    A segment index finds names within a few edits, round by round; a title whose
+    best is so good that no name beyond these edits can reach it is done. The
+    others get a first best from a bounded sample of names, and then meet all
+    names, block by block, with that best as the limit of the edit distance. No
+    list of pairs grows with how common a word or a name is."""
+    asked = small_result(queries.select(F.col(q_id).alias("_q"), tx.fold_accents(q_title).alias("title")))
+    known = cut_lineage(names.where(F.col(n_id).isNotNull() & F.col(n_title).isNotNull())
+                        .groupBy(tx.fold_accents(n_title).alias("name")).agg(F.min(n_id).alias("id")))
+    left = asked.where("title IS NOT NULL").select("title").distinct()
+    best = None
+    for edits in EDITS:
+        near = _near(left, known, edits)
+        best = small_result(near if best is None else best.unionByName(near).groupBy("title").agg(F.max("best").alias("best")))
+        # a name as good has at most so many edits, be it longer than the title or not
+        share = (F.lit(100.5) - F.col("best.similarity")) / 100
+        done = best.where((share < 1) & (share * F.length("title") / (1 - share) < edits + 1)).select("title")
+        left = small_result(left.join(done, "title", "left_anti"))
+    sample = small_result(known.orderBy(F.md5("name")).limit(SEEDS))
+    first = small_result(_reaching(left.withColumn("limit", F.lit(0)), sample).unionByName(best).groupBy("title").agg(F.max("best").alias("best")))
+    limited = left.join(first, "title").select("title", F.col("best.similarity").alias("limit"))
+    every = first.unionByName(_reaching(limited, known)).groupBy("title").agg(F.max("best").alias("best"))
+    return asked.join(every, "title", "left").select(F.col("_q").alias(q_id), (-F.col("best.minus_id")).alias(n_id), "best.similarity")
 
 
 def shingles(tokens: Column, n: int = 3) -> Column:

@@ -105,19 +105,9 @@ def jn9(spark, sf_dir):
     return out.select("cite_id", "doc_id", F.col("stage").cast("int").alias("stage"))
 
 
-def _blocks_sql(rel, idc, titlec):
-    stop = S.lst(lexicon.ARCHIVE_STOP_WORDS)
-    return (f"SELECT DISTINCT {idc}, unnest(list_filter(string_split({titlec}, ' '), "
-            f"lambda w: length(w) > 0 AND NOT list_contains({stop}, w))) AS block FROM {rel}")
-
-
 @register("jn10_fuzzy_closest_title", S.with_(S.citations_cte(), S.doc_titles_cte(), CITE_TITLES_SQL) + f""",
 un AS (SELECT * FROM ct ANTI JOIN doc_titles USING (title)),
-nb AS ({_blocks_sql('doc_titles', 'doc_id', 'title')}),
-qb AS ({_blocks_sql('un', 'cite_id', 'title')}),
-pairs AS (SELECT DISTINCT cite_id, doc_id FROM qb JOIN nb USING (block)),
-sc AS (SELECT p.cite_id, p.doc_id, {S.fold_accents('un.title')} AS a, {S.fold_accents('d.title')} AS b FROM pairs p JOIN un USING (cite_id)
-       JOIN doc_titles d USING (doc_id)),
+sc AS (SELECT un.cite_id, d.doc_id, {S.fold_accents('un.title')} AS a, {S.fold_accents('d.title')} AS b FROM un CROSS JOIN doc_titles d),
 sim AS (SELECT cite_id, doc_id, CAST(CASE WHEN greatest(length(a), length(b)) = 0 THEN 100
   ELSE round(100.0 * (1.0 - levenshtein(a, b) / greatest(length(a), length(b)))) END AS INTEGER) AS similarity FROM sc),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cite_id ORDER BY similarity DESC, doc_id) AS r FROM sim) WHERE r = 1)

@@ -237,18 +237,43 @@ def _edits(a, b):
     return row[-1]
 
 
-def test_closest_title_looks_past_the_rarest_words(spark):
+def test_closest_title_equals_all_pairs(spark, monkeypatch):
     rng = random.Random(3)
     vocabulary = [f"w{'xyz'[k % 3] * (k % 5)}{k}" for k in range(25)]
     names = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 8)))) for k in range(60)]
     names += [(100, "odd1 a"), (101, "odd2 b"), (102, "odd3 c"), (103, "market labor power state culture"),
-              (104, "market labor"), (105, "power state"), (106, "culture"), (107, "market labor power state culture")]
+              (104, "market labor"), (105, "power state"), (106, "culture"), (107, "market labor power state culture"), (108, None), (None, "unknown")]
     asked = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 8)))) for k in range(40)]
-    asked += [(50, "odd1 odd2 odd3 market labor power state culture"), (51, "unknown"), (52, "")]
-    got = jn.closest_title(spark.createDataFrame(asked, "q int, a string"), "q", "a", spark.createDataFrame(names, "n int, b string"), "n", "b")
+    asked += [(50, "odd1 odd2 odd3 market labor power state culture"), (51, "unknown"), (52, ""), (53, None), (54, "unknown")]
+    for k in range(60, 90):  # a few edits away from a name
+        chars = list(names[k % 50][1])
+        for _ in range(rng.randint(0, 6)):
+            chars[rng.randrange(len(chars))] = rng.choice(["", "x", "é", "zz"])
+        asked.append((k, "".join(chars)))
+    fold = lambda x: x.replace("é", "e")
     want = {}
     for q, a in asked:
-        scored = [(math.floor(100 * (1 - _edits(a, b) / max(len(a), len(b))) + 0.5), -n) for n, b in names if set(a.split()) & set(b.split())]
+        scored = [(math.floor(100 * (1 - _edits(fold(a), b) / max(len(fold(a)), len(b))) + 0.5), -n)
+                  for n, b in names if a is not None and n is not None and b is not None]
         want[q] = (-max(scored)[1], max(scored)[0]) if scored else (None, None)
-    assert want[50][0] == 103
-    assert {r.q: (r.n, r.similarity) for r in got.collect()} == want
+    assert want[50][0] == 103 and want[53] == (None, None)
+    ask = lambda: jn.closest_title(spark.createDataFrame(asked, "q int, a string"), "q", "a",
+                                   spark.createDataFrame(names, "n int, b string"), "n", "b").collect()
+    assert {r.q: (r.n, r.similarity) for r in ask()} == want
+    for name, value in (("SEEDS", 3), ("TITLE_BLOCK", 7), ("SENT_BLOCKS", 2)):
+        monkeypatch.setattr(jn, name, value)
+    assert {r.q: (r.n, r.similarity) for r in ask()} == want
+    nothing = jn.closest_title(spark.createDataFrame(asked, "q int, a string"), "q", "a", spark.createDataFrame([], "n int, b string"), "n", "b")
+    assert {(r.n, r.similarity) for r in nothing.collect()} == {(None, None)} and nothing.count() == len(asked)
+
+
+def test_the_segment_index_proves_near_titles_alone(spark, monkeypatch):
+    """Titles within a few edits of a name never meet the other names."""
+    names = [(k, f"a study of {w} in the field of {w[::-1]} number {k}") for k, w in enumerate(["culture", "markets", "networks", "power"] * 50)]
+    asked = [(k, names[k][1].replace("study", "stady")) for k in range(0, 200, 7)]
+    met = []
+    reaching = jn._reaching
+    monkeypatch.setattr(jn, "_reaching", lambda titles, known: met.append(titles.count()) or reaching(titles, known))
+    out = jn.closest_title(spark.createDataFrame(asked, "q int, a string"), "q", "a", spark.createDataFrame(names, "n int, b string"), "n", "b")
+    assert {r.q: r.n for r in out.collect()} == {k: k for k, _ in asked}
+    assert met == [0, 0]
