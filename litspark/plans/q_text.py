@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from litspark.functions import lexicon
 from litspark.functions import text as tx
+from litspark.functions.ratio import exact_ratio
 from litspark.plans import sqlfrag as S
 from litspark.plans.catalog import register
 from litspark.sources.tables import Tables
@@ -348,3 +349,10 @@ def title_pairs(t: Tables):
 def str34(spark, sf_dir):
     j = title_pairs(_t(spark, sf_dir))
     return j.select("cite_id", tx.similarity_ratio("a", "b").alias("similarity"))
+
+
+@register("str34_exact_ratio")
+def str34_exact(spark, sf_dir):
+    """The exact ratio of both titles (no SQL states it: see tests/test_ratio.py)."""
+    j = title_pairs(_t(spark, sf_dir))
+    return j.select("cite_id", F.round(exact_ratio("a", "b"), 6).alias("ratio"))
