@@ -83,11 +83,10 @@ def sentence_pairs(sents: DataFrame, toks: str = "toks", connectors: list[str] |
     """Per sentence row, one row per candidate pair: (i, j) are 1-based
     positions of consecutive non-connector tokens; ``phrase`` joins tokens
     i..j with '_' (connectors in between are kept)."""
-    conn = F.array(*[F.lit(c) for c in (connectors or [])]) if connectors else None
     n = F.size(toks)
     idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    if conn is not None:
-        idx = F.filter(idx, lambda i: ~F.array_contains(conn, F.element_at(toks, i)))
+    if connectors:
+        idx = F.filter(idx, lambda i: ~F.element_at(toks, i).isin(connectors))
     idx = F.when(n > 0, idx).otherwise(F.array().cast("array<int>"))
     m = F.size(idx)
     ij = F.when(m > 1, F.zip_with(F.slice(idx, 1, F.greatest(m - 1, F.lit(1))), F.slice(idx, 2, F.greatest(m - 1, F.lit(1))),
@@ -139,32 +138,48 @@ def learn_phrases(sents: DataFrame, min_count: int = 5, threshold: float = 10.0,
     return small_result(s.where(F.col("score") > F.lit(threshold)).select("phrase", "a", "b", "count", "score"))
 
 
-def apply_phrases(sents: DataFrame, phrases: DataFrame, keys: list[str], toks: str = "toks") -> DataFrame:
-    """Greedy left-to-right, non-overlapping merge of accepted adjacent pairs
-    (no connectors). A run of consecutive accepted pairs merges at its 1st,
-    3rd, 5th... pair, which is exactly what the greedy scan does; the runs are
-    found with windows over the accepted positions of one sentence, and the
-    merged token list is then built inside each sentence row."""
-    # adjacent pairs with their 1-based start position, built inside each sentence row
-    p = sents.select(*keys, F.posexplode(_adjacent(F.col(toks))).alias("_pos", "_p")) \
-        .select(*keys, (F.col("_pos") + 1).alias("i"), F.concat_ws("_", "_p.a", "_p.b").alias("phrase"))
-    hit = p.join(phrases.select("phrase").distinct(), "phrase").select(*keys, "i")
-    sent_w = Window.partitionBy(*keys).orderBy("i")  # accepted pairs of one sentence
-    hit = hit.withColumn("_run", F.col("i") - F.row_number().over(sent_w))
-    hit = hit.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_run").orderBy("i")))
-    starts = hit.where(F.col("_k") % 2 == 1).groupBy(*keys).agg(F.collect_list("i").alias("_m"))
-    j = sents.join(starts, keys, "left").withColumn("_m", F.coalesce("_m", F.array().cast("array<int>")))
-    n = F.size(toks)
+#: Accepted phrases that are sent to every task; more are joined by hash.
+BROADCAST_PHRASES = 500_000
+
+
+def _spans(sents: DataFrame, keys: list[str], toks: str, connectors: list[str] | None) -> DataFrame:
+    """(keys..., i, j, phrase): the candidate spans of every sentence, from a
+    token that is no connector to the next one."""
+    if connectors:
+        return sentence_pairs(sents.select(*keys, toks), toks, connectors).select(*keys, "i", "j", "phrase")
+    pairs = sents.select(*keys, F.posexplode(_adjacent(F.col(toks))).alias("_pos", "_p"))
+    return pairs.select(*keys, (F.col("_pos") + 1).alias("i"), (F.col("_pos") + 2).alias("j"), F.concat_ws("_", "_p.a", "_p.b").alias("phrase"))
 
-    def token(i):
-        pair = F.concat(F.element_at(toks, i), F.lit("_"), F.element_at(toks, i + 1))
-        return (F.when(F.array_contains(F.col("_m"), i), pair)
-                .when(F.array_contains(F.col("_m"), i - 1), F.lit(None).cast("string"))
-                .otherwise(F.element_at(toks, i)))
 
-    out = F.when(n > 0, F.filter(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), token),
-                                 lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
-    return j.withColumn("phrased", out).drop("_m")
+def apply_phrases(sents: DataFrame, phrases: DataFrame, keys: list[str], toks: str = "toks",
+                  connectors: list[str] | None = None) -> DataFrame:
+    """Greedy left-to-right, non-overlapping merge of accepted phrases, adds
+    ``phrased``. A phrase runs from a token to the next one that is no connector
+    (no connectors: its neighbour) and is joined with '_', connectors included.
+
+    The accepted spans of a sentence meet in its row, in order; a fold carries
+    the tokens so far and the next free position, and takes a span that begins
+    at or behind it: what a scan of the sentence does. ``keys`` name a sentence;
+    null keys are alike."""
+    from litspark.operators.aggregates import join_null_safe
+    accepted = phrases.select("phrase").distinct()
+    if accepted.count() <= BROADCAST_PHRASES:
+        accepted = F.broadcast(accepted)
+    hits = _spans(sents, keys, toks, connectors).join(accepted, "phrase")
+    per = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("_found"))  # spans of one sentence
+    both = join_null_safe(sents, per, keys, "left")
+    tk = F.col(toks)
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(1).alias("free"))
+
+    def take(s, span):
+        i, j = span["i"], span["j"]
+        merged = F.concat(s["out"], F.slice(tk, s["free"], F.greatest(i - s["free"], F.lit(0))), F.array(F.array_join(F.slice(tk, i, j - i + 1), "_")))
+        return F.when(i >= s["free"], F.struct(merged.alias("out"), (j + 1).alias("free"))).otherwise(s)
+
+    def rest(s):
+        return F.concat(s["out"], F.slice(tk, s["free"], F.greatest(F.size(tk) - s["free"] + 1, F.lit(0))))
+
+    return both.withColumn("phrased", F.when(F.col("_found").isNull(), tk).otherwise(F.aggregate("_found", start, take, rest))).drop("_found")
 
 
 # --- token ids (STR29); dictionary terms are in operators/dictionary.py ---------------

@@ -133,6 +133,25 @@ def txt3(spark, sf_dir):
     return out.select("doc_id", "sent_pos", F.array_join("phrased", " ").alias("phrased"))
 
 
+@register("txt3_apply_connector_phrases", "WITH " + _sents_sql(False) + _phrase_sql(True) + """,
+acc AS (SELECT DISTINCT phrase FROM ph WHERE score > 10.0),
+sp AS (SELECT doc_id, sent_pos, ix[k] AS i, ix[k + 1] AS j, array_to_string(toks[ix[k]:ix[k + 1]], '_') AS phrase, k
+       FROM (SELECT doc_id, sent_pos, toks, ix, unnest(generate_series(1, len(ix) - 1)) AS k FROM idx WHERE len(ix) > 1)),
+hit AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, sent_pos ORDER BY k) AS island FROM sp SEMI JOIN acc USING (phrase)),
+mrg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_pos, island ORDER BY k) AS r FROM hit) WHERE r % 2 = 1),
+pos AS (SELECT doc_id, sent_pos, toks, unnest(generate_series(1, len(toks))) AS p FROM cs),
+out AS (SELECT pos.doc_id, pos.sent_pos, pos.p, CASE WHEN m.i IS NULL THEN toks[p] WHEN m.i = p THEN m.phrase END AS w
+        FROM pos LEFT JOIN mrg m ON m.doc_id = pos.doc_id AND m.sent_pos = pos.sent_pos AND p BETWEEN m.i AND m.j)
+SELECT doc_id, sent_pos, string_agg(w, ' ' ORDER BY p) AS phrased FROM out WHERE w IS NOT NULL GROUP BY doc_id, sent_pos""")
+def txt3_connectors(spark, sf_dir):
+    """Phrases learned across connectors (TXT2), merged in the sentences."""
+    cs = clean_sents(Tables(spark, sf_dir), stop_words=False)
+    conn = lexicon.ARCHIVE_STOP_WORDS
+    ph = terms.learn_phrases(cs, 5, 10.0, connectors=conn)
+    out = terms.apply_phrases(cs, ph, ["doc_id", "sent_pos"], connectors=conn)
+    return out.select("doc_id", "sent_pos", F.array_join("phrased", " ").alias("phrased"))
+
+
 # --- frozen vocabulary, listing -------------------------------------------------
 
 FROZEN_SQL = S.CLEAN_TOKENS + """,

@@ -277,3 +277,33 @@ def test_the_segment_index_proves_near_titles_alone(spark, monkeypatch):
     out = jn.closest_title(spark.createDataFrame(asked, "q int, a string"), "q", "a", spark.createDataFrame(names, "n int, b string"), "n", "b")
     assert {r.q: r.n for r in out.collect()} == {k: k for k, _ in asked}
     assert met == [0, 0]
+
+
+def _scanned(toks, accepted, connectors):
+    """The sentence read from left to right, one word at a time."""
+    out, start, between = [], None, []
+    for w in toks:
+        if w in connectors:
+            (out if start is None else between).append(w)
+        elif start is None:
+            start = w
+        elif "_".join([start, *between, w]) in accepted:
+            out.append("_".join([start, *between, w]))
+            start, between = None, []
+        else:
+            out += [start, *between]
+            start, between = w, []
+    return out + ([] if start is None else [start, *between])
+
+
+def test_phrases_across_connectors_equal_the_scan(spark, monkeypatch):
+    rng = random.Random(11)
+    sents = [[rng.choice(["a", "b", "c", "of", "the"]) for _ in range(rng.randrange(0, 12))] for _ in range(300)]
+    accepted = ["a_of_b", "a_b", "b_the_of_c", "c_c", "b_c", "of_a", "a_of_the_a"]
+    df = spark.createDataFrame([(k % 7 if k else None, k, x) for k, x in enumerate(sents)], "d int, k int, toks array<string>").repartition(3)
+    phrases = spark.createDataFrame([(p,) for p in accepted + accepted[:2]], "phrase string")
+    for bound in (terms.BROADCAST_PHRASES, 0):
+        monkeypatch.setattr(terms, "BROADCAST_PHRASES", bound)
+        for conn in (["of", "the"], None):
+            got = {r.k: r.phrased for r in terms.apply_phrases(df, phrases, ["d", "k"], connectors=conn).collect()}
+            assert got == {k: _scanned(x, accepted, conn or []) for k, x in enumerate(sents)}
