@@ -3,6 +3,8 @@ and filters written after it reach the scan."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -43,48 +45,89 @@ def read_listed_texts(spark: SparkSession, path: str, listed: DataFrame, name_co
     return t.join(listed.select(name_col), name_col, "left_semi")
 
 
+#: File names that the folder reader takes.
+JSON_FILES = "*.{json,json.gz}"
+
+
+def list_files(spark: SparkSession, root: str, levels: int) -> DataFrame:
+    """(path, folder, name) of the JSON files under ``root`` (one level) or its
+    folders (two), listed without opening any."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", JSON_FILES).load(f"{root}/*" if levels == 2 else root)
+    parts = F.split("path", "/")  # content isn't asked for, so it isn't read
+    return files.select("path", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("name"))
+
+
+def _literal(path: str) -> str:
+    """A path whose characters mean themselves, not patterns."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def read_json_folders(spark: SparkSession, root: str, schema: StructType | str, num_rand_files: int = 0,
                       start_week: int = -1, end_week: int = 0, nrows: int = 50, language: str = "en",
-                      seed: int = 0) -> DataFrame:
-    """SRC6: JSON lines under ``root/<year>-week<N>/<file>.json``. Folders outside
-    [start_week, end_week] are skipped (end_week 0 = open), ``num_rand_files``
-    files per folder are chosen in hash order (0 = all), the first ``nrows``
-    rows of each file are kept, ``lang`` is folded into ``language`` and rows of
-    other languages are dropped."""
-    d = spark.read.schema(schema).json(f"{root}/*/*.json*")
-    d = d.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
-    d = d.withColumn("_folder", F.element_at(F.split("_file", "/"), -2))
-    return select_json_rows(d, F.col("_folder"), F.col("_file"), F.col("_row"), num_rand_files, start_week,
-                            end_week, nrows, language, seed)
+                      seed: int = 0, levels: int = 2) -> DataFrame:
+    """SRC6: JSON lines under ``root/<year>-week<N>/<file>`` (two levels) or in
+    ``root`` itself (one level, weeks don't matter). Folders outside [start_week,
+    end_week] are skipped (end_week 0 = open), ``num_rand_files`` files per folder
+    are chosen by the hash of their names (0 = all), the first ``nrows`` rows of
+    each file are kept, ``lang`` is folded into ``language`` and rows of other
+    languages are dropped.
+
+    Files are chosen from a listing; no other file is opened. A file cut into
+    splits keeps its order: by the split's place, then inside it. Without any file
+    the frame is empty."""
+    from litspark.operators.sampling import first_n_by_hash
+    listed = list_files(spark, root, levels)
+    if levels == 2:
+        listed = listed.where(_weeks(F.col("folder"), start_week, end_week))
+    if num_rand_files > 0:
+        chosen = first_n_by_hash(listed, num_rand_files, "name", seed, ["folder"])
+        paths = [_literal(r["path"]) for r in chosen.select("path").collect()]  # that many per folder
+    else:
+        folders = [r["f"] for r in listed.select(F.regexp_replace("path", "/[^/]*$", "").alias("f")).distinct().collect()]
+        paths = [f"{_literal(f)}/{JSON_FILES}" for f in folders]
+    if not paths:
+        d = spark.createDataFrame([], schema)
+        d = d.withColumn("_file", F.lit(""))
+        order = F.lit(0)
+    else:
+        place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        d = spark.read.schema(schema).json(paths).select("*", F.col("_metadata.file_path").alias("_file"), place.alias("_place"))
+        order = F.col("_place")
+    return first_rows(d, [F.col("_file")], order, nrows, language).drop("_file", "_place")
 
 
 def week_of_folder(folder: Column) -> Column:
     return F.regexp_extract(folder, r"week(\d+)$", 1).try_cast("int")
 
 
+def _weeks(folder: Column, start_week: int, end_week: int) -> Column:
+    week = week_of_folder(folder)
+    return (week >= F.lit(start_week)) & (week <= F.lit(end_week)) if end_week > 0 else week >= F.lit(start_week)
+
+
+def first_rows(d: DataFrame, file: list[Column], order: Column, nrows: int, language: str) -> DataFrame:
+    """The first rows of each file, of those the rows in one language."""
+    from litspark.operators.windows import top_k
+    names = [f"_f{k}" for k in range(len(file))]
+    d = d.withColumns(dict(zip(names, file))).withColumn("_ord", order)
+    d = top_k(d, names, F.col("_ord"), nrows, [F.col("_ord").asc()], descending=False, rank_name="_r")
+    cols = d.columns
+    if "lang" in cols:
+        d = d.withColumn("language", F.coalesce("lang", "language") if "language" in cols else F.col("lang")).drop("lang")
+    return d.where(F.col("language") == F.lit(language)).drop(*names, "_ord", "_r")
+
+
 def select_json_rows(d: DataFrame, folder: Column, file: Column, order: Column, num_rand_files: int,
                      start_week: int, end_week: int, nrows: int, language: str, seed) -> DataFrame:
     """The row selection of SRC6 on any frame with folder, file and in-file order."""
     from litspark.operators.sampling import first_n_by_hash
-    from litspark.operators.windows import top_k
-    d = d.withColumn("_folder", folder).withColumn("_fname", file).withColumn("_ord", order)
-    week = week_of_folder(F.col("_folder"))
-    cond = week >= F.lit(start_week)
-    if end_week > 0:
-        cond = cond & (week <= F.lit(end_week))
-    d = d.where(cond)
+    d = d.withColumn("_folder", folder).withColumn("_fname", file)
+    d = d.where(_weeks(F.col("_folder"), start_week, end_week))
     if num_rand_files > 0:
         files = d.select("_folder", "_fname").distinct()
         chosen = first_n_by_hash(files, num_rand_files, "_fname", seed, ["_folder"])
         d = d.join(chosen, ["_folder", "_fname"], "left_semi")
-    d = top_k(d, ["_folder", "_fname"], F.col("_ord"), nrows, [F.col("_ord").asc()], descending=False, rank_name="_r")
-    cols = d.columns
-    lang = F.coalesce(F.col("lang"), F.col("language")) if "lang" in cols and "language" in cols else \
-        (F.col("lang") if "lang" in cols else F.col("language"))
-    d = d.withColumn("language", lang)
-    if "lang" in cols:
-        d = d.drop("lang")
-    return d.where(F.col("language") == F.lit(language)).drop("_folder", "_fname", "_ord", "_r")
+    return first_rows(d, [F.col("_folder"), F.col("_fname")], order, nrows, language).drop("_folder", "_fname")
 
 
 def csv_fields(df: DataFrame, col: str, schema: str) -> DataFrame:

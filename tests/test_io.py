@@ -1,5 +1,7 @@
 """Readers and writers: round trips through files in a scratch folder."""
 
+import gzip
+import hashlib
 import json
 import os
 
@@ -54,6 +56,67 @@ def test_json_folders(spark, tmpdir_run):
     assert all(r["id"] % 100 < 4 for r in rows)
 
 
+SCHEMA = "id long, full_text string, lang string, language string"
+
+
+def _week(root, week, files):
+    folder = os.path.join(root, week) if week else root
+    os.makedirs(folder, exist_ok=True)
+    for name, rows in files.items():
+        with open(os.path.join(folder, name), "w") as f:
+            f.writelines(json.dumps({"id": i, "full_text": "t" * 50, "lang": "en"}) + "\n" for i in rows)
+
+
+def _chosen(names, n, seed=0):
+    return sorted(names, key=lambda x: (hashlib.md5(f"{seed}:{x}".encode()).hexdigest(), x))[:n]
+
+
+def test_json_files_that_are_not_chosen_are_not_opened(spark, tmpdir_run):
+    names = [f"f{k} #%5B[{k}].json.gz" for k in range(6)]
+    for w in (1, 2, 3):
+        folder = os.path.join(tmpdir_run, f"2020-week{w}")
+        os.makedirs(folder)
+        for k, name in enumerate(names):
+            rows = "".join(json.dumps({"id": w * 1000 + 10 * k + i, "full_text": "t", "lang": "en"}) + "\n" for i in range(5))
+            with open(os.path.join(folder, name), "wb") as f:  # opening any other fails
+                f.write(gzip.compress(rows.encode()) if w < 3 and name in _chosen(names, 2) else b"not a gzip file")
+        with open(os.path.join(folder, "notes.txt"), "w") as f:
+            f.write("no json")
+    got = fs.read_json_folders(spark, tmpdir_run, SCHEMA, num_rand_files=2, start_week=1, end_week=2, nrows=3)
+    assert sorted(r["id"] for r in got.collect()) == sorted(w * 1000 + 10 * names.index(x) + i for w in (1, 2) for x in _chosen(names, 2) for i in range(3))
+    assert fs.read_json_folders(spark, tmpdir_run, SCHEMA, num_rand_files=2, start_week=7).count() == 0
+
+
+def test_json_one_folder_and_all_files(spark, tmpdir_run):
+    one, two = os.path.join(tmpdir_run, "one"), os.path.join(tmpdir_run, "two")
+    files = {f"f{k}.json": range(10 * k, 10 * k + 4) for k in range(5)}
+    _week(one, "", files)
+    _week(one, "2020-week1", {"below.json": [999]})
+    got = fs.read_json_folders(spark, one, SCHEMA, levels=1, nrows=2)
+    assert sorted(r["id"] for r in got.collect()) == sorted(10 * k + i for k in range(5) for i in range(2))
+    some = fs.read_json_folders(spark, one, SCHEMA, levels=1, num_rand_files=2, seed=4)
+    assert sorted(r["id"] for r in some.collect()) == sorted(i for x in _chosen(files, 2, 4) for i in files[x])
+    _week(two, "2020-week1", files)
+    _week(two, "2020-week2", {"a.json": [100, 101]})
+    assert fs.read_json_folders(spark, two, SCHEMA).count() == 22
+    assert [r["id"] for r in fs.read_json_folders(spark, two, SCHEMA, start_week=2, nrows=1).collect()] == [100]
+
+
+def test_json_file_in_several_splits_keeps_its_order(spark, tmpdir_run):
+    root = os.path.join(tmpdir_run, "big")
+    _week(root, "2020-week1", {"a.json": range(4000), "b.json": range(10000, 10050)})
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        d = fs.read_json_folders(spark, root, SCHEMA, nrows=1500)
+        assert spark.read.schema(SCHEMA).json(f"{root}/*/a.json").rdd.getNumPartitions() > 5
+        assert sorted(r["id"] for r in d.collect()) == [*range(1500), *range(10000, 10050)]
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_embedding_text_and_dictionary(spark, tmpdir_run):
     p = os.path.join(tmpdir_run, "vec.txt")
     with open(p, "w") as f:
