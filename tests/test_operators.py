@@ -307,3 +307,49 @@ def test_phrases_across_connectors_equal_the_scan(spark, monkeypatch):
         for conn in (["of", "the"], None):
             got = {r.k: r.phrased for r in terms.apply_phrases(df, phrases, ["d", "k"], connectors=conn).collect()}
             assert got == {k: _scanned(x, accepted, conn or []) for k, x in enumerate(sents)}
+
+
+def _nearest(rows, refs, k, exclude_self):
+    out = {}
+    for q, x in rows:
+        d = sorted((math.sqrt(sum((float(a) - float(b)) ** 2 for a, b in zip(x, y))), r) for r, y in refs if not (exclude_self and r == q))
+        out[q] = d[:k]
+    return out
+
+
+def test_nearest_references_compare_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centre = rng.normal(0, 40, (25, 8))
+    refs = [(i, np.float32(centre[i % 25] + rng.normal(0, 1, 8)).tolist()) for i in range(2500)]
+    refs += [(3000 + i, [1.0] * 8) for i in range(300)]  # copies
+    rows = [(10000 + i, np.float32(centre[i % 25] + rng.normal(0, 1, 8)).tolist()) for i in range(200)] + [(99, [1.0] * 8)]
+    monkeypatch.setattr(vx, "BLOCK_ROWS", 20)
+    compared = []
+    of_blocks = vx._best_of_blocks
+
+    def counted(met, blocks, *args):
+        compared.append(met.join(blocks.select("_b", "_n"), "_b").agg(F.sum("_n")).first()[0] or 0)
+        return of_blocks(met, blocks, *args)
+
+    monkeypatch.setattr(vx, "_best_of_blocks", counted)
+    frame = lambda x: spark.createDataFrame(x, "id long, v array<float>").repartition(3)
+    for bound in (vx.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(vx, "BROADCAST_BYTES", bound)
+        compared.clear()
+        out = vx.nearest_references(frame(rows), "id", "v", frame(refs).withColumnsRenamed({"id": "r", "v": "w"}), "r", "w", [], 5)
+        got = {r["id"]: [(s["d"], s["id"]) for s in r["nearest"]] for r in out.collect()}
+        want = _nearest(rows, refs, 5, False)
+        assert {q: [i for _, i in x] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
+        assert sum(compared) < 0.25 * len(rows) * len(refs)
+    own = vx.nearest_references(frame(refs[:300]), "id", "v", frame(refs[:300]).withColumnsRenamed({"id": "r", "v": "w"}), "r", "w", [], 4, True)
+    assert {r["id"]: [s["id"] for s in r["nearest"]] for r in own.collect()} == {
+        q: [i for _, i in x] for q, x in _nearest(refs[:300], refs[:300], 4, True).items()}
+
+
+def test_nearest_references_of_small_and_missing_tables(spark):
+    frame = lambda x, *n: spark.createDataFrame(x, "id long, v array<float>").toDF(*n)
+    rows = [(1, [0.0, 1.0]), (2, None), (None, [5.0, 5.0])]
+    refs = [(1, [0.0, 0.0]), (7, [0.0, 2.0]), (8, None)]
+    out = vx.nearest_references(frame(rows, "id", "v"), "id", "v", frame(refs, "r", "w"), "r", "w", [], 5)
+    assert {r["id"]: [s["id"] for s in r["nearest"]] for r in out.collect()} == {1: [1, 7], None: [7, 1]}
+    assert vx.nearest_references(frame(rows, "id", "v"), "id", "v", frame(refs, "r", "w").limit(0), "r", "w", [], 5).count() == 0
