@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litspark.functions import text as tx
+from litspark.functions.edits import Texts
 from litspark.operators.dictionary import TermIndex, characters, occurrences
-from litspark.operators.windows import global_rank
 from litspark.session import cut_lineage, small_result
 
 
@@ -58,22 +60,14 @@ EDITS = (2, 5)
 SEGMENT = 5
 #: Names that give every title a first best before all names are looked at.
 SEEDS = 2_000
-#: Titles of a block, and blocks that are sent to the tasks at a time.
-TITLE_BLOCK = 500
-SENT_BLOCKS = 40
+#: Titles that are sent to the tasks at a time.
+SENT_TITLES = 5_000
 
 
-def _most_edits(similarity: Column, longest: Column) -> Column:
-    """Edits that a rounded similarity allows at most, and one for the division."""
-    return F.floor((F.lit(100.5) - similarity) * longest / 100 + 1).cast("int")
-
-
-def _score(title: Column, name: Column, limit: Column) -> Column:
-    """Similarity of two folded titles, null if it is below ``limit``."""
+def _score(title: Column, name: Column) -> Column:
+    """Similarity of two folded titles."""
     longest = F.greatest(F.length(title), F.length(name))
-    edits = F.call_function("levenshtein", title, name, _most_edits(limit, longest))
-    found = F.when(longest == 0, F.lit(100)).when(edits >= 0, F.round(F.lit(100.0) * (F.lit(1.0) - edits / longest)).cast("int"))
-    return F.when(found >= limit, found)
+    return F.when(longest == 0, F.lit(100)).otherwise(F.round(F.lit(100.0) * (F.lit(1.0) - F.levenshtein(title, name) / longest)).cast("int"))
 
 
 def _best(pairs: DataFrame) -> DataFrame:
@@ -91,23 +85,51 @@ def _near(titles: DataFrame, names: DataFrame, edits: int) -> DataFrame:
                            "title", (cut(F.col("i")) + 1).alias("place"))
     held = occurrences(names.select("id", "name", characters("name").alias("_chars")), "_chars", TermIndex(segments, "segment", by_words=False))
     pairs = held.where((F.abs(F.col("start") - F.col("place")) <= edits) & (F.abs(F.length("title") - F.length("name")) <= edits))
-    return _best(pairs.select("title", "id", _score(F.col("title"), F.col("name"), F.lit(0)).alias("similarity")))
+    return _best(pairs.select("title", "id", _score(F.col("title"), F.col("name")).alias("similarity")))
+
+
+def _scan(titles: list[tuple[str, int]]):
+    """For each task the best of its names for every (title, limit) that one of
+    them reaches."""
+    def run(batches):
+        best = {}
+        for names in batches:
+            texts, ids = Texts(names["name"].tolist()), names["id"].to_numpy()
+            size = names["name"].str.len().to_numpy()
+            for title, limit in titles:
+                limit = max(limit, best[title][0] if title in best else 0)
+                n, share = len(title), (100.5 - limit) / 100  # edits are below this share of the longer one
+                some, edits = texts.distances(title, int(n * (1 - share)) - 1, int(n / (1 - share)) + 1 if share < 1 else 2 ** 40)
+                if not len(some):
+                    continue
+                longest = np.maximum(size[some], n)
+                score = np.where(longest > 0, np.floor(100.0 * (1.0 - edits / np.maximum(longest, 1)) + 0.5), 100).astype(int)
+                top = int(score.max())
+                if top >= limit:
+                    best[title] = max(best.get(title, (-1, 0)), (top, -int(ids[some[score == top]].min())))
+        yield pd.DataFrame([(t, -i, s) for t, (s, i) in best.items()], columns=["title", "id", "similarity"]).astype(
+            {"title": str, "id": "int64", "similarity": "int32"})
+    return run
 
 
 def _reaching(titles: DataFrame, names: DataFrame) -> DataFrame:
     """The best name of each title among those with a similarity of ``limit`` or
-    more. Every name meets the titles block by block, as an array, and only those
-    that it reaches leave the row."""
-    ranked = global_rank(titles, [F.col("title")], name="at").withColumn("block", F.floor((F.col("at") - 1) / TITLE_BLOCK))
-    blocks = small_result(ranked.groupBy("block").agg(F.collect_list(F.struct("title", "limit")).alias("titles")).withColumn("all", F.lit(0)))
-    found = []
-    for first in range(0, max(1, blocks.count()), SENT_BLOCKS):
-        some = F.broadcast(blocks.where(F.col("block").between(first, first + SENT_BLOCKS - 1)))
-        met = names.withColumn("all", F.lit(0)).join(some, "all")
-        scored = F.transform("titles", lambda t: F.struct(t["title"].alias("title"), _score(t["title"], F.col("name"), t["limit"]).alias("similarity")))
-        hits = met.select("id", F.explode(F.filter(scored, lambda s: s["similarity"].isNotNull())).alias("hit"))
-        found.append(_best(hits.select("hit.title", "id", "hit.similarity")))
-    return _best(reduce(DataFrame.unionByName, found).select("title", (-F.col("best.minus_id")).alias("id"), "best.similarity"))
+    more. A task reads its names once, against SENT_TITLES titles at a time, and
+    returns one row a title at most."""
+    found, sent = [], []
+
+    def search():
+        found.append(small_result(names.mapInPandas(_scan(sent), "title string, id bigint, similarity int")
+                                  .groupBy("title").agg(F.max(F.struct("similarity", (-F.col("id")).alias("minus_id"))).alias("best"))))
+
+    for r in titles.select("title", "limit").toLocalIterator():
+        sent = [*sent, (r["title"], r["limit"])]
+        if len(sent) == SENT_TITLES:
+            search()
+            sent = []
+    if sent or not found:
+        search()
+    return reduce(DataFrame.unionByName, found)
 
 
 def closest_title(queries: DataFrame, q_id: str, q_title: str, names: DataFrame, n_id: str, n_title: str) -> DataFrame:
@@ -118,11 +140,13 @@ def closest_title(queries: DataFrame, q_id: str, q_title: str, names: DataFrame,
     A segment index finds names within a few edits, round by round; a title whose
     best is so good that no name beyond these edits can reach it is done. The
     others get a first best from a bounded sample of names, and then meet all
-    names, block by block, with that best as the limit of the edit distance. No
-    list of pairs grows with how common a word or a name is."""
+    names in the tasks that hold them, with that best as the limit. No list of
+    pairs grows with how common a word or a name is, and no pair leaves a task."""
     asked = small_result(queries.select(F.col(q_id).alias("_q"), tx.fold_accents(q_title).alias("title")))
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = cut_lineage(names.where(F.col(n_id).isNotNull() & F.col(n_title).isNotNull())
-                        .groupBy(tx.fold_accents(n_title).alias("name")).agg(F.min(n_id).alias("id")))
+                        .groupBy(tx.fold_accents(n_title).alias("name")).agg(F.min(n_id).cast("bigint").alias("id"))
+                        .repartition(tasks))  # few bytes, much work: not to be merged into a few tasks
     left = asked.where("title IS NOT NULL").select("title").distinct()
     best = None
     for edits in EDITS:
@@ -136,7 +160,7 @@ def closest_title(queries: DataFrame, q_id: str, q_title: str, names: DataFrame,
     first = small_result(_reaching(left.withColumn("limit", F.lit(0)), sample).unionByName(best).groupBy("title").agg(F.max("best").alias("best")))
     limited = left.join(first, "title").select("title", F.col("best.similarity").alias("limit"))
     every = first.unionByName(_reaching(limited, known)).groupBy("title").agg(F.max("best").alias("best"))
-    return asked.join(every, "title", "left").select(F.col("_q").alias(q_id), (-F.col("best.minus_id")).alias(n_id), "best.similarity")
+    return asked.join(every, "title", "left").select(F.col("_q").alias(q_id), (-F.col("best.minus_id")).cast(names.schema[n_id].dataType).alias(n_id), "best.similarity")
 
 
 def shingles(tokens: Column, n: int = 3) -> Column:

@@ -260,7 +260,7 @@ def test_closest_title_equals_all_pairs(spark, monkeypatch):
     ask = lambda: jn.closest_title(spark.createDataFrame(asked, "q int, a string"), "q", "a",
                                    spark.createDataFrame(names, "n int, b string"), "n", "b").collect()
     assert {r.q: (r.n, r.similarity) for r in ask()} == want
-    for name, value in (("SEEDS", 3), ("TITLE_BLOCK", 7), ("SENT_BLOCKS", 2)):
+    for name, value in (("SEEDS", 3), ("SENT_TITLES", 7)):
         monkeypatch.setattr(jn, name, value)
     assert {r.q: (r.n, r.similarity) for r in ask()} == want
     nothing = jn.closest_title(spark.createDataFrame(asked, "q int, a string"), "q", "a", spark.createDataFrame([], "n int, b string"), "n", "b")
