@@ -13,6 +13,7 @@ from litspark.plans import sqlfrag as S
 from litspark.plans.catalog import register
 from litspark.plans.q_filters import _long_scores, _long_scores_sql
 from litspark.plans.q_terms import clean_tokens, cleaned_docs
+from litspark.session import reuse, small_result
 from litspark.sources.dictionaries import DICTIONARIES, dictionary_table
 from litspark.sources.tables import PERSPECTIVES, Tables
 
@@ -117,6 +118,32 @@ def agg8(spark, sf_dir):
     return t.documents.select("lang", tok).groupBy("lang").agg(F.countDistinct("token").alias("n_vocab"))
 
 
+# Five standard errors of the sketches.
+HLL_WITHIN = 5 * 0.0065
+
+
+@register("agg8_mergeable_vocabulary_size", S.with_(S.ARTICLES, S.SENTS, S.TOKENS) + f"""
+SELECT slice, n_vocab, true AS within FROM (
+  SELECT primary_subject AS slice, CAST(count(DISTINCT token) AS BIGINT) AS n_vocab FROM tokens JOIN articles USING (doc_id) GROUP BY 1
+  UNION ALL SELECT CAST(publication_year // 10 * 10 AS VARCHAR), CAST(count(DISTINCT token) AS BIGINT) FROM tokens JOIN articles USING (doc_id) GROUP BY 1
+  UNION ALL SELECT 'all', CAST(count(DISTINCT token) AS BIGINT) FROM tokens)""")
+def agg8_sketches(spark, sf_dir):
+    """Vocabulary sizes of coarser slices, merged from one stored sketch per
+    (subject, year), beside the exact counts: ``within`` tells whether the
+    estimate lies in its error bound."""
+    tok = F.explode(F.flatten(F.transform(tx.sentences("text"), lambda s: tx.tokenize(s)))).alias("token")
+    each = Tables(spark, sf_dir).articles.select("primary_subject", "publication_year", tok)
+    decade = (F.floor(F.col("publication_year") / 10) * 10).cast("int").cast("string")
+    words = reuse(each.distinct())
+    stored = small_result(ag.distinct_sketches(words, ["primary_subject", "publication_year"], "token"))  # the only pass over the tokens
+    out = None
+    for column in (F.col("primary_subject"), decade, F.lit("all")):
+        exact = words.select(column.alias("slice"), "token").groupBy("slice").agg(F.countDistinct("token").alias("n_vocab"))
+        both = ag.merged_distinct(stored.withColumn("slice", column), ["slice"]).join(exact, "slice")
+        out = both if out is None else out.unionByName(both)
+    return out.select("slice", "n_vocab", (F.abs(F.col("n_distinct") - F.col("n_vocab")) <= F.greatest(F.lit(1.0), HLL_WITHIN * F.col("n_vocab"))).alias("within"))
+
+
 def _top_terms(counts, group, k):
     """k most frequent terms per group (ties by term); a vocabulary-sized group
     is never sorted in one task (see ``windows.top_k``)."""

@@ -353,3 +353,14 @@ def test_nearest_references_of_small_and_missing_tables(spark):
     out = vx.nearest_references(frame(rows, "id", "v"), "id", "v", frame(refs, "r", "w"), "r", "w", [], 5)
     assert {r["id"]: [s["id"] for s in r["nearest"]] for r in out.collect()} == {1: [1, 7], None: [7, 1]}
     assert vx.nearest_references(frame(rows, "id", "v"), "id", "v", frame(refs, "r", "w").limit(0), "r", "w", [], 5).count() == 0
+
+
+def test_distinct_sketches_merge(spark):
+    df = spark.range(60000).select((F.col("id") % 7).alias("a"), (F.col("id") % 3).alias("b"), (F.col("id") * 7919 % 20011).alias("v"))
+    df = df.unionByName(spark.createDataFrame([(1, 1, None), (None, 0, 5)], "a long, b long, v long"))
+    stored = ag.distinct_sketches(df, ["a", "b"], "v")
+    for group in (["a"], ["b"]):
+        exact = {r[0]: r.n for r in df.groupBy(*group).agg(F.countDistinct("v").alias("n")).collect()}
+        got = {r[0]: r.n_distinct for r in ag.merged_distinct(stored, group).collect()}
+        assert got.keys() == exact.keys()
+        assert all(abs(got[k] - exact[k]) <= max(1, 5 * 0.0065 * exact[k]) for k in exact)
