@@ -7,23 +7,24 @@ gradient descent in numpy, with a learning rate that falls to zero.
 
 Training takes labelled rows only, at most ``TRAIN_ROWS`` of them (those with
 the smallest hash of their id: a documented bound, every label of a smaller
-corpus is used). The features of these rows are counted by the executors; the
-driver receives the counts and trains. Scoring reads every whole text: the
-table and the layer collapse to one number per feature, so a word costs one
+corpus is used). One task trains on them, in an order that does not depend on the
+files, and the driver receives the model alone. Scoring reads every whole text:
+the table and the layer collapse to one number per feature, so a word costs one
 look-up, and nothing is shuffled.
 
 Labels, language, source and ids are never inputs of a score.
 
 Defined cases: null and empty texts have the constant feature only and get the
 score of it; labels that are null or neither 0 nor 1 are not learned from; ids
-repeated among the labels count once each; without both classes every
+repeated among the labels count once each, of documents that share an id the
+least text is learned from; without both classes every
 text scores the share of label 1 (0.5 without labels); an empty table gives an
 empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,23 +82,33 @@ def _bags_of_slice(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int,
         yield int(counts.sum()), hit, counts[hit]
 
 
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, data, offsets in slices(batches, "text"):
-        total, index, count = map(list, zip(*_bags_of_slice(data, offsets)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.int32) for x in index], pa.list_(pa.int32())),
-                                          pa.array([(c / t).astype(np.float32) if t else c.astype(np.float32) for c, t in zip(count, total)], pa.list_(pa.float32()))],
-                                         ["label", "index", "share"])
-
-
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, learn_held_out: bool, rows: int) -> DataFrame:
-    """(label, text) of at most ``rows`` labelled documents of the training folds.
-    ``learn_held_out``: whether ``held_out`` names the fold left out (False) or
-    the only fold used."""
+    """(key, label, text) of at most ``rows`` labelled documents of the training
+    folds; ``key`` (of id, label and text) orders them whatever the files are. Of
+    documents that share an id the least text is taken, so copies of an id add no
+    row. ``learn_held_out``: whether ``held_out`` names the fold left out (False)
+    or the only fold used."""
     l = labels.select(F.col("doc_id").alias("id_"), F.col(label).cast("int").alias("label")).filter("label in (0, 1)")
     own = fold(F.col("id_"), folds) == held_out
     chosen = (l.filter(own if learn_held_out else ~own).distinct()
               .orderBy(F.xxhash64("id_", F.lit(5)), "id_", "label").limit(rows))
-    return docs.select(F.col("doc_id").alias("id_"), text_of().alias("text")).join(F.broadcast(chosen), "id_").select("label", "text")
+    found = docs.select(F.col("doc_id").alias("id_"), text_of().alias("text")).join(F.broadcast(chosen), "id_")
+    return (found.groupBy("id_", "label").agg(F.min("text").alias("text"))
+            .select(F.xxhash64("id_", "label", "text").alias("key"), "label", "text"))
+
+
+def trained_in_one_task(rows: DataFrame, train_batch: Callable[[pa.Table], list[np.ndarray]]) -> list[np.ndarray]:
+    """Train on a bounded number of (key, label, text) rows in a single task and
+    return the arrays of the model: the driver holds neither texts nor features."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        found = train_batch((pa.Table.from_batches(held) if held else schema.empty_table()).sort_by([("key", "ascending"), ("label", "ascending")]))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int32()), pa.array([x.ravel().tolist() for x in found], pa.list_(pa.float64()))],
+                                         ["at", "x"])
+
+    schema = pa.schema([("key", pa.int64()), ("label", pa.int32()), ("text", pa.string())])
+    model = sorted(rows.coalesce(1).mapInArrow(run, "at int, x array<double>").collect(), key=lambda r: r["at"])
+    return [np.array(r["x"]) for r in model] or train_batch(schema.empty_table())  # without rows there may be no task
 
 
 def train(bags: Bags, label: np.ndarray, seed: int = 1) -> Model:
@@ -136,18 +147,21 @@ def train(bags: Bags, label: np.ndarray, seed: int = 1) -> Model:
     return Model(rows[:-1] @ apart, float(rows[-1] @ apart), float(bias[1] - bias[0]))
 
 
+def _train_table(rows: pa.Table) -> list[np.ndarray]:
+    parts = [part for batch, data, offsets in slices(iter(rows.to_batches()), "text") for part in _bags_of_slice(data, offsets)]
+    size = np.array([len(index) for _, index, _ in parts], np.int64)
+    bags = Bags(np.concatenate([index for _, index, _ in parts] or [np.zeros(0)]).astype(np.int64),
+                np.concatenate([count / max(total, 1) for total, _, count in parts] or [np.zeros(0)]),
+                np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
+    model = train(bags, rows["label"].to_numpy().astype(int))
+    return [model.feature, np.array([model.always, model.bias])]
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = FOLDS, held_out: int = HELD_OUT,
         learn_held_out: bool = False, rows: int = TRAIN_ROWS) -> Model:
     small_batches(docs.sparkSession)
-    counted = training_rows(docs, labels, label, folds, held_out, learn_held_out, rows).mapInArrow(
-        _counter, "label int, index array<int>, share array<float>")
-    got = counted.toArrow()
-    got = got.sort_by("label") if got.num_rows else got
-    index, share = got["index"].combine_chunks(), got["share"].combine_chunks()
-    size = np.diff(index.offsets.to_numpy()).astype(np.int64)
-    bags = Bags(index.flatten().to_numpy(zero_copy_only=False).astype(np.int64), share.flatten().to_numpy(zero_copy_only=False).astype(float),
-                np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
-    return train(bags, got["label"].to_numpy().astype(int))
+    feature, (always, bias) = trained_in_one_task(training_rows(docs, labels, label, folds, held_out, learn_held_out, rows), _train_table)
+    return Model(feature, float(always), float(bias))
 
 
 def _scores(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:

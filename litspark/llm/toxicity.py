@@ -3,15 +3,13 @@
 A logistic model over the words of a text and their beginnings (hashed, present
 or not). For every labelled text a twin is made in which a group term is
 swapped for another of its kind ("jewish" for "muslim"); a text without a group
-term has one put in the place of a neutral word. The twin has the same label,
-so beside the log loss the squared change of the logit between text and twin is
+term has one added. The twin has the same label, so beside the log loss the squared change of the logit between text and twin is
 penalised. A group's name thereby gets next to no weight of its own, and a
 neutral mention does not raise the score.
 
 Training takes at most ``TRAIN_ROWS`` labelled rows (a documented bound: those
-with the smallest hash of their id); the executors reduce them to hashed
-features, the driver trains with numpy (adaptive steps, soft-thresholded
-weights). Scoring reads every whole text in one pass without a shuffle.
+with the smallest hash of their id) in one task, with numpy (adaptive steps,
+soft-thresholded weights). Scoring reads every whole text in one pass without a shuffle.
 
 Labels, language, source and ids are never inputs of a score.
 
@@ -33,7 +31,7 @@ from pyspark.sql import functions as F
 
 from litspark.llm.common import fold, slices, small_batches, table, text_of
 from litspark.llm.features import bucket, distinct, sums, text_words
-from litspark.llm.quality import training_rows
+from litspark.llm.quality import trained_in_one_task, training_rows
 from litspark.llm.words import ALPHANUMERIC, Words, mix, span_hashes, split_words
 
 BUCKETS = 1 << 18
@@ -105,16 +103,6 @@ def _bags(data: np.ndarray, offsets: np.ndarray, terms: np.ndarray) -> Iterator[
         yield np.unique(flat), hashes[own[named[own]]]
 
 
-def _reducer(terms: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets in slices(batches, "text"):
-            bags, named = zip(*_bags(data, offsets, terms))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.astype(np.int32) for x in bags], pa.list_(pa.int32())),
-                 pa.array([x.view(np.int64) for x in named], pa.list_(pa.int64()))], ["label", "index", "terms"])
-    return run
-
-
 def train(bags: list[np.ndarray], named: list[np.ndarray], label: np.ndarray, twin: float = TWIN, seed: int = 1) -> Model:
     share = float(label.mean()) if len(label) else 0.5
     if not len(label) or not 0 < share < 1:
@@ -161,25 +149,20 @@ def train(bags: list[np.ndarray], named: list[np.ndarray], label: np.ndarray, tw
     return Model(weight, -float((best[0] + best[-1]) / 2))
 
 
-def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
-    out = []
-    for chunk in column.chunks:
-        flat = chunk.values.to_numpy().astype(np.int64)
-        at = chunk.offsets.to_numpy()
-        out += [flat[a:b] for a, b in zip(at[:-1], at[1:])]
-    return out
+def _train_table(terms: np.ndarray, twin: float):
+    def run(rows: pa.Table) -> list[np.ndarray]:
+        parts = [part for batch, data, offsets in slices(iter(rows.to_batches()), "text") for part in _bags(data, offsets, terms)]
+        model = train([index for index, _ in parts], [named.view(np.int64) for _, named in parts], rows["label"].to_numpy().astype(float), twin)
+        return [model.weight, np.array([model.bias])]
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT,
         rows: int = TRAIN_ROWS, twin: float = TWIN) -> Model:
     small_batches(docs.sparkSession)
     terms = np.array(sorted(h for kind in term_features().values() for h, _ in kind), np.uint64)
-    got = training_rows(docs, labels, label, folds, held_out, False, rows).mapInArrow(
-        _reducer(terms), "label int, index array<int>, terms array<bigint>").toArrow()
-    bags, named = _arrays(got["index"]), _arrays(got["terms"])
-    order = sorted(range(len(bags)), key=lambda i: (got["label"][i].as_py(), len(bags[i]), bags[i][:8].tolist()))
-    label_ = np.array([got["label"][i].as_py() for i in order], float)
-    return train([bags[i] for i in order], [named[i] for i in order], label_, twin)
+    weight, bias = trained_in_one_task(training_rows(docs, labels, label, folds, held_out, False, rows), _train_table(terms, twin))
+    return Model(weight, float(bias[0]))
 
 
 def _scorer(model: Model):

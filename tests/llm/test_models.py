@@ -1,10 +1,15 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from litspark.llm import html_extract, quality, toxicity
+from litspark.llm.features import bucket
 from litspark.llm.html_blocks import blocks_of
+from litspark.llm.words import mix, span_hashes
 from tests.conftest import SF_SMALL
+from tests.llm.conftest import EDGE
 
 
 def _accuracy(out, labels, column):
@@ -47,6 +52,83 @@ def test_without_both_classes_the_share_is_the_score(spark, edge, labels, op, co
     assert {round(r.score, 6) for r in op.score(edge, nothing).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("op,column", [(quality, "quality"), (toxicity, "toxic")])
+def test_scores_do_not_depend_on_the_files(spark, edge, labels, op, column):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scores = lambda d, l: {r.doc_id: r.score for r in op.score(docs, op.fit(d, l)).collect()}
+    one, other = scores(docs, labels), scores(docs.repartition(7), labels.repartition(5))
+    assert max(abs(one[i] - other[i]) for i in one) < 1e-12
+
+
+def test_training_rows_stay_bounded(spark, labels):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    hot = labels.filter("crc32(cast(doc_id as string)) % 3 != 1").first().doc_id
+    text = F.when(F.col("id") % 2 == 0, F.lit("b")).otherwise(F.concat(F.lit("a "), F.col("id").cast("string")))
+    many = docs.select("doc_id", "text").filter(F.col("doc_id") != hot).unionByName(spark.range(5000).select(F.lit(hot).alias("doc_id"), text.alias("text")))
+    both = labels.unionByName(labels.filter(F.col("doc_id") == hot).select("doc_id", (1 - F.col("quality")).alias("quality"), "toxic"))
+    rows = quality.training_rows(many, both, "quality", 3, 1, False, 40)
+    assert rows.count() <= 40
+    all_ = quality.training_rows(many, both, "quality", 3, 1, False, 10 ** 6).collect()
+    assert len(all_) == len({r.key for r in all_}) and sum(r.text == "a 1" for r in all_) == 2  # both labels, the least text
+
+
+def _grams(word):
+    """Every byte n-gram of a word between two marks, and where it stands."""
+    for n in quality.NGRAMS:
+        count = len(word) + 2 - n + 1
+        for at in range(max(count, 0)):
+            first, last = max(at - 1, 0), min(at - 1 + n, len(word))
+            yield word[first:last], 7 + 4 * n + (at == 0) + 2 * (at == count - 1)
+
+
+def _hash(part):
+    data = np.concatenate([np.frombuffer(part, np.uint8), np.zeros(8, np.uint8)])
+    return span_hashes(data, np.array([0]), np.array([len(part)]))
+
+
+def test_quality_scores_equal_a_loop_over_features(spark, edge, labels):
+    model = quality.fit(spark.read.parquet(f"{SF_SMALL}/documents.parquet"), labels)
+    salt = lambda s: np.array([s], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for r in quality.score(edge, model).collect():
+        for text in {t or "" for i, t in EDGE if i == r.doc_id}:
+            words = re.findall(rb"[^\x20\x09-\x0D]+", text[:3000].encode())
+            if len(text) > 3000:
+                continue
+            feats = []
+            for k, w in enumerate(words):
+                feats += [int(bucket(mix(_hash(p) + salt(s)), quality.BUCKETS)[0]) for p, s in [(w, 0), *_grams(w)]]
+                feats += [quality.BUCKETS] * (k > 0 and words[k - 1] == w) + [quality.BUCKETS + 1] * (k > 1 and words[k - 2] == w)
+            z = (sum(model.feature[f] for f in feats) / max(len(feats), 1)) + model.always + model.bias
+            assert r.score == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-9)
+
+
+def test_toxicity_scores_equal_a_loop_over_features(spark, edge, labels):
+    model = toxicity.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
+    for r in toxicity.score(edge, model).collect():
+        for text in {t or "" for i, t in EDGE if i == r.doc_id}:
+            if len(text) > 3000:
+                continue
+            lower = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+            feats = set()
+            for w in re.findall(rb"[0-9a-z\x80-\xff]+", lower):
+                feats.add(int(bucket(_hash(w), toxicity.BUCKETS)[0]))
+                feats |= {int(bucket(mix(_hash(w[:n]) + np.uint64(n)), toxicity.BUCKETS)[0]) for n in toxicity.BEGINNINGS if len(w) > n}
+            z = sum(model.weight[f] for f in feats) + model.bias
+            assert r.score == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-9)
+
+
+def test_neutral_mentions_stay_low(spark, labels):
+    """Held-out neutral texts keep their label when a group is named in them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").join(labels.filter("toxic = 0"), "doc_id")
+    clean = docs.filter("crc32(cast(doc_id as string)) % 5 = 0").select("doc_id", "text")
+    model = toxicity.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
+    before = {r.doc_id: r.score for r in toxicity.score(clean, model).collect()}
+    for kind, terms in toxicity.GROUP_TERMS.items():
+        named = clean.withColumn("text", F.concat("text", F.lit(" " + terms.split()[0])))
+        after = {r.doc_id: r.score for r in toxicity.score(named, model).collect()}
+        assert np.mean([after[i] >= 0.5 and before[i] < 0.5 for i in before]) < 0.02
+
+
 def test_accepted_keeps_columns(spark, edge):
     model = quality.Model(np.zeros(quality.BUCKETS + 2), 0.0, 1.0)
     assert quality.accepted(edge, model).collect() == edge.collect()
