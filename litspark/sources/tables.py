@@ -96,9 +96,10 @@ class Tables:
         benchmark passages, each cited by its first eight words (a stand-in: the
         documents carry no titles)."""
         first = _first_words()
-        docs = self.documents.join(self.labels.select("doc_id"), "doc_id", "left_semi").select(
+        heads = self.documents.select("doc_id", first.alias("head"))  # before the join: no text is shuffled
+        docs = heads.join(self.labels.select("doc_id"), "doc_id", "left_semi").select(
             F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("cite_id"),
-            (F.lit(1970) + F.col("doc_id") % 47).cast("string").alias("year"), first.alias("head"))
+            (F.lit(1970) + F.col("doc_id") % 47).cast("string").alias("year"), "head")
         bench = self.benchmark.select(
             F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("cite_id"),
             (F.lit(1970) + F.col("item_id") % 47).cast("string").alias("year"), first.alias("head"))
