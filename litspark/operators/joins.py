@@ -54,9 +54,9 @@ def staged_link(records: DataFrame, first: DataFrame, full: DataFrame, key: str)
     return m1.select(common).unionByName(m2.select(common))
 
 
-#: Edits that the segment index looks for, one round after the other, and the
-#: least characters of a segment.
-EDITS = (2, 5)
+#: Edits that the segment index looks for at most, and the least characters of a
+#: segment: shorter titles are looked up with fewer edits.
+EDITS = 5
 SEGMENT = 5
 #: Names that give every title a first best before all names are looked at.
 SEEDS = 2_000
@@ -75,14 +75,18 @@ def _best(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("title").agg(F.max(F.struct("similarity", (-F.col("id")).alias("minus_id"))).alias("best"))
 
 
-def _near(titles: DataFrame, names: DataFrame, edits: int) -> DataFrame:
-    """The best name within ``edits`` edits of each title. Of a title's edits + 1
+def _edits(title: Column) -> Column:
+    return F.least(F.lit(EDITS), F.floor(F.length(title) / SEGMENT).cast("int") - 1)
+
+
+def _near(titles: DataFrame, names: DataFrame) -> DataFrame:
+    """The best name within a few edits of each title. Of a title's edits + 1
     segments such a name holds one, shifted by no more than that."""
-    n = F.length("title")
+    n, edits = F.length("title"), F.col("edits")
     cut = lambda i: F.floor(i * n / (edits + 1)).cast("int")
-    each = titles.where(n >= SEGMENT * (edits + 1)).select("title", F.explode(F.sequence(F.lit(0), F.lit(edits))).alias("i"))
+    each = titles.withColumn("edits", _edits(F.col("title"))).where("edits > 0").select("title", "edits", F.explode(F.sequence(F.lit(0), edits)).alias("i"))
     segments = each.select(F.substring("title", cut(F.col("i")) + 1, cut(F.col("i") + 1) - cut(F.col("i"))).alias("segment"),
-                           "title", (cut(F.col("i")) + 1).alias("place"))
+                           "title", "edits", (cut(F.col("i")) + 1).alias("place"))
     held = occurrences(names.select("id", "name", characters("name").alias("_chars")), "_chars", TermIndex(segments, "segment", by_words=False))
     pairs = held.where((F.abs(F.col("start") - F.col("place")) <= edits) & (F.abs(F.length("title") - F.length("name")) <= edits))
     return _best(pairs.select("title", "id", _score(F.col("title"), F.col("name")).alias("similarity")))
@@ -137,8 +141,8 @@ def closest_title(queries: DataFrame, q_id: str, q_title: str, names: DataFrame,
     nulls if the title is null or there is no name. Titles are compared with
     accents folded; equal names count once, with their smallest id.
 
-    A segment index finds names within a few edits, round by round; a title whose
-    best is so good that no name beyond these edits can reach it is done. The
+    A segment index finds names within a few edits; a title whose best is so good
+    that no name beyond these edits can reach it is done. The
     others get a first best from a bounded sample of names, and then meet all
     names in the tasks that hold them, with that best as the limit. No list of
     pairs grows with how common a word or a name is, and no pair leaves a task."""
@@ -147,15 +151,12 @@ def closest_title(queries: DataFrame, q_id: str, q_title: str, names: DataFrame,
     known = cut_lineage(names.where(F.col(n_id).isNotNull() & F.col(n_title).isNotNull())
                         .groupBy(tx.fold_accents(n_title).alias("name")).agg(F.min(n_id).cast("bigint").alias("id"))
                         .repartition(tasks))  # few bytes, much work: not to be merged into a few tasks
-    left = asked.where("title IS NOT NULL").select("title").distinct()
-    best = None
-    for edits in EDITS:
-        near = _near(left, known, edits)
-        best = small_result(near if best is None else best.unionByName(near).groupBy("title").agg(F.max("best").alias("best")))
-        # a name as good has at most so many edits, be it longer than the title or not
-        share = (F.lit(100.5) - F.col("best.similarity")) / 100
-        done = best.where((share < 1) & (share * F.length("title") / (1 - share) < edits + 1)).select("title")
-        left = small_result(left.join(done, "title", "left_anti"))
+    all_ = asked.where("title IS NOT NULL").select("title").distinct()
+    best = small_result(_near(all_, known))
+    # a name as good has at most so many edits, be it longer than the title or not
+    share = (F.lit(100.5) - F.col("best.similarity")) / 100
+    done = best.where((share < 1) & (share * F.length("title") / (1 - share) < _edits(F.col("title")) + 1)).select("title")
+    left = small_result(all_.join(done, "title", "left_anti"))
     sample = small_result(known.orderBy(F.md5("name")).limit(SEEDS))
     first = small_result(_reaching(left.withColumn("limit", F.lit(0)), sample).unionByName(best).groupBy("title").agg(F.max("best").alias("best")))
     limited = left.join(first, "title").select("title", F.col("best.similarity").alias("limit"))
