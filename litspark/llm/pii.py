@@ -5,10 +5,11 @@ addresses, card and phone numbers by pattern (leftmost, non-overlapping per
 kind) with their positions. These are the seeds of a bootstrap:
 
 * an occurrence is an identifier-like stretch (a word with a digit or an @, or
-  a run of digit groups) with the two words before it and the word behind it;
-  its shape maps digits to 9 and letters to a;
+  a run of digit groups, without the punctuation around it) with the two words
+  before it and the word behind it, whatever they are; numbers in them become 9;
 * a lexical pattern is a kind with a left pair, or a left and a right word;
-* patterns and instances form a graph, scored in rounds: a pattern by the share
+* patterns and instances form a graph, scored in rounds until none is accepted
+  anew: a pattern by the share
   of its instances that are accepted for its kind times the log of their number
   (RlogF), an instance by the mean log of accepted instances over its patterns;
 * instances above ``INSTANCE`` that could be written for the kind are accepted, and the
@@ -46,12 +47,11 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 KINDS = list(PATTERNS)
-#: Identifier-like stretches: digit groups, or a word with a digit or an @.
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:[ ][(]?[0-9][0-9().-]*+(?!\S))*+"
-ROUNDS = 2
+#: Identifier-like stretches: a word with a digit or an @, and digit groups behind
+#: it. What stands around them (``EDGES``) isn't part of them.
+CANDIDATE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:(?<=[0-9)-])[ ][(]?[0-9][0-9().-]*+(?![^\s,;:!?\]}\"']))*+"
+EDGES = " ,;:!?.\"'()[]{}<>*#$%&"
 STRETCH = 256
-#: No longer stretch is an instance to learn from or to mark.
-LONGEST = 100
 #: A pattern needs this many accepted instances, this share of all its
 #: instances, and an instance this mean log of support.
 SUPPORT, PRECISION, INSTANCE = 3, 0.8, 1.0
@@ -60,8 +60,6 @@ SUPPORT, PRECISION, INSTANCE = 3, 0.8, 1.0
 #: Matches whose positions are summed up in one go; longer lists go block by block.
 BLOCK = 128
 _SPANS = "array<struct<start:int,text:string>>"
-#: Characters of context that are kept on either side of a candidate.
-CONTEXT = 120
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -73,13 +71,21 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<start, text, left, right>> of the identifier-like stretches
-    of a text, with what stands between them and their neighbours."""
+    """array<struct<start, text, l2, l1, r1>> of the identifier-like stretches of a
+    text without what encloses them, and the words around them: another stretch
+    counts as a word like any other."""
     def around(found: Column, between: Column) -> Column:
-        near = F.zip_with(F.slice(between, 1, F.size(found)), F.slice(between, 2, F.size(found)),
-                          lambda b, a: F.struct(F.right(b, F.lit(CONTEXT)).alias("left"), F.left(a, F.lit(CONTEXT)).alias("right")))
-        return F.zip_with(_placed(found, between), near, lambda m, n: F.struct(m["start"].alias("start"), m["text"].alias("text"),
-                                                                              n["left"].alias("left"), n["right"].alias("right")))
+        n = F.size(found)
+        last = F.concat(F.array(F.lit("")), F.zip_with(F.slice(between, 1, n - 1), F.slice(found, 1, n - 1), lambda b, m: F.concat(b, m)))  # up to the stretch before
+        left = F.zip_with(last, F.slice(between, 1, n), lambda m, b: F.concat(m, b))
+        next_ = F.concat(F.slice(found, 2, n), F.array(F.lit("")))
+        right = F.zip_with(F.slice(between, 2, n), next_, lambda b, m: F.concat(b, m))
+        words = F.zip_with(left, right, lambda b, a: F.struct(
+            F.regexp_extract(b, r"(?<!\S)(\S++)\s++\S++\s*+$", 1).alias("l2"), F.regexp_extract(b, r"(?<!\S)(\S++)\s*+$", 1).alias("l1"),
+            F.regexp_extract(a, r"^\s*+(\S++)", 1).alias("r1")))
+        return F.zip_with(_placed(found, between), words, lambda m, w: let(F.ltrim(m["text"], F.lit(EDGES)), lambda bare: F.struct(
+            (m["start"] + F.length(m["text"]) - F.length(bare)).alias("start"), F.rtrim(bare, F.lit(EDGES)).alias("text"),
+            w["l2"].alias("l2"), w["l1"].alias("l1"), w["r1"].alias("r1"))))
 
     return F.when(text.rlike("[0-9@]"), let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)),
                                             lambda found: let(F.split(text, CANDIDATE, -1), lambda between: around(found, between))))
@@ -169,25 +175,23 @@ def occurrences(spotted: DataFrame) -> DataFrame:
     """A row per candidate of (row, base, candidates): row, start, end, kind (of a
     base span that overlaps it, else null), instance, context words."""
     found = (spotted.select("row", F.explode("candidates").alias("m"))
-             .select("row", F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.text")).alias("end"), "m.text", "m.left", "m.right"))
+             .select("row", F.col("m.start").alias("start"), (F.col("m.start") + F.length("m.text")).alias("end"), "m.text", "m.l2", "m.l1", "m.r1")
+             .filter(F.length("text") > 0))
     base = _stretches(spotted.select("row", F.explode("base").alias("s")).select("row", "s.k", "s.start", "s.end", "s.text"))
     b = base.toDF("row_", "k", "start_", "end_", "text_", "part_")
     over = _stretches(found.select("row", "start", "end"))
     over = (over.join(b, (over["row"] == b["row_"]) & (over["part"] == b["part_"]) & (b["start_"] < over["end"]) & (b["end_"] > over["start"]))
             .groupBy(over["row"], over["start"]).agg(F.min(F.struct("k", "start_", "text_")).alias("near")))
     rows = found.join(over, ["row", "start"], "left")
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
-    word = lambda c, n: _word(F.coalesce(F.try_element_at(words(c), F.lit(n)), F.lit("")))
     return rows.select("row", "start", "end", F.coalesce(*[F.when(F.col("near.k") == n, F.lit(k)) for n, k in enumerate(KINDS)]).alias("kind"),
-                       F.coalesce("near.text_", "text").alias("instance"),
-                       word("left", -1).alias("l1"), word("left", -2).alias("l2"), word("right", 1).alias("r1"))
+                       F.coalesce("near.text_", "text").alias("instance"), *[_word(F.col(c)).alias(c) for c in ("l1", "l2", "r1")])
 
 
 def _contexts(occ: DataFrame) -> DataFrame:
     """(pattern, instance, row, start, end, kind) of every occurrence."""
     left_pair = F.concat(F.lit("L:"), "l2", F.lit(" "), "l1", F.lit(" _"))
     around = F.concat(F.lit("M:"), "l1", F.lit(" _ "), "r1")
-    some = occ.filter((F.col("l1") != "") & (F.length("instance") <= LONGEST))
+    some = occ.filter("l1 != ''")  # the first word of a text has no context
     return some.select("row", "start", "end", "kind", "instance", F.explode(F.array(left_pair, around)).alias("pattern"))
 
 
@@ -200,23 +204,25 @@ def _fits(kind: Column, text: Column) -> Column:
             .otherwise(n.between(7, 15) & ~text.rlike(r"[\p{L}@]")))
 
 
-def bootstrap(occ: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(occ: DataFrame) -> DataFrame:
     """(row, start, end, kind) of stretches that learned patterns mark and no
-    base span overlaps."""
+    base span overlaps. Rounds go on until no instance is accepted anew: there
+    are finitely many, and none is given up."""
     contexts = checkpointed(_contexts(occ))
     graph = checkpointed(contexts.groupBy("pattern", "instance").agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("seed")))
-    accepted = graph.filter("seed is not null").select("instance", F.col("seed").alias("kind")).distinct()
+    accepted = checkpointed(graph.filter("seed is not null").select("instance", F.col("seed").alias("kind")).distinct())
     total = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"))
-    patterns = None
-    for _ in range(rounds):
-        accepted = checkpointed(accepted)
+    while True:
         held = graph.join(accepted, "instance").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("good"))
         patterns = checkpointed(held.join(total, "pattern").filter((F.col("good") >= SUPPORT) & (F.col("good") >= PRECISION * F.col("instances")))
                                 .select("pattern", "kind", "good", (F.col("good") / F.col("instances") * F.log2(F.col("good"))).alias("score")))
         scored = (graph.filter("seed is null").join(patterns, "pattern").groupBy("instance", "kind")
                   .agg(F.avg(F.log2(F.col("good") + 1)).alias("belief")))
-        new = scored.filter((F.col("belief") >= INSTANCE) & _fits(F.col("kind"), F.col("instance"))).select("instance", "kind")
-        accepted = accepted.unionByName(new).distinct()
+        new = checkpointed(scored.filter((F.col("belief") >= INSTANCE) & _fits(F.col("kind"), F.col("instance"))).select("instance", "kind")
+                           .join(accepted, ["instance", "kind"], "left_anti"))
+        if new.isEmpty():
+            break
+        accepted = checkpointed(accepted.unionByName(new))
     marked = (contexts.filter("kind is null").drop("kind").join(patterns.select("pattern", "kind", "score"), "pattern")
               .filter(_fits(F.col("kind"), F.col("instance"))))
     best = marked.groupBy("row", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))

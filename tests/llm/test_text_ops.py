@@ -165,6 +165,33 @@ def test_pii_learns_a_context(spark):
     assert not found[51].added and not found[52].added and all(not found[k].added for k in range(12))
 
 
+def _added(spark, rows):
+    found = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    return {i: sorted(t[s.start:s.end] for s in found[i].added) for i, t in rows}
+
+
+def test_pii_marks_what_punctuation_and_neighbours_enclose(spark):
+    rows = [(k, f"word{k} please call phone number +1 (555) 555-01{k:02d} today ok{k}") for k in range(48)]
+    cases = {50: ("ring phone number 555 555 0199, or not", "555 555 0199"), 51: ("the phone number (030 1234567), ok", "030 1234567"),
+             52: ("his phone number: 030 1234569; bye", None), 53: ("phone number 555-555-0197!", "555-555-0197"),
+             54: ("see 12 phone number 030 1234568 030 7654321 x", "030 1234568 030 7654321"), 55: ("phone number " + "5" * 150, None)}
+    got = _added(spark, rows + [(i, t) for i, (t, _) in cases.items()])
+    for i, (_, want) in cases.items():
+        assert got[i] == ([want] if want and len(re.sub("[^0-9]", "", want)) <= 15 else []), cases[i]
+
+
+def test_pii_learns_from_what_it_has_learned(spark):
+    """Numbers found in one context teach the next one, as far as it goes."""
+    rows = [(k, f"w{k} please call phone number +1 (555) 555-01{k:02d} today") for k in range(48)]
+    for k in range(12):
+        rows += [(100 + k, f"a{k} call phone number 551 555 03{k:02d} today"), (200 + k, f"b{k} fax office line 551 555 03{k:02d} soon{k}")]
+    for k in range(3):
+        rows += [(300 + k, f"c{k} fax office line 552 555 04{k:02d} then{k}"), (400 + k, f"d{k} main support desk 552 555 04{k:02d} or{k}")]
+    rows.append((500, "my order number 553 555 0500 came"))
+    got = _added(spark, rows)
+    assert all(got[i] for i, _ in rows if 100 <= i < 500) and not got[500]
+
+
 def test_lattice_against_a_recursion():
     pieces, first = lattice.vocabulary(lm_score.default_vocabulary())
     logp, number = np.log(first), {n: i for i, n in enumerate(pieces.names)}
