@@ -3,8 +3,9 @@
 Documents are laid out one behind the other, in their order within a partition,
 and cut into windows of at most ``WINDOW`` tokens. Where to cut is a dynamic
 program over the admissible places: behind a document (free), behind a sentence
-(``SENTENCE_CUT``) and, so that no stretch is without one, every ``STRIDE``
-tokens of the stream (``WORD_CUT``). A window costs its padding, a cut its penalty. Among the
+(``SENTENCE_CUT``) and, only in a stretch of a window or more without either,
+every ``STRIDE`` tokens (``BLIND_CUT``). A window costs its padding, a cut its
+penalty. Among the
 places one window back, the best start minimises cost + position, so the
 transition is a sliding-window minimum held in a monotone queue: every place
 enters and leaves it once.
@@ -42,7 +43,7 @@ from litspark.llm.words import ALPHANUMERIC, BLANK_SEPARATED, Words, split_words
 
 WINDOW = 4096
 SENTENCE_CUT = 4
-WORD_CUT = 16
+BLIND_CUT = 16
 STRIDE = 32
 END = 2
 #: Distinct words whose tokens a task remembers.
@@ -138,8 +139,11 @@ def cut_places(ids: np.ndarray, ends: np.ndarray, stop: np.ndarray) -> tuple[np.
     sentence = np.flatnonzero(stop[np.minimum(ids, len(stop) - 1)]) + 1
     sentence = sentence[~np.isin(sentence, sentence - 1)]  # "..." is one end
     natural = np.union1d(sentence, ends)
-    at = np.union1d(natural, np.arange(STRIDE, len(ids) + 1, STRIDE))
-    cost = np.where(np.isin(at, ends), 0, np.where(np.isin(at, sentence), SENTENCE_CUT, WORD_CUT))
+    edges = np.concatenate([[0], natural, [len(ids)]])
+    wide = np.flatnonzero(np.diff(edges) >= WINDOW)  # a window can lie in there without a boundary
+    blind = [np.arange(a + STRIDE, b, STRIDE) for a, b in zip(edges[wide].tolist(), edges[wide + 1].tolist())]
+    at = np.union1d(natural, np.concatenate([*blind, np.zeros(0, np.int64)])).astype(np.int64)
+    cost = np.where(np.isin(at, ends), 0, np.where(np.isin(at, sentence), SENTENCE_CUT, BLIND_CUT))
     return at, cost
 
 

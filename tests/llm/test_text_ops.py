@@ -117,6 +117,26 @@ def test_cuts_are_optimal():
             assert best == want and all(at[j] - at[back[j]] <= 30 for j in range(1, len(at)))
 
 
+@pytest.mark.parametrize("last", [True, False])
+def test_windows_end_at_boundaries_where_there_are_any(last):
+    rng = np.random.default_rng(4)
+    stop = np.array([False, False, False, True])
+    ids = np.where(rng.random(200_000) < 0.02, 3, 1).astype(np.uint32)
+    ids[60_000:75_000] = 1  # a stretch of several windows without a sentence
+    ends = np.array([1, 700, 9000, 90_000, 90_001, 199_000])
+    ids[ends - 1] = 2
+    cuts = packing.cut_windows(ids, ends, stop, last)
+    natural = set(ends.tolist()) | set((np.flatnonzero(ids == 3) + 1).tolist())
+    sizes = np.diff([0, *cuts])
+    assert sizes.min() > 0 and sizes.max() <= packing.WINDOW
+    left = len(ids) - [c for c in cuts if c in natural][-1]
+    assert left < packing.WINDOW  # behind it, windows of powers of two
+    blind = [c for c in cuts if c not in natural and c <= len(ids) - left]
+    assert all(60_000 < c < 75_000 for c in blind) and 3 <= len(blind) <= 5
+    full = sizes[:-12]
+    assert (packing.WINDOW - full).sum() < 0.01 * full.sum()
+
+
 def _base(t):
     kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
              "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
