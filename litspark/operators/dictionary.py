@@ -117,7 +117,8 @@ def join_terms(sents: DataFrame, keys: list[str], toks: str, terms: DataFrame, t
     begins behind the last one: what replacing term after term does. All matches
     of a sentence meet in its row. ``keys`` name a sentence."""
     several = terms.select(F.trim(F.regexp_replace(term_col, r"\s+", " ")).alias("_term")).where(F.contains("_term", F.lit(" "))).distinct()
-    text = F.array_join(F.col(toks), " ")
+    sents = sents.withColumn("_text", F.array_join(F.col(toks), " "))  # half the bytes of the words, where only it is asked for
+    text = F.col("_text")
     found = occurrences(sents.select(*keys, characters(text).alias("_chars")), "_chars", TermIndex(several, "_term", by_words=False))
     order = F.struct((-F.size(F.split("_term", " "))).alias("w"), (-F.col("n")).alias("l"), F.col("_term").alias("term"), F.col("start").alias("start"))
     per = found.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("_found"))  # matches of one sentence
@@ -137,4 +138,4 @@ def join_terms(sents: DataFrame, keys: list[str], toks: str, terms: DataFrame, t
         return F.array_join(F.transform(chars, lambda c, i: F.when(F.array_contains("_taken", i + 1), F.lit("_")).otherwise(c)), "")
 
     fixed = F.when(F.col("_taken").isNull(), text).otherwise(tx.let(characters(text), joined))
-    return both.withColumn("fixed", F.split(F.trim(fixed), r"\s+")).drop("_taken")
+    return both.withColumn("fixed", F.split(F.trim(fixed), r"\s+")).drop("_taken", "_text")
