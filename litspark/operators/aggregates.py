@@ -120,3 +120,14 @@ def merged_distinct(sketches: DataFrame, group: list[str]) -> DataFrame:
     """(group..., n_distinct): estimates of any coarser slice from the stored
     sketches, without reading a value again."""
     return sketches.groupBy(*group).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"))
+
+
+def coded_sets(sets: dict[str, DataFrame], score: float = 1.0) -> DataFrame:
+    """SET6: the rows of all sets with ``coded_set`` and a ``<name>_score`` each:
+    the constant for the set's own perspective, null for the others."""
+    out = None
+    for name, rows in sets.items():
+        scores = [F.lit(score if other == name else None).cast("double").alias(f"{other}_score") for other in sets]
+        rows = rows.select("*", F.lit(name).alias("coded_set"), *scores)
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -138,6 +138,20 @@ def learn_phrases(sents: DataFrame, min_count: int = 5, threshold: float = 10.0,
     return small_result(s.where(F.col("score") > F.lit(threshold)).select("phrase", "a", "b", "count", "score"))
 
 
+def keep_known(df: DataFrame, keys: list[str], words: str, vocabulary: DataFrame, word_col: str) -> DataFrame:
+    """STR24: ``df`` and ``known``, its words that the vocabulary holds, in their
+    order (none: an empty list). ``keys`` name a row; a vocabulary beyond
+    BROADCAST_PHRASES words is joined by hash."""
+    from litspark.operators.aggregates import join_null_safe
+    listed = vocabulary.select(F.col(word_col).alias("_w")).where("_w IS NOT NULL").distinct()
+    if listed.count() <= BROADCAST_PHRASES:
+        listed = F.broadcast(listed)
+    each = df.select(*keys, F.posexplode(words).alias("_p", "_w")).join(listed, "_w", "left_semi")
+    per = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p", "_w")))["_w"].alias("known"))  # words of one row
+    none = F.array().cast("array<string>")
+    return join_null_safe(df, per, keys, "left").withColumn("known", F.coalesce("known", none))
+
+
 #: Accepted phrases that are sent to every task; more are joined by hash.
 BROADCAST_PHRASES = 500_000
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from litspark.functions import lexicon
 from litspark.functions import text as tx
 from litspark.functions.ratio import exact_ratio
+from litspark.operators import terms
 from litspark.plans import sqlfrag as S
 from litspark.plans.catalog import register
 from litspark.sources.tables import Tables
@@ -164,8 +165,9 @@ FROM tokens SEMI JOIN vocab USING (token) GROUP BY doc_id""")
 def str20(spark, sf_dir):
     t = _t(spark, sf_dir)
     vocab = t.benchmark.select(F.explode(tx.tokenize("text")).alias("token")).distinct()
-    return t.tokens.join(vocab, "token", "left_semi").groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_known_tokens"))
+    # a frequent token is one row per document
+    per = t.tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    return per.join(vocab, "token", "left_semi").groupBy("doc_id").agg(F.sum("n").alias("n_known_tokens"))
 
 
 @register("str21_clean_documents", f"""
@@ -224,17 +226,18 @@ def str23(spark, sf_dir):
 
 
 # STR24-STR26 ------------------------------------------------------------------
-def _alt_sql(c):
+def _alt_sql(c, fast=False):
     punct = "[" + "".join("\\" + ch for ch in tx.ALT_PUNCT) + "]+"
     pre = ["http", "https", "www", "//", "\\", "x_", "x/", "srcimage"]
     suf = [".com", ".net", ".gov", ".org", ".jpg", ".pdf", "png", "jpeg", "php"]
     link = " OR ".join(["contains(w, '@')"] + [f"starts_with(w, {Q(p)})" for p in pre] +
                        [f"ends_with(w, {Q(s)})" for s in suf])
     s = _ws_sql(c)
-    s = f"regexp_replace({s}, '[^\\x00-\\x7f]', '', 'g')"
-    s = f"regexp_replace({s}, '\\\\x.*|\\\\u.*|\\\\b.*', '', 'g')"
-    s = f"regexp_replace({s}, '\\d+', '', 'g')"
-    words = f"list_filter(string_split_regex(trim({s}), '{tx.PY_WS}+'), lambda w: length(w) > 0 AND NOT ({link}))"
+    if not fast:
+        s = f"regexp_replace({s}, '[^\\x00-\\x7f]', '', 'g')"
+        s = f"regexp_replace({s}, '\\\\x.*|\\\\u.*|\\\\b.*', '', 'g')"
+    s = f"regexp_replace({s}, '{tx.DIGITS}', '', 'g')"
+    words = f"list_filter(string_split_regex(trim({s}), '{tx.PY_WS}+'), lambda w: length(w) > 0 AND NOT ({'false' if fast else link}))"
     stripped = f"list_transform({words}, lambda w: trim(trim(regexp_replace(w, {Q(punct)}, '', 'g'), ''''), '-'))"
     stop = S.lst(lexicon.general_stop_list())
     return f"list_transform(list_filter({stripped}, lambda w: NOT list_contains({stop}, w)), lambda w: lower(w))"
@@ -247,6 +250,28 @@ def str24(spark, sf_dir):
     return c.select("conv_id", "turn", F.array_join(tx.clean_alt("text"), "|").alias("words"))
 
 
+@register("str24_clean_alt_fast", f"""
+SELECT doc_id, array_to_string({_alt_sql('text', True)}, '|') AS words FROM documents""")
+def str24_fast(spark, sf_dir):
+    d = _t(spark, sf_dir).documents
+    return d.select("doc_id", F.array_join(tx.clean_alt("text", fast=True), "|").alias("words"))
+
+
+@register("str24_clean_alt_known", f"""
+WITH vocab AS (SELECT DISTINCT unnest({S.tokenize('text')}) AS w FROM benchmark),
+c AS (SELECT conv_id, turn, {_alt_sql('text')} AS words FROM conversations),
+w AS (SELECT conv_id, turn, unnest(words) AS w, unnest(range(1, len(words) + 1)) AS p FROM c),
+k AS (SELECT conv_id, turn, string_agg(w, '|' ORDER BY p) AS words FROM w SEMI JOIN vocab USING (w) GROUP BY ALL)
+SELECT c.conv_id, c.turn, coalesce(k.words, '') AS words FROM c LEFT JOIN k USING (conv_id, turn)""")
+def str24_known(spark, sf_dir):
+    """The cleaner with a vocabulary (here the benchmark's words): other words go."""
+    t = _t(spark, sf_dir)
+    vocab = t.benchmark.select(F.explode(tx.tokenize("text")).alias("word"))
+    c = t.conversations.select("conv_id", "turn", tx.clean_alt("text").alias("cleaned"))
+    out = terms.keep_known(c, ["conv_id", "turn"], "cleaned", vocab, "word")
+    return out.select("conv_id", "turn", F.array_join("known", "|").alias("words"))
+
+
 def _tweet_sql(c):
     t = f"replace(replace(lower({c}), '# ', '#'), chr(10), ' ')"
     t = f"regexp_replace({t}, 'https?://[^\\s]*', '', 'g')"

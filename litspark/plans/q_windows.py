@@ -165,6 +165,28 @@ def set3(spark, sf_dir):
     return d.unionByName(d).distinct()
 
 
+@register("set3_union_of_label_sets", """
+SELECT doc_id FROM labels WHERE quality = 1 UNION SELECT doc_id FROM labels WHERE toxic = 1""")
+def set3_sets(spark, sf_dir):
+    """Two overlapping sets of coded documents, each document once."""
+    l = Tables(spark, sf_dir).labels
+    return l.where("quality = 1").select("doc_id").unionByName(l.where("toxic = 1").select("doc_id")).distinct()
+
+
+# The coded sets and the perspective that each was coded for.
+CODED_SETS = {"cult": "quality = 1", "relt": "toxic = 1", "demog": "quality = 1 AND toxic = 1"}
+
+
+@register("set6_coded_sets", " UNION ALL ".join(
+    f"SELECT doc_id, '{p}' AS coded_set, " + ", ".join(f"{'1.0::DOUBLE' if o == p else 'NULL::DOUBLE'} AS {o}_score" for o in CODED_SETS)
+    + f" FROM labels WHERE {cond}" for p, cond in CODED_SETS.items()))
+def set6_coded(spark, sf_dir):
+    """Each set with its own perspective's score 1 and nulls for the others,
+    which it was not coded for; a document in two sets has two rows."""
+    l = Tables(spark, sf_dir).labels
+    return ag.coded_sets({p: l.where(cond).select("doc_id") for p, cond in CODED_SETS.items()})
+
+
 def _top50(t: Tables):
     # labels meet documents, not tokens
     per = cleaned_docs(t).join(t.labels.select("doc_id", F.col("quality").cast("string").alias("class")), "doc_id") \

@@ -82,3 +82,16 @@ def test_missing_class_and_empty(spark, data):
     assert fd.gaussian_predictions(none, "id", "label", "v", fd.gaussian_models(fd.fold_moments(none, "label", "v"), GAUSS)).count() == 0
     assert fd.ridge_weights(fd.fold_grams(none, "label", "v"), RIDGE) == []
     assert fd.ridge_predictions(none, "id", "label", "v", []).count() == 0
+
+
+def test_every_model_family_learns_a_plain_boundary(spark):
+    """A floor under the metrics of ML1: two clouds well apart."""
+    from litspark.ml import models as ml
+    rng = np.random.default_rng(1)
+    y = np.arange(200) % 2
+    x = rng.normal(0, 1, (200, 4)) + 4.0 * y[:, None]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, mean_vector array<double>")
+    labels = spark.createDataFrame([(i, int(c)) for i, c in enumerate(y)], "doc_id long, quality int")
+    got = {r.model: r for r in ml.compare(ml.feature_frame(vectors, labels), 4).collect()}
+    assert set(got) == {name for name, _ in ml.classifiers(4)}
+    assert all(r.balanced_accuracy >= 0.9 and r.f1 >= 0.9 for r in got.values())
