@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 #: A comment, a declaration, or a tag with its attributes. An unfinished one
@@ -14,8 +15,8 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'
 
 # Elements by how a browser lays them out.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is not text of the page.
-RAW = set("script style noscript template title iframe object svg math".split())
+#: Their content is not text of the page (a title inside a drawing is).
+RAW = set("script style template title".split())
 BLOCK = set("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure "
             "footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section "
             "select summary table tbody td textarea tfoot th thead tr ul".split())
@@ -48,10 +49,12 @@ class _Reader:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     standing: dict[str, int] = field(default_factory=dict)  # tokens of the open elements, how often each
+    names: Counter = field(default_factory=Counter)         # and their names
 
     def drop(self, k: int) -> None:
         """Close the open elements from the k-th on."""
         for e in self.stack[k:]:
+            self.names[e.name] -= 1
             for t in e.tokens:
                 self.standing[t] -= 1
                 if not self.standing[t]:
@@ -62,7 +65,7 @@ class _Reader:
         if raw:
             decoded = html.unescape(raw)
             self.parts.append(decoded)
-            if any(e.name == "a" for e in self.stack[-4:]):
+            if self.names["a"]:
                 self.linked += len(decoded.strip())
 
     def end_block(self) -> None:
@@ -74,6 +77,8 @@ class _Reader:
             self.parts, self.linked = [], 0
 
     def close(self, names: set[str], bounds: set[str]) -> None:
+        if not any(self.names[n] for n in names):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k].name in names:
                 self.drop(k)
@@ -90,6 +95,7 @@ class _Reader:
                 self.close(CLOSES[name], BOXES)
         if name in VOID or attributes.rstrip().endswith("/") and name not in BLOCK:
             return
+        self.names[name] += 1
         self.stack.append(_Open(name, _tokens(name, attributes)))
         for t in self.stack[-1].tokens:
             self.standing[t] = self.standing.get(t, 0) + 1
@@ -97,6 +103,8 @@ class _Reader:
     def shut(self, name: str) -> None:
         if name in BLOCK:
             self.end_block()
+        if not self.names[name]:  # not open: nothing to search for
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k].name == name:
                 self.drop(k)
@@ -110,7 +118,7 @@ def _tokens(name: str, attributes: str) -> tuple[str, ...]:
         for key, *values in _ATTRIBUTE.findall(attributes):
             if key.lower() in ("class", "id", "role", "aria-label", "itemprop", "hidden"):
                 value = next((v for v in values if v), "").lower()
-                out += ["." + w for w in re.split(r"[^a-z]+", value)[:8] if w]
+                out += ["." + w for w in re.split(r"[^a-z]+", value) if w]
     return tuple(out)
 
 
@@ -124,7 +132,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if m[1]:
             reader.shut(name)
-        elif name in RAW and not m[3].rstrip().endswith("/"):
+        elif name in RAW and not m[3].rstrip().endswith("/") and not (name == "title" and reader.names["svg"]):
             end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
         else:

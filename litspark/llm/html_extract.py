@@ -6,17 +6,19 @@ words, and its length, link share and end mark. A bidirectional LSTM in numpy
 reads the whole sequence in both directions and labels every block as main text
 or not; the page's text is its labelled blocks in order.
 
-The labeller is trained here: on at most ``TRAIN_PAGES`` pages of the table (a
-documented bound: those with the smallest hash of their id) whose layout names
-its parts, that is, blocks inside an article or main element and outside of
+The labeller is trained here, in one task: on at most ``TRAIN_PAGES`` pages of the
+table (a documented bound: of the pages whose layout names its parts those with
+the smallest hash of their id). There, blocks inside an article or main element and outside of
 navigation, advertisements and the like are main text. As layouts differ, every
 page is learned from in several disguises: other names for the article's box or
 none, other kinds of boilerplate put before, between and behind.
 
 Defined cases: null or empty pages, and pages without a text block, have an
 empty text; a page without markup is one block; unfinished tags and comments
-run to the end of the page; repeated rows are returned each; an empty table
-gives an empty result; other columns are not looked at.
+run to the end of the page; repeated rows are returned each; if no page of the
+table names its parts there is nothing to learn from, and all blocks of every
+page are its text; an empty table gives an empty result; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from litspark.llm.common import slices, small_batches, table, text_of
 from litspark.llm.html_blocks import Block, blocks_of
+from litspark.llm.quality import trained_in_one_task
 
 TRAIN_PAGES = 300
 VARIANTS = 5
@@ -255,16 +258,39 @@ def train(pages: list[str], seed: int = 1) -> Labeller:
     return net
 
 
-def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", rows: int = TRAIN_PAGES) -> Labeller:
-    key = F.xxhash64(id_col, F.lit(2)).alias("h")
-    chosen = pages.select(key).distinct().orderBy("h").limit(rows)  # keys only; their pages are fetched after
-    some = pages.select(key, text_of(html_col).alias("html")).join(F.broadcast(chosen), "h").dropDuplicates(["h"])
-    return train([r["html"] for r in sorted(some.collect())])  # at most TRAIN_PAGES pages
+#: How a page is written whose layout names its main part.
+USABLE = r"(?i)<(article|main)[\s>/]"
 
 
-def labelled_text(pages: list[str], net: Labeller) -> list[str]:
-    """The main text of each page; pages of like length share a pass."""
+def _train_pages(rows: pa.Table) -> list[np.ndarray]:
+    """The network's parameters, none if no page names its parts."""
+    pages = rows["text"].to_pylist()
+    usable = [p for p in pages if (blocks := blocks_of(p)) and weak_labels(blocks) is not None]
+    return [*train(usable).p.values()] if usable else []
+
+
+def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", rows: int = TRAIN_PAGES) -> Labeller | None:
+    """A network trained in one task on at most ``rows`` pages: of those whose
+    layout names its parts, the ones with the smallest hash of their id (of pages
+    that share an id, the least text). None if there is no such page."""
+    key = F.xxhash64(id_col, F.lit(2)).alias("key")
+    usable = pages.filter(text_of(html_col).rlike(USABLE))
+    chosen = usable.select(key).distinct().orderBy("key").limit(rows)  # keys only; their pages are fetched after
+    some = usable.select(key, text_of(html_col).alias("text")).join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("text").alias("text"))
+    found = trained_in_one_task(some.select("key", F.lit(1).alias("label"), "text"), _train_pages)
+    if not found:
+        return None
+    net = Labeller()
+    net.p = {name: x.reshape(old.shape) for (name, old), x in zip(net.p.items(), found)}
+    return net
+
+
+def labelled_text(pages: list[str], net: Labeller | None) -> list[str]:
+    """The main text of each page; pages of like length share a pass. Without a
+    network every block is kept."""
     parsed = [blocks_of(p) for p in pages]
+    if net is None:
+        return [" ".join(b.text for b in blocks) for blocks in parsed]
     out = [""] * len(pages)
     order = sorted((k for k in range(len(parsed)) if parsed[k]), key=lambda k: len(parsed[k]))
     for a in range(0, len(order), 64):
@@ -278,7 +304,7 @@ def labelled_text(pages: list[str], net: Labeller) -> list[str]:
     return out
 
 
-def _extractor(net: Labeller):
+def _extractor(net: Labeller | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _, _ in slices(batches, "html"):
             text = labelled_text(batch.column(2).to_pylist(), net)
@@ -287,7 +313,7 @@ def _extractor(net: Labeller):
     return run
 
 
-def extract(pages: DataFrame, net: Labeller) -> DataFrame:
+def extract(pages: DataFrame, net: Labeller | None) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     small_batches(pages.sparkSession)
     return (pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"))

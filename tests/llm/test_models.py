@@ -178,6 +178,39 @@ def test_blocks():
     assert texts("<p>x<!-- open <p>y") == ["x"] and texts("<p title='a>b'>z") == ["z"]
 
 
+def test_formulas_and_figures_are_text():
+    texts = lambda p: [b.text for b in blocks_of(p)]
+    assert texts("<p>Energy <math><mi>E</mi>=<mi>mc</mi></math> holds") == ["Energy E=mc holds"]
+    assert texts("<figure><svg><title>Growth</title><text>2020</text></svg><figcaption>A b</figcaption></figure>") == ["Growth2020", "A b"]
+    assert texts("<head><title>no</title></head><body><object>shown <object>inner</object> too</object><noscript>plain</noscript>") == ["shown inner tooplain"]
+
+
+def test_names_that_are_not_open_cost_nothing():
+    import time
+    began = time.time()
+    page = "<p>" + "<span>" * 30000 + "x" + "</em>" * 30000 + "</i><p>" * 300
+    assert [b.text for b in blocks_of(page)] == ["x"]
+    assert time.time() - began < 20
+
+
+def test_without_a_page_that_names_its_parts_all_blocks_stay(spark):
+    pages = spark.createDataFrame([(1, "u", "<div><p>a</p><p>b &amp; c</p></div>"), (2, "u", None)], "page_id bigint, url string, html string")
+    net = html_extract.fit(pages)
+    assert net is None
+    assert [r.text for r in html_extract.extract(pages, net).orderBy("page_id").collect()] == ["a b & c", ""]
+    # a few usable pages among many others are found and learned from
+    some = spark.read.parquet(f"{SF_SMALL}/pages.parquet").select(F.col("page_id") + 1_000_000, "url", "html").limit(20)
+    other = spark.range(2000).select("id", F.lit("u"), F.concat(F.lit("<div><p>no main part "), "id", F.lit("</p></div>")))
+    assert html_extract.fit(other.union(some).toDF("page_id", "url", "html"), rows=20) is not None
+
+
+def test_very_long_pages(spark):
+    long = "<html><body><nav><a>x</a></nav><article>" + "<p>" + "many words here. " * 40000 + "</p>" + "</article></body></html>"
+    net = html_extract.fit(spark.read.parquet(f"{SF_SMALL}/pages.parquet"))
+    got = html_extract.extract(spark.createDataFrame([(1, "u", long)], "page_id bigint, url string, html string"), net).first()
+    assert got.text == ("many words here. " * 40000).strip()
+
+
 def test_extraction(spark):
     import html
     import re
