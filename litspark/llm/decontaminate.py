@@ -170,9 +170,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     if second is None:
         return rows.mapInArrow(_scanner(first), _SCHEMA).drop("row")
     rows = checkpointed(rows)  # a row has the same number in every block
-    out = rows.mapInArrow(_scanner(first), _SCHEMA)
-    for block in chain([second], blocks):
-        out = out.unionByName(rows.mapInArrow(_scanner(block), _SCHEMA).filter("longest > 0"))
+    out = checkpointed(rows.mapInArrow(_scanner(first), _SCHEMA))  # written before the next block is read:
+    for block in chain([second], blocks):  # the driver holds one at a time
+        out = out.unionByName(checkpointed(rows.mapInArrow(_scanner(block), _SCHEMA).filter("longest > 0")))
     merged = out.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
@@ -200,9 +200,11 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     """``docs`` without the documents that hold a test window, all columns kept;
     each row is decided where it is read, block by block of the test items."""
     small_batches(docs.sparkSession)
-    for block in _blocks(benchmark, "item_id", "text", window):
-        docs = docs.mapInArrow(_cleaner(block), docs.schema)
-    return docs
+    blocks = _blocks(benchmark, "item_id", "text", window)
+    clean = docs.mapInArrow(_cleaner(next(blocks)), docs.schema)
+    for block in blocks:  # what is left is written first: the driver holds one block at a time
+        clean = checkpointed(clean).mapInArrow(_cleaner(block), docs.schema)
+    return clean
 
 
 def _cleaner(block: TestBlock):
