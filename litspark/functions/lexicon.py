@@ -7,6 +7,7 @@ cleaned output to match; they are stated plainly, in their natural order.
 from __future__ import annotations
 
 import calendar
+from collections.abc import Iterable
 
 # --- fixed values -----------------------------------------------------------
 # Stop words used for the archive's n-gram files.
@@ -99,10 +100,11 @@ def archive_stop_list(stop: bool = True, junk: bool = True) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-def general_stop_list() -> list[str]:
-    """English stop words, month names in title and lower case, and the
-    numbers 1..2099 written as strings (built from rules)."""
+def general_stop_list(extend: Iterable[str] = ()) -> list[str]:
+    """English stop words, month names in title and lower case, the numbers
+    1..2099 written as strings (built from rules), and the words of a larger
+    list, if one is given (``files.read_dictionary`` reads such a list)."""
     months = [calendar.month_name[i] for i in range(1, 13)]
     words = ENGLISH_STOP_WORDS + months + [m.lower() for m in months]
     words += [str(i) for i in range(1, 2100)]
-    return list(dict.fromkeys(words))
+    return list(dict.fromkeys([*words, *extend]))

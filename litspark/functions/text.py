@@ -229,19 +229,20 @@ def cut_to_budget(doc, budget) -> Column:
 ALT_PUNCT = "".join(ch for ch in string.punctuation if ch not in "-'")
 
 
-def is_general_stop(w: Column) -> Column:
-    """Membership in the general stop list: the word list is a small hash-set
+def is_general_stop(w: Column, extend=()) -> Column:
+    """Membership in the general stop list and a larger one, if given: the word list is a small hash-set
     lookup and the numbers 1..2099 are tested by rule, so no expression carries
     thousands of literals."""
-    words = [x for x in lexicon.general_stop_list() if not x.isdigit()]
+    words = [x for x in lexicon.general_stop_list(extend) if not x.isdigit() or x in set(extend)]
     number = w.rlike("^[1-9][0-9]{0,3}$") & (w.try_cast("int") <= 2099)
     return w.isin(words) | number
 
 
-def clean_alt(c, remove_stopwords: bool = True, exclude=(), fast: bool = False) -> Column:
+def clean_alt(c, remove_stopwords: bool = True, exclude=(), fast: bool = False, extend=()) -> Column:
     """Alternative cleaner: non-ASCII out, escape tails out, numbers out, split
     on whitespace, e-mails/URLs/files out, punctuation out (inner - and ' kept),
-    stop words and an exclude list out, lower case. ``fast`` leaves non-ASCII
+    stop words (and those of a larger list, ``extend``) and an exclude list out,
+    lower case. ``fast`` leaves non-ASCII
     characters, escapes and links alone. (The list of escaped characters and the
     star at a sentence's end are all non-ASCII, or hold an underscore that is a
     space by then: behind the first rule they never match.)"""
@@ -269,7 +270,7 @@ def clean_alt(c, remove_stopwords: bool = True, exclude=(), fast: bool = False)
     excl = list(dict.fromkeys(exclude))
 
     def dropped(w):
-        cond = is_general_stop(w) if remove_stopwords else F.lit(False)
+        cond = is_general_stop(w, extend) if remove_stopwords else F.lit(False)
         return (cond | w.isin(excl)) if excl else cond
 
     out = F.filter(stripped, lambda w: ~dropped(w))

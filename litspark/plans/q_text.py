@@ -158,6 +158,21 @@ def str18(spark, sf_dir):
     return _t(spark, sf_dir).documents.select("doc_id", F.coalesce(n, F.lit(0)).cast("long").alias("n_content_tokens"))
 
 
+# A larger list for the option: the archive's stop and junk words.
+EXTENDED = lexicon.archive_stop_list()
+
+
+@register("str18_extended_stopwords", S.with_(S.SENTS, S.TOKENS) + f"""
+SELECT d.doc_id, CAST(count(t.token) AS BIGINT) AS n_content_tokens
+FROM documents d LEFT JOIN (SELECT * FROM tokens WHERE token NOT IN {S.inlist(lexicon.general_stop_list(EXTENDED))}) t
+  USING (doc_id)
+GROUP BY d.doc_id""")
+def str18_extended(spark, sf_dir):
+    kept = F.transform(tx.sentences("text"), lambda s: F.size(F.filter(tx.tokenize(s), lambda w: ~tx.is_general_stop(w, EXTENDED))))
+    n = F.aggregate(kept, F.lit(0), lambda a, x: a + x)
+    return _t(spark, sf_dir).documents.select("doc_id", F.coalesce(n, F.lit(0)).cast("long").alias("n_content_tokens"))
+
+
 @register("str20_vocabulary_filter", S.with_(S.SENTS, S.TOKENS) + f"""
 , vocab AS (SELECT DISTINCT unnest({S.tokenize('text')}) AS token FROM benchmark)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_known_tokens
