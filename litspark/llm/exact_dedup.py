@@ -28,6 +28,8 @@ from litspark.llm.common import checkpointed, table, text_of
 
 #: Digests that one filter shard holds on average; a shard is one task's work.
 SHARD_KEYS = 200_000
+#: Candidate pairs whose ids are sent to the texts; more meet them by hash.
+BROADCAST_PAIRS = 100_000
 
 
 def normalised(text: Column) -> Column:
@@ -59,8 +61,9 @@ def _shard(n_shards: int) -> Column:
     return F.pmod(F.xxhash64(F.col("key"), F.lit(17)), F.lit(n_shards)).cast("int")
 
 
-def shards_for(groups: DataFrame) -> int:
-    return max(1, -(-groups.count() // SHARD_KEYS))
+def shards_for(*sides: DataFrame) -> int:
+    """Shards by the larger side: a task builds a filter or looks keys up in one."""
+    return max(1, *(-(-groups.count() // SHARD_KEYS) for groups in sides))
 
 
 def build_filters(groups: DataFrame, n_shards: int) -> DataFrame:
@@ -86,15 +89,18 @@ def screen(groups: DataFrame, filters: DataFrame, n_shards: int) -> DataFrame:
 def known(batch: DataFrame, snapshot: DataFrame, batch_docs: DataFrame, snapshot_docs: DataFrame) -> DataFrame:
     """Batch groups whose text the snapshot really has: candidates of equal key
     and digest, then the bytes of one text of either side."""
-    filters = checkpointed(build_filters(snapshot, n := shards_for(snapshot)))
+    filters = checkpointed(build_filters(snapshot, n := shards_for(snapshot, batch)))
     maybe = screen(batch, filters, n)
     pairs = checkpointed(
         batch.join(maybe, "key", "left_semi").select("key", "sha", "size", F.col("best.id").alias("b_id"), F.col("best.less").alias("b_less"))
         .join(snapshot.select("key", "sha", "size", F.col("best.id").alias("s_id"), F.col("best.less").alias("s_less")), ["key", "sha", "size"]))
 
+    few = pairs.count() <= BROADCAST_PAIRS
+
     def of(docs: DataFrame, id_: str, less: str, name: str) -> DataFrame:
         texts = docs.select(F.col("doc_id").alias(id_), F.length(text_of()).cast("long").alias("len"), normalised(text_of()).alias(name))
         ids = pairs.select(id_, F.col(less), "key", "sha", "size")
+        ids = F.broadcast(ids) if few else ids  # no text but the candidates' moves then
         return (ids.join(texts, ids[id_].eqNullSafe(texts[id_]) & (F.col("len") == -F.col(less)) & (F.xxhash64(name) == F.col("key")))
                 .select("key", "sha", "size", name))
 

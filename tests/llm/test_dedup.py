@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from litspark.llm import components, exact_dedup, fuse_filter, near_dedup
 from litspark.llm.words import BLANK_SEPARATED, shingle_sets, split_words
@@ -55,6 +56,18 @@ def test_exact_dedup_snapshot_and_batch_in_any_split(spark):
     assert results[0] == results[1] == results[2]
 
 
+def test_exact_dedup_batch_far_larger_than_the_snapshot(spark, monkeypatch):
+    """The shards follow the larger side, on both ways to the candidates' texts."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 2500).cast("string")).alias("text"))
+    monkeypatch.setattr(exact_dedup, "SHARD_KEYS", 100)
+    snapshot, batch = docs.filter("doc_id < 3"), docs.filter("doc_id >= 3")
+    assert exact_dedup.shards_for(exact_dedup.grouped(exact_dedup.digests(snapshot)), exact_dedup.grouped(exact_dedup.digests(batch))) == 25
+    for bound in (exact_dedup.BROADCAST_PAIRS, 0):
+        monkeypatch.setattr(exact_dedup, "BROADCAST_PAIRS", bound)
+        got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(snapshot, batch).collect()}
+        assert got == {i: (i % 2500, 3 if i % 2500 < 1000 else 2) for i in range(6000)}
+
+
 def test_drop_copies_keeps_one_row_and_all_columns(edge, none):
     out = exact_dedup.drop_copies(edge)
     assert out.columns == edge.columns
