@@ -73,8 +73,23 @@ def small_result(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+_kept: list[DataFrame] = []
+
+
 def reuse(df: DataFrame) -> DataFrame:
     """Keep a frame that several branches of one plan read (memory, spilling to
-    disk). Lost blocks are recomputed from lineage, so executor loss is safe."""
+    disk) until ``release``. Lost blocks are recomputed from lineage, so executor
+    loss is safe."""
     from pyspark import StorageLevel
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _kept.append(df)
+    return df
+
+
+def release() -> int:
+    """Give the kept frames' blocks back, once the results that read them are
+    written; returns how many there were."""
+    n = len(_kept)
+    while _kept:
+        _kept.pop().unpersist()
+    return n

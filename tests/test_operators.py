@@ -364,3 +364,11 @@ def test_distinct_sketches_merge(spark):
         got = {r[0]: r.n_distinct for r in ag.merged_distinct(stored, group).collect()}
         assert got.keys() == exact.keys()
         assert all(abs(got[k] - exact[k]) <= max(1, 5 * 0.0065 * exact[k]) for k in exact)
+
+
+def test_kept_frames_are_released(spark):
+    from litspark import session
+    session.release()
+    df = session.reuse(spark.range(10))
+    assert df.count() == 10 and df.is_cached
+    assert session.release() == 1 and not df.is_cached and session.release() == 0
