@@ -9,7 +9,8 @@ their bound is exact). Values that a common passage spreads over the corpus are
 thereby not listed. The estimate from the union's sketch drops pairs far below
 the threshold, and the exact Jaccard of the full sets decides every link.
 
-Documents with equal sets form one class and are linked without any pair.
+Documents with equal sets (by size and two 64-bit digests) form one class and are
+linked without any pair.
 Inside a long list pairs are not enumerated: its most central class is compared
 with all others first, components are formed, and only classes that are still
 apart go on; what remains is compared exactly, block by block, and only links
@@ -88,7 +89,32 @@ _SCHEMA = "doc_id bigint, n bigint, h1 bigint, h2 bigint, hashes array<bigint>"
 def sketches(docs: DataFrame, keep: int | None = K) -> DataFrame:
     small_batches(docs.sparkSession)
     return (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-            .mapInArrow(_scan(keep), _SCHEMA).withColumn("node", F.xxhash64("n", "h1", "h2")))
+            .mapInArrow(_scan(keep), _SCHEMA).withColumn("node", _node(0)))
+
+
+def _node(seed: int) -> Column:
+    return F.xxhash64("n", "h1", "h2") if not seed else F.xxhash64("n", "h1", "h2", F.lit(seed))
+
+
+def shared_nodes(rows: DataFrame) -> DataFrame:
+    """The numbers that sets of different size or digests share by chance."""
+    both = F.struct("n", "h1", "h2")
+    return rows.filter("n > 0").groupBy("node").agg(F.min(both).alias("a"), F.max(both).alias("b")).filter("a != b").select("node")
+
+
+def _renumbered(rows: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+    hit = F.broadcast(nodes.withColumnRenamed("node", "hit"))  # pairs that meet in 64 bits: a handful among 10^10 sets
+    return rows.join(hit, F.col("node") == F.col("hit"), "left").withColumn("node", F.when(F.col("hit").isNull(), F.col("node")).otherwise(_node(seed))).drop("hit")
+
+
+def named_apart(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``rows`` with one number per set, told apart by size and both digests: a
+    number that two sets share is drawn anew. And the numbers that were."""
+    rounds: list[DataFrame] = []
+    while not (found := checkpointed(shared_nodes(rows))).isEmpty():
+        rounds.append(found)
+        rows = checkpointed(_renumbered(rows, found, len(rounds)))
+    return rows, rounds
 
 
 def _least_shared(n: Column) -> Column:
@@ -224,7 +250,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     shared_folder(spark)
-    rows = checkpointed(sketches(docs))
+    rows, renamed = named_apart(checkpointed(sketches(docs)))
     members = rows.select("doc_id", "n", "node")
     first = members.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     roots = spark.createDataFrame([], "node bigint, root bigint")
@@ -234,7 +260,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         wanted = checkpointed(entries.select("node").distinct().join(first, "node"))
         texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
         picked = texts.join(wanted.select("first_id").distinct(), F.col("first_id").eqNullSafe(F.col("doc_id")), "left_semi")
-        sets = checkpointed(sketches(picked, None).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "hashes"))
+        whole = sketches(picked, None)
+        for k, nodes in enumerate(renamed):
+            whole = _renumbered(whole, nodes, k + 1)
+        sets = checkpointed(whole.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]).select("node", "hashes"))
         entries = checkpointed(entries.join(reachable(sets), "node"))
         edges, compared, parts = None, None, None
         for turn in range(STAR_ROUNDS + 1):

@@ -141,3 +141,19 @@ def test_components_of_a_chain_and_a_star(spark):
     got = components.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()
     assert {r.node: r.root for r in got} == {**{k: 0 for k in range(1, 41)}, **{k: 100 for k in range(101, 140)}}
     assert components.components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_sets_that_share_a_number_are_told_apart(spark, monkeypatch):
+    """With numbers of a few bits many sets collide; the result is the same."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(1, 40))]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join([*words, "more"])), (3 * i + 2, " ".join(words))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    result = lambda: sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+    want = result()
+    node = near_dedup._node
+    monkeypatch.setattr(near_dedup, "_node", lambda seed: node(seed) if seed > 1 else F.pmod(node(seed), F.lit(20)))
+    assert not near_dedup.shared_nodes(near_dedup.sketches(docs)).isEmpty()
+    assert result() == want
