@@ -155,3 +155,13 @@ SELECT page_id, url FROM pages WHERE url <> 'external-fulltext-any' AND url IS N
 def flt13(spark, sf_dir):
     p = Tables(spark, sf_dir).pages
     return p.where((F.col("url") != "external-fulltext-any") & F.col("url").isNotNull()).select("page_id", "url")
+
+
+@register("flt13_placeholder_urls", """
+SELECT page_id, link FROM (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'external-fulltext-any' WHEN page_id % 11 <> 0 THEN url END AS link FROM pages)
+WHERE link <> 'external-fulltext-any' AND link IS NOT NULL""")
+def flt13_placeholders(spark, sf_dir):
+    """Pages of which some have the placeholder for a link and some none."""
+    link = F.when(F.col("page_id") % 7 == 0, F.lit("external-fulltext-any")).when(F.col("page_id") % 11 != 0, F.col("url"))
+    p = Tables(spark, sf_dir).pages.select("page_id", link.alias("link"))
+    return p.where((F.col("link") != "external-fulltext-any") & F.col("link").isNotNull())

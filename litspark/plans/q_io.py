@@ -109,3 +109,11 @@ SELECT 'lang=' || lang || '/source=' || source AS set_name, CAST(count(*) AS BIG
 def snk3(spark, sf_dir):
     d = Tables(spark, sf_dir).documents
     return d.groupBy(sk.set_name(["lang", "source"]).alias("set_name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("snk3_named_set_rows", """
+SELECT doc_id, 'lang=' || lang || '/source=' || source AS set_name FROM documents""")
+def snk3_rows(spark, sf_dir):
+    """The set that each row is written to."""
+    d = Tables(spark, sf_dir).documents
+    return d.select("doc_id", sk.set_name(["lang", "source"]).alias("set_name"))

@@ -51,6 +51,16 @@ def jn4(spark, sf_dir):
     return j.select("doc_id", "lang", "passage")
 
 
+@register("jn4_left_join_labels", """
+SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def jn4_labels(spark, sf_dir):
+    """Labels under another key name; unlabelled documents stay, the second key goes."""
+    t = Tables(spark, sf_dir)
+    l = t.labels.select(F.col("doc_id").alias("id"), "quality", "toxic")
+    d = t.documents.select("doc_id", "lang")
+    return d.join(l, d["doc_id"] == l["id"], "left").drop("id")
+
+
 @register("jn5_one_to_one_violations", """
 SELECT 'left' AS side, conv_id AS key, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1
 UNION ALL

@@ -97,6 +97,14 @@ def str9(spark, sf_dir):
     return _t(spark, sf_dir).pages.select("page_id", tx.strip_tags("html", tx.PAGE_OPENER_SPACED).alias("body"))
 
 
+@register("str9_spaced_opener_removed",
+          f"SELECT page_id, {S.strip_tags('html', tx.PAGE_OPENER_SPACED)} AS body FROM (SELECT page_id, {Q(tx.PAGE_OPENER_SPACED)} || html AS html FROM pages)")
+def str9_opener(spark, sf_dir):
+    """Pages that begin with the spaced opener."""
+    p = _t(spark, sf_dir).pages.select("page_id", F.concat(F.lit(tx.PAGE_OPENER_SPACED), "html").alias("html"))
+    return p.select("page_id", tx.strip_tags("html", tx.PAGE_OPENER_SPACED).alias("body"))
+
+
 # STR10-STR15 ------------------------------------------------------------------
 @register("str10_sentences", S.with_(S.SENTS) + "SELECT doc_id, sent_pos, sentence FROM sents")
 def str10(spark, sf_dir):

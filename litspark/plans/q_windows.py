@@ -116,6 +116,16 @@ def win4(spark, sf_dir):
     return r.where(keep).select("doc_id", "primary_subject", "perspective", "slice", "position")
 
 
+@register("win4_slices_by_length", """
+SELECT doc_id, lang, CAST(position AS BIGINT) AS position FROM (
+  SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS position FROM documents)
+WHERE position >= 5 AND position < 25""")
+def win4_by_length(spark, sf_dir):
+    """Positions 5 to 24 of each language's documents, longest first."""
+    d = Tables(spark, sf_dir).documents.select("doc_id", "lang", "n_chars")
+    return wn.positional_slice(d, [F.col("n_chars").desc(), F.col("doc_id")], 5, 25, ["lang"]).select("doc_id", "lang", "position")
+
+
 @register("win5_daily_quota", """
 WITH d AS (SELECT event_id, event_type, CAST(ts AS DATE) AS day, md5('5:' || CAST(event_id AS VARCHAR)) AS h FROM events),
 per_day AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day, event_type ORDER BY h, event_id) AS r FROM d) WHERE r <= 5)
