@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from litspark.functions import lexicon
 from litspark.functions import text as tx
 from litspark.operators import joins as jn
 from litspark.plans import sqlfrag as S

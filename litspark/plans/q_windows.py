@@ -12,7 +12,7 @@ from litspark.operators import windows as wn
 from litspark.plans import sqlfrag as S
 from litspark.plans.catalog import register
 from litspark.plans.q_filters import _long_scores, _long_scores_sql
-from litspark.plans.q_terms import clean_tokens, cleaned_docs
+from litspark.plans.q_terms import cleaned_docs
 from litspark.plans.q_vectors import EMB_LONG_SQL
 from litspark.sources.tables import Tables
 
