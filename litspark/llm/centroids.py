@@ -33,7 +33,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 

@@ -21,7 +21,6 @@ other columns are not looked at.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import chain
 
