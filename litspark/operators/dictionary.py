@@ -28,6 +28,8 @@ from litspark.operators.aggregates import join_null_safe
 from litspark.session import small_result
 
 GRAM = 5
+#: Characters on either side of a space that a term of several words is listed under.
+SEAM = 3
 BLOCK_TERMS = 100_000
 
 
@@ -108,6 +110,40 @@ def hit_counts(sents: DataFrame, keys: list[str], toks: str, terms: DataFrame, t
     return found.groupBy(*keys, *by).agg(F.count(F.lit(1)).alias("n_hits"))
 
 
+def _seam(left: Column, right: Column, p: int, q: int) -> Column:
+    return F.concat(F.right(left, F.lit(p)), F.lit(" "), F.left(right, F.lit(q)))
+
+
+def _term_matches(sents: DataFrame, keys: list[str], toks: str, several: DataFrame) -> DataFrame:
+    """(keys..., _term, start, n): where the sentences hold terms of several words
+    as substrings. Such a term has a space: it is listed under the characters at
+    its first one, and only the seams between two words are looked up."""
+    listed = several.withColumn("_w", words(F.col("_term"))).withColumn("_p", F.least(F.length(F.col("_w")[0]), F.lit(SEAM))) \
+        .withColumn("_q", F.least(F.length(F.col("_w")[1]), F.lit(SEAM)))
+    sizes = [(p, q) for p in range(1, SEAM + 1) for q in range(1, SEAM + 1)]
+    key = reduce(lambda out, s: out.when((F.col("_p") == s[0]) & (F.col("_q") == s[1]), _seam(F.col("_w")[0], F.col("_w")[1], *s)), sizes, F.when(F.lit(False), F.lit("")))
+    index = small_result(listed.select("_term", "_w", F.struct("_p", "_q").alias("_size"), key.alias("_key")))
+    count = index.count()
+    used = [(r["_size"]["_p"], r["_size"]["_q"]) for r in index.select("_size").distinct().collect()]  # at most SEAM^2 pairs
+    if not used:
+        return sents.select(*keys, F.lit("").alias("_term"), F.lit(1).alias("start"), F.lit(1).alias("n")).where(F.lit(False))
+    tk = F.col(toks)
+    m = F.greatest(F.size(tk) - 1, F.lit(1))
+    pairs = F.when(F.size(tk) > 1, F.arrays_zip(F.slice(tk, 1, m).alias("a"), F.slice(tk, 2, m).alias("b"))).otherwise(
+        F.array().cast("array<struct<a:string,b:string>>"))
+    at = sents.select(*keys, tk.alias("_toks"), F.posexplode(pairs).alias("_pos", "_pair"))
+    a, b = F.col("_pair.a"), F.col("_pair.b")
+    seams = F.array_distinct(F.array(*[_seam(a, b, p, q) for p, q in used]))
+    at = at.withColumn("_key", seams[0] if len(used) == 1 else F.explode(seams))
+    n = max(1, -(-count // BLOCK_TERMS))
+    before = F.length(a) - F.length(F.col("_w")[0])
+    here = F.substring(F.array_join(F.slice("_toks", F.col("_pos") + 1, F.size("_w")), " "), before + 1, F.length("_term"))
+    found = [at.join(F.broadcast(index if n == 1 else index.where(F.pmod(F.xxhash64("_term"), F.lit(n)) == k)), "_key").where((before >= 0) & (here == F.col("_term")))
+             for k in range(n)]
+    front = F.length(F.array_join(F.slice("_toks", 1, F.col("_pos")), " ")) + F.when(F.col("_pos") > 0, 1).otherwise(0)
+    return reduce(DataFrame.unionByName, found).select(*keys, "_term", (front + before + 1).alias("start"), F.length("_term").alias("n"))
+
+
 def join_terms(sents: DataFrame, keys: list[str], toks: str, terms: DataFrame, term_col: str = "term") -> DataFrame:
     """STR28: the spaces inside each term of several words become '_' wherever the
     sentence holds it as a substring, longest terms first (by words, characters,
@@ -115,11 +151,12 @@ def join_terms(sents: DataFrame, keys: list[str], toks: str, terms: DataFrame, t
 
     A match counts while none of its spaces is taken and, for one term, if it
     begins behind the last one: what replacing term after term does. All matches
-    of a sentence meet in its row. ``keys`` name a sentence."""
+    of a sentence meet in its row. ``keys`` name a sentence; its words hold no
+    spaces."""
     several = terms.select(F.trim(F.regexp_replace(term_col, r"\s+", " ")).alias("_term")).where(F.contains("_term", F.lit(" "))).distinct()
     sents = sents.withColumn("_text", F.array_join(F.col(toks), " "))  # half the bytes of the words, where only it is asked for
     text = F.col("_text")
-    found = occurrences(sents.select(*keys, characters(text).alias("_chars")), "_chars", TermIndex(several, "_term", by_words=False))
+    found = _term_matches(sents, keys, toks, several)
     order = F.struct((-F.size(F.split("_term", " "))).alias("w"), (-F.col("n")).alias("l"), F.col("_term").alias("term"), F.col("start").alias("start"))
     per = found.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("_found"))  # matches of one sentence
     state = F.struct(F.array().cast("array<int>").alias("taken"), F.lit("").alias("term"), F.lit(0).alias("end"))
