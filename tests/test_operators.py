@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from litspark.operators import aggregates as ag
@@ -372,3 +373,17 @@ def test_kept_frames_are_released(spark):
     df = session.reuse(spark.range(10))
     assert df.count() == 10 and df.is_cached
     assert session.release() == 1 and not df.is_cached and session.release() == 0
+
+
+def test_nearest_references_meet_blocks_as_matrices(spark):
+    """A row meets a block in one call, whatever the number of pairs; ties, null
+    components, unlike lengths and NaN are as in a comparison of each pair."""
+    refs = pa.table({"r": pa.array([4, 1, 3, 2, 9], pa.int64()), "w": pa.array([[0, 2], [2, 0], [5, 5], [0, 0], [float("nan"), 0]], pa.list_(pa.float32()))})
+    rows = pa.table({"id": pa.array([1, 7], pa.int64()), "v": pa.array([[0, 0], [9, 9]], pa.list_(pa.float32())), "_bound": pa.array([None, 6.0], pa.float64())})
+    schema = pa.schema([("id", pa.int64()), ("_kth", pa.float64()), ("d", pa.float64()), ("rid", pa.int64())])  # row, k-th distance, distance, reference
+    run = lambda *a: vx._nearest_in_block("id", "v", "r", "w", [], *a, schema)(rows, refs).to_pylist()
+    assert [(x["id"], x["rid"], x["_kth"]) for x in run(3, False)] == [(1, 2, 2.0), (1, 1, 2.0), (1, 4, 2.0), (7, 3, None)]
+    assert [(x["id"], x["rid"]) for x in run(3, True)] == [(1, 2), (1, 4), (1, 3), (7, 3)]
+    odd = refs.set_column(1, "w", pa.array([[0, 2], [2, None], [5], [0, 0], [float("nan"), 0]], pa.list_(pa.float32())))
+    assert [(x["rid"], x["d"]) for x in vx._nearest_in_block("id", "v", "r", "w", [], 4, False, schema)(rows.slice(0, 1), odd).to_pylist()] == [
+        (1, None), (3, None), (2, 0.0), (4, 2.0)]
