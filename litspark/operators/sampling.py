@@ -118,8 +118,11 @@ def smote(df: DataFrame, label: str, minority, ratio: float, key: str, vec: str,
     n_min = counts.get(minority, 0)
     need = int(ratio * max((v for c, v in counts.items() if c != minority and c is not None), default=0)) - n_min
     rows = shuffle_rank(df.where(F.col(label) == F.lit(minority)).select(key, vec), key, seed, name="pos")
-    near = nearest_references(rows, key, vec, rows.select(F.col(key).alias("_id"), F.col(vec).alias("_vec")), "_id", "_vec", ["_vec"], k, exclude_self=True)
-    pairs = rows.join(near.select(key, F.posexplode("nearest").alias("j", "s")), key).select("pos", vec, (F.col("j") + 1).alias("j"), "s._vec")
+    refs = rows.select(F.col(key).alias("_id"), F.col(vec).alias("_vec"), F.xxhash64(vec).alias("_which"))  # vectors under one key are told apart
+    near = nearest_references(rows, key, vec, refs, "_id", "_vec", ["_which"], k, exclude_self=True)
+    ids = near.select(key, F.posexplode("nearest").alias("j", "s")).select(key, (F.col("j") + 1).alias("j"), F.col("s.id").alias("_id"), "s._which")
+    # of a neighbour only its key and the hash of its vector travel until it is drawn
+    pairs = rows.select("pos", key, vec).join(ids, key).join(refs.distinct(), ["_id", "_which"]).select("pos", vec, "j", "_vec")
     h = hash_str(seed, F.col("id"))
     draws = df.sparkSession.range(max(need, 0) if n_min else 0).select(
         F.col("id").alias("synth_id"),
