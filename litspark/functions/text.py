@@ -199,6 +199,12 @@ def word_count(c) -> Column:
     return F.when(F.length(t) == 0, F.lit(0)).otherwise(F.size(F.split(t, PY_WS + "+")))
 
 
+def words_in(c) -> Column:
+    """``word_count`` of long texts: counted in Python, batch by batch; white
+    space is the same set there."""
+    return F.udf(lambda t: None if t is None else len(t.split()), "int", useArrow=True)(_c(c))
+
+
 # --- STR22-STR23: length budget -------------------------------------------
 
 def length_budget(length, longest, shortest, maxlen, minlen) -> Column:
@@ -301,14 +307,20 @@ EMOJI_CLASS = (r"[\x{1F300}-\x{1FAFF}\x{1F000}-\x{1F2FF}\x{2600}-\x{27BF}"
 def freq_words(c) -> Column:
     """Frequency-count cleaner: lower, listed punctuation to space, split,
     stop words out, ASCII digits out of words, words of length <= 1 out;
-    returns ' w1 w2 ...' or ''."""
-    t = F.translate(F.lower(_c(c)), FREQ_PUNCT, " " * len(FREQ_PUNCT))
-    t = F.trim(F.regexp_replace(t, "^" + PY_WS + "+|" + PY_WS + "+$", ""))
-    words = F.filter(F.split(t, PY_WS + "+"), lambda w: F.length(w) > 0)
-    stop = list(dict.fromkeys(lexicon.ENGLISH_STOP_WORDS + FREQ_EXTRA_STOP))
-    words = F.filter(words, lambda w: ~w.isin(stop))
-    words = F.filter(F.transform(words, lambda w: F.regexp_replace(w, "[0-9]", "")), lambda w: F.length(w) > 1)
-    return F.when(F.size(words) > 0, F.concat(F.lit(" "), F.array_join(words, " "))).otherwise(F.lit(""))
+    returns ' w1 w2 ...' or ''. The words are taken in Python, batch by batch:
+    one expression per word costs many times that."""
+    stop = frozenset(lexicon.ENGLISH_STOP_WORDS + FREQ_EXTRA_STOP)
+
+    def clean(text):
+        text = text or ""
+        for mark in FREQ_PUNCT:
+            text = text.replace(mark, " ")
+        kept = " ".join([w for w in text.split() if w not in stop])
+        for digit in string.digits:
+            kept = kept.replace(digit, "")
+        return "".join([" " + w for w in kept.split(" ") if len(w) > 1])
+
+    return F.udf(clean, "string", useArrow=True)(F.lower(_c(c)))
 
 
 # --- STR30-STR33: labels and buckets -------------------------------------------

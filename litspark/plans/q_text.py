@@ -10,6 +10,7 @@ from litspark.functions.ratio import exact_ratio
 from litspark.operators import terms
 from litspark.plans import sqlfrag as S
 from litspark.plans.catalog import register
+from litspark.session import reuse
 from litspark.sources.tables import Tables
 
 Q = S.q
@@ -209,12 +210,13 @@ WC_SQL = (f"CASE WHEN length(regexp_replace(t, '^{tx.PY_WS}+|{tx.PY_WS}+$', '',
           f"len(string_split_regex(regexp_replace(t, '^{tx.PY_WS}+|{tx.PY_WS}+$', '', 'g'), '{tx.PY_WS}+')) END")
 
 
-def _budgets(t: Tables):
-    d = t.documents.select("doc_id", "text", tx.strip_tags("text").alias("t"))
-    d = d.withColumn("n_words", tx.word_count("t"))
-    d = d.withColumn("longest", d.agg(F.max("n_words")).scalar()) \
-         .withColumn("shortest", d.agg(F.min("n_words")).scalar())
-    return d.withColumn("budget", tx.length_budget("n_words", "longest", "shortest", MAXLEN, MINLEN))
+def _budgets(t: Tables, *keep: str):
+    # a file with few row groups is read by few tasks: the texts are dealt out before they are counted, once
+    d = t.documents.select("doc_id", "text").repartition("doc_id", "text")
+    d = d.select("doc_id", *keep, tx.words_in(tx.strip_tags("text")).alias("n_words"))
+    d = d if keep else reuse(d)
+    span = d.agg(F.max("n_words").alias("longest"), F.min("n_words").alias("shortest"))  # one row
+    return d.crossJoin(F.broadcast(span)).withColumn("budget", tx.length_budget("n_words", "longest", "shortest", MAXLEN, MINLEN))
 
 
 BUDGET_SQL = f"""wc AS (SELECT doc_id, text, {WC_SQL} AS n_words FROM (SELECT doc_id, text, {S.strip_tags('text')} AS t FROM documents)),
@@ -239,7 +241,7 @@ SELECT doc_id, CAST(sum(len(s)) AS INTEGER) AS n_kept,
        string_agg(array_to_string(s, ' '), chr(10) ORDER BY pos) AS kept
 FROM cut WHERE len(s) > 0 GROUP BY doc_id""")
 def str23(spark, sf_dir):
-    b = _budgets(_t(spark, sf_dir)).select("doc_id", "budget", tx.clean_document("text").alias("doc"))
+    b = _budgets(_t(spark, sf_dir), "text").select("doc_id", "budget", tx.clean_document("text").alias("doc"))
     c = b.select("doc_id", tx.cut_to_budget("doc", "budget").alias("doc"))
     # documents with nothing kept are dropped by a generator (no Filter node that
     # the optimizer would push down by copying the whole cleaning expression)
@@ -325,7 +327,8 @@ def _freq_sql(c):
 
 @register("str26_frequency_words", f"SELECT doc_id, {_freq_sql('text')} AS words FROM documents")
 def str26(spark, sf_dir):
-    return _t(spark, sf_dir).documents.select("doc_id", tx.freq_words("text").alias("words"))
+    texts = _t(spark, sf_dir).documents.select("doc_id", "text").repartition("doc_id", "text")  # a file with few row groups is read by few tasks
+    return texts.select("doc_id", tx.freq_words("text").alias("words"))
 
 
 # STR27 ------------------------------------------------------------------------

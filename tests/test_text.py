@@ -136,3 +136,25 @@ def test_cleaning_is_idempotent_on_its_output(spark):
             assert r["c1"] == r["c2"], (texts[r["i"]], r["c1"], r["c2"])
 
     check()
+
+
+def test_texts_are_dealt_out_before_they_are_cleaned(spark, tmp_path):
+    """A file with one row group is read by one task; the cleaning is not left to it."""
+    from litspark.plans.q_terms import cleaned_once
+    from litspark.plans.q_text import str22, str26
+    from litspark.sources.tables import Tables
+    rows = [(k, f"some words {k} of a text\n a second line") for k in range(50)] + [(None, None), (7, ""), (7, "  ")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for df in (cleaned_once(Tables(spark, str(tmp_path))), cleaned_once(Tables(spark, str(tmp_path)), False), str26(spark, str(tmp_path))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in plan and "ArrowEvalPython" not in plan[plan.index("REPARTITION_BY_COL"):]
+    plan = str22(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan.split("InMemoryRelation")[0]  # the words are counted once, not per aggregate
+    assert sorted(r.n_words for r in str22(spark, str(tmp_path)).where("n_words < 9 OR n_words IS NULL").collect() if r.n_words is not None) == [0, 0]
+
+
+def test_frequency_words_by_rule(spark):
+    rows = ["The 3rd Réview-of e1 a2b -- and\tONE one1 x Ünder\x1cscore_d", None, "", " the  of ", "ÀÉ٣ 12 1a"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in rows], "t string").select(tx.freq_words("t")).collect()]
+    assert got == [" rd réview ab one ünder score", "", "", "", " àé٣"]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in [" a b\x1cc ", None, "\n"]], "t string").select(tx.words_in("t")).collect()] == [3, None, 0]
