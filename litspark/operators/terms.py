@@ -10,9 +10,11 @@ bounded by ``max_features``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from litspark.functions import text as tx
+
 
 def term_frequencies(tokens: DataFrame, doc_col: str = "doc_id", term_col: str = "term") -> DataFrame:
     return tokens.groupBy(doc_col, term_col).agg(F.count(F.lit(1)).alias("tf"))
@@ -82,20 +84,26 @@ def distinctive_terms(weights: DataFrame, class_col: str, k: int = 50, term_col:
 def sentence_pairs(sents: DataFrame, toks: str = "toks", connectors: list[str] | None = None) -> DataFrame:
     """Per sentence row, one row per candidate pair: (i, j) are 1-based
     positions of consecutive non-connector tokens; ``phrase`` joins tokens
-    i..j with '_' (connectors in between are kept)."""
-    n = F.size(toks)
-    idx = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-    if connectors:
-        idx = F.filter(idx, lambda i: ~F.element_at(toks, i).isin(connectors))
-    idx = F.when(n > 0, idx).otherwise(F.array().cast("array<int>"))
-    m = F.size(idx)
-    ij = F.when(m > 1, F.zip_with(F.slice(idx, 1, F.greatest(m - 1, F.lit(1))), F.slice(idx, 2, F.greatest(m - 1, F.lit(1))),
-                                  lambda i, j: F.struct(i.alias("i"), j.alias("j")))) \
-        .otherwise(F.array().cast("array<struct<i:int,j:int>>"))
-    x = sents.select("*", F.explode(ij).alias("_p"))
-    return x.select("*", F.col("_p.i").alias("i"), F.col("_p.j").alias("j")).drop("_p") \
-        .withColumn("a", F.element_at(toks, F.col("i"))).withColumn("b", F.element_at(toks, F.col("j"))) \
-        .withColumn("phrase", F.array_join(F.slice(toks, F.col("i"), F.col("j") - F.col("i") + 1), "_"))
+    i..j with '_' (connectors in between are kept); of neighbours it is null, as a
+    and b tell it (``phrase_of``). The pairs are built inside the sentence, so its
+    tokens are not copied to every pair."""
+    keys = [c for c in sents.columns if c != toks]
+    tk = F.col(toks)
+    idx = F.filter(F.transform(tk, lambda w, p: F.when(~w.isin(connectors), p + 1) if connectors else p + 1), lambda p: p.isNotNull())
+
+    def pairs(ix):
+        m = F.greatest(F.size(ix) - 1, F.lit(0))
+
+        def one(i, j):
+            return F.struct(i.alias("i"), j.alias("j"), F.element_at(tk, i).alias("a"), F.element_at(tk, j).alias("b"),
+                            F.when(j > i + 1, F.array_join(F.slice(tk, i, j - i + 1), "_")).alias("phrase"))
+        return F.zip_with(F.slice(ix, 1, m), F.slice(ix, 2, m), one)
+
+    return sents.select(*keys, F.inline(tx.let(idx, pairs)))
+
+
+def phrase_of(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("phrase", F.coalesce("phrase", F.concat_ws("_", "a", "b")))
 
 
 def _adjacent(tk: Column) -> Column:
@@ -116,7 +124,7 @@ def learn_phrases(sents: DataFrame, min_count: int = 5, threshold: float = 10.0,
     if connectors:
         words = sents.select(F.explode(toks).alias("w"))
         uni = reuse(words.groupBy("w").agg(F.count(F.lit(1)).alias("cnt")))
-        pairs = sentence_pairs(sents, toks, connectors).groupBy("phrase", "a", "b").agg(F.count(F.lit(1)).alias("count"))
+        pairs = phrase_of(sentence_pairs(sents.select(toks), toks, connectors).groupBy("phrase", "a", "b").agg(F.count(F.lit(1)).alias("count")))
     else:
         words = sents.select(F.explode(toks).alias("w"))
         uni = reuse(words.groupBy("w").agg(F.count(F.lit(1)).alias("cnt")))
@@ -128,6 +136,8 @@ def learn_phrases(sents: DataFrame, min_count: int = 5, threshold: float = 10.0,
     pairs = reuse(pairs)
     # a phrase determines its words, so pair rows = distinct phrases
     n_vocab = uni.agg(F.count(F.lit(1))).scalar() + pairs.agg(F.count(F.lit(1))).scalar()
+    if threshold >= 0:  # only a pair counted more often than min_count can score above that
+        pairs = pairs.where(F.col("count") > min_count)
     # pairs are keyed by their words, and a frequent word is a hot key: AQE
     # broadcasts the word table where it is small, else splits skewed partitions
     ua = uni.select(F.col("w").alias("a"), F.col("cnt").alias("cnt_a"))
@@ -160,7 +170,7 @@ def _spans(sents: DataFrame, keys: list[str], toks: str, connectors: list[str] |
     """(keys..., i, j, phrase): the candidate spans of every sentence, from a
     token that is no connector to the next one."""
     if connectors:
-        return sentence_pairs(sents.select(*keys, toks), toks, connectors).select(*keys, "i", "j", "phrase")
+        return phrase_of(sentence_pairs(sents.select(*keys, toks), toks, connectors)).select(*keys, "i", "j", "phrase")
     pairs = sents.select(*keys, F.posexplode(_adjacent(F.col(toks))).alias("_pos", "_p"))
     return pairs.select(*keys, (F.col("_pos") + 1).alias("i"), (F.col("_pos") + 2).alias("j"), F.concat_ws("_", "_p.a", "_p.b").alias("phrase"))
 
