@@ -8,7 +8,7 @@ from litspark.functions import text as tx
 from litspark.operators import joins as jn
 from litspark.plans import sqlfrag as S
 from litspark.plans.catalog import register
-from litspark.plans.q_terms import clean_tokens
+from litspark.plans.q_terms import cleaned_docs, tokens_of
 from litspark.sources.tables import Tables
 
 
@@ -151,7 +151,7 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_known FROM ctok JOIN wv USING (term
 def jn14(spark, sf_dir):
     from litspark.operators.vectors import word_vectors
     t = Tables(spark, sf_dir)
-    tok = clean_tokens(t)
+    tok = tokens_of(cleaned_docs(t))
     wv = word_vectors(tok, t.embeddings)
     # frequent terms are hot keys; the vector vocabulary is size-checked and broadcast
     return tok.join(wv.select("term"), "term").groupBy("doc_id").agg(

@@ -14,17 +14,27 @@ from litspark.session import reuse
 from litspark.sources.tables import Tables
 
 
+def cleaned_once(t: Tables, stop_words: bool = True):
+    """(doc_id, doc) with the cleaned sentence arrays. The texts are dealt out by
+    doc_id before they are cleaned: a file with few row groups is read by few
+    tasks, cleaning is the longest step, and texts are smaller than token arrays.
+    Term frequencies and the norm per document then need no exchange of their own."""
+    texts = t.documents.select("doc_id", "text").repartition("doc_id")
+    return texts.select("doc_id", tx.clean_document("text", remove_stopwords=stop_words).alias("doc"))
+
+
 def cleaned_docs(t: Tables):
-    """(doc_id, doc) with the cleaned sentence arrays; kept because most text
-    queries read it more than once (arrays are far smaller than token rows).
-    Dealt out by doc_id once: term frequencies and the norm per document then
-    need no exchange of their own."""
-    return reuse(t.documents.select("doc_id", tx.clean_document("text").alias("doc")).repartition("doc_id"))
+    """The cleaned documents, kept for queries that read them more than once."""
+    return reuse(cleaned_once(t))
+
+
+def tokens_of(docs):
+    return docs.select("doc_id", F.explode(tx.flatten_tokens("doc")).alias("term"))
 
 
 def clean_tokens(t: Tables):
-    """(doc_id, term) stream of the fully cleaned corpus."""
-    return cleaned_docs(t).select("doc_id", F.explode(tx.flatten_tokens("doc")).alias("term"))
+    """(doc_id, term) stream of the fully cleaned corpus, for one reading."""
+    return tokens_of(cleaned_once(t))
 
 
 def corpus_tfidf(t: Tables, max_features: int = 100000, max_df: float = 0.8):
@@ -69,10 +79,7 @@ SELECT quality, term, score, CAST(rank AS INTEGER) AS rank FROM (
 def clean_sents(t: Tables, stop_words: bool = True):
     """(doc_id, sent_pos, toks): cleaned sentences. The document-level arrays
     are kept (compact); exploding them again per use is cheap."""
-    if stop_words:
-        d = cleaned_docs(t)
-    else:
-        d = reuse(t.documents.select("doc_id", tx.clean_document("text", remove_stopwords=False).alias("doc")))
+    d = reuse(cleaned_once(t, stop_words))
     return d.select("doc_id", F.posexplode("doc").alias("sent_pos", "toks"))
 
 
@@ -173,7 +180,7 @@ def txt5(spark, sf_dir):
     """Fit on the labelled (training) documents, transform every document with
     the frozen vocabulary: terms outside it are dropped."""
     t = Tables(spark, sf_dir)
-    tf = terms.term_frequencies(clean_tokens(t))
+    tf = reuse(terms.term_frequencies(clean_tokens(t)))  # read by the vocabulary fit and the weighting
     train = tf.join(t.labels.select("doc_id"), "doc_id", "left_semi")
     vocab = terms.fit_vocabulary(train, t.labels.agg(F.count(F.lit(1)).alias("n")), max_features=100000, max_df=0.8)
     w = terms.tfidf_weights(tf, vocab)
@@ -224,9 +231,9 @@ FROM documents LEFT JOIN ids USING (doc_id) GROUP BY doc_id""")
 def str29(spark, sf_dir):
     from litspark.operators.vectors import word_vectors
     t = Tables(spark, sf_dir)
-    wv = word_vectors(clean_tokens(t), t.embeddings).select("term", "vec_id")
-    pad = t.embeddings.count()
     d = cleaned_docs(t)
+    wv = word_vectors(tokens_of(d), t.embeddings).select("term", "vec_id")
+    pad = t.embeddings.count()
     ids = terms.token_ids(d, "doc", wv, pad, TOKEN_IDS_LEN)
     return ids.select("doc_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("token_ids"))
 
