@@ -387,3 +387,34 @@ def test_nearest_references_meet_blocks_as_matrices(spark):
     odd = refs.set_column(1, "w", pa.array([[0, 2], [2, None], [5], [0, 0], [float("nan"), 0]], pa.list_(pa.float32())))
     assert [(x["rid"], x["d"]) for x in vx._nearest_in_block("id", "v", "r", "w", [], 4, False, schema)(rows.slice(0, 1), odd).to_pylist()] == [
         (1, None), (3, None), (2, 0.0), (4, 2.0)]
+
+
+def test_phrase_candidates_do_not_carry_their_sentence(spark):
+    """A pair is a row of its words, not a copy of the sentence; without a pair a
+    sentence has no row."""
+    df = spark.createDataFrame([(1, ["a", "of", "b", "c"]), (2, []), (3, ["a"]), (4, ["of", "the"]), (5, None), (6, ["a", None, "b"])], "k int, toks array<string>")
+    got = terms.sentence_pairs(df, "toks", ["of", "the"])
+    assert got.columns == ["k", "i", "j", "a", "b", "phrase"]
+    assert [tuple(r) for r in got.where("k < 6").orderBy("k", "i").collect()] == [(1, 1, 3, "a", "b", "a_of_b"), (1, 3, 4, "b", "c", None)]
+    assert [r.phrase for r in terms.phrase_of(got.where("k = 1")).orderBy("i").collect()] == ["a_of_b", "b_c"]
+
+
+def test_rare_pairs_meet_no_word_counts(spark):
+    """Pairs counted at most min_count times cannot score above a threshold of 0
+    or more: they are counted for N, and not joined."""
+    df = spark.createDataFrame([(["x", "y"],)] * 4 + [(["x", "z"],), (["y", "z"],)], "toks array<string>")
+    brute = {"x_y": (4 - 1) * 6 / (5 * 5), "x_z": 0.0, "y_z": 0.0}  # N: 3 words, 3 phrases
+    for threshold in (0.0, -1.0):
+        got = {r.phrase: r.score for r in terms.learn_phrases(df, 1, threshold).collect()}
+        assert got == {p: s for p, s in brute.items() if s > threshold}
+
+
+def test_mean_of_terms_sends_vectors_in_slices(spark, monkeypatch):
+    counts = spark.createDataFrame([(1, "a", 2), (1, "b", 1), (2, "c", 3), (None, "a", 1), (3, "q", 1)], "doc_id int, term string, tf long")
+    words = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("b", 1, [4.0, 3.0]), ("c", 2, [0.0, 5.0])], "term string, vec_id long, embedding array<float>")
+    for sent in (vx.SENT_BYTES, 8):
+        monkeypatch.setattr(vx, "SENT_BYTES", sent)
+        out = vx.mean_of_terms(counts, words, ["doc_id"], "term", "tf", 2)
+        assert {r.doc_id: (r.n, r.mean_vector) for r in out.collect()} == {1: (3.0, [2.0, 1.0]), 2: (3.0, [0.0, 5.0]), None: (1.0, [1.0, 0.0])}
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert vx.mean_of_terms(counts, words.limit(0), ["doc_id"], "term", "tf", 2).count() == 0
