@@ -51,6 +51,8 @@ PERCENT = 75
 #: Five standard deviations of the union-sketch estimate below the threshold.
 ESTIMATE = 0.75 - 5 * (0.75 * 0.25 / K) ** 0.5
 STAR_ROUNDS = 2
+#: Bits per candidate that tell other documents from them: one in BITS passes.
+BITS = 16
 #: Listed entries that one task handles once few are left.
 TASK_ENTRIES = 50_000
 #: Classes of a block, when what is left apart is compared.
@@ -147,6 +149,21 @@ def reachable(sets: DataFrame) -> DataFrame:
             .filter(F.col("s") * 100 >= F.col("n") * PERCENT).select("node", "s"))
 
 
+def likely(rows: DataFrame, key: str, ids: DataFrame, n: int) -> DataFrame:
+    """The rows whose ``key`` is in ``ids`` (one column, n rows) and few others:
+    one bit of BITS per id is sent to every task, so most other rows stay where
+    they are. No row of ``ids`` is lost."""
+    def slot(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(max(1, BITS * n)))
+
+    marks = ids.select(slot(F.col(ids.columns[0])).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("marked"))  # 4 KB for 32,768 bits
+    at = F.bitmap_bit_position(slot(F.col(key)))
+    byte = F.conv(F.hex(F.substring(F.col("marked"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = (F.bitmap_bucket_number(slot(F.col(key))) == F.col("bucket")) & (F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1)
+    return rows.join(F.broadcast(marks), hit, "left_semi")
+
+
 def _fits() -> Column:
     """Whether two sets of sizes n, m with s, r shared shingles can reach the
     threshold: the overlap is at most min(s, r), and 0.75 needs 3/7 of n + m."""
@@ -259,7 +276,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not entries.isEmpty():
         wanted = checkpointed(entries.select("node").distinct().join(first, "node"))
         texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-        picked = texts.join(wanted.select("first_id").distinct(), F.col("first_id").eqNullSafe(F.col("doc_id")), "left_semi")
+        ids = checkpointed(wanted.select("first_id").distinct())
+        picked = likely(texts, "doc_id", ids, ids.count()).join(ids, F.col("first_id").eqNullSafe(F.col("doc_id")), "left_semi")
         whole = sketches(picked, None)
         for k, nodes in enumerate(renamed):
             whole = _renumbered(whole, nodes, k + 1)

@@ -157,3 +157,15 @@ def test_sets_that_share_a_number_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "_node", lambda seed: node(seed) if seed > 1 else F.pmod(node(seed), F.lit(20)))
     assert not near_dedup.shared_nodes(near_dedup.sketches(docs)).isEmpty()
     assert result() == want
+
+
+def test_likely_rows_hold_every_id_and_few_others(spark):
+    """The texts that are not candidates stay where they are."""
+    from litspark.llm.near_dedup import likely
+    rows = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).unionByName(spark.sql("select cast(null as bigint) doc_id, 't' text"))
+    ids = spark.range(0, 20000, 40).toDF("first_id").unionByName(spark.sql("select cast(null as bigint) first_id"))
+    out = likely(rows, "doc_id", ids, 501)
+    got = {r.doc_id for r in out.collect()}
+    assert {r.first_id for r in ids.collect()} <= got and len(got) < 501 + 20000 / 8
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert likely(rows, "doc_id", ids.limit(0), 0).count() == 0
