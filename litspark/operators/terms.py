@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litspark.functions import text as tx
+from litspark.operators import spans
 
 
 def term_frequencies(tokens: DataFrame, doc_col: str = "doc_id", term_col: str = "term") -> DataFrame:
@@ -119,32 +120,22 @@ def learn_phrases(sents: DataFrame, min_count: int = 5, threshold: float = 10.0,
                   connectors: list[str] | None = None) -> DataFrame:
     """(phrase, a, b, count, score) with score = (count - min_count) * N /
     (count(a) * count(b)) > threshold, N = distinct words + distinct phrases.
-    All statistics are partial aggregates; N is a scalar subquery."""
-    from litspark.session import reuse
-    if connectors:
-        words = sents.select(F.explode(toks).alias("w"))
-        uni = reuse(words.groupBy("w").agg(F.count(F.lit(1)).alias("cnt")))
-        pairs = phrase_of(sentence_pairs(sents.select(toks), toks, connectors).groupBy("phrase", "a", "b").agg(F.count(F.lit(1)).alias("count")))
-    else:
-        words = sents.select(F.explode(toks).alias("w"))
-        uni = reuse(words.groupBy("w").agg(F.count(F.lit(1)).alias("cnt")))
-        # adjacent pairs built inside each sentence row; the phrase text is a_b
-        pairs = sents.select(F.explode(_adjacent(F.col(toks))).alias("p")) \
-            .select(F.col("p.a").alias("a"), F.col("p.b").alias("b")).groupBy("a", "b") \
-            .agg(F.count(F.lit(1)).alias("count")).withColumn("phrase", F.concat_ws("_", "a", "b"))
-    # both count tables feed the vocabulary size and the score: computed once
-    pairs = reuse(pairs)
+    Words and pairs are counted in one reading (``spans.counted``); N is a scalar
+    subquery."""
+    from litspark.session import cut_lineage, small_result
+    # only a pair counted more often than min_count can score above a threshold of 0 or more
+    stats = cut_lineage(spans.counted(sents, toks, connectors, min_count if threshold >= 0 else 0))
     # a phrase determines its words, so pair rows = distinct phrases
-    n_vocab = uni.agg(F.count(F.lit(1))).scalar() + pairs.agg(F.count(F.lit(1))).scalar()
-    if threshold >= 0:  # only a pair counted more often than min_count can score above that
-        pairs = pairs.where(F.col("count") > min_count)
+    n_vocab = stats.where(F.col("kind") == spans.DISTINCT).agg(F.coalesce(F.sum("count"), F.lit(0))).scalar()
+    pairs = stats.where(F.col("kind") == spans.SPAN).select(
+        F.concat_ws("_", "a", F.nullif("mid", F.lit("")), "b").alias("phrase"), "a", "b", "count")
     # pairs are keyed by their words, and a frequent word is a hot key: AQE
     # broadcasts the word table where it is small, else splits skewed partitions
-    ua = uni.select(F.col("w").alias("a"), F.col("cnt").alias("cnt_a"))
-    ub = uni.select(F.col("w").alias("b"), F.col("cnt").alias("cnt_b"))
+    uni = stats.where(F.col("kind") == spans.WORD)
+    ua = uni.select("a", F.col("count").alias("cnt_a"))
+    ub = uni.select(F.col("a").alias("b"), F.col("count").alias("cnt_b"))
     s = pairs.join(ua, "a").join(ub, "b").withColumn(
         "score", (F.col("count") - F.lit(min_count)).cast("double") * n_vocab / (F.col("cnt_a") * F.col("cnt_b")))
-    from litspark.session import small_result
     return small_result(s.where(F.col("score") > F.lit(threshold)).select("phrase", "a", "b", "count", "score"))
 
 
@@ -162,48 +153,23 @@ def keep_known(df: DataFrame, keys: list[str], words: str, vocabulary: DataFrame
     return join_null_safe(df, per, keys, "left").withColumn("known", F.coalesce("known", none))
 
 
-#: Accepted phrases that are sent to every task; more are joined by hash.
+#: Accepted phrases that are sent to every task; more meet the spans in parts.
 BROADCAST_PHRASES = 500_000
 
 
-def _spans(sents: DataFrame, keys: list[str], toks: str, connectors: list[str] | None) -> DataFrame:
-    """(keys..., i, j, phrase): the candidate spans of every sentence, from a
-    token that is no connector to the next one."""
-    if connectors:
-        return phrase_of(sentence_pairs(sents.select(*keys, toks), toks, connectors)).select(*keys, "i", "j", "phrase")
-    pairs = sents.select(*keys, F.posexplode(_adjacent(F.col(toks))).alias("_pos", "_p"))
-    return pairs.select(*keys, (F.col("_pos") + 1).alias("i"), (F.col("_pos") + 2).alias("j"), F.concat_ws("_", "_p.a", "_p.b").alias("phrase"))
-
-
 def apply_phrases(sents: DataFrame, phrases: DataFrame, keys: list[str], toks: str = "toks",
                   connectors: list[str] | None = None) -> DataFrame:
     """Greedy left-to-right, non-overlapping merge of accepted phrases, adds
     ``phrased``. A phrase runs from a token to the next one that is no connector
     (no connectors: its neighbour) and is joined with '_', connectors included.
 
-    The accepted spans of a sentence meet in its row, in order; a fold carries
-    the tokens so far and the next free position, and takes a span that begins
-    at or behind it: what a scan of the sentence does. ``keys`` name a sentence;
-    null keys are alike."""
-    from litspark.operators.aggregates import join_null_safe
-    accepted = phrases.select("phrase").distinct()
+    The spans of a batch of sentences are looked up at once and merged where they
+    stand; no sentence is shuffled while the phrases fit a broadcast. ``keys``
+    name a sentence; rows of equal keys are merged each on its own."""
+    accepted = phrases.select("phrase").where("phrase IS NOT NULL").distinct()
     if accepted.count() <= BROADCAST_PHRASES:
-        accepted = F.broadcast(accepted)
-    hits = _spans(sents, keys, toks, connectors).join(accepted, "phrase")
-    per = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("_found"))  # spans of one sentence
-    both = join_null_safe(sents, per, keys, "left")
-    tk = F.col(toks)
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(1).alias("free"))
-
-    def take(s, span):
-        i, j = span["i"], span["j"]
-        merged = F.concat(s["out"], F.slice(tk, s["free"], F.greatest(i - s["free"], F.lit(0))), F.array(F.array_join(F.slice(tk, i, j - i + 1), "_")))
-        return F.when(i >= s["free"], F.struct(merged.alias("out"), (j + 1).alias("free"))).otherwise(s)
-
-    def rest(s):
-        return F.concat(s["out"], F.slice(tk, s["free"], F.greatest(F.size(tk) - s["free"] + 1, F.lit(0))))
-
-    return both.withColumn("phrased", F.when(F.col("_found").isNull(), tk).otherwise(F.aggregate("_found", start, take, rest))).drop("_found")
+        return spans.merged(sents, toks, connectors, accepted.toArrow()["phrase"].combine_chunks())
+    return spans.merged_by_parts(sents, toks, connectors, accepted)
 
 
 # --- token ids (STR29); dictionary terms are in operators/dictionary.py ---------------

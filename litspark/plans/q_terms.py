@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from litspark.functions import lexicon
 from litspark.functions import text as tx
-from litspark.operators import dictionary, terms
+from litspark.operators import dictionary, spans, terms
 from litspark.plans import sqlfrag as S
 from litspark.plans.catalog import register
 from litspark.sources.dictionaries import dictionary_table, multiword_terms
-from litspark.session import reuse
+from litspark.session import cut_lineage, reuse
 from litspark.sources.tables import Tables
 
 
@@ -76,9 +76,15 @@ SELECT quality, term, score, CAST(rank AS INTEGER) AS rank FROM (
 
 # --- phrases ---------------------------------------------------------------------
 
-def clean_sents(t: Tables, stop_words: bool = True):
+def clean_sents(t: Tables, stop_words: bool = True, packed: bool = False):
     """(doc_id, sent_pos, toks): cleaned sentences. The document-level arrays
-    are kept (compact); exploding them again per use is cheap."""
+    are kept; exploding them again per use is cheap. ``packed``: the sentences are
+    written to the checkpoint folder, words numbered and compressed, at about a
+    tenth of the arrays' bytes; each reading unpacks them in Python."""
+    if packed:
+        # of an outer generator no filter on the cleaned document is inferred, which would clean twice
+        sents = cleaned_once(t, stop_words).select("doc_id", F.posexplode_outer("doc").alias("sent_pos", "toks")).where("sent_pos IS NOT NULL")
+        return spans.unpacked(cut_lineage(spans.packed(sents)), sents.schema)
     d = reuse(cleaned_once(t, stop_words))
     return d.select("doc_id", F.posexplode("doc").alias("sent_pos", "toks"))
 
@@ -106,14 +112,14 @@ ph AS (SELECT phrase, a, b, count, (count - {min_count}) * (SELECT n FROM nv) /
 @register("txt1_phrase_detection", "WITH " + _sents_sql() + _phrase_sql(False) + """
 SELECT phrase, CAST(count AS BIGINT) AS count, round(score, 6) AS score FROM ph WHERE score > 10.0""")
 def txt1(spark, sf_dir):
-    ph = terms.learn_phrases(clean_sents(Tables(spark, sf_dir)), 5, 10.0)
+    ph = terms.learn_phrases(clean_sents(Tables(spark, sf_dir), packed=True), 5, 10.0)
     return ph.select("phrase", "count", F.round("score", 6).alias("score"))
 
 
 @register("txt2_phrases_across_connectors", "WITH " + _sents_sql(False) + _phrase_sql(True) + """
 SELECT phrase, CAST(count AS BIGINT) AS count, round(score, 6) AS score FROM ph WHERE score > 10.0""")
 def txt2(spark, sf_dir):
-    ph = terms.learn_phrases(clean_sents(Tables(spark, sf_dir), stop_words=False), 5, 10.0,
+    ph = terms.learn_phrases(clean_sents(Tables(spark, sf_dir), stop_words=False, packed=True), 5, 10.0,
                              connectors=lexicon.ARCHIVE_STOP_WORDS)
     return ph.select("phrase", "count", F.round("score", 6).alias("score"))
 
@@ -152,7 +158,7 @@ out AS (SELECT pos.doc_id, pos.sent_pos, pos.p, CASE WHEN m.i IS NULL THEN toks[
 SELECT doc_id, sent_pos, string_agg(w, ' ' ORDER BY p) AS phrased FROM out WHERE w IS NOT NULL GROUP BY doc_id, sent_pos""")
 def txt3_connectors(spark, sf_dir):
     """Phrases learned across connectors (TXT2), merged in the sentences."""
-    cs = clean_sents(Tables(spark, sf_dir), stop_words=False)
+    cs = clean_sents(Tables(spark, sf_dir), stop_words=False, packed=True)
     conn = lexicon.ARCHIVE_STOP_WORDS
     ph = terms.learn_phrases(cs, 5, 10.0, connectors=conn)
     out = terms.apply_phrases(cs, ph, ["doc_id", "sent_pos"], connectors=conn)
