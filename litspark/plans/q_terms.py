@@ -140,7 +140,7 @@ out AS (SELECT pos.doc_id, pos.sent_pos, pos.p,
         LEFT JOIN mrg m2 ON m2.doc_id = pos.doc_id AND m2.sent_pos = pos.sent_pos AND m2.i = pos.p - 1)
 SELECT doc_id, sent_pos, string_agg(w, ' ' ORDER BY p) AS phrased FROM out WHERE w IS NOT NULL GROUP BY doc_id, sent_pos""")
 def txt3(spark, sf_dir):
-    cs = clean_sents(Tables(spark, sf_dir))
+    cs = clean_sents(Tables(spark, sf_dir), packed=True)
     ph = terms.learn_phrases(cs, 5, 10.0)
     out = terms.apply_phrases(cs, ph, ["doc_id", "sent_pos"])
     return out.select("doc_id", "sent_pos", F.array_join("phrased", " ").alias("phrased"))
